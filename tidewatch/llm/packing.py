@@ -23,7 +23,10 @@ SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 BLOCK_PIECES = 400_000
-CACHE_WORDS = 300_000
+CACHE_PARTS = 1_000_000
+PARTS_AT_ONCE = 60
+MARK = "\x00"
+CLOSERS = b".,!;:|#*$%&"
 BATCH_ROWS = 500
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -40,7 +43,9 @@ class CachedTokenizer:
 
     The tokenizer drops white space and no token spans it, so a text's ids are
     those of its parts in turn; parts recur, and each is encoded once while the
-    cache lasts. Texts that could hold a special token are not lower-cased first.
+    cache lasts. Unknown parts are encoded many at a time, parted by a character
+    that is a token of its own. Texts that could hold a special token are not
+    lower-cased first.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,19 +55,56 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, batch: list[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without an end."""
-        parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in batch]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        mark = self.encode([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def encode(self, some: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def learn(self, parts: list[bytes]) -> None:
+        known, mark = self.known, MARK.encode()
+        alone = parts if self.mark is None else [w for w in parts if mark in w]
+        for w, ids in zip(alone, self.encode([w.decode("utf-8") for w in alone]), strict=True):
+            known[w] = np.array(ids, "<u4").tobytes()
+        rest = [] if self.mark is None else [w for w in parts if mark not in w]
+        between = b" " + mark + b" "
+        groups = [rest[at : at + PARTS_AT_ONCE] for at in range(0, len(rest), PARTS_AT_ONCE)]
+        for group, ids in zip(groups, self.encode([between.join(g).decode("utf-8") for g in groups]), strict=True):
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            ids, start = ids.tobytes(), 0
+            for w, end in zip(group, [*ends, len(ids) // 4], strict=True):
+                known[w] = ids[4 * start : 4 * end]
+                start = end + 1
+
+    def learn_all(self, new: set[bytes]) -> None:
+        """Learn parts, those that end in punctuation by their two halves."""
+        known = self.known
+        halves, apart = {}, set()
+        for w in new:
+            base = w.rstrip(CLOSERS)
+            if base != w and base[-1:].isalnum():  # an ASCII letter or digit: the punctuation is a token's start
+                halves[w] = base, w[len(base) :]
+                apart.update(halves[w])
+            else:
+                apart.add(w)
+        self.learn([w for w in apart if w not in known])
+        for w, (base, end) in halves.items():
+            known[w] = known[base] + known[end]
+
+    def __call__(self, text: bytes | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text, without an end."""
         known = self.known
-        new = list({w for words in parts for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in parts]
+        words = ((text if b"<|" in text else text.lower()).split()) if text else []
+        ids = list(map(known.get, words))
+        if None in ids:
+            if len(known) > CACHE_PARTS:
+                known.clear()
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            self.learn_all({words[i] for i in gaps})
+            for i in gaps:
+                ids[i] = known[words[i]]
+        return b"".join(ids)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +163,7 @@ def _pack(path: str, capacity: int, block: int):
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
         for batch in slices(batches, BATCH_ROWS):
-            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encode(texts(batch)), strict=True):
+            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), map(encode, texts(batch)), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
