@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.checkpoints import checkpointed, shared_folder  # noqa: F401
+
 #: Fixed pattern: white space that parts words, as Java and RE2 read it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,23 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where that is unset, as in tests, a temporary one is made.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def size_hint(df: DataFrame) -> int:
     """Bytes that the optimizer expects of df, from file sizes; nothing is read."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

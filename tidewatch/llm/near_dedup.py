@@ -25,11 +25,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed, column, slices, texts, without
+from tidewatch.llm.common import checkpointed, column, size_hint, slices, texts, without
 from tidewatch.llm.components import connected
 from tidewatch.llm.shingles import WordHashes, shingle_set
 
@@ -40,7 +41,11 @@ BUCKETS, BUCKET_TOKENS = 512, 1_000_000
 SCAN_COST, VERIFY_COST = 1.0, 40.0
 CLUSTER_TEXTS, GROUP_TEXTS = 4000, 400
 
-_SETS = "chunk long, doc_id long, th long, n long, least int, digest binary, tokens binary"
+_FULL = "chunk long, digest binary, tokens binary"
+_ROUND = "bucket int, chunk long, tokens binary, owners binary, idx int, doc_id long, th long, n long, least int, digest binary, local int"
+_TOLD = "chunk long, owners binary, idx int, doc_id long, th long, n long, least int, digest binary, local int"
+_MET = "doc_id long, th long, n long, digest binary, alive boolean"
+MANY = 0xFFFF
 
 
 def least_overlap(n: int) -> int:
@@ -61,36 +66,100 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u8")
 
 
-def _sets(whole: bool):
-    """Shingle sets of texts: whole, or their first-round prefixes."""
+def _digest(tokens: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(_pack(tokens), digest_size=16).digest() if len(tokens) else None
+
+
+def _first_round(bits: int):
+    """Of each chunk of texts, its distinct prefix shingles with their one owner (or MANY), dealt by leading bits; and a row on each text."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    names = [x.split()[0] for x in _ROUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         chunk = TaskContext.get().partitionId() << 32
         for batch in slices(batches, CHUNK_ROWS):
-            chunks, counts, least, digests, tokens, held = [], [], [], [], [], 0
+            seen: dict[bytes | None, int] = {}
+            idx, counts, digests, prefixes = [], [], [], []
             for text in texts(batch):
                 own = shingle_set(text, hashes)
-                n = len(own)
+                n, digest = len(own), _digest(own)
+                if digest not in seen:
+                    seen[digest] = len(prefixes)
+                    prefixes.append(own[: n - least_overlap(n) + first_match(n)] if n else own)
+                idx.append(seen[digest])
                 counts.append(n)
-                least.append(first_match(n))
-                digests.append(hashlib.blake2b(_pack(own), digest_size=16).digest() if n else None)
-                if not whole:
-                    own = own[: n - least_overlap(n) + first_match(n)]
-                tokens.append(_pack(own))
-                held += len(own)
-                if held > CHUNK_TOKENS:
-                    chunk, held = chunk + 1, len(own)
-                chunks.append(chunk)
+                digests.append(digest)
+            owner = np.repeat(np.arange(len(prefixes), dtype=np.uint16), [len(p) for p in prefixes])
+            tokens, first, inverse, times = np.unique(np.concatenate([*prefixes, np.empty(0, np.uint64)]), return_index=True, return_inverse=True, return_counts=True)
+            local = np.bincount(owner[times[inverse] > 1], minlength=len(prefixes))
+            owners = np.where(times > 1, MANY, owner[first]).astype("<u2")
+            cuts = [0, *np.searchsorted(tokens, edges), len(tokens)]
+            parts = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
+            told = {"bucket": [b for b, _, _ in parts], "chunk": [chunk] * len(parts), "tokens": [_pack(tokens[s:e]) for _, s, e in parts], "owners": [owners[s:e].tobytes() for _, s, e in parts]}
+            rows = {"bucket": [-1 - (chunk ^ chunk >> 32) % BUCKETS] * len(idx), "chunk": [chunk] * len(idx), "idx": idx, "n": counts, "least": [first_match(n) for n in counts], "digest": digests, "local": local[idx].tolist()}
+            rows |= {"doc_id": column(batch, "doc_id"), "th": column(batch, "th")}
+            for made in (told, rows):
+                size = len(made["bucket"])
+                yield pa.RecordBatch.from_arrays([made[c] if isinstance(made.get(c), pa.Array) else pa.array(made.get(c, [None] * size), k) for c, k in zip(names, _kinds(_ROUND), strict=True)], names=names)
             chunk += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunks, pa.int64()), column(batch, "doc_id"), column(batch, "th"), pa.array(counts, pa.int64()), pa.array(least, pa.int32()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())],
-                names=["chunk", "doc_id", "th", "n", "least", "digest", "tokens"],
-            )
 
     return run
 
 
+def _kinds(schema: str) -> list[pa.DataType]:
+    known = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return [known[x.split()[1]] for x in schema.split(", ")]
+
+
+def _tell(table: pa.Table) -> pa.Table:
+    """To each chunk, the owners of its shingles that another chunk holds too; rows on texts pass."""
+    names = [x.split()[0] for x in _TOLD.split(", ")]
+    if table.column("bucket")[0].as_py() < 0:
+        return table.select(names)
+    blobs = table.column("tokens").to_pylist()
+    tokens, owners = _unpack(b"".join(blobs)), np.frombuffer(b"".join(table.column("owners").to_pylist()), "<u2")
+    _, inverse = np.unique(tokens, return_inverse=True)
+    shared = (np.bincount(inverse) + np.bincount(inverse, owners == MANY))[inverse] > 1
+    shared &= owners != MANY
+    out, at = [], 0
+    for blob in blobs:
+        own = slice(at, at + len(blob) // 8)
+        at = own.stop
+        out.append(owners[own][shared[own]].tobytes())
+    made = {"chunk": table.column("chunk"), "owners": pa.array(out, pa.binary())}
+    told = pa.table([made.get(c, pa.nulls(len(out), k)) for c, k in zip(names, _kinds(_TOLD), strict=True)], names=names)
+    return told.filter(pa.array([len(x) > 0 for x in out]))
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Which of a chunk's texts have enough prefix shingles that others hold."""
+    is_text = pa.compute.is_valid(table.column("idx"))
+    rows = table.filter(is_text)
+    owners = np.frombuffer(b"".join(table.filter(pa.compute.invert(is_text)).column("owners").to_pylist()), "<u2")
+    met = np.bincount(owners, minlength=MANY)[rows.column("idx").to_numpy()] + rows.column("local").to_numpy()
+    alive = met >= rows.column("least").to_numpy()
+    return rows.select(["doc_id", "th", "n", "digest"]).append_column("alive", pa.array(alive))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole shingle sets."""
+    hashes = WordHashes()
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in slices(batches, CHUNK_ROWS):
+        chunks, digests, tokens, held = [], [], [], 0
+        for text in texts(batch):
+            own = shingle_set(text, hashes)
+            digests.append(_digest(own))
+            tokens.append(_pack(own))
+            held += len(own)
+            if held > CHUNK_TOKENS:
+                chunk, held = chunk + 1, len(own)
+            chunks.append(chunk)
+        chunk += 1
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "digest", "tokens"])
+
+
 def _send(bits: int):
     """Each chunk's distinct shingles with the number of its sets that hold them, dealt by their leading bits."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -163,10 +232,6 @@ def with_frequencies(sets: DataFrame, use: Callable[[np.ndarray, np.ndarray, dic
     return sets.where("digest IS NOT NULL").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(meet, schema)
 
 
-def _survives(tokens: np.ndarray, df: np.ndarray, row: dict) -> dict | None:
-    return {"digest": row["digest"]} if np.count_nonzero(df >= 2) >= row["least"] else None
-
-
 def adaptive_prefix(tokens: np.ndarray, df: np.ndarray) -> tuple[int, np.ndarray]:
     """(l, shared shingles of the prefix for l), of least estimated cost; l is 0 if no partner is possible.
 
@@ -264,15 +329,16 @@ def _verify(table: pa.Table) -> pa.Table:
 def near_links(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(sets, links): doc_id, th, n, digest of every row, and digests a, b that link different sets, a spanning forest of all links."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
-    sets = checkpointed(rows.mapInArrow(_sets(False), _SETS))
-    alive = with_frequencies(sets, _survives, "digest binary").distinct()
+    bits = max(BUCKETS, 2 * size_hint(docs) // (8 * BUCKET_TOKENS)).bit_length() - 1
+    told = rows.mapInArrow(_first_round(bits), _ROUND).groupBy("bucket").applyInArrow(_tell, _TOLD)
+    sets = checkpointed(told.groupBy("chunk").applyInArrow(_count, _MET))
 
-    # whole sets of one row for each text that is left
-    holder = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("row"))
-    chosen = alive.join(holder, "digest").select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th"))
+    # whole sets of one row for each shingle set that is left
+    holder = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("row"), F.max("alive").alias("alive")).where("alive")
+    chosen = holder.select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th"))
     left = rows.join(chosen.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("_id")) & rows["th"].eqNullSafe(F.col("_th")))
     left = left.select("doc_id", "text", "th").dropDuplicates(["doc_id", "th"])
-    full = checkpointed(left.mapInArrow(_sets(True), _SETS))
+    full = checkpointed(left.mapInArrow(_whole, _FULL))
     prefixes = checkpointed(with_frequencies(full, _prefix, "digest binary, match int, prefix binary"))
 
     # clusters: all texts that any prefix shingle brings together
@@ -292,7 +358,7 @@ def near_links(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> tuple[Dat
     groups = max(1, total // GROUP_TEXTS)
     many = F.when(F.col("texts") > GROUP_TEXTS, F.hex("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(groups)).cast("string"))
     links = paired.select(many.alias("many"), "low", "high", "cluster", "digest", "block", "match", "prefix", "tokens").groupBy("many", "low", "high").applyInArrow(_verify, "a binary, b binary")
-    return sets.select("doc_id", "th", "n", "digest"), links
+    return sets.drop("alive"), links
 
 
 def near_groups(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> DataFrame:
