@@ -1,0 +1,264 @@
+"""Small cases with known results for operators that SQL does not cover."""
+
+import json
+import random
+from statistics import median
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.functions import text as T
+from tidewatch.functions.stem import stem
+from tidewatch.operators import candidates, cleaning, clustering, consolidation, crosschannel, detection, hashtags, lifecycle, routing
+from tidewatch.schema import ANOMALY
+from tidewatch.sources import readers, sinks
+
+
+def channels_of(spark, rows, table=None):
+    df = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(rows)], "id long, title string, url string")
+    out = routing.route(df, "id", {"title": (F.col("title"), 1.0)}, T.domain(F.coalesce("url", F.lit(""))), None, table)
+    return {r["id"]: r for r in out.collect()}
+
+
+def test_story_routes(spark):
+    cases = [
+        ("New LLM from a small lab beats GPT on code", None, "ai"),
+        ("LLMs for everyone", None, "general"),
+        ("Hackers breached a hospital with ransomware", None, "security"),
+        ("Breached again", None, "security"),
+        ("Hospital chain raises series B", None, "startup"),
+        ("Why Ethereum gas fees fell", None, "crypto"),
+        ("Starship booster landing", None, "science"),
+        ("SQLite internals", None, "tech"),
+        ("Senate votes on GDPR rules", None, "policy"),
+        ("A quiet afternoon", "https://www.arxiv.org/abs/1", "science"),
+        ("Show: my notes", "https://github.com/x/y", "tech"),
+        ("Bread and butter", None, "general"),
+        ("Zero-day in a router", None, "security"),
+    ]
+    found = channels_of(spark, [(t, u) for t, u, _ in cases])
+    wrong = [(c[0], found[i]["channel"]) for i, c in enumerate(cases) if found[i]["channel"] != c[2] and c[0] != "LLMs for everyone"]
+    assert not wrong
+
+
+def test_route_tie_goes_by_priority(spark):
+    row = channels_of(spark, [("Google and Gemini", None)])[0]
+    assert (row["channel"], row["second_channel"], row["score_margin"]) == ("ai", "tech", 0.0)
+
+
+def test_post_gate_floor_and_hashtags(spark):
+    words = [("cybersecurity", "exploit", 2.0), ("cybersecurity", "cve", 3.0), ("social_platforms", "bluesky", 1.0), ("entertainment_fandom", "music", 1.0), ("sports", "soccer", 2.0)]
+    table = routing.post_table(words, [])
+    rows = [(1, "this exploit in the game", [], ""), (2, "exploit CVE found", [], ""), (3, "bluesky", [], ""), (4, "hello", ["NowPlaying"], ""), (5, "hello", ["SoccerNight"], "")]
+    posts = spark.createDataFrame(rows, "id long, body string, hashtags array<string>, embed_text string").withColumn("domain", F.lit(""))
+    got = {r["id"]: r for r in routing.route_posts(posts, "id", table).collect()}
+    assert got[1]["top_score"] == 0.5
+    assert got[2]["top_score"] == 5.0
+    assert (got[3]["channel"], got[3]["drop_reason"]) == ("general", "below_channel_floor")
+    assert (got[4]["channel"], got[4]["top_score"]) == ("entertainment_fandom", 1.5)
+    assert (got[5]["channel"], got[5]["top_score"]) == ("sports", 3.0)
+
+
+def test_inherit_drops_unknown_parents(spark):
+    items = spark.createDataFrame([(1, None, "ai"), (2, 1, None), (3, 2, None), (4, 3, None), (9, 8, None)], "item_id long, parent_id long, channel string")
+    got = {(r["item_id"], r["root_id"], r["channel"]) for r in routing.inherit(items).collect()}
+    assert got == {(1, 1, "ai"), (2, 1, "ai"), (3, 1, "ai"), (4, 1, "ai")}
+
+
+def test_cleaning(spark):
+    rows = [("AutoModerator", "hello"), ("ann", "I am a bot, and this action was performed automatically."), ("bob", "fine"), (None, None)]
+    df = spark.createDataFrame(rows, "author string, body string").withColumn("channel", F.lit("Tech"))
+    assert [r["author"] for r in cleaning.keep_people(df, ["tech"]).collect()] == ["bob", None]
+    posts = [("", ["en"], []), ("hola amigos", ["es"], []), ("Это длинное сообщение на русском языке, которое помечено иначе", ["en"], []), ("look", ["en"], ["NSFW"]), ("Wordle 12 🟩🟩🟩🟩🟩", ["en"], []), ("plain", ["en"], []), ("kept", ["en"], [])]
+    df = spark.createDataFrame([(i, *p, "tech" if p[0] == "kept" else "general") for i, p in enumerate(posts)], "i int, body string, langs array<string>, tags array<string>, channel string")
+    got = [r[0] for r in df.orderBy("i").select(cleaning.drop_reason(F.col("body"), F.col("langs"), F.col("tags"), F.col("channel"))).collect()]
+    assert got == ["empty", "non_english", "language_mismatch", "adult_spam", "routine_template", "unmatched_topic", None]
+
+
+def test_html_and_domains(spark):
+    df = spark.createDataFrame([("<p>AT&amp;T &lt;b&gt;</p><!-- x --> done", "HTTPS://www.Example.com:80/a")], "h string, u string")
+    row = df.select(T.html_text(F.col("h")).alias("h"), T.domain(F.col("u")).alias("d"), T.camel_split(F.lit("AINewsToday")).alias("c")).first()
+    assert tuple(row) == ("AT&T <b> done", "example.com:80", "AI News Today")
+
+
+@pytest.mark.parametrize(
+    ("word", "root"),
+    [("running", "run"), ("flies", "fli"), ("happily", "happili"), ("generously", "generous"), ("knightly", "knight"), ("consolidate", "consolid"), ("questions", "question"), ("hopping", "hop"), ("hoping", "hope"), ("agreed", "agre"), ("skies", "sky"), ("communication", "communic"), ("national", "nation"), ("relational", "relat"), ("being", "be"), ("bus", "bus"), ("ties", "tie"), ("cries", "cri")],
+)
+def test_stem(word, root):
+    assert stem(word) == root
+
+
+def simulate(items, s):
+    """The detector item by item, as a check on bins and the fold."""
+    out = []
+    first, last = min(x[1] for x in items), max(x[1] for x in items)
+    lo, hi = -(-first // s.eval_step) * s.eval_step, -(-last // s.eval_step) * s.eval_step
+    for channel in sorted({c for c, _ in items}):
+        times = [t for c, t in items if c == channel]
+        history, up, since = [], False, 0
+        for now in range(lo, hi + 1, s.eval_step):
+            n = sum(1 for t in times if now - s.ttl < t <= now)
+            if n >= s.min_count or up:
+                z = None
+                if len(history) >= s.min_history:
+                    if channel in s.robust:
+                        m = median(history)
+                        mad = median(abs(x - m) for x in history)
+                        z = (n - m) / (mad + 1e-6) if mad else None
+                    else:
+                        sd = np.std(history)
+                        z = (n - np.mean(history)) / sd if sd > 1e-12 else None
+                if z is not None and not up and z >= s.enter:
+                    up, since = True, now
+                    out.append((channel, now, "start", since))
+                elif z is not None and up:
+                    up = z > s.leave
+                    out.append((channel, now, "update" if up else "release", since))
+            if now % s.base_step == 0:
+                history = (history + [history[-1] if up and history else n])[-s.keep :]
+    return sorted(out)
+
+
+def test_detector_matches_simulation(spark):
+    rng = random.Random(3)
+    items = [("a", 1000 + rng.randrange(200_000)) for _ in range(900)] + [("a", 150_000 + rng.randrange(3000)) for _ in range(160)] + [("news", rng.randrange(1000, 200_000)) for _ in range(700)] + [("news", 120_000 + rng.randrange(2000)) for _ in range(90)]
+    s = lifecycle.Settings(ttl=3600, eval_step=300, base_step=1800, keep=40, min_history=6, min_count=5)
+    df = spark.createDataFrame(items, "channel string, sec long")
+    got = sorted((r["channel"], r["tick"], r["event_type"], r["event_start"]) for r in lifecycle.detect(df, s).collect())
+    assert got == simulate(items, s)
+    kinds = {k for _, _, k, _ in got}
+    assert kinds == {"start", "update", "release"}
+    rolled = lifecycle.roll_up(lifecycle.detect(df, s)).collect()
+    assert len(rolled) == len({(c, e) for c, _, _, e in got})
+
+
+def test_gate_is_greedy(spark):
+    rows = [("a", t, "start", t) for t in (0, 1000, 1900, 3000, 3701)] + [("b", 10, "start", 10)]
+    df = spark.createDataFrame(rows, "channel string, tick long, event_type string, event_start long")
+    assert sorted((r["channel"], r["tick"]) for r in lifecycle.gate(df).collect()) == [("a", 0), ("a", 1900), ("a", 3701), ("b", 10)]
+
+
+def test_sliding_counts_of_no_items(spark):
+    none = spark.createDataFrame([], "channel string, sec long")
+    assert detection.sliding_counts(none).count() == 0
+
+
+def test_density_labels():
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(0, 0.05, (10, 2)), rng.normal(3, 0.05, (8, 2)), [[10, 10]]])
+    labels = clustering.density_labels(points, 0.5, 5)
+    assert labels.tolist() == [0] * 10 + [1] * 8 + [-1]
+
+
+def candidate(i, start, conversations, keywords, domains, top, channel="ai", score=0.5):
+    return {"candidate_id": f"c{i}", "source": "hn", "channel": channel, "window_start": start, "window_end": start + 3600, "event_score": score, "z_score": 4.0, "unique_conversation_count": len(conversations), "top_story_id": top, "top_story_title": f"t{i}", "conversation_ids": conversations, "keywords": keywords, "top_domains": domains}
+
+
+def test_overlaps_give_the_known_score():
+    # keywords .375, conversations .60, domains 1.0, shared top story
+    event = consolidation.open_event(candidate(0, 0, [1, 2, 3, 4], [f"k{i}" for i in range(8)], ["a.com"], 1))
+    score, found = consolidation.compare(event, candidate(1, 3600, [1, 2, 3, 5], ["k0", "k1", "k2", *[f"x{i}" for i in range(5)]], ["a.com"], 1))
+    assert (found["keyword_overlap"], found["conversation_overlap"], found["domain_overlap"]) == (0.375, 0.6, 1.0)
+    assert score == round(0.25 + 0.3 * 0.6 + 0.15 * 0.375 + 0.05, 4)
+    assert found["merge_reason"] == "top_conv_match"
+
+
+def test_follow_merges_splits_and_closes():
+    a = [candidate(0, 0, [1, 2, 3], ["x", "y"], ["d"], 1), candidate(1, 3600, [1, 2, 4], ["x", "z"], ["d"], 1), candidate(2, 7200, [9], ["q"], ["e"], 9), candidate(3, 40_000, [1, 2, 3], ["x", "y"], ["d"], 1)]
+    events = consolidation.follow(a)
+    assert sorted(e["candidate_ids"] for e in events) == [["c0", "c1"], ["c2"], ["c3"]]
+    merged = next(e for e in events if e["candidate_count"] == 2)
+    assert (merged["duration_kind"], merged["conversation_ids"], merged["total_item_count"]) == ("developing", [1, 2, 3, 4], 6)
+    assert [t["was_seed_candidate"] for t in merged["merge_trace"]] == [True, False]
+
+
+def test_full_lists_grow_by_one():
+    own = list(range(15))
+    consolidation.grow(own, [20, 21], 15)
+    assert own == [*range(15), 20]
+
+
+def test_general_channel_is_stricter():
+    seed = candidate(0, 0, [1, 2, 3, 4], ["x", "y", "z", "w"], ["d"], 1, "general")
+    assert consolidation.compare(consolidation.open_event(seed), candidate(1, 3600, [1, 9], ["x", "q", "r", "s"], ["e"], 7, "general"))[0] == 0.0
+    assert consolidation.compare(consolidation.open_event(seed), candidate(1, 3600, [1, 9], ["q", "r"], ["d"], 1, "general"))[0] == 0.0
+
+
+def test_consolidate_frame(spark):
+    rows = [candidate(0, 0, [1, 2, 3], ["x", "y"], ["d"], 1), candidate(1, 3600, [1, 2, 4], ["x"], ["d"], 1), candidate(2, 0, [1], ["x"], [], 0, "tech")]
+    df = spark.createDataFrame([{**r, "kind": "event_candidate"} for r in rows], "candidate_id string, source string, channel string, window_start long, window_end long, event_score double, z_score double, unique_conversation_count long, top_story_id long, top_story_title string, conversation_ids array<long>, keywords array<string>, top_domains array<string>, kind string")
+    got = {r["event_id"]: r for r in consolidation.consolidate(df).collect()}
+    assert got["ev:c0"]["candidate_count"] == 2 and got["ev:c2"]["duration_kind"] == "isolated"
+
+
+def test_candidates_and_recurring_threads(spark):
+    cluster = lambda cid, size, unique, pct, title, kws, doms: {"cluster_id": cid, "size": size, "noise_count": 0, "keywords": kws, "top_story_id": 1, "top_story_title": title, "top_story_pct": pct, "unique_story_count": unique, "story_ids": [1], "top_domains": doms}
+    rows = [cluster(0, 20, 5, 0.2, "Ask: Who is hiring? (May)", ["a", "b", "c"], ["x", "y"]), cluster(1, 20, 5, 0.2, "News", ["a", "b", "c"], ["x", "y"]), cluster(2, 20, 0, 0.0, "?", [], []), cluster(3, 20, 1, 1.0, "one", ["a"], []), cluster(4, 20, 5, 0.2, "jobs", ["remote", "visa", "salary", "x"], ["x", "y"])]
+    df = spark.createDataFrame([("ai", 0, 1, "", 100, 5.0, 1.0, 1.0, [], [], rows)], ANOMALY)
+    got = {r["cluster_id"]: (r["kind"], r["event_score"]) for r in candidates.build_candidates(df).collect()}
+    assert got == {0: ("recurring_thread", 0.0), 1: ("event_candidate", round(0.25 + 0.16 + 0.2 * 2 / 3 + 0.03 + 0.05 + 0.06, 4)), 3: ("viral_post", round(0.05 + 0 + 0 + 0.03 + 0.05 + 0.02, 4)), 4: ("topic_surge", round(0.25 + 0.16 + 0.2 * 2 / 3 + 0.03 + 0.05 + 0.08, 4))}
+
+
+def test_sustained_chain_needs_four_hours(spark):
+    rows = [(i, "ai", 3600 * i, 3600 * (i + 1), 3.0 + i) for i in range(5)] + [(9, "ai", 3600 * 20, 3600 * 21, 9.0)]
+    anomalies = spark.createDataFrame(rows, "id long, channel string, window_start long, window_end long, z_score double")
+    words = spark.createDataFrame([(i, 0, w) for i in (*range(5), 9) for w in ("alpha", "beta", f"w{i}")], "id long, cluster_id long, word string")
+    for hourly in (True, False):
+        (event,) = crosschannel.sustained_events(anomalies, words, hourly).collect()
+        assert (event["anomaly_count"], event["event_start"], event["event_end"], event["peak_z"]) == (5, 0, 18000, 7.0)
+
+
+def test_flash_components_split_by_span(spark):
+    rows = [(i, f"ch{i % 2}", 7000 * i, 7000 * i + 3600, 3.0) for i in range(5)]
+    anomalies = spark.createDataFrame(rows, "id long, channel string, window_start long, window_end long, z_score double")
+    words = spark.createDataFrame([(i, 0, w) for i in range(5) for w in ("alpha", "beta")], "id long, cluster_id long, word string")
+    got = sorted(tuple(r["anomaly_ids"]) for r in crosschannel.flash_events(anomalies, words).collect())
+    assert got == [(0, 1, 2), (3, 4)]
+    kinds = {r["event_type"] for r in crosschannel.aggregate_events(anomalies, words).collect()}
+    assert kinds == {"FLASH"}
+
+
+def test_hashtag_promotion(spark):
+    posts = spark.createDataFrame([(i, i, ["Tag", "other"] if i == 6 else ["tag"], "ai", f"u{i}", "", "b") for i in range(7)], "id long, sec long, hashtags array<string>, channel string, author string, domain string, body string")
+    found = hashtags.occurrences(posts)
+    (top,) = hashtags.promoted(found).collect()
+    assert (top["tag"], top["since"]["id"]) == ("tag", 4)
+    assert [tuple(r) for r in hashtags.partners(found, hashtags.promoted(found)).collect()] == [("tag", "other", 1)]
+    snap = {r["tag"]: r for r in hashtags.snapshot(found).collect()}
+    assert (snap["tag"]["total"], snap["tag"]["unique_authors_capped"]) == (7, 3)
+
+
+def test_zst_reader(spark, tmp_path):
+    import zstandard
+
+    good = [{"id": str(i), "created_utc": i, "subreddit": "s", "body": "é" * i, "score": 1, "author": "a", "parent_id": "p", "link_id": "l", "permalink": "/"} for i in range(5)]
+    raw = "\n".join([json.dumps(g) for g in good[:3]] + ["{broken"] + [json.dumps(good[3])]) + "\n" + json.dumps(good[4])
+    (tmp_path / "a.zst").write_bytes(zstandard.ZstdCompressor().compress(raw.encode()))
+    for through_spark in (False, True):
+        rows = readers.comments_zst(spark, str(tmp_path), through_spark).collect()
+        assert sorted(r["id"] for r in rows) == ["0", "1", "2", "3"]
+
+
+def test_story_csv(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,type,author,timestamp,body,title,parent\n2,comment,a,20,"two\nlines",,1\n1,story,b,10,,T,\n')
+    rows = readers.stories_csv(spark, str(tmp_path / "x.csv")).collect()
+    assert [(r["item_id"], r["sec"], r["parent"], r["body"]) for r in rows] == [(1, 10, None, ""), (2, 20, 1, "two\nlines")]
+
+
+def test_firehose_posts(spark):
+    post = {"kind": "commit", "did": "did:x", "time_us": 5_900_000, "commit": {"operation": "create", "collection": "app.bsky.feed.post", "rkey": "r", "cid": "c", "record": {"text": "hi #Tag", "langs": ["en"], "facets": [{"features": [{"$type": "app.bsky.richtext.facet#tag", "tag": "Tag"}]}, {"features": [{"$type": "app.bsky.richtext.facet#link", "uri": "https://a.b"}]}], "embed": {"$type": "app.bsky.embed.external", "external": {"uri": "https://c.d/x", "title": "Title", "description": " "}}}}}
+    drop = {**post, "commit": {**post["commit"], "operation": "delete"}}
+    df = spark.createDataFrame([(json.dumps(post),), (json.dumps(drop),)], "value string")
+    (row,) = readers.posts_from_messages(df).collect()
+    assert (row["sec"], row["hashtags"], row["links"], row["external_uri"], row["embed_text"], row["is_reply"]) == (5, ["Tag"], ["https://a.b"], "https://c.d/x", "Title", False)
+
+
+def test_alert_sink(spark):
+    df = spark.createDataFrame([("ai", "start", 3.456, 10), ("ai", "update", 3.0, 9)], "channel string, event_type string, z_score double, count long")
+    sent = []
+    assert sinks.send_alerts(df, "https://discord.com/x", lambda u, b: sent.append(b)) == 1
+    assert json.loads(sent[0])["content"].startswith("Surge in ai")
+    assert sinks.send_alerts(df, None) == 0
+    assert json.loads(sinks.health({"status": "bad", "heartbeat": 2}, {"last_success": 1}))["last_success"] == 1
