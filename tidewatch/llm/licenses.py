@@ -43,16 +43,11 @@ TEMPLATES = [
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
 ]
 
-#: Fixed patterns: what parts words, and a word's first letter's left neighbour.
+#: Fixed pattern: what parts words.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 RARE_WORDS, FILE_WORDS, AGREEING = 8, 24, 0.6
 
 
-def _pattern(phrase: str) -> str:
-    return f"(?i)(?<!{_INSIDE}){APART.join(phrase.split())}(?!{_INSIDE})"
-
-
 def lowered(text: Column) -> Column:
     """text with A-Z in lower case, as far as licence words can tell: letters beyond ASCII may change among themselves only.
 
@@ -63,8 +58,8 @@ def lowered(text: Column) -> Column:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """docs with _w, the words of the lower-cased text between what parts them, and _lead, 1 if the first is blank."""
-    split = docs.withColumn("_w", F.split(lowered(F.coalesce("text", F.lit(""))), APART))
+    """docs with _t, the lower-cased text, _w, what stands between what parts words, and _lead, 1 if the first is blank."""
+    split = docs.withColumn("_t", lowered(F.coalesce("text", F.lit("")))).withColumn("_w", F.split("_t", APART))
     blank = lambda c: F.when(c == "", 1).otherwise(0)
     lead, end = blank(F.col("_w")[0]), blank(F.element_at("_w", -1))
     count = F.when(F.size("_w") == 1, 1 - lead).otherwise(F.size("_w") - lead - end)
@@ -107,10 +102,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     idf = inverse_document_frequencies(docs)
     rare = _rarest(idf)
-    text = F.coalesce("text", F.lit(""))
     triggers = sorted({p for _, p, _ in TEMPLATES} | PHRASES.keys())
-    worth = text.rlike("|".join(map(_pattern, triggers)))  # without a phrase, no label
-    rows = _words(docs).withColumn("_worth", worth)
+    # without a phrase, no label: texts that lack the phrases' longest words are done, the others are looked at word by word
+    longest = sorted({max(t.split(), key=len) for t in triggers})
+    maybe = reduce(lambda a, b: a | b, [F.col("_t").contains(w) for w in longest])
+    rows = _words(docs).withColumn("_plain", F.when(maybe, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))))
+    worth = F.coalesce(F.exists(F.array(*[F.lit(f" {t} ") for t in triggers]), lambda t: F.contains(F.col("_plain"), t)), F.lit(False))
+    rows = rows.withColumn("_worth", worth)
 
     # base phrases, at every word
     at = lambda i: F.get(F.col("_w"), i)
@@ -132,7 +130,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     own = F.slice(F.filter(ranked, lambda w: F.array_contains("_w", w)), 1, FILE_WORDS)
     index = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[F.lit(t << 40 | (1 << 32) - q) for t, q in postings[w]]))])
     rows = rows.withColumn("_own", F.when(F.col("_worth"), own).otherwise(F.array().cast("array<string>")))
-    hits = F.filter(where, lambda i: F.array_contains("_own", at(i)))
+    # named twice, for a column named once would be worked out anew for every word
+    hits = F.filter(where, lambda i: (F.size("_own") > 0) & F.array_contains("_own", at(i)))
     votes = F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(index, at(i)), lambda code: code + i)))
     rows = rows.withColumn("_votes", F.when(F.col("_worth"), F.array_sort(votes)).otherwise(F.array().cast("array<bigint>")))
     # runs of equal votes: how many words of a template agree on an offset
@@ -141,15 +140,14 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_ends", F.when(n > 0, ends).otherwise(none))
     runs = F.transform("_ends", lambda i, k: F.struct((F.shiftright(F.get("_votes", i), 40)).cast("int").alias("t"), (i - F.coalesce(F.when(k > 0, F.get("_ends", k - 1)), F.lit(-1))).alias("n")))
     rows = rows.withColumn("_runs", runs)
-    shares, labels = [], []
-    for t, (label, phrase, _) in enumerate(TEMPLATES):
-        best = F.coalesce(F.array_max(F.transform(F.filter("_runs", lambda r, t=t: r["t"] == t), lambda r: r["n"])), F.lit(0))
-        share = F.least(F.lit(1.0), best / len(rare[t]))
-        sure = F.col("_worth") & (share >= AGREEING) & text.rlike(_pattern(phrase))
-        shares.append(F.when(sure, share).otherwise(0.0))
-        labels.append(F.when(sure, F.lit(label)))
+    known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(f" {phrase} ").alias("phrase"), F.lit(len(rare[t])).alias("n")) for t, (label, phrase, _) in enumerate(TEMPLATES)])
+    best = lambda k: F.aggregate("_runs", F.lit(0), lambda m, r: F.greatest(m, F.when(r["t"] == k["t"], r["n"]).otherwise(0)))
+    shares = F.transform(known, lambda k: F.struct(k["label"].alias("label"), F.least(F.lit(1.0), best(k) / k["n"]).alias("share"), F.contains(F.col("_plain"), k["phrase"]).alias("sure")))
+    rows = rows.withColumn("_sure", F.when(F.col("_worth"), F.filter(shares, lambda k: k["sure"] & (k["share"] >= AGREEING))))
+    agreed = F.transform("_sure", lambda k: k["label"])
     base = [F.when(sizes[label] > 0, F.lit(label)) for label in PHRASES.values()]
-    joined = lambda found: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))), ",")
+    base = F.array_compact(F.array(*base))
+    joined = lambda found: F.array_join(F.array_sort(F.array_distinct(found)), ",")
     place = lambda f: F.when(F.size("_all") > 0, f("_all") - F.col("_lead")).cast("long")
     return rows.select(
         "doc_id",
@@ -158,6 +156,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         place(F.array_min).alias("first_word"),
         place(F.array_max).alias("last_word"),
         joined(base).alias("base_labels"),
-        joined([*base, *labels]).alias("labels"),
-        F.greatest(*shares, F.when(F.size("_all") > 0, 0.5).otherwise(0.0)).alias("score"),
+        joined(F.concat(base, F.coalesce(agreed, F.array().cast("array<string>")))).alias("labels"),
+        F.greatest(F.coalesce(F.array_max(F.transform("_sure", lambda k: k["share"])), F.lit(0.0)), F.when(F.size("_all") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
