@@ -22,8 +22,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def size_hint(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of df, from file sizes; nothing is read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes that the optimizer expects of df, from file sizes; nothing is read. 0 where it does not know."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 50 else 0
 
 
 def default_partitions(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import checkpointed, column, default_partitions, size_hint, texts, without
@@ -24,6 +24,7 @@ from tidewatch.llm.common import checkpointed, column, default_partitions, size_
 TABLE_BYTES = 64 << 20
 ENTRY_BYTES = 200
 RECORD_IDS = 50_000
+MOST_BUCKETS = 1 << 20
 
 _RECORD = pa.schema(
     [("h", pa.int64()), ("sha", pa.binary()), ("text", pa.binary()), ("rows", pa.int64()), ("max_id", pa.int64()), ("at", pa.int32()), ("uid", pa.int64()), ("ids", pa.list_(pa.int64()))]
@@ -139,12 +140,16 @@ def _resolve(budget: int):
     return run
 
 
+def _buckets(spark: SparkSession, size: int, table_bytes: int) -> int:
+    return min(MOST_BUCKETS, max(default_partitions(spark), size // table_bytes))
+
+
 def grace_records(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Records with their class key: equal texts, and they alone, share one."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     pending = rows.mapInArrow(_combine(table_bytes), RECORD)
-    buckets = max(default_partitions(spark), 4 * size_hint(docs) // table_bytes)
+    buckets = _buckets(spark, 4 * size_hint(docs), table_bytes)
     done, level = [], 0
     while True:
         dealt = pending.repartition(buckets, F.xxhash64("h", F.lit(level)))
@@ -155,7 +160,7 @@ def grace_records(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
         if not left:
             break
         pending, level = rest, level + 1
-        buckets = max(default_partitions(spark), 2 * left // table_bytes)
+        buckets = _buckets(spark, 2 * left, table_bytes)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
