@@ -23,7 +23,7 @@ SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 BLOCK_PIECES = 400_000
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 600_000
 PARTS_AT_ONCE = 60
 MARK = "\x00"
 CLOSERS = b".,!;:|#*$%&"
