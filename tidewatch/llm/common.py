@@ -46,6 +46,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def masked(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "lang")) -> tuple[DataFrame, list[str]]:
+    """docs with every column but the used ones under a name that no operator uses, and the names to give back."""
+    names = docs.columns
+    return docs.toDF(*[c.lower() if c.lower() in used else f"_own_{i}" for i, c in enumerate(names)]), names
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches again, none with more than so many rows."""
     for batch in batches:

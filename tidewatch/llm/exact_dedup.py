@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed, column, default_partitions, size_hint, texts, without
+from tidewatch.llm.common import checkpointed, column, default_partitions, masked, size_hint, texts
 
 TABLE_BYTES = 64 << 20
 ENTRY_BYTES = 200
@@ -203,6 +203,7 @@ def drop_exact_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFr
     groups = exact_groups(docs, table_bytes)
     stay = groups.where("kept").select(F.col("doc_id").alias("_stay_id"), F.unhex("text_sha256").alias("_stay_sha"))
     own = F.unhex(F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8"), 256))
-    joined = without(docs, "_stay_id", "_stay_sha", "_own").withColumn("_own", own)
-    met = joined.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_own") == F.col("_stay_sha")))
-    return met.dropDuplicates(["doc_id", "_own"]).drop("_stay_id", "_stay_sha", "_own")
+    rows, names = masked(docs)
+    joined = rows.withColumn("_sha", own)
+    met = joined.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")))
+    return met.dropDuplicates(["doc_id", "_sha"]).drop("_stay_id", "_stay_sha", "_sha").toDF(*names)

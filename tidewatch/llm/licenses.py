@@ -53,8 +53,8 @@ def lowered(text: Column) -> Column:
 
     The two whose lower case holds an ASCII letter are hidden first.
     """
-    odd = text.contains("İ") | text.contains("K")
-    return F.lower(F.when(odd, F.translate(text, "İK", "××")).otherwise(text))
+    odd = text.contains("\u0130") | text.contains("\u212a")
+    return F.lower(F.when(odd, F.translate(text, "\u0130\u212a", "\u00d7\u00d7")).otherwise(text))
 
 
 def _words(docs: DataFrame) -> DataFrame:

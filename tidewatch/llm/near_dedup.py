@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed, column, size_hint, slices, texts, without
+from tidewatch.llm.common import checkpointed, column, masked, size_hint, slices, texts
 from tidewatch.llm.components import connected
 from tidewatch.llm.shingles import WordHashes, shingle_set
 
@@ -389,9 +389,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     groups = checkpointed(near_groups(docs))
     # an empty set links with nothing, so its row stays
-    named = groups.where("digest IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("row"))
+    named = groups.where("digest IS NOT NULL").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"))
     stay = named.select("row.doc_id", "row.th").unionByName(groups.where("digest IS NULL").select("doc_id", "th")).distinct()
     stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("th").alias("_stay_th"))
-    docs = without(docs, "_stay_id", "_stay_th")
+    docs, names = masked(docs)
     kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_stay_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_stay_th")), "left_semi")
-    return kept
+    return kept.toDF(*names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed, column, texts, without
+from tidewatch.llm.common import checkpointed, column, masked, texts
 
 #: The base rules of the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -216,5 +216,5 @@ def judge_quality(docs: DataFrame, labels: DataFrame, limit: float = FALSE_REJEC
 def drop_low_quality(docs: DataFrame, labels: DataFrame, limit: float = FALSE_REJECTION, alpha: float = ALPHA) -> DataFrame:
     """docs, all columns, less the rows that judge_quality rejects; rows of one text and language share a verdict."""
     cutoffs = fit_cutoffs(with_counts(docs, ["doc_id", "lang"]), labels, limit, alpha)
-    docs = without(docs, *COUNTS, "stratum", "cuts", "base_failed", "kept")
-    return with_verdict(with_counts(docs, docs.columns), cutoffs).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    docs, names = masked(docs)
+    return with_verdict(with_counts(docs, docs.columns), cutoffs).where("kept").select(*docs.columns).toDF(*names)
