@@ -259,6 +259,4 @@ ORACLE_SQL = {
     "keyword_posexplode": f"""WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(substring(text, 1, 100), '[a-zA-Z][a-zA-Z0-9]*'), lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN ({_TITLE})) AS l FROM documents),
         p AS (SELECT doc_id, unnest(l) AS keyword, generate_subscripts(l, 1) AS i FROM w), f AS (SELECT doc_id, keyword, min(i) AS i FROM p GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f QUALIFY r <= 10)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS rank, keyword FROM t WHERE keyword NOT IN ({_HIDE})""",
-    "text_scalars": "SELECT doc_id, CAST(NULL AS BIGINT) AS crc, '' AS head, '' AS camel, '' AS iso, '' AS day FROM documents WHERE FALSE",
 }
-del ORACLE_SQL["text_scalars"]
