@@ -484,3 +484,9 @@ def test_token_counts(corpus):
 def test_token_count_edges(none, clashing):
     assert token_counts.count_tokens(none).count() == 0
     assert token_counts.count_tokens(clashing).count() == clashing.count()
+
+
+def test_license_case(spark):
+    df = spark.createDataFrame([(1, "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3"), (2, "K MİT LICENSE"), (3, "mité license")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {1: (12, 1, "gpl,gpl-3.0", 1.0), 2: (3, 0, "", 0.0), 3: (2, 0, "", 0.0)}

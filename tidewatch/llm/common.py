@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.checkpoints import checkpointed, shared_folder  # noqa: F401
 
-#: Fixed pattern: white space that parts words, as Java and RE2 read it.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, checkpointed, without
+from tidewatch.llm.common import checkpointed, without
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
