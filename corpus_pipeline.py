@@ -10,6 +10,10 @@ from tidewatch.llm import exact_dedup, mixing, near_dedup, packing, quality
 from tidewatch.llm.common import read, shared_folder
 
 
+#: The stages before it leave their own caches in the workers.
+PACKING_CACHE = 600_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.drop_low_quality(docs, read(spark, sf_dir, "labels"))
 
@@ -27,7 +31,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache=PACKING_CACHE)
 
 
 STAGES = [

@@ -23,7 +23,7 @@ SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 BLOCK_PIECES = 400_000
-CACHE_PARTS = 600_000
+CACHE_PARTS = 1_200_000
 PARTS_AT_ONCE = 60
 MARK = "\x00"
 CLOSERS = b".,!;:|#*$%&"
@@ -48,13 +48,13 @@ class CachedTokenizer:
     lower-cased first.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_PARTS) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
         mark = self.encode([MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -98,7 +98,7 @@ class CachedTokenizer:
         words = ((text if b"<|" in text else text.lower()).split()) if text else []
         ids = list(map(known.get, words))
         if None in ids:
-            if len(known) > CACHE_PARTS:
+            if len(known) > self.most:
                 known.clear()
             gaps = [i for i, x in enumerate(ids) if x is None]
             self.learn_all({words[i] for i in gaps})
@@ -139,9 +139,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def _pack(path: str, capacity: int, block: int):
+def _pack(path: str, capacity: int, block: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = per_worker(f"tokenizer {path}", lambda: CachedTokenizer(path))
+        encode = per_worker(f"tokenizer {path} {cache}", lambda: CachedTokenizer(path, cache))
         sequence = TaskContext.get().partitionId() << 40
         end = np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
@@ -178,12 +178,13 @@ def _pack(path: str, capacity: int, block: int):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE, block: int = BLOCK_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE, block: int = BLOCK_PIECES, cache: int = CACHE_PARTS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and an end id; a null or empty text is the end
     id alone. Only longer documents than a sequence are cut. A repeated row is
     packed again; a null doc_id stays null. An empty table gives no rows. Columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read. A worker keeps the ids of at most about
+    `cache` parts, some 150 bytes each; fewer cost time, not results.
     """
-    return docs.select("doc_id", "text").mapInArrow(_pack(path or tokenizer_path(), capacity, block), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(_pack(path or tokenizer_path(), capacity, block, cache), PIECES)
