@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tidewatch.llm.common import column, per_worker, slices, texts
 
 VOCABULARY = "piece_bpe_32k.model"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 BATCH_ROWS = 1000
 WORD_START = "▁"
 
