@@ -11,7 +11,7 @@ from tidewatch.llm.common import read, shared_folder
 
 
 #: The stages before it leave their own caches in the workers.
-PACKING_CACHE = 600_000
+PACKING_CACHE = 200_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
