@@ -25,10 +25,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _ascii(df: DataFrame, column: str = "text") -> DataFrame:
-    return df.where(~F.col(column).rlike(r"[^\x00-\x7F]"))
-
-
 def bot_boilerplate_filter(spark, sf_dir):
     """Documents of two languages that no bot wrote, per source."""
     items = _docs(spark, sf_dir).select(F.col("lang").alias("channel"), F.col("source").alias("author"), F.col("text").alias("body"))
@@ -134,8 +130,7 @@ def thread_inheritance(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    docs = _ascii(_docs(spark, sf_dir))
-    words = docs.select("doc_id", "lang", "source", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+    words = _docs(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
     return words.withColumn("cluster_id", (F.regexp_extract("source", r"(\d+)", 1).cast("long") % 3)).withColumn("first", F.col("doc_id") * 100000 + F.col("pos"))
 
 
