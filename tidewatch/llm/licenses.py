@@ -1,9 +1,9 @@
 """License scans with a positional index of rare licence words.
 
-Licence templates are indexed by word: a word's postings are (template,
-position). Each file looks up the licence words of highest inverse document
-frequency that it holds; a match at word p of the file and q of a template votes
-for (template, p - q), so words that stand in the template's order agree on one
+Licence templates are indexed by their words of highest inverse document
+frequency: a word's postings are (template, position). Each file looks up all
+indexed words that it holds; a match at word p of the file and q of a template
+votes for (template, p - q), so words that stand in the template's order agree on one
 offset. A template counts when enough of its rare words agree and its mandatory
 phrase is there. Column expressions do all of it, and nothing is shuffled but
 the document counts of the templates' words.
@@ -45,7 +45,7 @@ TEMPLATES = [
 
 #: Fixed pattern: what parts words.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RARE_WORDS, FILE_WORDS, AGREEING = 8, 24, 0.6
+RARE_WORDS, AGREEING = 8, 0.6
 
 
 def lowered(text: Column) -> Column:
@@ -120,14 +120,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     sizes = {label: F.size(f"_p{k}") for k, label in enumerate(PHRASES.values())}
     rows = rows.withColumn("_all", F.concat(*[f"_p{k}" for k in range(len(PHRASES))]))
 
-    # the file's licence words, those of highest IDF, looked up in the index
+    # the file's licence words, all that are in the index, looked up there
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, words in enumerate(rare):
         for w, q in words:
             postings.setdefault(w, []).append((t, q))
-    order = sorted(postings, key=lambda w: (-idf[w], w))
-    ranked = F.array(*map(F.lit, order))
-    own = F.slice(F.filter(ranked, lambda w: F.array_contains("_w", w)), 1, FILE_WORDS)
+    order = sorted(postings)
+    own = F.array_intersect(F.array(*map(F.lit, order)), "_w")
     index = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[F.lit(t << 40 | (1 << 32) - q) for t, q in postings[w]]))])
     rows = rows.withColumn("_own", F.when(F.col("_worth"), own).otherwise(F.array().cast("array<string>")))
     # named twice, for a column named once would be worked out anew for every word
