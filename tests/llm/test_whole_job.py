@@ -1,6 +1,9 @@
 """Cases that an operator loses if it looks at a part of its input only."""
 
-from tidewatch.llm import licenses
+import random
+
+from test_corpus import brute_runs, rows_of, words
+from tidewatch.llm import licenses, line_dedup
 
 
 def test_license_text_with_every_template(spark):
@@ -12,3 +15,24 @@ def test_license_text_with_every_template(spark):
     every = {label for label, _, _ in licenses.TEMPLATES}
     for k in (0, 1):
         assert every <= got[k][0] and got[k][1] == 1.0
+
+
+def test_runs_that_stand_at_any_earlier_place(spark):
+    boilerplate, tail = " ".join(f"b{k}" for k in range(60)), "\n".join(f"last words {k}" for k in range(5))
+    texts = [f"{boilerplate}\nrest", f"{boilerplate}\n{tail}", f"{boilerplate}\n{tail}", f"own start\n{boilerplate}\n{tail}\nown end"]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == {1: (0, texts[0]), 2: (1, tail), 3: (6, ""), 4: (6, "own start\nown end")}
+
+
+def test_runs_of_random_lines(spark):
+    rng = random.Random(3)
+    lines = ["a", "b", "c d", "e f g", "h i j k l m", "n o"]
+    rows = [(i, "\n".join(rng.choices(lines, weights=[4, 4, 3, 2, 1, 1], k=rng.randrange(1, 14)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = brute_runs(rows_of(df), 6)
+    got = {r["doc_id"]: (r["n_removed"], (r["text"] or "").split("\n")) for r in line_dedup.drop_repeated_lines(df, 6).collect()}
+    for i, t in rows:
+        kept = [x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]]
+        assert got[i] == (len(gone[i, t]), kept or [""])
+    assert all(words(t) for _, t in rows)

@@ -1,12 +1,15 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
-A window is the shortest span of lines, from some line on, with enough words.
-Of each window the line with the least hash is selected; a run of lines that
-stands in two places and has enough words holds a whole window, so both places
-select the same line: a guaranteed fingerprint. Fingerprints that stand in one
-place only drop out. At the others, windows are told apart by all their lines,
-each joins the earliest place that has it, and the match is extended line by
-line both ways. The later place's lines are deleted.
+A window is a span of lines with enough words: the shortest from some line on,
+and all longer ones from there that have not enough words without their first
+line. Any run of lines with enough words is a union of its windows: the shortest
+from each line on as far as they fit, and the one from the last such line to the
+run's end. So a run stands earlier just where its windows do, each by itself at
+whatever place, and there are at most two windows a line. Of each window the
+line with the least hash is selected; equal windows select the same line: a
+guaranteed fingerprint. Fingerprints that stand in one place only drop out. At
+the others, windows are told apart by all their lines; all but the earliest
+place of a window are deleted.
 """
 
 from __future__ import annotations
@@ -38,10 +41,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows_of(words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(start, end) of the shortest span with enough words from each line on, as far as there are any."""
+    """(start, end) of the spans with enough words from each line on: the shortest, and those that would lack words from the next line on."""
     total = np.concatenate([[0], np.cumsum(words)])
-    ends = np.searchsorted(total, total[:-1] + least)
-    return [(s, int(e)) for s, e in enumerate(ends) if e < len(total)]
+    ends = np.searchsorted(total, total[:-1] + least).tolist()
+    after = [*ends[1:], len(total)]
+    return [(s, e) for s, first in enumerate(ends) if first < len(total) for e in range(first, max(first + 1, after[s]))]
 
 
 def fingerprints(lines: np.ndarray, windows: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
@@ -72,48 +76,18 @@ def _winnow(least: int):
     return run
 
 
-def extended(later: np.ndarray, first: np.ndarray, shift: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of `later`, each equal to `first` at `shift` lines before, grown both ways while lines stay equal."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start < out[-1][1]:
-            continue
-        while start > max(0, shift) and later[start - 1] == first[start - 1 - shift]:
-            start -= 1
-        while end < len(later) and end - shift < len(first) and later[end] == first[end - shift]:
-            end += 1
-        out.append((start, end))
-    return out
-
-
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        runs = []
-        for shift, spans, later, first in zip(*(column(batch, c).to_pylist() for c in ("shift", "spans", "later", "first")), strict=True):
-            found = extended(np.frombuffer(later, "<i8"), np.frombuffer(first, "<i8"), shift, [(s["start"], s["end"]) for s in spans])
-            runs.append([{"start": s, "end": e} for s, e in found])
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "th", "runs"])
-
-
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, th, runs of every text that has lines to delete; runs count lines that have words, ends excluded."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
     lines = checkpointed(rows.mapInArrow(_lines, "doc_id long, th long, lines binary, words binary"))
     positions = lines.mapInArrow(_winnow(least_words), _POSITION)
-    often = positions.groupBy("fingerprint").agg(F.sum(F.size("windows")).alias("n")).where("n > 1").select("fingerprint")
+    often = positions.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     windows = positions.join(often, "fingerprint").select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*")
     windows = checkpointed(windows)
     places = windows.groupBy("content").agg(F.min(F.struct("doc_id", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    matches = windows.join(places, "content").where(~(F.struct("doc_id", "th", "start").eqNullSafe(F.col("first"))))
     # the same text's rows are one document: they do not match each other, only its own earlier lines
-    diagonal = matches.groupBy("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), (F.col("start") - F.col("first.start")).alias("shift"))
-    diagonal = diagonal.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    diagonal = diagonal.where("NOT (doc_id <=> first_id AND th = first_th AND shift = 0)")
-    each = lines.dropDuplicates(["doc_id", "th"])
-    both = diagonal.join(each.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("lines").alias("later")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).drop("_id", "_th")
-    both = both.join(each.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("lines").alias("first")), F.col("first_id").eqNullSafe(F.col("_id")) & (F.col("first_th") == F.col("_th"))).drop("_id", "_th")
-    found = both.select("doc_id", "th", "shift", "spans", "later", "first").mapInArrow(_extend, "doc_id long, th long, runs array<struct<start:int,end:int>>")
-    return found.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    later = windows.join(places, "content").where(~(F.struct("doc_id", "th", "start").eqNullSafe(F.col("first"))))
+    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
 def _delete(names: list[str]):
