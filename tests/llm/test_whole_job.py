@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from test_corpus import brute_runs, rows_of, words
-from tidewatch.llm import licenses, line_dedup
+from tidewatch.llm import licenses, line_dedup, toxicity
 
 
 def test_license_text_with_every_template(spark):
@@ -36,3 +39,34 @@ def test_runs_of_random_lines(spark):
         kept = [x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]]
         assert got[i] == (len(gone[i, t]), kept or [""])
     assert all(words(t) for _, t in rows)
+
+
+LONG_WORDS = ["x" * 46, "ab" * 23 + "c", "...(" + "_".join(f"part{k}" for k in range(40)) + ").", "漢字かな交じり文" * 30, "-" * 200, "a" * 45 + "____" + "b" * 60, "é\u00a0" * 50, "q." * 21 + ".." * 40 + "end"]
+
+
+@pytest.mark.parametrize("text", LONG_WORDS)
+def test_every_ngram_of_long_words_is_seen(text):
+    own = toxicity.words_of(text.encode())
+    assert all(len(w.decode()) <= toxicity.LONGEST_WORD for w in own)
+    whole = text.encode().strip(toxicity._EDGE) or text.encode()
+    for k in (3, 5):
+        wanted = {whole.decode()[i : i + k] for i in range(len(whole.decode()) - k + 1)}
+        pieces = [toxicity.bare_word(w).decode() for w in own]
+        assert wanted == {p[i : i + k] for p in pieces for i in range(len(p) - k + 1)}
+    seen = set(toxicity.grams_of(list(map(toxicity.bare_word, own)))[0].tolist())
+    inner = toxicity.grams_of([whole])[0].tolist()
+    assert set(inner) <= seen
+
+
+def test_toxicity_behind_the_start_of_a_long_word():
+    rng = random.Random(1)
+    clean = [f"w{rng.randrange(10**4)}" for _ in range(80)]
+    vile = ["grobvile", "vilethum", "snarkvil"]
+    text = lambda toxic, by, n=60: by.join([rng.choice(clean) for _ in range(n)] + (rng.choices(vile, k=4) if toxic else []))
+    rows = [(text(i % 2, " "), i % 2) for i in range(200)]
+    model = toxicity.train([toxicity.words_of(t.encode()) for t, _ in rows], [y for _, y in rows], budget=1500)
+    score = toxicity.Scorer(model)
+    for by in ("_", "\u200b", "."):
+        got = score.logits([toxicity.words_of(text(toxic, by).encode()) for toxic in (0, 1) for _ in range(30)])
+        assert np.median(got[30:]) > np.max(got[:30])
+    assert toxicity.words_of(b"Some, short words") == [b"some,", b"short", b"words"] and toxicity.words_of(None) == []

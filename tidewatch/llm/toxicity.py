@@ -2,7 +2,8 @@
 
 A word enters as the sum of its own embedding and the mean of the embeddings of
 its character n-grams; only words and n-grams of several training documents have
-one, so that no rare word can stand for a document. Texts are cut into overlapping windows of
+one, so that no rare word can stand for a document. A very long word enters as
+overlapping pieces, each a word of its own. Texts are cut into overlapping windows of
 words; each direction's gated recurrence runs over a window, attention pools the
 states, and a window's logit follows. Documents are labelled, windows are not:
 training joins a document's windows by noisy-or. A document scores by its most
@@ -29,7 +30,7 @@ SAMPLE_PER_CLASS = 1500
 TRAIN_DOCUMENTS = 14_000
 BATCH_WINDOWS = 384
 CACHE_WORDS = 200_000
-LONGEST_WORD = 46
+LONGEST_WORD, SHARED = 46, 4
 BATCH_ROWS = 500
 FOLDS, HELD_OUT = 5, 0
 DECAYED, DECAY, CLEARLY = ("word", "char"), 10.0, 3.0
@@ -39,16 +40,30 @@ _EDGE = bytes(c for c in range(128) if not (48 <= c < 58 or 97 <= c < 123))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+    """Words between white space, those too long in pieces."""
+    words = text.lower().split() if text else []
+    if max(map(len, words), default=0) < LONGEST_WORD:
+        return words
+    return [piece for w in words for piece in (pieces_of(w) if len(w) >= LONGEST_WORD else (w,))]
+
+
+def pieces_of(word: bytes) -> list[bytes]:
+    """A word less its edges, if longer than LONGEST_WORD characters in pieces of that many; neighbours share SHARED characters or more, so every n-gram is in one."""
+    bare = (word.strip(_EDGE) or word).decode("utf-8")
+    starts = [*range(0, len(bare) - LONGEST_WORD, LONGEST_WORD - SHARED), max(0, len(bare) - LONGEST_WORD)]
+    return [bare[s : s + LONGEST_WORD].encode("utf-8") for s in starts]
 
 
 def bare_word(word: bytes) -> bytes:
+    """word less its edges; a piece as it is."""
+    if len(word) >= LONGEST_WORD and len(word.decode("utf-8")) >= LONGEST_WORD:
+        return word
     return word.strip(_EDGE) or word
 
 
 def grams_of(bares: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of its word) of all character 3- and 5-grams of the words between their ends."""
-    marked = [f"^{b.decode('utf-8')[:LONGEST_WORD]}$" for b in bares]
+    marked = [f"^{b.decode('utf-8')}$" for b in bares]
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(marked)), [len(m) for m in marked])
     found = []
