@@ -40,3 +40,11 @@ def test_tokens_of_texts_beyond_ascii(spark, tables):
     assert {(r["call_id"], r["token"]): r["n"] for r in text_queries.ctfidf_baseline_penalty(spark, tables).collect()} == calls
     stems = Counter(stem(w) for _, w in sorted({(d, w) for d, _, _, w in own}))
     assert {r["stem"]: r["n"] for r in text_queries.stem_keywords(spark, tables).collect()} == stems
+
+
+def test_recurring_threads_anywhere_in_a_title(spark, tmp_path):
+    titles = ["Ask HN: Who Is Hiring? (May 2024)", "Ask HN: Who wants to be hired? (May 2024)", "who wants to be hired", "Ask: what are you working on", "The long prelude of a title, then: WHO IS HIRING", "who was hiring", "", None]
+    rows = [(i, t, "en", "src1") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["recurs"], r["plain"]) for r in text_queries.recurring_thread_flag(spark, str(tmp_path)).collect()}
+    assert got == {i: (True, i < 5) for i in range(len(titles))}

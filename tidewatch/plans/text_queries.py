@@ -169,7 +169,7 @@ def stem_keywords(spark, sf_dir):
 
 
 def recurring_thread_flag(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", recurring_title(F.concat(F.lit("Who Is Hiring "), F.substring("text", 1, 20))).alias("recurs"), recurring_title(F.substring("text", 1, 20)).alias("plain"))
+    return _docs(spark, sf_dir).select("doc_id", recurring_title(F.concat(F.lit("Who Is Hiring "), F.coalesce("text", F.lit("")))).alias("recurs"), recurring_title(F.col("text")).alias("plain"))
 
 
 def keyword_posexplode(spark, sf_dir):
