@@ -1,5 +1,6 @@
 """Queries over hand-made tables whose rows a narrower reading would lose."""
 
+import os
 import re
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pytest
 
 from tidewatch.functions.stem import stem
 from tidewatch.functions.vocabulary import STOPWORDS
-from tidewatch.plans import text_queries
+from tidewatch.plans import event_queries, text_queries
 
 DOCUMENTS = [
     (1, "Les élèves regardent maison maison, forêt; été_bleu bleu2 GARÇON", "fr", "src1.example"),
@@ -48,3 +49,10 @@ def test_recurring_threads_anywhere_in_a_title(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["recurs"], r["plain"]) for r in text_queries.recurring_thread_flag(spark, str(tmp_path)).collect()}
     assert got == {i: (True, i < 5) for i in range(len(titles))}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_every_recurring_tag_is_promoted(spark):
+    totals = {r["tag"]: r["total"] for r in event_queries.tag_counts(spark, "/root/testdata/sf0.001").collect()}
+    got = [r["tag"] for r in event_queries.tag_promotion(spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) > 20 and sorted(got) == sorted(t for t, n in totals.items() if n >= 5)

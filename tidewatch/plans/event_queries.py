@@ -131,7 +131,7 @@ def tag_counts(spark, sf_dir):
 
 
 def tag_promotion(spark, sf_dir):
-    return H.promoted(H.occurrences(_posts(spark, sf_dir)), 5, 20).select("tag", F.col("since.id").alias("since_id"), F.col("since.sec").alias("since_sec"))
+    return H.promoted(H.occurrences(_posts(spark, sf_dir))).select("tag", F.col("since.id").alias("since_id"), F.col("since.sec").alias("since_sec"))
 
 
 def tag_cooccurrence(spark, sf_dir):
