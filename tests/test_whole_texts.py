@@ -56,3 +56,10 @@ def test_every_recurring_tag_is_promoted(spark):
     totals = {r["tag"]: r["total"] for r in event_queries.tag_counts(spark, "/root/testdata/sf0.001").collect()}
     got = [r["tag"] for r in event_queries.tag_promotion(spark, "/root/testdata/sf0.001").collect()]
     assert len(got) > 20 and sorted(got) == sorted(t for t, n in totals.items() if n >= 5)
+
+
+def test_stories_of_every_role(spark, tmp_path):
+    talk = [(c, t, role, f"{role} text {c}") for c in (1, 2, 3) for t, role in enumerate(("system", "user", "assistant", "user"))]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["cluster"]: (r["size"], r["top_story_id"], r["story_ids"]) for r in text_queries.story_attribution(spark, str(tmp_path)).collect()}
+    assert got == {"system": (3, 1, "1,2,3"), "assistant": (3, 1, "1,2,3"), "user": (6, 1, "1,2,3")}
