@@ -70,3 +70,10 @@ def test_toxicity_behind_the_start_of_a_long_word():
         got = score.logits([toxicity.words_of(text(toxic, by).encode()) for toxic in (0, 1) for _ in range(30)])
         assert np.median(got[30:]) > np.max(got[:30])
     assert toxicity.words_of(b"Some, short words") == [b"some,", b"short", b"words"] and toxicity.words_of(None) == []
+
+
+def test_words_of_few_documents_are_known_in_large_samples():
+    documents = [[b"usual", b"words", b"rare%d" % (k // 4)] for k in range(1200)]
+    known, grams = toxicity.vocabularies(documents)
+    assert {b"usual", b"words", *(b"rare%d" % k for k in range(300))} == set(known)
+    assert set(toxicity.grams_of([b"rare7"])[0].tolist()) <= set(grams.tolist())

@@ -25,7 +25,7 @@ from tidewatch.llm.common import column, slices, texts
 
 WINDOW, STRIDE = 64, 48
 EMBED, HIDDEN = 12, 8
-LEAST_DOCUMENTS, LEAST_SHARE, MOST_ENTRIES = 4, 90, 30_000
+LEAST_DOCUMENTS, MOST_ENTRIES = 4, 200_000
 SAMPLE_PER_CLASS = 1500
 TRAIN_DOCUMENTS = 14_000
 BATCH_WINDOWS = 384
@@ -78,18 +78,17 @@ def grams_of(bares: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vocabularies(documents: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray]:
-    """Words, numbered from 1, and sorted n-gram hashes that several documents hold (a LEAST_SHARE-th of all, at least LEAST_DOCUMENTS), the most frequent first if there are too many."""
-    least = max(LEAST_DOCUMENTS, len(documents) // LEAST_SHARE)
+    """Words, numbered from 1, and sorted n-gram hashes that LEAST_DOCUMENTS documents hold, the most frequent first if there are too many."""
     words: Counter = Counter()
     for d in documents:
         words.update({bare_word(w) for w in set(d)})
-    frequent = sorted((w for w, n in words.items() if n >= least), key=lambda w: (-words[w], w))[:MOST_ENTRIES]
+    frequent = sorted((w for w, n in words.items() if n >= LEAST_DOCUMENTS), key=lambda w: (-words[w], w))[:MOST_ENTRIES]
     bares = list(words)
     h, owner = grams_of(bares)
     known, inverse = np.unique(h, return_inverse=True)
     n = np.bincount(inverse, np.array([words[b] for b in bares], np.float64)[owner], len(known)) if len(known) else np.empty(0)
     order = np.lexsort((known, -n))[:MOST_ENTRIES]
-    return {w: i for i, w in enumerate(frequent, 1)}, np.sort(known[order][n[order] >= least])
+    return {w: i for i, w in enumerate(frequent, 1)}, np.sort(known[order][n[order] >= LEAST_DOCUMENTS])
 
 
 def association(held: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
