@@ -12,6 +12,22 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+#: Parts that a node's edges are dealt in.
+SALTS = 64
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least v of each u.
+
+    A node's edges lie in SALTS parts by their other end; each part sends its own
+    least and gets the least of all back, so no task reads all edges of a hub.
+    """
+    dealt = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("u", "_s").agg(F.min("v").alias("_p"))
+    least = parts.groupBy("u").agg(F.min("_p").alias("m"))
+    return dealt.join(parts.select("u", "_s").join(least, "u"), ["u", "_s"]).select("u", "v", "m")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, root of every node that edges (a, b) names; root is the least node it reaches.
 
@@ -24,11 +40,11 @@ def connected(edges: DataFrame) -> DataFrame:
     state = _state(held)
     while state[0]:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        held = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = F.least("u", "m")
+        large = with_least(both).where("v > u").where(F.col("v") != least).select(F.col("v").alias("u"), least.alias("v")).distinct()
+        # a node keeps its least neighbour, which its other smaller ones then take
+        small = with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        held = checkpointed(small.distinct())
         before, state = state, _state(held)
         if before == state:
             break

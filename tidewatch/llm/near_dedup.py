@@ -10,8 +10,10 @@ is least: its prefix grows, and so does the number of shared prefix shingles
 that a partner must show. Pairs are never listed: texts that may be linked
 through any prefix shingle form a cluster, and a cluster's task counts matches,
 verifies candidates by exact intersection, skips pairs that are linked already
-and returns a spanning forest. Clusters too large for a task are dealt in pairs
-of blocks.
+and returns a spanning forest. Clusters too large for a task are dealt in blocks
+by least hash, where near copies meet; after that, a text travels to those other
+blocks alone that hold a text of another component and as many of its prefix
+shingles as a match asks for.
 
 Document frequencies travel as packed arrays: each chunk of texts sends every
 distinct shingle once, so a shingle that all texts hold weighs no more than one
@@ -267,8 +269,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_unpack(b"".join(blobs)).view(np.int64)), column(batch, "digest").take(pa.array(owner))], names=["token", "digest"])
 
 
-def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], match: np.ndarray, block: np.ndarray, across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with across, of links between blocks alone (but for what is skipped as linked already)."""
+def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], match: np.ndarray, group: list[bytes], block: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of different groups; with across, of links between blocks alone (but for what is skipped as linked already)."""
     m = len(sets)
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), [len(p) for p in prefixes])
@@ -276,7 +278,8 @@ def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], match: np.ndarray
     by_token = np.argsort(token, kind="stable")
     holders, start = owner[by_token], np.concatenate([[0], np.cumsum(np.bincount(token))])
     first = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
-    root = np.arange(m)
+    known: dict[bytes, int] = {}
+    root = np.array([known.setdefault(g, len(known)) for g in group], np.int64)
     links = []
     for i in range(1, m):
         own = token[first[i] : first[i + 1]]
@@ -321,15 +324,62 @@ def _verify(table: pa.Table) -> pa.Table:
             end += 1
         own, at = rows[at:end], end
         if len(own) > 1:
-            found = linked([_unpack(r["tokens"]) for r in own], [_unpack(r["prefix"]) for r in own], np.array([r["match"] for r in own]), np.array([r["block"] for r in own]), own[0]["low"] != own[0]["high"])
+            found = linked([_unpack(r["tokens"]) for r in own], [_unpack(r["prefix"]) for r in own], np.array([r["match"] for r in own]), [r["group"] for r in own], np.array([r["block"] for r in own]), own[0]["low"] != own[0]["high"])
             out += [{"a": own[i]["digest"], "b": own[j]["digest"]} for i, j in found]
     return pa.Table.from_pylist(out, schema=_LINKS)
 
 
+def _blocked(member: DataFrame, most: int) -> DataFrame:
+    """member with block: texts of a cluster by the least hash of their set, so that near copies share one; what too many share is dealt further."""
+    member = member.withColumn("_least", F.substring("tokens", 1, 8))
+    alike = member.groupBy("cluster", "_least").agg(F.count("*").alias("_alike"))
+    texts = alike.groupBy("cluster").agg(F.sum("_alike").alias("_texts"))
+    own = F.concat_ws("/", F.hex("_least"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("_alike") / most)).cast("string"))
+    shared = F.pmod(F.xxhash64("_least"), F.ceil(F.col("_texts") / most)).cast("string")
+    return member.join(alike, ["cluster", "_least"]).join(texts, "cluster").withColumn("block", F.when(F.col("_alike") > most, own).otherwise(shared)).drop("_least", "_alike", "_texts")
+
+
+def _verified(paired: DataFrame, groups: int) -> DataFrame:
+    """Links among rows of (cluster, digest, block, group, match, prefix, tokens, low, high) that meet: one task for all with the same many, low, high."""
+    many = F.when(F.col("texts") > GROUP_TEXTS, F.hex("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(groups)).cast("string"))
+    return paired.select(many.alias("many"), "low", "high", "cluster", "digest", "group", "block", "match", "prefix", "tokens").groupBy("many", "low", "high").applyInArrow(_verify, "a binary, b binary")
+
+
+def _grouped(member: DataFrame, links: DataFrame) -> DataFrame:
+    """member with the component that links give each text as its group."""
+    root = connected(links).withColumnsRenamed({"node": "digest", "root": "_root"})
+    return checkpointed(member.drop("group").join(root, "digest", "left").withColumn("group", F.coalesce("_root", "digest")).drop("_root"))
+
+
+def _large_links(member: DataFrame, cluster_texts: int) -> DataFrame:
+    """Links of clusters too large for a task.
+
+    First inside blocks, then among one text of each group so found, blocked anew:
+    that joins most near copies. What is left are texts that share enough prefix
+    shingles with a text of another block and another group: a text travels to
+    those blocks alone.
+    """
+    most = max(1, cluster_texts // 2)
+    member = checkpointed(_blocked(member.withColumn("group", F.col("digest")), most))
+    inside = lambda rows: checkpointed(_verified(rows.withColumns({"low": F.col("block"), "high": F.col("block"), "texts": F.lit(GROUP_TEXTS + 1)}), 1))
+    links = inside(member)
+    heads = _grouped(member, links).where(F.col("digest") == F.col("group"))
+    links = checkpointed(links.unionByName(inside(_blocked(heads.drop("block"), most))))
+    member = _grouped(member, links)
+    placed = member.select("digest", "prefix").mapInArrow(_spread, "token long, digest binary").join(member.select("digest", "block", "match", "group"), "digest")
+    there = placed.groupBy("token", F.col("block").alias("other")).agg(F.min("match").alias("asked"), F.min("group").alias("one"), F.max("group").alias("another"))
+    met = placed.join(there, "token").where("block <> other").groupBy("digest", "other")
+    met = met.agg(F.count("*").alias("held"), F.min(F.least("match", "asked")).alias("asked"), F.bool_or((F.col("one") != F.col("group")) | (F.col("another") != F.col("group"))).alias("apart"))
+    met = met.where("held >= asked AND apart").select("digest", "other")
+    apart = member.join(met, "digest").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "texts": F.lit(GROUP_TEXTS + 1)})
+    return links.unionByName(_verified(apart, 1))
+
+
 def near_links(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(sets, links): doc_id, th, n, digest of every row, and digests a, b that link different sets, a spanning forest of all links."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
-    bits = max(BUCKETS, 2 * size_hint(docs) // (8 * BUCKET_TOKENS)).bit_length() - 1
+    size = size_hint(docs) or docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # counted where unknown
+    bits = max(BUCKETS, 2 * size // (8 * BUCKET_TOKENS)).bit_length() - 1
     told = rows.mapInArrow(_first_round(bits), _ROUND).groupBy("bucket").applyInArrow(_tell, _TOLD)
     sets = checkpointed(told.groupBy("chunk").applyInArrow(_count, _MET))
 
@@ -349,15 +399,12 @@ def near_links(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> tuple[Dat
     cluster = checkpointed(cluster)
     sizes = cluster.groupBy("cluster").agg(F.count("*").alias("texts"))
     total = cluster.count()
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("texts") / cluster_texts)).cast("int")
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    member = cluster.join(sizes, "cluster").withColumn("blocks", F.when(F.col("texts") > cluster_texts, blocks).otherwise(1)).withColumn("block", block)
-    member = member.join(prefixes, "digest").join(full.select("digest", "tokens").dropDuplicates(["digest"]), "digest")
-    paired = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    groups = max(1, total // GROUP_TEXTS)
-    many = F.when(F.col("texts") > GROUP_TEXTS, F.hex("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(groups)).cast("string"))
-    links = paired.select(many.alias("many"), "low", "high", "cluster", "digest", "block", "match", "prefix", "tokens").groupBy("many", "low", "high").applyInArrow(_verify, "a binary, b binary")
+    content = full.select("digest", "tokens").dropDuplicates(["digest"])
+    member = cluster.join(sizes, "cluster").join(prefixes, "digest").join(content, "digest")
+    small = member.where(F.col("texts") <= cluster_texts).withColumns({"group": F.col("digest"), "block": F.lit(""), "low": F.lit(""), "high": F.lit("")})
+    links = _verified(small, max(1, total // GROUP_TEXTS))
+    if not sizes.where(F.col("texts") > cluster_texts).isEmpty():
+        links = links.unionByName(_large_links(member.where(F.col("texts") > cluster_texts).drop("texts"), cluster_texts))
     return sets.drop("alive"), links
 
 
