@@ -8,8 +8,9 @@ run's end. So a run stands earlier just where its windows do, each by itself at
 whatever place, and there are at most two windows a line. Of each window the
 line with the least hash is selected; equal windows select the same line: a
 guaranteed fingerprint. Fingerprints that stand in one place only drop out. At
-the others, windows are told apart by all their lines; all but the earliest
-place of a window are deleted.
+the others, windows are told apart by the 128-bit hashes of all their lines;
+all but the earliest place of a window are deleted. Overlapping windows that match are
+what a match extended both ways would cover, at every earlier place at once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,14 @@ from tidewatch.llm.common import checkpointed, column, texts, without
 
 LEAST_WORDS = 50
 
-_POSITION = "doc_id long, th long, fingerprint long, windows array<struct<start:int,end:int,content:long>>"
+#: Bytes of a line's and a window's hash: 128 bits tell apart what 64 would confuse among very many windows.
+DIGEST = 16
+
+_POSITION = "doc_id long, th long, fingerprint long, windows array<struct<start:int,end:int,content:binary>>"
+
+
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=DIGEST).digest()
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +43,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = [], []
         for text in texts(batch):
             own = [(x.strip(), n) for x in (text or b"").split(b"\n") if (n := len(x.split()))]
-            hashes.append(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x, _ in own))
+            hashes.append(b"".join(_digest(x) for x, _ in own))
             counts.append(np.array([n for _, n in own], "<i4").tobytes())
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "th", "lines", "words"])
 
@@ -63,14 +71,14 @@ def _winnow(least: int):
         for batch in batches:
             out = {"doc_id": [], "th": [], "fingerprint": [], "windows": []}
             for doc_id, th, lines, words in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "th", "lines", "words")), strict=True):
-                hashes = np.frombuffer(lines, "<i8")
+                hashes = np.frombuffer(lines, "<i8")[:: DIGEST // 8]  # the first half selects, whole digests compare
                 for at, own in fingerprints(hashes, windows_of(np.frombuffer(words, "<i4"), least)).items():
-                    content = [int.from_bytes(hashlib.blake2b(lines[8 * s : 8 * e], digest_size=8).digest(), "little", signed=True) for s, e in own]
+                    content = [_digest(lines[DIGEST * s : DIGEST * e]) for s, e in own]
                     out["doc_id"].append(doc_id)
                     out["th"].append(th)
                     out["fingerprint"].append(int(hashes[at]))
                     out["windows"].append([{"start": s, "end": e, "content": c} for (s, e), c in zip(own, content, strict=True)])
-            kinds = {"doc_id": pa.int64(), "th": pa.int64(), "fingerprint": pa.int64(), "windows": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("content", pa.int64())]))}
+            kinds = {"doc_id": pa.int64(), "th": pa.int64(), "fingerprint": pa.int64(), "windows": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("content", pa.binary())]))}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
     return run
