@@ -1,12 +1,13 @@
 """License scans with a positional index of rare licence words.
 
-Licence templates are indexed by their words of highest inverse document
-frequency: a word's postings are (template, position). Each file looks up all
-indexed words that it holds; a match at word p of the file and q of a template
-votes for (template, p - q), so words that stand in the template's order agree on one
-offset. A template counts when enough of its rare words agree and its mandatory
-phrase is there. Column expressions do all of it, and nothing is shuffled but
-the document counts of the templates' words.
+Licence templates, notices and whole licences, are indexed by their words of
+highest inverse document frequency: a word's postings are (template, position).
+Each file looks up all indexed words that it holds. A template of which enough
+words are there is a candidate; each match at word p of the file and q of a
+candidate then votes for (template, p - q), so words that stand in the template's
+order agree on one offset. A candidate counts when enough of its rare words agree
+and its mandatory phrase is there. Column expressions do all of it, and nothing is
+shuffled but the document counts of the templates' words.
 """
 
 from __future__ import annotations
@@ -41,7 +42,52 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
-]
+    ("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    (
+        "mit", "permission is hereby granted free of charge",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event "
+        "shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+        "software or the use or other dealings in the software",
+    ),
+    (
+        "isc", "permission to use copy modify and or distribute this software",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear "
+        "in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+        "disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    (
+        "bsd-3-clause", "to endorse or promote products derived from this software",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+        "distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        "permission",
+    ),
+    (
+        "zlib", "this software is provided as is without any express or implied warranty",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted "
+        "to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software "
+        "must not be misrepresented you must not claim that you wrote the original software",
+    ),
+    (
+        "unlicense", "free and unencumbered software",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a "
+        "compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "bsl-1.0", "boost software license version 1 0",
+        "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this "
+        "license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+    ),
+]
 
 #: Fixed pattern: what parts words.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -102,37 +148,43 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     idf = inverse_document_frequencies(docs)
     rare = _rarest(idf)
-    triggers = sorted({p for _, p, _ in TEMPLATES} | PHRASES.keys())
-    # without a phrase, no label: texts that lack the phrases' longest words are done, the others are looked at word by word
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+
+    # the file's licence words, all that are in the index, looked up there
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, words in enumerate(rare):
+        for w, q in words:
+            postings.setdefault(w, []).append((t, q))
+    order = sorted(postings)
+    rows = _words(docs).withColumn("_own", F.array_intersect(F.array(*map(F.lit, order)), "_w"))
+    # a template is a candidate if the file holds enough different words of it
+    of = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(w) for w in sorted({w for w, _ in words})]).alias("words"), F.lit(len(words) - math.ceil(AGREEING * len(words))).alias("spare")) for t, words in enumerate(rare)])
+    candidates = F.transform(F.filter(of, lambda k: F.size(F.array_except(k["words"], F.col("_own"))) <= k["spare"]), lambda k: k["t"])
+    fewest = min(len({w for w, _ in words}) - (len(words) - math.ceil(AGREEING * len(words))) for words in rare)
+    rows = rows.withColumn("_candidates", F.when(F.size("_own") >= fewest, candidates).otherwise(empty("int")))
+    triggers = sorted(PHRASES)
     longest = sorted({max(t.split(), key=len) for t in triggers})
-    maybe = reduce(lambda a, b: a | b, [F.col("_t").contains(w) for w in longest])
-    rows = _words(docs).withColumn("_plain", F.when(maybe, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))))
-    worth = F.coalesce(F.exists(F.array(*[F.lit(f" {t} ") for t in triggers]), lambda t: F.contains(F.col("_plain"), t)), F.lit(False))
-    rows = rows.withColumn("_worth", worth)
+    maybe = reduce(lambda a, b: a | b, [F.col("_t").contains(w) for w in longest])  # base phrases need one of these words
+    rows = rows.withColumn("_plain", F.when(maybe | (F.size("_candidates") > 0), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))))
+    base_there = F.coalesce(F.exists(F.array(*[F.lit(f" {t} ") for t in triggers]), lambda t: F.contains(F.col("_plain"), t)), F.lit(False))
+    rows = rows.withColumn("_based", base_there)
 
     # base phrases, at every word
     at = lambda i: F.get(F.col("_w"), i)
     stands = lambda phrase: lambda i: reduce(lambda a, b: a & b, [at(i + k) == w for k, w in enumerate(phrase.split())])
     where = F.sequence(F.lit(0), F.size("_w") - 1)
-    none = F.array().cast("array<int>")
-    places = {p: F.when(F.col("_worth"), F.filter(where, stands(p))).otherwise(none) for p in PHRASES}
-    rows = rows.withColumns({f"_p{k}": places[p] for k, p in enumerate(PHRASES)})
+    none = empty("int")
+    rows = rows.withColumns({f"_p{k}": F.when(F.col("_based"), F.filter(where, stands(p))).otherwise(none) for k, p in enumerate(PHRASES)})
     sizes = {label: F.size(f"_p{k}") for k, label in enumerate(PHRASES.values())}
     rows = rows.withColumn("_all", F.concat(*[f"_p{k}" for k in range(len(PHRASES))]))
 
-    # the file's licence words, all that are in the index, looked up there
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, words in enumerate(rare):
-        for w, q in words:
-            postings.setdefault(w, []).append((t, q))
-    order = sorted(postings)
-    own = F.array_intersect(F.array(*map(F.lit, order)), "_w")
+    # candidates' postings meet the file's words by relative position
     index = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[F.lit(t << 40 | (1 << 32) - q) for t, q in postings[w]]))])
-    rows = rows.withColumn("_own", F.when(F.col("_worth"), own).otherwise(F.array().cast("array<string>")))
     # named twice, for a column named once would be worked out anew for every word
     hits = F.filter(where, lambda i: (F.size("_own") > 0) & F.array_contains("_own", at(i)))
     votes = F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(index, at(i)), lambda code: code + i)))
-    rows = rows.withColumn("_votes", F.when(F.col("_worth"), F.array_sort(votes)).otherwise(F.array().cast("array<bigint>")))
+    votes = F.array_sort(F.filter(votes, lambda v: F.array_contains("_candidates", F.shiftright(v, 40).cast("int"))))
+    rows = rows.withColumn("_votes", F.when(F.size("_candidates") > 0, votes).otherwise(empty("bigint")))
     # runs of equal votes: how many words of a template agree on an offset
     n = F.size("_votes")
     ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.get("_votes", i) != F.get("_votes", i + 1)))
@@ -142,7 +194,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(f" {phrase} ").alias("phrase"), F.lit(len(rare[t])).alias("n")) for t, (label, phrase, _) in enumerate(TEMPLATES)])
     best = lambda k: F.aggregate("_runs", F.lit(0), lambda m, r: F.greatest(m, F.when(r["t"] == k["t"], r["n"]).otherwise(0)))
     shares = F.transform(known, lambda k: F.struct(k["label"].alias("label"), F.least(F.lit(1.0), best(k) / k["n"]).alias("share"), F.contains(F.col("_plain"), k["phrase"]).alias("sure")))
-    rows = rows.withColumn("_sure", F.when(F.col("_worth"), F.filter(shares, lambda k: k["sure"] & (k["share"] >= AGREEING))))
+    rows = rows.withColumn("_sure", F.when(F.size("_candidates") > 0, F.filter(shares, lambda k: k["sure"] & (k["share"] >= AGREEING))))
     agreed = F.transform("_sure", lambda k: k["label"])
     base = [F.when(sizes[label] > 0, F.lit(label)) for label in PHRASES.values()]
     base = F.array_compact(F.array(*base))
