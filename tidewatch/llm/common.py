@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,6 +25,13 @@ def size_hint(df: DataFrame) -> int:
     return size if size < 1 << 50 else 0
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder, and read again: a cut of lineage that later reads columns of."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
