@@ -3,8 +3,10 @@
 Texts are tokenized where they lie and cut into pieces of at most a sequence's
 length; only pieces shorter than that need packing. Each goes where the squared
 counts of open sequences per residual gap sum to the least, which keeps any gap
-from piling up. A task packs what it has read, in blocks of bounded size, so
-nothing is shuffled; a block leaves at most a few sequences partly filled.
+from piling up. A task packs what it has read, in blocks of bounded size; a block
+leaves a few sequences partly filled, more of them the less a task has read. The
+pieces of those (narrow rows, no ids) are gathered in as few blocks as they fill
+and packed once more, so the number of sequences hardly depends on how rows lie.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidewatch.llm.common import column, per_worker, slices, texts
+from tidewatch.llm.common import checkpointed, column, per_worker, slices, texts
 
 SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -29,7 +32,11 @@ MARK = "\x00"
 CLOSERS = b".,!;:|#*$%&"
 BATCH_ROWS = 500
 
+#: A sequence that lacks more than this part of its tokens is packed once more.
+GAP_PART = 64
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -139,29 +146,37 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
+def place(rows: list[tuple], capacity: int) -> list[np.ndarray]:
+    """(sequence, offset, gap of the sequence) of pieces (doc_id, piece, start, length, crc), sequences numbered from 0."""
+    length = np.array([r[3] for r in rows], np.int64)
+    ids, offset = np.empty(len(length), np.int64), np.zeros(len(length), np.int64)
+    full = length == capacity
+    short = np.flatnonzero(~full)
+    ids[short], offset[short] = sum_of_squares(length[short], capacity)
+    n = int(ids[short].max()) + 1 if len(short) else 0
+    ids[full] = n + np.arange(int(full.sum()))
+    return [ids, offset, (capacity - np.bincount(ids, length)[ids]).astype(np.int64)]
+
+
+def _placed(rows: list[tuple], capacity: int, sequence: int) -> tuple[pa.RecordBatch, int]:
+    """The pieces with their places, and the next free sequence number."""
+    ids, offset, gap = place(rows, capacity)
+    own = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+    batch = pa.RecordBatch.from_arrays([*own, pa.array(ids + sequence), pa.array(offset), pa.array(gap)], names=[*NAMES, "gap"])
+    return batch, sequence + int(ids.max()) + 1
+
+
+def _first_number(again: int) -> int:
+    """Sequence numbers of tasks and rounds do not meet."""
+    return again << 62 | TaskContext.get().partitionId() << 36
+
+
 def _pack(path: str, capacity: int, block: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = per_worker(f"tokenizer {path} {cache}", lambda: CachedTokenizer(path, cache))
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = _first_number(0)
         end = np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
-
-        def placed() -> pa.RecordBatch:
-            nonlocal sequence
-            doc, piece, start, length, crc = zip(*rows, strict=True)
-            length = np.array(length, np.int64)
-            ids, offset = np.empty(len(length), np.int64), np.zeros(len(length), np.int64)
-            full = length == capacity
-            short = np.flatnonzero(~full)
-            bins, at = sum_of_squares(length[short], capacity)
-            ids[short], offset[short] = bins, at
-            n = int(bins.max()) + 1 if len(bins) else 0
-            ids[full] = n + np.arange(int(full.sum()))
-            ids += sequence
-            sequence += n + int(full.sum())
-            columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(crc, pa.int64()), pa.array(ids), pa.array(offset)]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
         for batch in slices(batches, BATCH_ROWS):
             for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), map(encode, texts(batch)), strict=True):
                 ids += end
@@ -170,10 +185,26 @@ def _pack(path: str, capacity: int, block: int, cache: int):
                     own = ids[4 * at : 4 * (at + capacity)]
                     rows.append((doc_id, k, at, len(own) // 4, zlib.crc32(own)))
             if len(rows) >= block:
-                yield placed()
+                out, sequence = _placed(rows, capacity, sequence)
+                yield out
+                rows = []
+        if rows:
+            yield _placed(rows, capacity, sequence)[0]
+
+    return run
+
+
+def _pack_again(capacity: int, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, rows = _first_number(1), []
+        for batch in slices(batches, block):
+            rows += zip(*(column(batch, c).to_pylist() for c in NAMES[:5]), strict=True)
+            if len(rows) >= block:
+                out, sequence = _placed(rows, capacity, sequence)
+                yield out
                 rows = []
         if rows:
-            yield placed()
+            yield _placed(rows, capacity, sequence)[0]
 
     return run
 
@@ -185,6 +216,14 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = SEQ
     id alone. Only longer documents than a sequence are cut. A repeated row is
     packed again; a null doc_id stays null. An empty table gives no rows. Columns
     other than doc_id and text are not read. A worker keeps the ids of at most about
-    `cache` parts, some 150 bytes each; fewer cost time, not results.
+    `cache` parts, some 150 bytes each; fewer cost time, not results. Sequences
+    that lack more than capacity / GAP_PART tokens are packed a second time, in
+    blocks of `block` pieces; the first round is cut off by a checkpoint, so texts
+    are encoded once.
     """
-    return docs.select("doc_id", "text").mapInArrow(_pack(path or tokenizer_path(), capacity, block, cache), PIECES)
+    kinds = f"{PIECES}, gap long"
+    first = checkpointed(docs.select("doc_id", "text").mapInArrow(_pack(path or tokenizer_path(), capacity, block, cache), kinds))
+    partly = first.where(F.col("gap") > capacity // GAP_PART)
+    blocks = max(1, -(-partly.count() // block))
+    again = partly.select(*NAMES[:5]).repartition(blocks).mapInArrow(_pack_again(capacity, block), kinds)
+    return first.where(F.col("gap") <= capacity // GAP_PART).unionByName(again).drop("gap")
