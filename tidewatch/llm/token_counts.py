@@ -1,15 +1,16 @@
 """Token counts by trie-shared dynamic programming.
 
 A pre-token's best unigram segmentation is a forward recursion over its
-prefixes, so pre-tokens with a common prefix share that part. The distinct
-pre-tokens of a batch are walked in the order of their trie (sorted, each node
-reached once); every node's forward score is computed once and a terminal's
-token count is stored. Texts then add up stored counts.
+prefixes, so pre-tokens with a common prefix share that part. A worker inserts
+distinct pre-tokens in a trie that it keeps; a node's forward score is computed
+once, when the first pre-token passes it, and a terminal's token count is stored.
+Texts then add up stored counts.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from tidewatch.llm.common import column, per_worker, slices, texts
 
 VOCABULARY = "piece_bpe_32k.model"
 CACHE_WORDS = 700_000
+#: Trie nodes that a worker keeps, some 130 bytes each.
+TRIE_NODES = 1_500_000
 BATCH_ROWS = 1000
 WORD_START = "▁"
 
@@ -42,7 +45,11 @@ def zipf_scores(path: str) -> dict[str, float]:
 class TrieCounter:
     """Tokens of a pre-token's best segmentation; of equal scores, the fewest tokens.
 
-    A character that no piece covers falls back to its UTF-8 bytes, a token each.
+    The trie's nodes hold the best score and its token count of the prefix they
+    stand for, and stay from batch to batch: a prefix is scored when a pre-token
+    first has it. Nodes beyond TRIE_NODES are worked out but not kept, so a full
+    trie costs time, not results. A character that no piece covers falls back to
+    its UTF-8 bytes, a token each.
     """
 
     def __init__(self, scores: dict[str, float]) -> None:
@@ -50,29 +57,47 @@ class TrieCounter:
         self.longest = max(map(len, scores))
         self.byte = min(scores.values()) - 10.0
         self.known: dict[bytes, int] = {}
+        self.child: dict[int, int] = {}  # node and character to node
+        self.best, self.count = array("d", [0.0]), array("l", [0])
+
+    def forward(self, text: str, best: list[float], count: list[int]) -> None:
+        """Score the first prefix of text that best and count lack, from those they have."""
+        scores, end = self.scores, len(best)
+        size = len(text[end - 1].encode("utf-8"))
+        top, n = best[end - 1] + size * self.byte, count[end - 1] + size
+        for start in range(max(0, end - self.longest), end):
+            score = scores.get(text[start:end])
+            if score is not None:
+                score += best[start]
+                if score > top or score == top and count[start] + 1 < n:
+                    top, n = score, count[start] + 1
+        best.append(top)
+        count.append(n)
+
+    def insert(self, text: str) -> int:
+        """Tokens of text, whose prefixes enter the trie."""
+        child, held_best, held_count = self.child, self.best, self.count
+        node, best, count = 0, [0.0], [0]
+        for c in text:
+            key = node << 21 | ord(c)
+            known = child.get(key) if node >= 0 else None
+            if known is not None:
+                node = known
+                best.append(held_best[node])
+                count.append(held_count[node])
+                continue
+            self.forward(text, best, count)
+            if node >= 0 and len(held_best) < TRIE_NODES:
+                child[key] = node = len(held_best)
+                held_best.append(best[-1])
+                held_count.append(count[-1])
+            else:
+                node = -1
+        return count[-1]
 
     def learn(self, words: Iterable[bytes]) -> None:
-        scores, longest, known = self.scores, self.longest, self.known
-        before, best, count = "", [0.0], [0]
-        for word in sorted((WORD_START + w.decode("utf-8"), w) for w in words):
-            text, raw = word
-            shared, most = 0, min(len(text), len(before))
-            while shared < most and text[shared] == before[shared]:
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                size = len(text[end - 1].encode("utf-8"))
-                top, n = best[end - 1] + size * self.byte, count[end - 1] + size
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(text[start:end])
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and count[start] + 1 < n:
-                            top, n = score, count[start] + 1
-                best.append(top)
-                count.append(n)
-            known[raw] = count[-1]
-            before = text
+        for word in words:
+            self.known[word] = self.insert(WORD_START + word.decode("utf-8"))
 
     def __call__(self, batch: list[bytes | None]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
