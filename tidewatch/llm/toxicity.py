@@ -27,6 +27,8 @@ WINDOW, STRIDE = 64, 48
 EMBED, HIDDEN = 12, 8
 LEAST_DOCUMENTS, MOST_ENTRIES = 4, 200_000
 SAMPLE_PER_CLASS = 1500
+#: UTF-8 bytes of a text that may enter the training sample, which so holds 2 * SAMPLE_PER_CLASS * SAMPLE_TEXT_BYTES at most.
+SAMPLE_TEXT_BYTES = 48_000
 TRAIN_DOCUMENTS = 14_000
 BATCH_WINDOWS = 384
 CACHE_WORDS = 200_000
@@ -385,11 +387,12 @@ def fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, budget: int = TRAIN_DOCUMENTS) -> dict[str, np.ndarray]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, budget: int = TRAIN_DOCUMENTS, text_bytes: int = SAMPLE_TEXT_BYTES) -> dict[str, np.ndarray]:
     """Train on at most per_class labelled rows of either class, none from the held-out fold.
 
     A doc_id with several labels counts as toxic if any says so; null labels and
-    null ids are no labels.
+    null ids are no labels. Of the rows so drawn, texts beyond text_bytes are left
+    to scoring: what comes to the driver is bounded in rows and in bytes.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -399,6 +402,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
         chosen = part if chosen is None else chosen.unionByName(part)
     bounded = F.broadcast(chosen.withColumnRenamed("doc_id", "_id"))  # at most 2 * per_class rows
     rows = docs.select("doc_id", "text").join(bounded, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes)
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * per_class).collect()
     return train([words_of((r["text"] or "").encode("utf-8")) for r in rows], [int(r["toxic"]) for r in rows], budget)
 
