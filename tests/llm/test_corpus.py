@@ -124,16 +124,45 @@ def test_binomial_tail_is_exact():
         assert math.isclose(quality.binomial_tail(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
 
 
-def test_certify_controls_false_rejection():
-    rng = np.random.default_rng(0)
-    broken = 0
-    for _ in range(300):
-        good = lambda n: np.bincount(np.minimum(rng.poisson(8, n), quality.STEPS), minlength=quality.STEPS + 1)
-        cut = quality.certify(good(800), good(800), np.bincount(np.minimum(rng.poisson(14, 300), quality.STEPS), minlength=quality.STEPS + 1), 0.05, 0.02)
-        if cut is not None:
-            broken += float(np.mean(rng.poisson(8, 20_000) >= cut)) > 0.02
-    assert broken <= 300 * 0.09
-    assert quality.certify(*[np.zeros(quality.STEPS + 1)] * 3, 0.05, 0.02) is None
+def _rejected(levels, steps):
+    """First level that rejects each text, or the number of levels."""
+    hit = (steps[:, None, :] >= levels[None]).any(axis=2)
+    return np.where(hit.any(axis=1), hit.argmax(axis=1), len(levels))
+
+
+def test_cutoffs_control_joint_false_rejection():
+    """Seven rules act at once; what all of them reject of the good texts stays under the limit."""
+    rng, rules, limit, alpha = np.random.default_rng(0), 7, 0.01, 0.05
+    count = lambda steps: np.stack([np.bincount(steps[:, r], minlength=quality.STEPS + 1) for r in range(rules)]).astype(float)
+    good = lambda n: np.minimum(rng.poisson(8, (n, rules)), quality.STEPS)
+    broken, used, acting = 0, 0, []
+    for _ in range(200):
+        junk = good(600)
+        junk[np.arange(600), rng.integers(0, rules, 600)] += rng.poisson(9, 600)  # each is junk by one rule
+        junk = np.minimum(junk, quality.STEPS)
+        tune, held = good(2500), good(2500)
+        levels = quality.lay_levels(count(tune), count(junk))
+        assert (np.diff(levels, axis=0) <= 0).all()
+        by = lambda steps: np.bincount(_rejected(levels, steps), minlength=len(levels) + 1)
+        level = quality.certified_level(by(held), by(tune), by(junk), alpha, limit)
+        if level is not None:
+            used += 1
+            acting.append(int((levels[level] <= quality.STEPS).sum()))
+            broken += float((good(20_000) >= levels[level]).any(axis=1).mean()) > limit
+    assert used > 100 and max(acting) >= 5
+    assert broken <= 200 * alpha + 3 * (200 * alpha * (1 - alpha)) ** 0.5
+    none = np.zeros((rules, quality.STEPS + 1))
+    assert (quality.lay_levels(none, none) == quality.STEPS + 1).all()
+    assert quality.certified_level(*[np.zeros(len(quality.LOSSES) + 1)] * 3, 0.05, 0.02) is None
+
+
+def test_copies_are_one_trial(spark):
+    """A thousand copies of one good text certify nothing."""
+    good = " ".join(f"word{k}" for k in range(60))
+    junk = [" ".join(f"#%{k * 7919 % 997}${i}&" for k in range(80)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([good] * 1000 + junk)], "doc_id long, text string, lang string")
+    marks = docs.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"))
+    assert quality.judge_quality(docs, marks).where("kept").count() == 1300
 
 
 def test_quality_learns_cutoffs(spark):
@@ -144,7 +173,9 @@ def test_quality_learns_cutoffs(spark):
     marks = docs.select("doc_id", (F.col("doc_id") < 1500).cast("int").alias("quality"))
     got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs, marks).collect()}
     assert all(got[i] for i in range(1500)) and not any(got[i] for i in range(1500, 1800))
-    assert quality.drop_low_quality(docs, marks).count() == 1500
+    extra = docs.select("*", *[F.lit(1).alias(n) for n in ("th", "stratum", "cuts", "n_words")])
+    assert quality.drop_low_quality(extra, marks).columns == extra.columns
+    assert quality.drop_low_quality(extra, marks).count() == 1500
 
 
 def test_quality_edges(none, labels, clashing):
@@ -199,6 +230,22 @@ def test_sum_of_squares_places_as_defined():
     assert max(fill.values()) <= 20
 
 
+def test_packing_hardly_depends_on_how_rows_lie(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(vocabulary[k] for k in rng.integers(0, 300, int(rng.integers(20, 900))))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for parts in (1, 8, 48):
+        pieces = packing.pack_documents(docs.repartition(parts)).collect()
+        by = Counter()
+        for p in pieces:
+            by[p["sequence_id"]] += p["length"]
+        assert max(by.values()) <= packing.SEQUENCE and len({(p["doc_id"], p["piece"]) for p in pieces}) == len(pieces)
+        found[parts] = len(by), -(-sum(by.values()) // packing.SEQUENCE)
+    assert all(n <= 1.02 * least + 1 for n, least in found.values()), found
+
+
 def test_packing_edges(none, clashing):
     assert packing.pack_documents(none).count() == 0
     assert packing.pack_documents(clashing).select("doc_id").distinct().count() == clashing.select("doc_id").distinct().count()
@@ -323,6 +370,37 @@ def test_targets_fill_and_reshare(spark):
     assert all(math.isclose(got[s], t, rel_tol=1e-12) for s, t in brute_targets(sizes).items())
 
 
+def test_tree_halves_every_node():
+    def leaf(rank, total, levels):
+        node, at, n = 0, rank, total
+        for _ in range(levels):
+            left = (n + 1) // 2
+            node, at, n = (2 * node + 1, at - left, n - left) if at >= left else (2 * node, at, left)
+        return node
+
+    for total in (1, 7, 64, 1000):
+        sizes = Counter(leaf(r, total, 3) for r in range(total))
+        assert max(sizes.values()) - min(sizes[k] for k in range(8)) <= 1
+
+
+def test_random_order_and_tree(spark):
+    units = spark.range(3000).select(F.when(F.col("id") < 1000, None).otherwise("s").alias("source"), F.col("id").alias("nth"))
+    ordered, n = mixing.in_random_order(units, 7)
+    rows = ordered.select("source", "nth", "rank", mixing.tree_node(F.col("rank"), n, 4).alias("node")).collect()
+    assert n == 3000 and sorted(r["rank"] for r in rows) == list(range(3000))
+    sizes = Counter(r["node"] for r in rows)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
+    share = Counter(r["node"] for r in rows if r["source"] is None)  # hypergeometric: mean 62.5, deviation about 6.4
+    assert all(abs(share[k] - 62.5) < 26 for k in range(16))
+    assert sorted(r["node"] for r in rows) == [r["node"] for r in sorted(rows, key=lambda r: r["rank"])]
+
+
+def test_mix_sizes_agree_with_mix(corpus, clashing):
+    pick = lambda df: sorted((str(r["doc_id"]), r["size"], r["taken"], str(r["draws"])) for r in df.collect())
+    assert pick(mixing.mix_sizes(corpus)) == pick(mixing.mix(corpus)) == pick(mixing.mix(clashing))
+    assert mixing.mixed_documents(clashing).columns == clashing.columns
+
+
 def test_mix_edges(none, clashing):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert mixing.mix(clashing).count() == clashing.count()
@@ -412,6 +490,58 @@ def test_scores_do_not_depend_on_company():
     assert np.allclose(together, [toxicity.Scorer(model).logits([d])[0] for d in docs], atol=1e-4)
 
 
+def test_scores_match_a_plain_forward_pass():
+    """Every window of every text, word by word and step by step, against the batched scorer."""
+    rng = np.random.default_rng(6)
+    vocabulary = [b"w%d" % k for k in range(60)] + [b"vile!", b"(foul)", b"x" * 70]
+    docs = [[vocabulary[k] for k in rng.integers(0, len(vocabulary), int(n))] for n in (0, 1, 5, 64, 65, 150, 300)]
+    texts = [b" ".join(d) for d in docs]
+    cut = [toxicity.words_of(t) for t in texts]
+    p = toxicity.train(cut * 3, [i % 2 for i in range(21)], budget=60)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.asarray(x, float)))
+    grams = p["grams"].tolist()
+
+    def embed(word):
+        bare = toxicity.bare_word(word)
+        own = [grams.index(h) + 1 for h in toxicity.grams_of([bare])[0].tolist() if h in grams]
+        chars = sum((p["char"][g].astype(float) for g in own), np.zeros(toxicity.EMBED)) / max(1, len(own))
+        return p["word"][p["words"].get(bare, 0)] + chars
+
+    def states(xs, d):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs if d == "f" else xs[::-1]:
+            (az, ar, an), (uz, ur, un) = np.split(x @ p[f"W{d}"] + p[f"b{d}"], 3), np.split(h @ p[f"U{d}"], 3)
+            z, r = sigmoid(az + uz), sigmoid(ar + ur)
+            h = z * h + (1 - z) * np.tanh(an + r * un)
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    def logit(words):
+        if not words:
+            return float(p["c"][0])
+        xs = [embed(w) for w in words]
+        both = [np.concatenate(s) for s in zip(states(xs, "f"), states(xs, "b"), strict=True)]
+        score = np.array([float(np.tanh(s @ p["A"]) @ p["v"][:, 0]) for s in both])
+        weight = np.exp(score - score.max())
+        return float(sum(w * s for w, s in zip(weight / weight.sum(), both, strict=True)) @ p["u"][:, 0] + p["c"][0])
+
+    plain = [max(logit(d[a:b]) for a, b in toxicity.windows_of(len(d))) for d in cut]
+    wanted = sigmoid(np.clip(plain, -15, 15) * float(p["scale"][0]) + float(p["shift"][0]))
+    assert np.allclose(toxicity.Scorer(p)(texts), wanted, atol=1e-4)
+    assert np.allclose(toxicity.Scorer(p)([None]), wanted[:1], atol=1e-4)
+
+
+def test_training_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda documents, labels, budget: seen.append((len(documents), labels)))
+    df = spark.createDataFrame([(i, "w " * (10 if i % 2 else 400)) for i in range(40)], "doc_id long, text string")
+    marks = df.select("doc_id", F.lit(0).alias("toxic"))
+    toxicity.fit_toxicity(df, marks, text_bytes=100)
+    toxicity.fit_toxicity(df, marks, per_class=5, text_bytes=10_000)
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert [n for n, _ in seen] == [sum(i % 2 for i in held), 5]
+
+
 def test_toxicity_edges(none, labels, corpus):
     model = toxicity.fit_toxicity(none, labels, budget=10)
     assert toxicity.score_toxicity(none, model).count() == 0
@@ -481,6 +611,20 @@ def test_token_counts(corpus):
     assert Counter(tuple(r) for r in token_counts.count_tokens(corpus).collect()) == Counter((i, len(words(t)), sum(known[w] for w in words(t))) for i, t in rows)
 
 
+def test_trie_is_kept_and_bounded(monkeypatch):
+    scores = token_counts.zipf_scores(token_counts.vocabulary_path())
+    batches = [[b"station stations stationery", b"stall"], [b"stationed station", b"x\xc3\xa9y"], [b"stallion zzzz"]]
+    whole = token_counts.TrieCounter(scores)
+    wanted = [whole(b) for b in batches]
+    nodes = len(whole.best)
+    whole([b"stationeries"])
+    assert len(whole.best) == nodes + 3  # "ies" alone is new
+    for most in (1, 2, 9, 20):
+        monkeypatch.setattr(token_counts, "TRIE_NODES", most)
+        small = token_counts.TrieCounter(scores)
+        assert [small(b) for b in batches] == wanted and len(small.best) <= most
+
+
 def test_token_count_edges(none, clashing):
     assert token_counts.count_tokens(none).count() == 0
     assert token_counts.count_tokens(clashing).count() == clashing.count()

@@ -30,7 +30,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sizes(read(spark, sf_dir, "documents"))
     shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
@@ -63,7 +63,56 @@ QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_qualit
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_TEMPLATES = _values([(t, *row) for t, row in enumerate(licenses.TEMPLATES)])
+_PHRASES = _values(list(licenses.PHRASES.items()))
+
 ORACLE_SQL = {
+    # the index from document counts, votes per offset, phrases at every word
+    "op2_license_scan": rf"""
+        WITH t(t, label, phrase, wording) AS (VALUES {_TEMPLATES}), ph(phrase, label) AS (VALUES {_PHRASES}),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        x AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p FROM d),
+        vocabulary AS (SELECT DISTINCT unnest(string_split(wording, ' ')) AS w FROM t),
+        hit AS (SELECT r, p, w FROM x JOIN vocabulary USING (w)),
+        df AS (SELECT v.w, count(DISTINCT r) AS n FROM vocabulary v LEFT JOIN hit USING (w) GROUP BY v.w),
+        pos AS (SELECT t, unnest(string_split(wording, ' ')) AS w, generate_subscripts(string_split(wording, ' '), 1) - 1 AS q FROM t),
+        rare AS (SELECT t, w, q FROM pos JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, q) <= 8),
+        held AS (SELECT t, count(*) AS n FROM rare GROUP BY t),
+        votes AS (SELECT r, t, count(*) AS c FROM hit JOIN rare USING (w) GROUP BY r, t, p - q),
+        best AS (SELECT r, t, least(1.0, max(c) / any_value(n)) AS share FROM votes JOIN held USING (t) GROUP BY r, t),
+        sure AS (SELECT r, list(label) AS labels, max(share) AS share FROM best JOIN t USING (t) JOIN d USING (r)
+                 WHERE share >= 0.6 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ') GROUP BY r),
+        places AS (SELECT x.r, label, p FROM x JOIN ph ON x.w = string_split(phrase, ' ')[1] JOIN d ON d.r = x.r AND d.w[p + 1 : p + len(string_split(phrase, ' '))] = string_split(phrase, ' ')),
+        base AS (SELECT r, count(*) AS n, min(p) AS first, max(p) AS last, list(label) AS labels FROM places GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.first::BIGINT AS first_word, base.last::BIGINT AS last_word,
+               coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, sure.labels))), ','), '') AS labels,
+               greatest(coalesce(sure.share, 0.0), CASE WHEN base.n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+        FROM d LEFT JOIN sure USING (r) LEFT JOIN base USING (r)""",
+    # shingles as texts, all pairs that share one, and what links reach
+    "op5_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM d),
+        x AS (SELECT doc_id, unnest(g) AS g FROM s), n AS (SELECT doc_id, len(g) AS n FROM s),
+        often AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1), y AS (SELECT x.* FROM x JOIN often USING (g)),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM y a JOIN y b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a)
+        SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) AS component_id FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    # every prefix's size; a row's shard is its shortest prefix that fits
+    "op7_sharding": rf"""
+        WITH r AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+                          lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce('=' || text, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
+        l AS (SELECT unnest(range(0, 61)) AS depth),
+        s AS (SELECT depth, left(bits, depth) AS shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_rows FROM r, l GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT_BYTES} OR min(bits) = max(bits))
+        SELECT doc_id, shard, depth::INTEGER AS shard_depth, shard_bytes, shard_rows, n_bytes FROM r, l JOIN s USING (depth) WHERE s.shard = left(bits, depth)
+        QUALIFY row_number() OVER (PARTITION BY r ORDER BY depth) = 1""",
     "op1_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -17,7 +17,15 @@ from tidewatch.llm.common import checkpointed, size_hint, without
 
 LIMIT_BYTES = 8 << 20
 STEP_BITS = 8
-HASH_BITS = 62
+#: Hash bits: the first HASH_DIGITS hexadecimal digits of an MD5.
+HASH_DIGITS, HASH_BITS = 15, 60
+
+
+def row_hash() -> Column:
+    """HASH_BITS bits of a row's doc_id and text; null is told from empty."""
+    text = F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit(""))
+    of = F.md5(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text), "UTF-8"))
+    return F.conv(F.substring(of, 1, HASH_DIGITS), 16, 10).cast("long")
 
 
 def _prefix(h: Column, bits: Column | int) -> Column:
@@ -59,7 +67,7 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """
     docs = without(docs, "shard", "shard_depth", "shard_bytes", "shard_rows", "n_bytes", "_h")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - HASH_BITS)
+    h = row_hash()
     rows = docs.select(h.alias("h"), size.alias("bytes"))
     expected = max(1, 3 * size_hint(docs) // limit)
     below, depth = 0, min(20, max(STEP_BITS, math.ceil(math.log2(4 * expected))))
