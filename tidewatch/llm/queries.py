@@ -97,9 +97,10 @@ ORACLE_SQL = {
     # shingles as texts, all pairs that share one, and what links reach
     "op5_ngram_jaccard_join": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM d),
-        x AS (SELECT doc_id, unnest(g) AS g FROM s), n AS (SELECT doc_id, len(g) AS n FROM s),
-        often AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1), y AS (SELECT x.* FROM x JOIN often USING (g)),
+        o AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+        x AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, p, n, concat_ws(' ', w, lead(w, 1) OVER t, lead(w, 2) OVER t, lead(w, 3) OVER t, lead(w, 4) OVER t) AS g FROM o WINDOW t AS (PARTITION BY doc_id ORDER BY p)) WHERE p = 1 OR p <= n - 4),
+        n AS MATERIALIZED (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id),
+        often AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1), y AS MATERIALIZED (SELECT x.* FROM x JOIN often USING (g)),
         pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM y a JOIN y b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
         links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
         ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
