@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.vocabulary import BODY_URL, HIDDEN_KEYWORDS, NOISE_KEYWORDS, PREFIX_ROOTS, STOPWORDS, TITLE_STOPWORDS
+from tidewatch.functions.vocabulary import BODY_URL, HIDDEN_KEYWORDS, NOISE_KEYWORDS, STOPWORDS, TITLE_STOPWORDS
 
 
 def domain(url: Column, needs_scheme: bool = True) -> Column:
@@ -23,7 +23,12 @@ def body_url(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, f"({BODY_URL})", 1), F.lit(""))
 
 
-def keyword_pattern(keyword: str, prefixes: set[str] = PREFIX_ROOTS) -> str:
+def one_word(keyword: str) -> bool:
+    """Whether a keyword is a word by itself, so that it can be met as one."""
+    return keyword.isalnum() and keyword.isascii()
+
+
+def keyword_pattern(keyword: str, prefixes: set[str] | frozenset = frozenset()) -> str:
     """A keyword as a whole word in any case; of prefix roots, the start of a word."""
     quoted = re.sub(r"([^\w\s])", r"\\\1", keyword)
     return rf"(?iU)\b{quoted}" + ("" if keyword in prefixes else r"\b")
@@ -49,15 +54,56 @@ def title_tokens(title: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*TITLE_STOPWORDS))), 1, most)
 
 
-#: Named characters that markup uses most; numbers are read as such.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&#39;": "'", "&apos;": "'", "&#x2F;": "/", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+def _numbered() -> dict[int, str]:
+    """What references to numbers stand for where that is not the code point: HTML reads 128 to 159 as Windows letters, and some as none."""
+    out = {0: "\ufffd", 13: "\r"}
+    for code in range(128, 160):
+        try:
+            out[code] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:
+            out[code] = chr(code)
+    return out
+
+
+def _no_characters(code: Column) -> Column:
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+    return control | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+
+
+def unescape(text: Column) -> Column:
+    """Character references of markup as characters: numbers, and all names HTML has, those that may lack the semicolon too."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    start = rf"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(bare)})"
+    names = F.create_map(*[F.lit(x) for pair in sorted(html5.items()) for x in pair])
+    numbers = F.create_map(*[F.lit(x) for pair in _numbered().items() for x in pair])
+
+    def piece(p: Column, i: Column) -> Column:
+        found = F.regexp_extract(p, start, 1)
+        short = F.regexp_extract(p, rf"^({'|'.join(bare)})", 1)  # a name with a semicolon that HTML lacks may begin with one that it has
+        digits = F.regexp_extract(found, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+        hexed = found.rlike("^#[xX]")
+        short_of = F.substring(F.when(digits == "", "0").otherwise(digits), 1, 8)
+        code = F.when(F.length(digits) > 8, 0x110000).otherwise(F.when(hexed, F.conv(short_of, 16, 10)).otherwise(F.conv(short_of, 10, 10)).cast("long"))
+        made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        odd = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(_no_characters(code), "").otherwise(made)
+        number = F.coalesce(F.element_at(numbers, code.cast("int")), odd)
+        named = F.element_at(names, found)
+        rest = lambda used: F.substr(p, F.length(used) + 1)
+        read = (
+            F.when(found.startswith("#"), F.concat(number, rest(found)))
+            .when(named.isNotNull() & (found != ""), F.concat(named, rest(found)))
+            .when(short != "", F.concat(F.element_at(names, short), rest(short)))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+        return F.when(i == 0, p).otherwise(read)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
 
 
 def html_text(html: Column) -> Column:
-    """Text of markup: tags and comments become gaps, white space one blank, common entities characters."""
+    """Text of markup: tags and comments become gaps, references characters, white space one blank; what then still reads as a reference becomes one too."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->|<![^>]*>", " "), r"(?s)</?[A-Za-z][^>]*>", " ")
-    plain = reduce(lambda c, e: F.replace(c, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, bare)
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return unescape(F.trim(F.regexp_replace(unescape(bare), r"(?U)\s+", " ")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -99,3 +145,34 @@ def suggested_action(unmatched: Column, total: Column) -> Column:
 
 def confidence(total: Column, authors: Column) -> Column:
     return F.when((total >= 1000) & (authors >= 50), "high").when(total >= 100, "medium").otherwise("low")
+
+
+def suggested_channel(channels: Column) -> Column:
+    """The channel most counts of a map name, ties by spelling; unknown without any."""
+    best = F.array_min(F.transform(F.map_entries(channels), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("key"))))
+    return F.coalesce(best["key"], F.lit("unknown"))
+
+
+#: What a window keeps of an item, by short names.
+MEMBER = "t string, sid long, st string, d string, it string, iid long, ca long, uri string, ruri string, a string, h array<string>, kw array<string>, rs double, rr string, rm double, rb string"
+_MEMBER_NAMES = "text story_id story_title domain item_type item_id created_at platform_uri root_uri author hashtags matched_keywords route_score route_runner route_margin route_boost".split()
+
+
+def encode_member(**fields: Column) -> Column:
+    """JSON of an item's fields (names as decode_member gives them); texts are cut to 120 characters, absent fields left out."""
+    short = dict(zip(_MEMBER_NAMES, (x.split()[0] for x in MEMBER.split(", ")), strict=True))
+    own = {n: (F.substring(c, 1, 120) if n == "text" else c) for n, c in fields.items()}
+    return F.to_json(F.struct(*[c.alias(short[n]) for n, c in own.items()]))
+
+
+def decode_member(member: Column) -> Column:
+    """A struct of an item's fields; what is missing is empty or 0, and what is no JSON is the text itself."""
+    got = F.from_json(member, MEMBER)
+    empty = {"string": F.lit(""), "long": F.lit(0).cast("long"), "double": F.lit(0.0), "array<string>": F.array().cast("array<string>")}
+    broken = F.get_json_object(member, "$").isNull()
+    out = []
+    for name, field in zip(_MEMBER_NAMES, MEMBER.split(", "), strict=True):
+        short, kind = field.split()
+        blank = member if name == "text" else empty[kind]
+        out.append(F.when(broken, blank).otherwise(F.coalesce(got[short], empty[kind])).alias(name))
+    return F.struct(*out)

@@ -2,46 +2,65 @@
 
 from __future__ import annotations
 
-#: Weighted topic keywords. 3 names, 2 jargon and phrases, 1 generic words.
-TOPIC_KEYWORDS: dict[str, dict[int, str]] = {
-    "ai": {3: "gpt, llm, openai, chatgpt, anthropic, mistral, llama, gemini, claude, rlhf", 2: "machine learning, deep learning, neural network, fine-tuning, foundation model", 1: "neural, ai"},
-    "security": {3: "ransomware, malware, cve, zero-day", 2: "cybersecurity, vulnerability, phishing, exploit", 1: "breach, hack, security"},
-    "startup": {3: "series a, series b, series c, ipo", 2: "acquisition, acquired, venture capital, valuation", 1: "funding, startup, seed"},
-    "crypto": {3: "bitcoin, ethereum, solana, binance, coinbase", 2: "blockchain, defi, web3, nft", 1: "crypto"},
-    "science": {
-        3: "arxiv, crispr, genomics, nasa, blue origin, new glenn, starship",
-        2: "rocket, orbital, aerospace, booster, physics, biology, chemistry, climate, journal",
-        1: "spacex, discovery, research, study, paper, space, launch",
-    },
-    "tech": {3: "nvidia, amd, apple, google, microsoft, amazon, meta", 2: "home assistant, sqlite, postgres, oauth, gpu, chip, hardware", 1: "database, software, laptop, open source"},
-    "policy": {3: "gdpr, antitrust, sec, congress, senate", 2: "regulation, court, government, election", 1: "law, policy, ban"},
-}
+#: Fixed values: (channel, keyword, weight) for story titles. 3 names, 2 jargon and phrases, 1 generic words.
+STORY_KEYWORDS = [
+    ("ai", "gpt", 3.0), ("ai", "llm", 3.0), ("ai", "openai", 3.0), ("ai", "chatgpt", 3.0), ("ai", "anthropic", 3.0),
+    ("ai", "mistral", 3.0), ("ai", "llama", 3.0), ("ai", "gemini", 3.0), ("ai", "claude", 3.0), ("ai", "rlhf", 3.0),
+    ("ai", "machine learning", 2.0), ("ai", "deep learning", 2.0), ("ai", "neural network", 2.0), ("ai", "fine-tuning", 2.0), ("ai", "foundation model", 2.0),
+    ("ai", "neural", 1.0), ("ai", "ai", 1.0),
+    ("security", "ransomware", 3.0), ("security", "malware", 3.0), ("security", "cve", 3.0), ("security", "zero-day", 3.0),
+    ("security", "cybersecurity", 2.0), ("security", "vulnerability", 2.0), ("security", "phishing", 2.0), ("security", "exploit", 2.0),
+    ("security", "breach", 1.0), ("security", "hack", 1.0), ("security", "security", 1.0),
+    ("startup", "series a", 3.0), ("startup", "series b", 3.0), ("startup", "series c", 3.0), ("startup", "ipo", 3.0),
+    ("startup", "acquisition", 2.0), ("startup", "acquired", 2.0), ("startup", "venture capital", 2.0), ("startup", "valuation", 2.0),
+    ("startup", "funding", 1.0), ("startup", "startup", 1.0), ("startup", "seed", 1.0),
+    ("crypto", "bitcoin", 3.0), ("crypto", "ethereum", 3.0), ("crypto", "solana", 3.0), ("crypto", "binance", 3.0), ("crypto", "coinbase", 3.0),
+    ("crypto", "blockchain", 2.0), ("crypto", "defi", 2.0), ("crypto", "web3", 2.0), ("crypto", "nft", 2.0), ("crypto", "crypto", 1.0),
+    ("science", "arxiv", 3.0), ("science", "crispr", 3.0), ("science", "genomics", 3.0),
+    ("science", "nasa", 3.0), ("science", "blue origin", 3.0), ("science", "new glenn", 3.0), ("science", "starship", 3.0),
+    ("science", "rocket", 2.0), ("science", "orbital", 2.0), ("science", "aerospace", 2.0), ("science", "booster", 2.0), ("science", "spacex", 1.0),
+    ("science", "physics", 2.0), ("science", "biology", 2.0), ("science", "chemistry", 2.0), ("science", "climate", 2.0), ("science", "journal", 2.0),
+    ("science", "discovery", 1.0), ("science", "research", 1.0), ("science", "study", 1.0), ("science", "paper", 1.0), ("science", "space", 1.0), ("science", "launch", 1.0),
+    ("tech", "nvidia", 3.0), ("tech", "amd", 3.0), ("tech", "apple", 3.0), ("tech", "google", 3.0), ("tech", "microsoft", 3.0), ("tech", "amazon", 3.0), ("tech", "meta", 3.0),
+    ("tech", "home assistant", 2.0), ("tech", "sqlite", 2.0), ("tech", "postgres", 2.0), ("tech", "oauth", 2.0), ("tech", "gpu", 2.0), ("tech", "chip", 2.0), ("tech", "hardware", 2.0),
+    ("tech", "database", 1.0), ("tech", "software", 1.0), ("tech", "laptop", 1.0), ("tech", "open source", 1.0),
+    ("policy", "gdpr", 3.0), ("policy", "antitrust", 3.0), ("policy", "sec", 3.0), ("policy", "congress", 3.0), ("policy", "senate", 3.0),
+    ("policy", "regulation", 2.0), ("policy", "court", 2.0), ("policy", "government", 2.0), ("policy", "election", 2.0),
+    ("policy", "law", 1.0), ("policy", "policy", 1.0), ("policy", "ban", 1.0),
+]
 
-#: Domain, channel, boost.
-DOMAIN_BOOSTS = """
-github.com tech 2
-arxiv.org science 3
-techcrunch.com startup 2
-sec.gov policy 3
-reuters.com policy 1
-bloomberg.com startup 1
-wired.com tech 1
-arstechnica.com tech 1
-theregister.com security 2
-krebsonsecurity.com security 3
-coindesk.com crypto 3
-nature.com science 3
-science.org science 3
-nasa.gov science 3
-space.com science 2
-spacenews.com science 2
-"""
+#: Fixed values: (domain, channel, boost) for stories.
+STORY_BOOSTS = [
+    ("github.com", "tech", 2.0), ("arxiv.org", "science", 3.0), ("techcrunch.com", "startup", 2.0), ("sec.gov", "policy", 3.0), ("reuters.com", "policy", 1.0), ("bloomberg.com", "startup", 1.0),
+    ("wired.com", "tech", 1.0), ("arstechnica.com", "tech", 1.0), ("theregister.com", "security", 2.0), ("krebsonsecurity.com", "security", 3.0), ("coindesk.com", "crypto", 3.0),
+    ("nature.com", "science", 3.0), ("science.org", "science", 3.0), ("nasa.gov", "science", 3.0), ("space.com", "science", 2.0), ("spacenews.com", "science", 2.0),
+]
 
 #: Channels from first to last in a tie; the last is for what no channel claims.
-PRIORITY = ["ai", "security", "crypto", "startup", "policy", "science", "tech", "general"]
-
-#: Keywords whose inflected forms count too.
-PREFIX_ROOTS = {"hack", "breach", "exploit", "leak", "protest", "artfight", "strike", "union"}
+STORY_PRIORITY = ["ai", "security", "crypto", "startup", "policy", "science", "tech", "general"]
+
+#: Keywords whose inflected forms count too, of stories and of posts.
+STORY_ROOTS = {"hack", "breach", "exploit", "llm", "foundation model"}
+POST_ROOTS = {"hack", "breach", "exploit", "leak", "protest", "artfight", "strike", "union"}
+
+#: Fixed values for posts: (domain, channel, boost).
+POST_BOOSTS = [
+    ("apnews.com", "war_diplomacy", 3.0), ("bbc.com", "war_diplomacy", 2.0), ("reuters.com", "war_diplomacy", 2.0), ("theguardian.com", "war_diplomacy", 2.0), ("nytimes.com", "war_diplomacy", 2.0),
+    ("aljazeera.com", "war_diplomacy", 3.0), ("smh.com.au", "war_diplomacy", 2.0), ("abc.net.au", "war_diplomacy", 2.0), ("abc7.com", "war_diplomacy", 1.0), ("nation.cymru", "war_diplomacy", 2.0),
+    ("bbc.co.uk", "war_diplomacy", 2.0), ("europesays.com", "war_diplomacy", 1.0), ("msn.com", "war_diplomacy", 1.0),
+    ("washingtonpost.com", "us_politics", 2.0), ("politico.com", "us_politics", 3.0), ("thehill.com", "us_politics", 2.0), ("salon.com", "us_politics", 2.0), ("laprogressive.com", "us_politics", 2.0),
+    ("krebsonsecurity.com", "cybersecurity", 3.0), ("theregister.com", "cybersecurity", 2.0), ("wired.com", "cybersecurity", 1.0),
+    ("arxiv.org", "science_space", 3.0), ("nature.com", "science_space", 3.0), ("science.org", "science_space", 3.0), ("nasa.gov", "science_space", 3.0),
+    ("pubmed.ncbi.nlm.nih.gov", "health_medicine", 3.0),
+    ("spc.noaa.gov", "climate_weather", 3.0), ("weather.gov", "climate_weather", 2.0), ("wpc.ncep.noaa.gov", "climate_weather", 2.0), ("mesonet.agron.iastate.edu", "climate_weather", 2.0),
+    ("coindesk.com", "money_markets", 3.0), ("bloomberg.com", "money_markets", 2.0), ("wsj.com", "money_markets", 2.0), ("ft.com", "money_markets", 2.0),
+    ("github.com", "ai_tech", 2.0), ("techcrunch.com", "ai_tech", 2.0), ("arstechnica.com", "ai_tech", 2.0), ("thedrive.com", "ai_tech", 1.0),
+    ("youtu.be", "entertainment_fandom", 2.0), ("youtube.com", "entertainment_fandom", 2.0), ("open.spotify.com", "entertainment_fandom", 2.0), ("ign.com", "entertainment_fandom", 3.0),
+    ("variety.com", "entertainment_fandom", 2.0), ("rollingstone.com", "entertainment_fandom", 2.0), ("berlinartlink.com", "entertainment_fandom", 2.0), ("ko-fi.com", "entertainment_fandom", 2.0),
+    ("artfight.net", "entertainment_fandom", 3.0), ("archiveofourown.org", "entertainment_fandom", 3.0), ("store.steampowered.com", "entertainment_fandom", 3.0),
+    ("niemanlab.org", "social_platforms", 2.0), ("poynter.org", "social_platforms", 2.0),
+    ("transfermarkt.com", "sports", 3.0),
+]
 
 #: Fixed values for posts: channels from first to last in a tie, least scores, weights.
 POST_PRIORITY = [
@@ -54,19 +73,22 @@ HASHTAG_WEIGHT, GATED_WEIGHT = 1.5, 0.25
 #: Per channel weak keywords, and strong terms without which they count a quarter.
 CONTEXT_GATES = {
     "cybersecurity": (
-        "exploit, security, hack, attack, threat, breach",
-        "cve, zero-day, ransomware, malware, phishing, vulnerability, nsa, cisa, fbi, apt, backdoor, spyware, trojan, rootkit, keylogger, botnet",
+        ["exploit", "security", "hack", "attack", "threat", "breach"],
+        ["cve", "zero-day", "ransomware", "malware", "phishing", "vulnerability", "nsa", "cisa", "fbi", "apt", "backdoor", "spyware", "trojan", "rootkit", "keylogger", "botnet"],
     ),
     "science_space": (
-        "science, research, study, discovery, space",
-        "nasa, spacex, arxiv, esa, telescope, galaxy, black hole, biorxiv, medrxiv, jwst, asteroid, neutron, quasar, exoplanet, hubble, rocket",
+        ["science", "research", "study", "discovery", "space"],
+        ["nasa", "spacex", "arxiv", "esa", "telescope", "galaxy", "black hole", "biorxiv", "medrxiv", "jwst", "asteroid", "neutron", "quasar", "exoplanet", "hubble", "rocket"],
     ),
     "health_medicine": (
-        "health, medicine, medical, doctor, hospital",
-        "fda, cdc, who, nih, vaccine, clinical, pandemic, outbreak, treatment, diagnosis, pathogen, trial, pharmaceutical, mortality",
+        ["health", "medicine", "medical", "doctor", "hospital"],
+        ["fda", "cdc", "who", "nih", "vaccine", "clinical", "pandemic", "outbreak", "treatment", "diagnosis", "pathogen", "trial", "pharmaceutical", "mortality"],
     ),
 }
 
+#: Domains that feed a channel with papers.
+FEED_DOMAINS = {"science_space": ["arxiv.org", "biorxiv.org", "medrxiv.org"]}
+
 #: Hashtag and the words it stands for.
 HASHTAG_ALIASES = {
     "wx": "weather noaa forecast",
@@ -162,13 +184,3 @@ upvote downvote thread moderator subreddit submission compose removed likes view
 people person game play year new content thank unfortunately deleted following reason per hey scope limit rule
 jpeg pjpg webp width format gif giphy redd auto preview
 """.split()
-
-
-def keyword_rows(table: dict[str, dict[int, str]] = TOPIC_KEYWORDS) -> list[tuple[str, str, float]]:
-    """(channel, keyword, weight) of a keyword table."""
-    return [(channel, k.strip(), float(weight)) for channel, own in table.items() for weight, words in own.items() for k in words.split(",")]
-
-
-def boost_rows(table: str = DOMAIN_BOOSTS) -> list[tuple[str, str, float]]:
-    """(domain, channel, boost)."""
-    return [(d, c, float(b)) for d, c, b in (line.split() for line in table.strip().splitlines())]

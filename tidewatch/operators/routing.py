@@ -1,73 +1,110 @@
 """Topic routing: weighted keywords, layers, domain boosts, gates and a winner.
 
-Keywords of one plain word meet an item's distinct words in an equi-join with
-the keyword table; phrases, hyphened words and prefix roots are literal patterns
-on the text. Both give (item, layer, channel, keyword, weight) rows that sum to
-scores. The table's size is checked before it is broadcast.
+Matching keeps an item in its row: its distinct words meet the table's plain
+keywords as sets, a phrase is tried only where all its words occur, and prefix
+roots are literal patterns. What matched is looked up in the keyword table, and
+(item, channel, score) rows sum to scores. Tables are broadcast up to a checked
+size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.checkpoints import checkpointed
-from tidewatch.functions.text import camel_split, keyword_pattern
-from tidewatch.functions.vocabulary import CONTEXT_GATES, GATED_WEIGHT, HASHTAG_ALIASES, HASHTAG_WEIGHT, LEAST_SCORES, POST_PRIORITY, PREFIX_ROOTS, PRIORITY, boost_rows, keyword_rows
+from tidewatch.functions.text import camel_split, keyword_pattern, one_word
+from tidewatch.functions.vocabulary import CONTEXT_GATES, GATED_WEIGHT, HASHTAG_ALIASES, HASHTAG_WEIGHT, LEAST_SCORES, POST_BOOSTS, POST_PRIORITY, POST_ROOTS, STORY_BOOSTS, STORY_KEYWORDS, STORY_PRIORITY, STORY_ROOTS
 
-BROADCAST_KEYWORDS = 100_000
+BROADCAST_ROWS = 100_000
+KEYWORDS = "channel string, keyword string, weight double"
+BOOSTS = "domain string, channel string, boost double"
 
 
 @dataclass
 class Table:
-    """What a router knows: (channel, keyword, weight), (domain, channel, boost), ties, floors and gates."""
+    """What a router knows: (channel, keyword, weight), (domain, channel, boost), ties, floors, gates and prefix roots.
+
+    gates: per channel its weak keywords and strong terms. runners: channels in
+    the order that decides ties for the second place, by default the priority;
+    a channel that a boost alone brought comes last there.
+    """
 
     keywords: list[tuple[str, str, float]]
     boosts: list[tuple[str, str, float]]
     priority: list[str]
     floors: dict[str, float] = field(default_factory=dict)
-    gates: dict[str, tuple[str, str]] = field(default_factory=dict)
-    prefixes: set[str] = field(default_factory=lambda: PREFIX_ROOTS)
+    gates: dict[str, tuple[list[str], list[str]]] = field(default_factory=dict)
+    prefixes: set[str] = field(default_factory=set)
+    runners: list[str] | None = None
 
 
 def story_table() -> Table:
     """The table for story titles."""
-    return Table(keyword_rows(), boost_rows(), PRIORITY)
+    return Table(STORY_KEYWORDS, STORY_BOOSTS, STORY_PRIORITY, prefixes=STORY_ROOTS, runners=list(dict.fromkeys(c for c, _, _ in STORY_KEYWORDS)))
+
+
+def post_table(keywords: list[tuple[str, str, float]], boosts: list[tuple[str, str, float]] | None = None) -> Table:
+    """The table for posts; its large keyword list comes from the caller, e.g. by stored_keywords."""
+    return Table(keywords, POST_BOOSTS if boosts is None else boosts, POST_PRIORITY, LEAST_SCORES, CONTEXT_GATES, POST_ROOTS)
+
+
+def stored_keywords(spark: SparkSession, path: str, most: int = BROADCAST_ROWS) -> list[tuple[str, str, float]]:
+    """(channel, keyword, weight) rows of a CSV file with that header, in the file's order; more than `most` are an error."""
+    rows = spark.read.csv(path, schema=KEYWORDS, header=True).coalesce(1).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} keywords in {path}")
+    return [(r["channel"], r["keyword"].lower(), r["weight"]) for r in rows]
+
+
+def _known(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
-def post_table(keywords: list[tuple[str, str, float]], boosts: list[tuple[str, str, float]]) -> Table:
-    """A table for posts: its large keyword and boost lists come from the caller."""
-    return Table(keywords, boosts, POST_PRIORITY, LEAST_SCORES, CONTEXT_GATES)
+def _hits(text: Column, table: Table) -> Column:
+    """The table's keywords that a text holds, each once."""
+    names = list(dict.fromkeys(k for _, k, _ in table.keywords))
+    plain = [k for k in names if one_word(k) and k not in table.prefixes]
+    phrases = [k for k in names if not one_word(k) and k not in table.prefixes]
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
+    literal = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    found = [F.array_intersect(literal(plain), words)]
+    for k in phrases:
+        # all its words first, as sets; the pattern, which knows what stands between them, only then
+        parts = [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in k).split()]
+        maybe = F.size(F.array_intersect(literal(parts), F.col("_phrase_words"))) == len(set(parts))
+        found.append(F.when(maybe & text.rlike(keyword_pattern(k, table.prefixes)), F.array(F.lit(k))).otherwise(literal([])))
+    found += [F.when(text.rlike(keyword_pattern(k, table.prefixes)), F.array(F.lit(k))).otherwise(literal([])) for k in names if k in table.prefixes]
+    return F.concat(*found)
+
+
+def _phrase_words(text: Column, table: Table) -> Column:
+    parts = {w for _, k, _ in table.keywords if not one_word(k) and k not in table.prefixes for w in "".join(c if c.isalnum() or c == "_" else " " for c in k).split()}
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.array_intersect(F.array(*map(F.lit, sorted(parts))), words) if parts else F.array().cast("array<string>")
 
 
 def matches(items: DataFrame, key: str, layers: dict[str, tuple[Column, float]], table: Table) -> DataFrame:
-    """key, layer, channel, keyword, score: one row for every keyword that a layer's text holds.
+    """key, layer, channel, keyword, at, score: one row for every keyword that a layer's text holds.
 
-    layers: name to (text, multiplier). key is unique.
+    layers: name to (text, multiplier). key is unique. at orders rows by layer
+    and then by the table.
     """
-    spark = items.sparkSession
-    plain = [k for k in table.keywords if k[1].isalnum() and k[1].isascii() and k[1] not in table.prefixes]
-    other = [k for k in table.keywords if k not in plain]
-    rows = items.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), F.coalesce(t, F.lit("")).alias("text"), F.lit(m).alias("times")) for n, (t, m) in layers.items()])).alias("l")).select(key, "l.*").where("text <> ''")
-    out = None
-    if plain:
-        known = spark.createDataFrame(plain, "channel string, keyword string, weight double")
-        known = F.broadcast(known) if len(plain) <= BROADCAST_KEYWORDS else known
-        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-        out = rows.select(key, "layer", "times", F.explode(words).alias("keyword")).join(known, "keyword").select(key, "layer", "channel", "keyword", (F.col("weight") * F.col("times")).alias("score"))
-    if other:
-        hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(keyword_pattern(k, table.prefixes)), F.struct(F.lit(c).alias("channel"), F.lit(k).alias("keyword"), F.lit(w).alias("weight"))) for c, k, w in other]))
-        found = rows.select(key, "layer", "times", F.explode(hits).alias("h")).select(key, "layer", "h.channel", "h.keyword", (F.col("h.weight") * F.col("times")).alias("score"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    rows = items.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(n).alias("layer"), F.coalesce(t, F.lit("")).alias("text"), F.lit(m).alias("times")) for i, (n, (t, m)) in enumerate(layers.items())])).alias("l")).select(key, "l.*").where("text <> ''")
+    rows = rows.withColumn("_phrase_words", _phrase_words(F.col("text"), table))
+    hits = rows.select(key, "no", "layer", "times", F.explode(_hits(F.col("text"), table)).alias("keyword"))
+    placed = [(*row, at) for at, row in enumerate(table.keywords)]
+    known = _known(items.sparkSession, placed, f"{KEYWORDS}, place long")
+    return hits.join(known, "keyword").select(key, "layer", "channel", "keyword", (F.col("no") * len(placed) + F.col("place")).alias("at"), (F.col("weight") * F.col("times")).alias("score"))
 
 
 def boosts(items: DataFrame, key: str, host: Column, table: Table) -> DataFrame:
-    """key, layer, channel, keyword, score for items whose domain has a boost."""
-    known = F.broadcast(items.sparkSession.createDataFrame(table.boosts, "_host string, channel string, score double"))
-    return items.select(key, host.alias("_host")).join(known, "_host").select(key, F.lit("domain").alias("layer"), "channel", F.lit(None).cast("string").alias("keyword"), "score")
+    """key, layer, channel, keyword, at, score for items whose domain has a boost."""
+    known = _known(items.sparkSession, table.boosts, "_host string, channel string, score double")
+    return items.select(key, host.alias("_host")).join(known, "_host").select(key, F.lit("domain").alias("layer"), "channel", F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("long").alias("at"), "score")
 
 
 def hashtag_text(tags: Column) -> Column:
@@ -77,60 +114,80 @@ def hashtag_text(tags: Column) -> Column:
 
 
 def scores(found: DataFrame, key: str) -> DataFrame:
-    """key, channel, score, keywords, boosted of (key, layer, channel, keyword, score) rows."""
-    return found.groupBy(key, "channel").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("keyword")).alias("keywords"), F.bool_or(F.col("layer") == "domain").alias("boosted"))
+    """key, channel, score, keywords, body_score, embed_score of rows as matches and boosts give them.
+
+    keywords are distinct, in the order of layers and table. body_score is of all
+    layers but embed and domain.
+    """
+    of = lambda those: F.sum(F.when(those, F.col("score")).otherwise(0.0))
+    seen = F.transform(F.array_sort(F.collect_set(F.when(F.col("keyword").isNotNull(), F.struct("at", "keyword")))), lambda x: x["keyword"])
+    return found.groupBy(key, "channel").agg(F.sum("score").alias("score"), F.array_distinct(seen).alias("keywords"), of(~F.col("layer").isin("embed", "domain")).alias("body_score"), of(F.col("layer") == "embed").alias("embed_score"))
 
 
 def gated(scored: DataFrame, texts: DataFrame, key: str, text: Column, table: Table) -> DataFrame:
     """Scores a quarter as high where only weak keywords matched and the text has no strong term."""
-    both = scored.join(texts.select(key, F.lower(text).alias("_text")), key)
-    score = F.col("score")
-    for channel, (weak, strong) in table.gates.items():
-        only_weak = (F.size("keywords") > 0) & (F.size(F.array_except("keywords", F.array(*[F.lit(w.strip()) for w in weak.split(",")]))) == 0)
-        any_strong = F.exists(F.array(*[F.lit(s.strip()) for s in strong.split(",")]), lambda s: F.contains(F.col("_text"), s))
-        score = F.when((F.col("channel") == channel) & only_weak & ~any_strong, F.col("score") * GATED_WEIGHT).otherwise(score)
-    return both.withColumn("score", score).drop("_text")
+    strong_there = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, strong)), lambda s: F.contains(F.col("_text"), s)), F.lit(channel)) for channel, (_, strong) in table.gates.items()]))
+    told = texts.select(key, F.lower(text).alias("_text")).select(key, strong_there.alias("_strong"))  # names of channels travel, not texts
+    only_weak = F.lit(False)
+    for channel, (weak, _) in table.gates.items():
+        only_weak = only_weak | ((F.col("channel") == channel) & (F.size("keywords") > 0) & (F.size(F.array_except("keywords", F.array(*map(F.lit, weak)))) == 0))
+    score = F.when(only_weak & ~F.array_contains("_strong", F.col("channel")), F.col("score") * GATED_WEIGHT).otherwise(F.col("score"))
+    return scored.join(told, key).withColumn("score", score).drop("_strong")
 
 
 def winners(scored: DataFrame, items: DataFrame, key: str, table: Table) -> DataFrame:
-    """key, channel, top_score, second_channel, second_score, score_margin, matched_keywords, domain_boost_used, drop_reason for every item.
+    """One row per item: key, channel, top_score, second_channel, second_score, score_margin, matched_keywords, body_score, embed_score, raw_channel_scores, eligible_channel_scores, failed_min_score_channels, min_score_applied, drop_reason.
 
     The highest score wins, ties by priority. Channels under their floor cannot
     win; items of which all are under it go to the last channel for that reason.
+    An item has at most as many scores as there are channels.
     """
-    rank = F.create_map(*[F.lit(x) for i, c in enumerate(table.priority) for x in (c, i)])
-    floor = F.create_map(*[F.lit(x) for c, f in table.floors.items() for x in (c, f)]) if table.floors else None
-    eligible = F.lit(True) if floor is None else F.col("score") >= F.coalesce(F.element_at(floor, F.col("channel")), F.lit(0.0))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), F.coalesce(F.element_at(rank, F.col("channel")), F.lit(len(table.priority))), "channel")
-    ranked = scored.where("score > 0").withColumn("eligible", eligible)
-    best = ranked.where("eligible").withColumn("place", F.row_number().over(order))
-    at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
-    top = best.where("place <= 2").groupBy(key).agg(at(1, "channel").alias("channel"), at(1, "score").alias("top_score"), at(2, "channel").alias("second_channel"), at(2, "score").alias("second_score"), F.max(F.when(F.col("place") == 1, F.col("keywords"))).alias("matched_keywords"), F.bool_or(F.when(F.col("place") == 1, F.col("boosted"))).alias("domain_boost_used"))
-    low = ranked.groupBy(key).agg(F.bool_or("eligible").alias("any"))
-    met = items.select(key).join(top, key, "left").join(low, key, "left")
-    return met.select(
+    lookup = lambda pairs: F.create_map(*[F.lit(x) for p in pairs for x in p])
+    place = lambda order: F.coalesce(F.element_at(lookup([(c, i) for i, c in enumerate(order)]), F.col("channel")), F.lit(len(order)))
+    floor = F.coalesce(F.element_at(lookup(table.floors.items()), F.col("channel")), F.lit(0.0)) if table.floors else F.lit(0.0)
+    runner = F.when(F.size("keywords") > 0, place(table.runners)).otherwise(len(table.runners)) if table.runners else place(table.priority)
+    row = F.struct((-F.col("score")).alias("less"), place(table.priority).alias("first"), runner.alias("next"), "channel", "score", "keywords", "body_score", "embed_score", floor.alias("floor"))
+    held = scored.where("score > 0").groupBy(key).agg(F.collect_list(row).alias("all"))
+    held = held.withColumn("fit", F.array_sort(F.filter("all", lambda r: r["score"] >= r["floor"])))
+    held = held.withColumn("top", F.get("fit", F.lit(0)))
+    second = F.array_min(F.transform(F.slice("fit", 2, F.size("fit")), lambda r: F.struct(r["less"], r["next"], r["channel"])))
+    scores_of = lambda c: F.map_from_entries(F.transform(F.array_sort(F.transform(c, lambda r: F.struct(r["channel"], F.round(r["score"], 3)))), lambda r: r))
+    failed = F.transform(F.filter("all", lambda r: r["score"] < r["floor"]), lambda r: F.struct(r["channel"].alias("channel"), F.round(r["score"], 3).alias("score"), r["floor"].alias("min_required")))
+    held = held.select(key, "top", second.alias("second"), scores_of(F.col("all")).alias("raw"), scores_of(F.col("fit")).alias("eligible"), failed.alias("failed"))
+    zero, none = F.lit(0.0), F.create_map().cast("map<string,double>")
+    lost = F.coalesce(-F.col("second")["less"], zero)
+    return items.select(key).join(held, key, "left").select(
         key,
-        F.coalesce("channel", F.lit(table.priority[-1])).alias("channel"),
-        F.coalesce("top_score", F.lit(0.0)).alias("top_score"),
-        F.coalesce("second_channel", F.lit("")).alias("second_channel"),
-        F.coalesce("second_score", F.lit(0.0)).alias("second_score"),
-        F.round(F.coalesce("top_score", F.lit(0.0)) - F.coalesce("second_score", F.lit(0.0)), 2).alias("score_margin"),
-        F.coalesce("matched_keywords", F.array().cast("array<string>")).alias("matched_keywords"),
-        F.coalesce("domain_boost_used", F.lit(False)).alias("domain_boost_used"),
-        F.when(~F.col("any"), "below_channel_floor").alias("drop_reason"),
+        F.coalesce("top.channel", F.lit(table.priority[-1])).alias("channel"),
+        F.coalesce("top.score", zero).alias("top_score"),
+        F.coalesce("second.channel", F.lit("")).alias("second_channel"),
+        lost.alias("second_score"),
+        F.round(F.coalesce("top.score", zero) - lost, 3).alias("score_margin"),
+        F.coalesce("top.keywords", F.array().cast("array<string>")).alias("matched_keywords"),
+        F.round(F.coalesce("top.body_score", zero), 3).alias("body_score"),
+        F.round(F.coalesce("top.embed_score", zero), 3).alias("embed_score"),
+        F.coalesce("raw", none).alias("raw_channel_scores"),
+        F.coalesce("eligible", none).alias("eligible_channel_scores"),
+        F.coalesce("failed", F.array().cast("array<struct<channel:string,score:double,min_required:double>>")).alias("failed_min_score_channels"),
+        F.coalesce(F.size("failed") > 0, F.lit(False)).alias("min_score_applied"),
+        F.when(F.col("raw").isNotNull() & F.col("top").isNull(), "below_channel_floor").otherwise("").alias("drop_reason"),
     )
 
 
 def route(items: DataFrame, key: str, layers: dict[str, tuple[Column, float]], host: Column | None = None, gate_text: Column | None = None, table: Table | None = None) -> DataFrame:
-    """Route items whose key is unique; see winners for the columns."""
+    """Route items whose key is unique: the columns of winners and domain_boost_used, e.g. "arxiv.org → science+3", empty without one."""
     table = table or story_table()
     found = matches(items, key, layers, table)
+    used = items.select(key, F.lit("").alias("domain_boost_used"))
     if host is not None:
         found = found.unionByName(boosts(items, key, host, table))
+        known = _known(items.sparkSession, table.boosts, "_host string, _to string, _boost double")
+        text = F.concat(F.col("_host"), F.lit(" → "), F.col("_to"), F.lit("+"), F.col("_boost").cast("int").cast("string"))
+        used = items.select(key, host.alias("_host")).join(known, "_host", "left").select(key, F.coalesce(text, F.lit("")).alias("domain_boost_used"))
     scored = scores(found, key)
     if table.gates and gate_text is not None:
         scored = gated(scored, items, key, gate_text, table)
-    return winners(scored, items, key, table)
+    return winners(scored, items, key, table).join(used, key)
 
 
 def route_posts(posts: DataFrame, key: str, table: Table) -> DataFrame:
@@ -140,6 +197,16 @@ def route_posts(posts: DataFrame, key: str, table: Table) -> DataFrame:
     return route(posts, key, layers, F.col("domain"), text, table)
 
 
+AUDIT = ("sec", "story_id", "story_title", "domain", "assigned_channel", "top_score", "second_channel", "second_score", "score_margin", "matched_keywords", "domain_boost_used")
+
+
+def routing_audit(stories: DataFrame, key: str, routed: DataFrame) -> DataFrame:
+    """One audit row per story (sec, story_id, story_title, domain) of what route said of it, keywords joined."""
+    met = stories.select(key, "sec", "story_id", "story_title", "domain").join(routed, key)
+    met = met.withColumn("matched_keywords", F.array_join("matched_keywords", ", ")).withColumnRenamed("channel", "assigned_channel")
+    return met.select(*AUDIT)
+
+
 def inherit(items: DataFrame, rounds: int = 64) -> DataFrame:
     """item_id, root_id, channel of items (item_id, parent_id, channel): a comment takes its parent's channel and root.
 
