@@ -73,3 +73,52 @@ def drop_reason(body: Column, langs: Column, hashtags: Column, channel: Column)
 def capped(rows: DataFrame, by: list[str], order: list[str], most: int = 200) -> DataFrame:
     """The first `most` rows of every group: a report's bounded samples."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= most).drop("_rank")
+
+
+def run_summary(posts: DataFrame, keywords: int = 20, hashtags: int = 30, domains: int = 20) -> DataFrame:
+    """One row on a run over posts (drop_reason, langs, channel, matched_keywords, hashtags, domain): totals, rates, and counts by reason, channel, keyword, hashtag, domain.
+
+    Counts are arrays of (value, n), the most frequent first, ties by spelling;
+    keywords are of kept posts, hashtags and domains of posts no channel claims.
+    """
+    kept, lost = F.col("drop_reason").isNull(), F.col("drop_reason") == "unmatched_topic"
+
+    def counted(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        counts = rows.where(F.coalesce("value", F.lit("")) != "").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+        counts = counts if most is None else counts.limit(most)
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value", "n")))
+        return counts.agg(F.transform(listed, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(name))
+
+    n = F.count("*")
+    out = posts.agg(n.alias("total_seen"), F.count_if(F.array_contains("langs", "en")).alias("english_seen"), F.count_if(kept).alias("kept_count"), F.count_if(~kept).alias("dropped_count"))
+    rate = lambda c: F.round(F.col(c) / F.greatest(F.col("total_seen"), F.lit(1)), 4)
+    out = out.withColumns({"kept_rate": rate("kept_count"), "dropped_rate": rate("dropped_count")})
+    parts = [
+        counted(posts.where(~kept).select(F.col("drop_reason").alias("value")), "dropped_by_reason"), counted(posts.where(kept).select(F.col("channel").alias("value")), "kept_by_channel"),
+        counted(posts.where(kept).select(F.explode("matched_keywords").alias("value")), "top_matched_keywords", keywords),
+        counted(posts.where(lost).select(F.explode("hashtags").alias("value")), "top_unmatched_hashtags", hashtags), counted(posts.where(lost).select(F.col("domain").alias("value")), "top_unmatched_domains", domains),
+    ]
+    for part in parts:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out
+
+
+def kept_sample(posts: DataFrame, most: int = 100, width: int = 200) -> DataFrame:
+    """The newest kept posts, a bounded report."""
+    newest = posts.orderBy(F.desc("sec"), F.desc("id")).limit(most)
+    return newest.withColumn("body", F.substring("body", 1, width))
+
+
+def kept_health(posts: DataFrame) -> DataFrame:
+    """Per channel of kept posts: their number, and how many a minute over the time that all of them span."""
+    whole = posts.agg((F.max("sec") - F.min("sec")).alias("span"))
+    counts = posts.groupBy("channel").agg(F.count("*").alias("n"))
+    minutes = F.greatest(F.col("span"), F.lit(1)) / 60
+    return counts.crossJoin(F.broadcast(whole)).select("channel", "n", F.round(F.col("n") / minutes, 1).alias("kept_per_min"))  # one row
+
+
+def between(items: DataFrame, first: int | None = None, end: int | None = None) -> DataFrame:
+    """Items with first <= sec < end, either side open."""
+    if first is not None:
+        items = items.where(F.col("sec") >= first)
+    return items if end is None else items.where(F.col("sec") < end)

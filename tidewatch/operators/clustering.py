@@ -7,14 +7,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.checkpoints import checkpointed
 from tidewatch.functions.text import tokens
 from tidewatch.functions.vocabulary import LONE_CLUSTER_STOPWORDS
+from tidewatch.operators.crosschannel import components
 
 #: Clustering and keyword defaults.
 EPS, MIN_SAMPLES, TOP_KEYWORDS = 0.5, 5, 8
+BLOCK_POINTS = 4000
 SPIKE, LEAST_BUCKETS, BASELINE_SECONDS = 2.0, 24, 7 * 86400
 
 
+def close_to(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which points of a lie within eps of which of b."""
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T <= eps * eps + 1e-9
+
+
 def density_labels(points: np.ndarray, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> np.ndarray:
     """Cluster of each point, -1 for noise.
 
@@ -23,13 +31,7 @@ def density_labels(points: np.ndarray, eps: float = EPS, min_samples: int = MIN_
     join the first cluster with a core point near.
     """
     n = len(points)
-    near = []
-    norms = (points * points).sum(axis=1)
-    for at in range(0, n, 512):
-        some = points[at : at + 512]
-        d = norms[at : at + 512, None] + norms - 2 * some @ points.T
-        close = d <= eps * eps + 1e-9
-        near += [np.flatnonzero(row) for row in close]
+    near = [np.flatnonzero(row) for at in range(0, n, 512) for row in close_to(points[at : at + 512], points, eps)]
     core = np.array([len(x) >= min_samples for x in near])
     labels, found = np.full(n, -1), 0
     for i in np.flatnonzero(core):
@@ -47,15 +49,74 @@ def density_labels(points: np.ndarray, eps: float = EPS, min_samples: int = MIN_
 
 
 def cluster(points: DataFrame, by: str, key: str, vector: str, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """by, key, cluster_id of points; every group is a window's sample, which a cap bounds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        labels = density_labels(np.stack(pdf[vector].to_numpy()).astype(np.float64), eps, min_samples)
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster_id": labels})
+    """by, key, cluster_id of points by density_labels' rules, however large a group is; key is unique in its group.
 
+    Points lie in blocks of BLOCK_POINTS at most, ordered within their group by
+    key; a task holds two blocks. A first round over pairs of blocks counts
+    neighbours, which makes core points; a second finds, per pair, a spanning
+    forest of its core points and each other point's nearest core clusters.
+    Components of the forests are the clusters.
+    """
     kinds = dict(points.dtypes)
-    return points.select(by, key, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, cluster_id long")
+    own = points.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = own.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("blocks"))
+    placed = own.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        other = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        return other.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+        low = pdf.low.iloc[0]
+        a, b = pdf[pdf.block == low].sort_values("k"), pdf[pdf.block == pdf.high.iloc[0]].sort_values("k")
+        return a, b, close_to(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), eps) if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, near = sides(pdf)
+        out = pd.DataFrame({"g": a.g, "k": a.k, "n": near.sum(axis=1)})
+        if pdf.low.iloc[0] != pdf.high.iloc[0]:
+            out = pd.concat([out, pd.DataFrame({"g": b.g, "k": b.k, "n": near.sum(axis=0)})])
+        return out
+
+    key_kind, group_kind = kinds[key], kinds[by]
+    counts = paired(placed).groupBy("g", "low", "high").applyInPandas(count, f"g {group_kind}, k {key_kind}, n long")
+    core = counts.groupBy("g", "k").agg((F.sum("n") >= min_samples).alias("core"))
+    known = checkpointed(placed.join(core, ["g", "k"]))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, near = sides(pdf)
+        ca, cb = a.core.to_numpy(bool), b.core.to_numpy(bool)
+        ka, kb = a.k.to_numpy(), b.k.to_numpy()
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(near & ca[:, None] & cb[None, :]), strict=True):
+            x, y = find(ka[i]), find(kb[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((ka[i], kb[j], True))
+        for keys, others, matrix, is_core, other_core in ((ka, kb, near, ca, cb), (kb, ka, near.T, cb, ca)):
+            for i in np.flatnonzero(~is_core):
+                out += [(keys[i], r, False) for r in {find(others[j]) for j in np.flatnonzero(matrix[i] & other_core)}]
+        found = pd.DataFrame(out, columns=["k", "core_k", "both"])
+        found.insert(0, "g", pdf.g.iloc[0])
+        return found
+
+    links = checkpointed(paired(known).groupBy("g", "low", "high").applyInPandas(join, f"g {group_kind}, k {key_kind}, core_k {key_kind}, both boolean"))
+    node = lambda k: F.struct("g", F.col(k).alias("k"))
+    labels = components(links.where("both").select(node("k").alias("a"), node("core_k").alias("b")))
+    core_points = known.where("core").select(node("k").alias("id"))
+    roots = core_points.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
+    numbers = roots.select("root").distinct().select("root", (F.row_number().over(Window.partitionBy("root.g").orderBy("root.k")) - 1).cast("long").alias("cluster_id"))
+    inner = roots.join(numbers, "root").select("id", "cluster_id")
+    border = links.where("NOT both").select(node("k").alias("point"), node("core_k").alias("id")).join(inner, "id").groupBy(F.col("point").alias("id")).agg(F.min("cluster_id").alias("cluster_id"))
+    found = inner.unionByName(border)
+    return placed.select(node("k").alias("id")).join(found, "id", "left").select(F.col("id.g").alias(by), F.col("id.k").alias(key), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
@@ -66,32 +127,38 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def class_tfidf(words: DataFrame, by: list[str], top: int = TOP_KEYWORDS) -> DataFrame:
+def class_tfidf(words: DataFrame, by: list[str], top: int = TOP_KEYWORDS, usual: DataFrame | None = None) -> DataFrame:
     """by, cluster_id, token, n, tf, df, score, place: the distinctive tokens of each cluster.
 
     words: by, cluster_id, token, and optionally first (a tie goes to the token
     seen first, then by spelling). Score is frequency in the cluster times
-    ln((clusters + 1) / (clusters with it + 1)) + 1. Where a group has a single
-    cluster its further stop words go, unless that would leave nothing.
+    ln((clusters + 1) / (clusters with it + 1)) + 1, damped by `usual` (by, token,
+    base, buckets) where given. Where a group has a single cluster its further
+    stop words go from the top, unless that would leave nothing.
     """
     group = [*by, "cluster_id"]
     first = F.min("first") if "first" in words.columns else F.lit(0)
     counts = words.where("cluster_id >= 0").groupBy(*group, "token").agg(F.count("*").alias("n"), first.alias("first"))
-    sizes = words.where("cluster_id >= 0").groupBy(*by).agg(F.countDistinct("cluster_id").alias("clusters"))
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
+    sizes = totals.groupBy(*by).agg(F.count("*").alias("clusters"))
     df = counts.groupBy(*by, "token").agg(F.count("*").alias("df"))
-    totals = counts.groupBy(*group).agg(F.sum("n").alias("total"), F.count_if(~F.col("token").isin(*sorted(LONE_CLUSTER_STOPWORDS))).alias("plain"))
     met = counts.join(totals, group).join(df, [*by, "token"])
     met = met.join(sizes, by) if by else met.crossJoin(F.broadcast(sizes))  # one row
-    met = met.where((F.col("clusters") > 1) | (F.col("plain") == 0) | ~F.col("token").isin(*sorted(LONE_CLUSTER_STOPWORDS)))
     tf = F.col("n") / F.col("total")
     scored = met.withColumn("tf", tf).withColumn("score", tf * (F.log((F.col("clusters") + 1) / (F.col("df") + 1)) + 1))
+    if usual is not None:
+        scored = scored.join(usual.select(*by, "token", "base", "buckets"), [*by, "token"], "left")
+        scored = scored.withColumn("score", penalised(F.col("score"), F.col("n"), F.coalesce("base", F.lit(0)), F.coalesce("buckets", F.lit(0))))
     place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.round("score", 12)), "first", "token"))
-    return scored.withColumn("place", place).where(F.col("place") <= top).select(*group, "token", "n", "tf", "df", "score", "place")
+    best = scored.withColumn("place", place).where(F.col("place") <= top)
+    plain = ~F.col("token").isin(*sorted(LONE_CLUSTER_STOPWORDS))
+    any_plain = F.max(plain.cast("int")).over(Window.partitionBy(*group)) == 1
+    return best.withColumn("_any", any_plain).where((F.col("clusters") > 1) | ~F.col("_any") | plain).select(*group, "token", "n", "tf", "df", "score", "place")
 
 
 def penalised(score: Column, n: Column, base: Column, buckets: Column, spike: float = SPIKE, least: int = LEAST_BUCKETS) -> Column:
     """A keyword's score against its usual rate: kept where it spikes or history is short, else damped."""
-    rate = base / buckets
+    rate = base / F.greatest(buckets, F.lit(1))
     return F.when((buckets < least) | (n / F.greatest(F.lit(0.1), rate) >= spike), score).otherwise(score / (1 + F.log(rate + 1)))
 
 
@@ -140,3 +207,28 @@ def collect_texts(items: DataFrame, windows: DataFrame, most: int = 500, width:
     rank = F.row_number().over(Window.partitionBy("window_id").orderBy(F.xxhash64("id"), "id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select("window_id", "id", F.substring("body", 1, width).alias("text"))
 
+
+def reduced(points: DataFrame, vector: str, axes: int = 2) -> DataFrame:
+    """points with `reduced`, their vectors on the main axes: a linear stand-in for a learned projection.
+
+    One task a partition sums vectors and products; the axes come from the d x d
+    sums alone. Signs are fixed by each axis's largest part.
+    """
+    size = len(points.select(vector).first()[0])
+
+    def sums(batches):
+        n, total, products = 0, np.zeros(size), np.zeros((size, size))
+        for pdf in batches:
+            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            n, total, products = n + len(x), total + x.sum(axis=0), products + x.T @ x
+        yield pd.DataFrame({"n": [n], "total": [total.tolist()], "products": [products.ravel().tolist()]})
+
+    parts = points.select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(sums, "n long, total array<double>, products array<double>")
+    cell = parts.select("n", F.posexplode(F.concat("total", "products")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()  # d + d * d numbers
+    n, flat = cell[0]["n"], np.array([r["x"] for r in cell])
+    mean = flat[:size] / n
+    _, vectors = np.linalg.eigh(flat[size:].reshape(size, size) / n - np.outer(mean, mean))
+    main = vectors[:, ::-1][:, :axes]
+    main = main * np.sign(main[np.abs(main).argmax(axis=0), np.arange(main.shape[1])])
+    on = lambda axis: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(a)).alias("a")) for m, a in zip(mean, axis, strict=True)]), lambda x, p: (x - p["m"]) * p["a"]), F.lit(0.0), lambda s, x: s + x)
+    return points.withColumn("reduced", F.array(*[on(main[:, k]) for k in range(main.shape[1])]))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.checkpoints import checkpointed
+from tidewatch.functions.stem import stem, stemmed
+from tidewatch.functions.vocabulary import CROSS_CHANNEL_STOPWORDS
 
 #: Windows, overlaps and lengths.
 FLASH_SECONDS, FLASH_OVERLAP, MOST_SPAN = 7200, 0.3, 14400
@@ -14,6 +18,18 @@ SUSTAINED_OVERLAP, SUSTAINED_HOURS, LEAST_COMMON = 0.5, 4, 2
 EVENTS = "event_type string, event_start long, event_end long, channels string, keywords string, peak_z double, anomaly_count long, anomaly_ids array<long>"
 
 
+def cluster_words(clusters: DataFrame) -> DataFrame:
+    """id, cluster_id, word, distinct: stems of the keywords of clusters (id, cluster_id, keywords: an array, or text joined by commas), less stemmed stop words.
+
+    Words are stemmed before stop words go; a cluster without any is left out.
+    """
+    kinds = dict(clusters.dtypes)
+    words = F.col("keywords") if kinds["keywords"].startswith("array") else F.split("keywords", ", ")
+    words = F.filter(F.transform(words, F.trim), lambda w: w != "")
+    stop = F.array(*map(F.lit, sorted({stem(w) for w in CROSS_CHANNEL_STOPWORDS})))
+    return clusters.select("id", "cluster_id", F.explode(F.array_except(stemmed(words), stop)).alias("word")).distinct()
+
+
 def flash_edges(anomalies: DataFrame, words: DataFrame, seconds: int = FLASH_SECONDS, overlap: float = FLASH_OVERLAP) -> DataFrame:
     """a, b, overlap: anomalies of different channels within `seconds` whose closest clusters share enough words.
 
@@ -87,41 +103,41 @@ def flash_events(anomalies: DataFrame, words: DataFrame) -> DataFrame:
     return met.select(F.lit("FLASH").alias("event_type"), "event_start", "event_end", "channels", F.coalesce("keywords", F.lit("")).alias("keywords"), "peak_z", "anomaly_count", "anomaly_ids")
 
 
-def best_pair(tracks: list[set], clusters: list[set]) -> tuple[int, int, float]:
-    """(track, cluster, overlap) of the closest pair with enough words in common, the first of equals."""
-    best = (-1, -1, 0.0)
-    for i, a in enumerate(tracks):
-        for j, b in enumerate(clusters):
-            common = len(a & b)
-            if common >= LEAST_COMMON and common / min(len(a), len(b)) > best[2]:
-                best = (i, j, common / min(len(a), len(b)))
-    return best
+def closest(tracks: list[set], clusters: list[set]) -> tuple[float, int, int] | None:
+    """(overlap, track, cluster) of the pair that shares most of its smaller set, with LEAST_COMMON words or more; the first of equals."""
+    pairs = [(len(a & b) / min(len(a), len(b)), -i, -j) for (i, a), (j, b) in product(enumerate(tracks), enumerate(clusters)) if len(a & b) >= LEAST_COMMON]
+    return (lambda s, i, j: (s, -i, -j))(*max(pairs)) if pairs else None
+
+
+def carried(run: list[list[set]], overlap: float) -> tuple[int, set]:
+    """How many rows of a run carry a topic of its first row on, and the topic's words.
+
+    The second row's closest cluster settles which of the first's is the topic;
+    what matches it later adds its words.
+    """
+    topics = run[0]
+    for n, clusters in enumerate(run[1:], 1):
+        found = closest(topics, clusters)
+        if found is None or found[0] < overlap:
+            return n, set().union(*topics)
+        topics = [topics[found[1]] | clusters[found[2]]]
+    return len(run), set().union(*topics)
 
 
-def chains(rows: list[dict], gap: int, exact: bool, overlap: float = SUSTAINED_OVERLAP, hours: int = SUSTAINED_HOURS) -> list[tuple[int, int, set]]:
-    """(first, last, words) of runs of rows (window_start, clusters) in time order that carry one topic on.
+def long_topics(rows: list[tuple[int, list[set]]], joined, overlap: float = SUSTAINED_OVERLAP, hours: int = SUSTAINED_HOURS) -> list[tuple[int, int, set]]:
+    """(first, last, words) of topics that `hours` or more consecutive rows (second, clusters) carry on.
 
-    The second row picks the first's closest cluster as the track; the track grows.
+    Rows part into runs where joined(seconds between neighbours) fails; in a run,
+    a topic is sought from each row that none before has taken.
     """
-    out, i = [], 0
-    while i < len(rows):
-        tracks, lead, j = [set(c) for c in rows[i]["clusters"]], None, i + 1
-        while j < len(rows):
-            step = rows[j]["window_start"] - rows[j - 1]["window_start"]
-            if (step != gap if exact else step > gap) or not tracks or not rows[j]["clusters"]:
-                break
-            track, other, share = best_pair(tracks if lead is None else [tracks[lead]], rows[j]["clusters"])
-            if share < overlap:
-                break
-            lead = track if lead is None else lead
-            tracks[lead] |= rows[j]["clusters"][other]
-            j += 1
-        if j - i >= hours:
-            words = tracks[lead] if lead is not None else set().union(*rows[i]["clusters"])
-            out.append((i, j - 1, words))
-            i = j
-        else:
-            i += 1
+    breaks = [i for i in range(1, len(rows)) if not joined(rows[i][0] - rows[i - 1][0])]
+    out = []
+    for at, end in zip([0, *breaks], [*breaks, len(rows)], strict=True):
+        while at < end:
+            n, words = carried([c for _, c in rows[at:end]], overlap)
+            if n >= hours:
+                out.append((at, at + n - 1, words))
+            at += n if n >= hours else 1
     return out
 
 
@@ -144,11 +160,11 @@ def sustained_events(anomalies: DataFrame, words: DataFrame, hourly: bool = Fals
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["window_start", "id"])
-        own = [{"window_start": r.window_start, "window_end": r.window_end, "id": r.id, "z": r.z_score, "clusters": [set(c["set"]) for c in (r.sets if r.sets is not None else [])]} for r in pdf.itertuples()]
+        own = [(r.window_start, [set(c["set"]) for c in (r.sets if r.sets is not None else [])]) for r in pdf.itertuples()]
         out = []
-        for a, b, topic in chains(own, 3600 if hourly else 7200, hourly):
-            part = own[a : b + 1]
-            out.append((pdf.channel.iloc[0], part[0]["window_start"], part[-1]["window_end"], ", ".join(sorted(topic)[:8]), max(r["z"] for r in part), [r["id"] for r in part]))
+        for a, b, topic in long_topics(own, (lambda gap: gap == 3600) if hourly else (lambda gap: gap <= 7200)):
+            part = pdf.iloc[a : b + 1]
+            out.append((pdf.channel.iloc[0], part.window_start.iloc[0], part.window_end.iloc[-1], ", ".join(sorted(topic)[:8]), part.z_score.max(), part.id.tolist()))
         return pd.DataFrame(out, columns=["channel", "event_start", "event_end", "keywords", "peak_z", "anomaly_ids"])
 
     found = met.groupBy("channel").applyInPandas(run, "channel string, event_start long, event_end long, keywords string, peak_z double, anomaly_ids array<long>")
@@ -164,11 +180,11 @@ def claimed(events: DataFrame) -> DataFrame:
 
 
 def aggregate_events(anomalies: DataFrame, words: DataFrame, hourly: bool = False) -> DataFrame:
-    """All events: FLASH first, then SUSTAINED among what those leave, ISOLATED for the rest."""
+    """All events: FLASH first, then SUSTAINED among what those leave, ISOLATED for the rest; in order of their start."""
     flash = checkpointed(flash_events(anomalies, words))
     left = anomalies.join(claimed(flash), "id", "left_anti")
     long = checkpointed(sustained_events(left, words, hourly))
     rest = left.join(claimed(long), "id", "left_anti")
     sets = rest.join(words.select("id", "word").distinct(), "id").select("id", F.col("id").alias("member"), "word")
     alone = rest.join(shared_keywords(sets, ["id"]), "id", "left").select(F.lit("ISOLATED").alias("event_type"), F.col("window_start").alias("event_start"), F.col("window_end").alias("event_end"), F.col("channel").alias("channels"), F.coalesce("keywords", F.lit("")).alias("keywords"), F.col("z_score").alias("peak_z"), F.lit(1).cast("long").alias("anomaly_count"), F.array("id").alias("anomaly_ids"))
-    return flash.unionByName(long).unionByName(alone)
+    return flash.unionByName(long).unionByName(alone).orderBy("event_start", "event_type", "channels")

@@ -103,17 +103,28 @@ def surges(triggered: DataFrame) -> DataFrame:
     )
 
 
+def in_order(rows: DataFrame, by: str, *ties: str, width: int = 86400) -> DataFrame:
+    """rows with nth, from 1, in the order of a column of seconds; sorted span by span, so that the spans' numbers alone meet in one task."""
+    spans = rows.withColumn("_span", F.floor(F.col(by) / width))
+    counts = spans.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = counts.select("_span", (F.sum("_n").over(Window.orderBy("_span")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_span").orderBy(by, *ties))
+    return spans.withColumn("_own", own).join(before, "_span").withColumn("nth", F.col("_before") + F.col("_own")).drop("_span", "_own", "_before")
+
+
 def recurring(events: DataFrame, tolerance: int = 2700, recent: int = 50) -> DataFrame:
     """events (event_id, channel, event_start, released_at) with the newest earlier event of the channel at about the same time of day.
 
-    Only the `recent` last closed of all channels before it count; the day does not wrap.
+    Only the `recent` last closed of all channels before it count; the day does
+    not wrap. Events meet on (channel, bucket of `recent` closures).
     """
-    order = Window.orderBy("released_at", "event_id")
-    closed = events.where("released_at IS NOT NULL").withColumn("closed_no", F.row_number().over(order))
-    seen = closed.select("event_id", "channel", "event_start", "closed_no", (F.col("event_start") % 86400).alias("day_time"))
-    prior = seen.select(F.col("channel").alias("c"), F.col("event_id").alias("prior_id"), F.col("closed_no").alias("prior_no"), F.col("day_time").alias("prior_time"))
-    near = (seen["channel"] == prior["c"]) & (prior["prior_no"] < seen["closed_no"]) & (prior["prior_no"] >= seen["closed_no"] - recent) & (F.abs(seen["day_time"] - prior["prior_time"]) <= tolerance)
-    return seen.join(prior, near, "left").groupBy("event_id", "channel", "event_start").agg(F.max_by("prior_id", "prior_no").alias("recurs"))
+    closed = in_order(events.where("released_at IS NOT NULL"), "released_at", "event_id")
+    bucket = F.floor(F.col("nth") / recent)
+    seen = closed.select("event_id", "channel", "event_start", "nth", (F.col("event_start") % 86400).alias("day_time"), bucket.alias("bucket"))
+    prior = seen.select("channel", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), F.col("event_id").alias("prior_id"), F.col("nth").alias("prior_no"), F.col("day_time").alias("prior_time"))
+    met = seen.join(prior, ["channel", "bucket"]).where((F.col("prior_no") < F.col("nth")) & (F.col("prior_no") >= F.col("nth") - recent) & (F.abs(F.col("day_time") - F.col("prior_time")) <= tolerance))
+    newest = met.groupBy("event_id").agg(F.max_by("prior_id", "prior_no").alias("recurs"))
+    return seen.select("event_id", "channel", "event_start").join(newest, "event_id", "left")
 
 
 def tumbling_scores(items: DataFrame, width: int = 3600, keep: int = 24, min_history: int = 2, enter: float = Z_ENTER) -> DataFrame:
@@ -129,6 +140,22 @@ def tumbling_scores(items: DataFrame, width: int = 3600, keep: int = 24, min_his
     return own.select("channel", "window_start", "n", "mean", "std", "z", (F.coalesce(F.col("z"), F.lit(0.0)) >= enter).alias("fires"))
 
 
+def tumbling_robust(items: DataFrame, width: int = 3600, keep: int = 24, min_history: int = 2, enter: float = Z_ENTER) -> DataFrame:
+    """channel, window_start, n, median, mad, z, fires: tumbling_scores for volatile channels, by median and unscaled median absolute deviation.
+
+    A deviation of 0 is no exception here: any rise above the median fires then.
+    """
+    start = (F.floor(F.col("sec") / width) * width).cast("long")
+    own = items.groupBy("channel", start.alias("window_start")).agg(F.count("*").alias("n"))
+    frame = Window.partitionBy("channel").orderBy("window_start").rowsBetween(-keep, -1)
+    own = own.withColumn("history", F.collect_list(F.col("n").cast("double")).over(frame))
+    own = own.withColumn("median", F.when(F.size("history") >= min_history, _median(F.col("history"))))
+    own = own.withColumn("mad", F.when(F.col("median").isNotNull(), _median(F.transform("history", lambda x: F.abs(x - F.col("median"))))))
+    own = own.withColumn("z", (F.col("n") - F.col("median")) / (F.col("mad") + MAD_EPSILON))
+    return own.select("channel", "window_start", "n", "median", "mad", "z", (F.coalesce(F.col("z"), F.lit(0.0)) >= enter).alias("fires"))
+
+
 def sample_rank(by: list[str], key: list[str], seed: int = 0) -> Column:
     """Rank of a row in a reproducible random order within groups; keep ranks up to a cap for a uniform sample."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *key), *key))
+    order = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]), "UTF-8"))
+    return F.row_number().over(Window.partitionBy(*by).orderBy(order, *key))

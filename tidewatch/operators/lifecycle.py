@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.detection import BASE_STEP, COOLDOWN, EVAL_STEP, HISTORY, MAD_CHANNELS, MAD_EPSILON, MIN_COUNT, MIN_HISTORY, TTL, Z_ENTER, Z_LEAVE, sliding_counts
@@ -133,3 +133,17 @@ def roll_up(events: DataFrame) -> DataFrame:
         F.max("z_score").alias("peak_z"), F.max("count").alias("peak_count"), F.count_if(F.col("event_type") == "update").alias("update_count"), (ended - F.col("event_start")).alias("duration_s"),
         F.max_by("mean", "tick").alias("mean"), F.max_by("std", "tick").alias("std"),
     )
+
+
+def snapshot_ticks(events: DataFrame) -> DataFrame:
+    """channel, event_start, phase, tick: of each surge the tick that opened it, and the last update that raised its peak z or count.
+
+    events: channel, tick, event_type, event_start, count, z_score. A surge
+    whose updates never pass its opening has no peak row.
+    """
+    so_far = Window.partitionBy("channel", "event_start").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    rises = (F.col("z_score") > F.max("z_score").over(so_far)) | (F.col("count") > F.max("count").over(so_far))
+    seen = events.where("event_type IN ('start', 'update')").withColumn("rises", rises)
+    opening = seen.where("event_type = 'start'").select("channel", "event_start", F.lit("opening").alias("phase"), "tick")
+    peak = seen.where("event_type = 'update' AND rises").groupBy("channel", "event_start").agg(F.lit("peak").alias("phase"), F.max("tick").alias("tick"))
+    return opening.unionByName(peak.select("channel", "event_start", "phase", "tick"))
