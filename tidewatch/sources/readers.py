@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tidewatch.functions.text import html_text
 from tidewatch.schema import CANDIDATE, TRACKED_EVENT, conform
 
 STORY_CSV = "id string, type string, author string, timestamp string, body string, title string, parent string"
@@ -28,9 +29,9 @@ def stories_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 class ZstLines(DataSource):
-    """JSON lines in zstandard files: spark.read.format("zst_lines").load(paths).
+    """JSON lines in zstandard files: spark.read.format("zst_lines").load(path), a file, a folder or an URI of a store that Arrow reads.
 
-    One partition per file, read in chunks. Broken lines are skipped; a last line
+    One partition per file, streamed in chunks. Broken lines are skipped; a last line
     without its end is dropped.
     """
 
@@ -50,13 +51,22 @@ class ZstLinesReader(DataSourceReader):
         self.path, self.fields, self.chunk = path, fields, chunk
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(".zst")) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(n) for n in names]
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.path)
+        if store.get_file_info(path).type == fs.FileType.File:
+            return [InputPartition(self.path)]
+        files = store.get_file_info(fs.FileSelector(path, recursive=True))
+        names = sorted(f.path for f in files if f.type == fs.FileType.File and f.path.endswith(".zst"))
+        head = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
+        return [InputPartition(n if not head else f"{head}{n}") for n in names]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import zstandard
+        from pyarrow import fs
 
-        with open(partition.value, "rb") as f, zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(f) as stream:
+        store, path = fs.FileSystem.from_uri(partition.value)
+        with store.open_input_stream(path, compression=None) as f, zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(f) as stream:
             rest = b""
             while part := stream.read(self.chunk):
                 *lines, rest = (rest + part).split(b"\n")
@@ -80,7 +90,7 @@ def parse_line(line: bytes, fields: list[str]) -> tuple | None:
 
 
 def comments_zst(spark: SparkSession, path: str, distributed_store: bool = False) -> DataFrame:
-    """Items of a comment dump. With distributed_store the files are read through Spark, for stores that only it reaches."""
+    """Items of a comment dump. With distributed_store the files are read through Spark, for stores that only it reaches; a file is then held whole by its task."""
     if distributed_store:
         names = [x.split()[0] for x in COMMENT_JSON.split(", ")]
 
@@ -104,6 +114,85 @@ def comments_zst(spark: SparkSession, path: str, distributed_store: bool = False
     return raw.select("id", F.col("subreddit").alias("channel"), "body", F.col("created_utc").alias("sec"), "author", "score", "parent_id", "link_id", "permalink")
 
 
+STORY_JSON = "id long, type string, by string, time long, text string, title string, url string, parent long, score long, deleted boolean, dead boolean"
+
+
+def retried(call: Callable, first: float = 5.0, most: float = 60.0, tries: int = 8, sleep: Callable[[float], None] = time.sleep):
+    """The call's result; after a failure again, with pauses that double from `first` up to `most` seconds."""
+    for n in range(tries):
+        try:
+            return call()
+        except Exception:
+            if n == tries - 1:
+                raise
+            sleep(min(most, first * 2**n))
+
+
+def numbered_items(newest: Callable[[], int], fetch: Callable[[int], dict | None], name: str = "numbered_items", ids_a_task: int = 50, schema: str = STORY_JSON) -> type[DataSource]:
+    """A streaming source of items that a service numbers: register it, then spark.readStream.format(name).load().
+
+    The offset is the newest id; what is older than the first one is skipped.
+    newest and fetch ask the service (a JSON object, or None for what is gone);
+    ids between two offsets are fetched in tasks of ids_a_task. An item that
+    cannot be had is left out.
+    """
+    fields = [x.split() for x in schema.split(", ")]
+
+    def row(got: dict) -> tuple:
+        make = {"long": int, "boolean": bool, "string": str}
+        return tuple(None if got.get(n) is None else make[k](got[n]) for n, k in fields)
+
+    class Reader(DataSourceStreamReader):
+        def initialOffset(self) -> dict:
+            return {"id": retried(newest)}
+
+        def latestOffset(self, *_) -> dict:
+            return {"id": retried(newest)}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [InputPartition((at, min(end["id"] + 1, at + ids_a_task))) for at in range(start["id"] + 1, end["id"] + 1, ids_a_task)]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            for i in range(*partition.value):
+                try:
+                    got = fetch(i)
+                    if isinstance(got, dict):
+                        yield row(got)
+                except Exception:
+                    continue
+
+        def commit(self, end: dict) -> None:
+            pass
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def streamReader(self, schema) -> DataSourceStreamReader:
+            return Reader()
+
+    return Source
+
+
+def story_items(raw: DataFrame) -> DataFrame:
+    """Items of a story service's objects (STORY_JSON): text without markup, of stories the title where they have none; items without text go."""
+    body = html_text(F.coalesce(F.nullif("text", F.lit("")), F.nullif("title", F.lit("")), F.lit("")))
+    rows = raw.select(
+        F.col("id").alias("item_id"), F.col("type").alias("item_type"), F.coalesce("by", F.lit("")).alias("author"), F.coalesce("time", F.lit(0)).alias("sec"), body.alias("body"), F.coalesce("title", F.lit("")).alias("title"), F.col("parent"), F.coalesce("url", F.lit("")).alias("url"),
+        F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce("dead", F.lit(False)).alias("dead"),
+    )
+    return rows.where("body <> ''")
+
+
+def message_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """Post items of a folder that firehose messages (JSON lines) arrive in, as a stream."""
+    return posts_from_messages(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
+
+
 JETSTREAM = (
     "kind string, did string, time_us long, commit struct<collection:string,operation:string,rkey:string,cid:string,record:struct<text:string,langs:array<string>,reply:struct<root:struct<uri:string>,parent:struct<uri:string>>,"
     "facets:array<struct<features:array<struct<`$type`:string,tag:string,uri:string>>>>,embed:struct<`$type`:string,images:array<struct<alt:string>>,external:struct<uri:string,title:string,description:string>,record:string,media:struct<`$type`:string,images:array<struct<alt:string>>,external:struct<uri:string,title:string,description:string>>>>>"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import urllib.request
 from collections.abc import Callable
 
@@ -33,14 +32,31 @@ def export_csv(tables: dict[str, DataFrame], path: str) -> None:
         df.coalesce(1).write.mode("overwrite").csv(f"{path}/{name}", header=True, nullValue="", emptyValue="")
 
 
+def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
+    """Each table as Parquet in a folder of its name under path."""
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{path}/{name}")
+
+
+#: What alerts say and look like.
+ALERT_TITLE, ALERT_FOOTER, ALERT_COLOUR, ALERT_KEYWORDS = "Surge Detected — ", "Surge Detection Engine", 0xE53935, 8
+
+
 def payload(style: str) -> Column:
-    """An alert's JSON for a webhook: discord, slack or plain."""
-    text = F.concat_ws(" ", F.lit("Surge in"), "channel", F.lit("z"), F.round("z_score", 2).cast("string"), F.lit("count"), F.col("count").cast("string"))
+    """An alert's JSON for a webhook (discord, slack or plain) from channel, window_end, count, z_score and keywords."""
+    words = F.when(F.size("keywords") > 0, F.array_join(F.slice("keywords", 1, ALERT_KEYWORDS), ", ")).otherwise("—")
+    when = F.date_format(F.timestamp_seconds("window_end"), "MMM dd HH:mm 'UTC'")
+    z, n = F.format_string("%.2f", F.col("z_score").cast("double")), F.col("count").cast("string")
+    told = [("Channel", F.col("channel"), True), ("Time", when, True), ("Count", n, True), ("Z-Score", z, True), ("Keywords", words, False)]
     if style == "discord":
-        return F.to_json(F.struct(text.alias("content")))
+        fields = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value"), F.lit(s).alias("inline")) for k, v, s in told])
+        embed = F.struct(F.concat(F.lit(ALERT_TITLE), "channel").alias("title"), F.lit(ALERT_COLOUR).alias("color"), fields.alias("fields"), F.struct(F.lit(ALERT_FOOTER).alias("text")).alias("footer"))
+        return F.to_json(F.struct(F.array(embed).alias("embeds")))
     if style == "slack":
-        return F.to_json(F.struct(text.alias("text")))
-    return F.to_json(F.struct("channel", "z_score", "count", text.alias("message")))
+        fields = F.array(*[F.struct(F.lit(k).alias("title"), v.alias("value"), F.lit(s).alias("short")) for k, v, s in told])
+        part = F.struct(F.lit(f"#{ALERT_COLOUR:06X}").alias("color"), fields.alias("fields"), F.lit(ALERT_FOOTER).alias("footer"))
+        return F.to_json(F.struct(F.concat(F.lit(f"*{ALERT_TITLE}"), "channel", F.lit("*")).alias("text"), F.array(part).alias("attachments")))
+    return F.to_json(F.struct(F.concat(F.lit("SURGE | "), "channel", F.lit(" | "), when, F.lit(" | count="), n, F.lit(" z="), z, F.lit(" | "), words).alias("text")))
 
 
 def style_of(url: str) -> str:
@@ -52,12 +68,12 @@ def post(url: str, body: str, timeout: float = 5.0) -> None:
     urllib.request.urlopen(request, timeout=timeout).close()
 
 
-def send_alerts(events: DataFrame, url: str | None, send: Callable[[str, str], None] = post, most: int = 100) -> int:
-    """Post starts to a webhook, at most `most` of a batch; without a url nothing is sent. Failures do not stop the batch."""
+def send_alerts(events: DataFrame, url: str | None, send: Callable[[str, str], None] = post) -> int:
+    """Post every start to a webhook, row by row as they come; without a url nothing is sent. Failures do not stop the batch. Returns how many went out."""
     if not url:
         return 0
     sent = 0
-    for row in events.where("event_type = 'start'").select(payload(style_of(url)).alias("body")).limit(most).collect():
+    for row in events.where("event_type = 'start'").select(payload(style_of(url)).alias("body")).toLocalIterator():
         try:
             send(url, row["body"])
             sent += 1
@@ -66,7 +82,10 @@ def send_alerts(events: DataFrame, url: str | None, send: Callable[[str, str], N
     return sent
 
 
-def health(status: dict, before: dict | None = None) -> str:
+def health(status: str, now: str, component: str, before: dict | None = None, error: Exception | None = None) -> dict:
     """A health document; the last success outlives later failures."""
-    kept = (before or {}).get("last_success")
-    return json.dumps(status | {"last_success": status.get("heartbeat") if status.get("status") == "ok" else kept})
+    good = status == "ok"
+    return {
+        "status": status, "component": component, "last_heartbeat_utc": now, "last_successful_fetch_utc": now if good else (before or {}).get("last_successful_fetch_utc"),
+        "last_error_utc": None if good else now, "last_error_type": type(error).__name__ if error else None, "last_error_message": str(error) if error else None,
+    }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.operators.lifecycle import EVENTS, Settings, State, evaluate, sample
+from tidewatch.operators.lifecycle import EVENTS, Settings, State, evaluate, roll_up, sample
 
 STATE = "bins map<bigint,bigint>, history array<bigint>, elevated boolean, since bigint, next_tick bigint"
 
@@ -47,8 +47,9 @@ def sessions(items: DataFrame, gap: str = "10 minutes", late: str = "10 minutes"
 def detect(items: DataFrame, settings: Settings | None = None, late: str = "10 minutes") -> DataFrame:
     """Start, update and release events by the batch detector's steps, state per channel.
 
-    Counts are held per evaluation step. A channel's clock is its own items' time:
-    ticks up to the one before its newest item fire, also when it was silent.
+    Counts are held per evaluation step. Ticks before a channel's newest item
+    fire; while it is elevated or its window holds items, those before the
+    watermark do too, so a channel that falls silent is released.
     """
     s = settings or Settings()
     names = [x.split()[0] for x in EVENTS.split(", ")]
@@ -60,14 +61,16 @@ def detect(items: DataFrame, settings: Settings | None = None, late: str = "10 m
             bins = dict(held)
         state = State(elevated=bool(elevated), since=int(since))
         state.history.extend(int(x) for x in history)
-        newest = 0
+        newest = group.getCurrentWatermarkMs() // 1000 if group.hasTimedOut else 0
         for pdf in frames:
+            if pdf.empty:  # a timeout brings no rows
+                continue
             sec = (pdf["ts"].astype("int64") // _unit(pdf["ts"])).astype("int64")
             newest = max(newest, int(sec.max()))
             for tick, n in (-(-sec // s.eval_step) * s.eval_step).value_counts().items():
                 bins[int(tick)] = bins.get(int(tick), 0) + int(n)
         out = []
-        if newest:
+        if newest and (nxt or bins):
             nxt = int(nxt) or min(bins)
             while nxt < newest:
                 count = sum(n for tick, n in bins.items() if nxt - s.ttl < tick <= nxt)
@@ -78,10 +81,12 @@ def detect(items: DataFrame, settings: Settings | None = None, late: str = "10 m
                 nxt += s.eval_step
                 bins = {t: n for t, n in bins.items() if t > nxt - s.ttl}
         group.update((bins, list(state.history), state.elevated, state.since, nxt))
+        if state.elevated or bins:
+            group.setTimeoutTimestamp(max(1000 * (nxt + 1), group.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
     timed = items.withWatermark("ts", late)
-    return timed.groupBy("channel").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("channel").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _unit(ts: pd.Series) -> int:
@@ -103,3 +108,16 @@ def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
 
     query = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def lifecycle_summary(events: DataFrame, folder: str) -> None:
+    """foreachBatch body: fold a batch of detector events into the rolled-up surges under folder, and rewrite the latest summary beside them.
+
+    Surges (one row per channel and start) are kept as Parquet, by batch; the
+    summary is one row per channel.
+    """
+    spark = events.sparkSession
+    events.write.mode("append").parquet(f"{folder}/events")
+    rolled = roll_up(spark.read.parquet(f"{folder}/events"))
+    fires = rolled.groupBy("channel").agg(F.count("*").alias("fires"), F.max("peak_z").alias("max_z"), F.max("last_seen").alias("last_seen"), F.count_if(F.col("released_at").isNull()).alias("active"), F.sum("update_count").alias("updates"))
+    fires.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
