@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import detection as D
 from tidewatch.operators import lifecycle as L
+from tidewatch.operators import snapshots as S
 from tidewatch.schema import event_items
 
 BURN_IN = 7 * 86400
@@ -69,6 +70,10 @@ def tumbling_zscore(spark, sf_dir):
     return D.tumbling_scores(_items(spark, sf_dir)).select("channel", "window_start", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "z")], "fires")
 
 
+def tumbling_robust(spark, sf_dir):
+    return D.tumbling_robust(_items(spark, sf_dir)).where("z IS NOT NULL").select("channel", "window_start", "n", "median", "mad", F.round("z", 4).alias("z"), "fires")
+
+
 def channel_last_stats(spark, sf_dir):
     state = D.trigger(_scored(spark, sf_dir))
     last = state.groupBy("channel").agg(F.max_by(F.struct("tick", "n", "z", "mean", "std", "elevated"), "tick").alias("s"))
@@ -99,18 +104,37 @@ def window_sample_cap(spark, sf_dir):
     return items.withColumn("place", D.sample_rank(["channel", "day"], ["id"])).where("place <= 50").select("channel", "day", "id", "place")
 
 
+def _posts(spark, sf_dir):
+    """Events as posts: two words, a tag, an author and a domain by story."""
+    number = lambda p, m: F.concat(F.lit(p), (F.col("story_id") % m).cast("string"))
+    host = F.when(F.col("story_id") % 3 > 0, F.lit("arxiv.org")).otherwise(number("h", 4))
+    items = _items(spark, sf_dir).withColumn("channel", F.when(F.col("channel") == "view", "science_space").otherwise(F.col("channel")))
+    return items.select("id", "channel", "sec", F.concat(F.lit("u"), (F.col("author") % 4).cast("string")).alias("author"), number("text ", 5).alias("text"), host.alias("domain"), F.array(number("w", 9), number("k", 13)).alias("keywords"), F.array(number("t", 15)).alias("hashtags"))
+
+
+def _listed(c: str):
+    return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"))), ",").alias(c)
+
+
 def window_snapshot(spark, sf_dir):
-    """Per channel and six hours: top author and story with their shares, as a surge's snapshot has them."""
-    items = _items(spark, sf_dir).withColumn("slot", (F.floor(F.col("sec") / 21600) * 21600).cast("long"))
-    def top(c):
-        counts = items.groupBy("channel", "slot", c).agg(F.count("*").alias("n"))
-        best = Window.partitionBy("channel", "slot").orderBy(F.desc("n"), c)
-        return counts.withColumn("place", F.row_number().over(best)).where("place = 1").select("channel", "slot", F.col(c).alias(f"top_{c}"), F.col("n").alias(f"n_{c}"))
-    total = items.groupBy("channel", "slot").agg(F.count("*").alias("total"))
-    met = total.join(top("author"), ["channel", "slot"]).join(top("story_id"), ["channel", "slot"])
-    author, story = F.col("n_author") / F.col("total"), F.col("n_story_id") / F.col("total")
-    concentrated = ((F.col("total") >= 100) & (story >= 0.60)) | ((F.col("total") >= 50) & (author > 0.40) & (story > 0.35))
-    return met.select("channel", "slot", "total", "top_author", "top_story_id", F.round(author, 4).alias("author_share"), F.round(story, 4).alias("story_share"), concentrated.alias("feed_burst"))
+    """Every channel's posts of two days as a surge's snapshot has them."""
+    items = _posts(spark, sf_dir).withColumn("slot", (F.floor(F.col("sec") / 172800) * 172800).cast("long"))
+    items = items.withColumn("pos", F.row_number().over(Window.partitionBy("channel", "slot").orderBy("sec", "id")))
+    shots = S.snapshots(items, ["channel", "slot"])
+    reason = S.concentration(F.col("channel"), F.col("total"), F.col("domains"), F.col("authors"))
+    heads = F.array_join(F.transform("posts", lambda p: p["text"]), "|")
+    return shots.select("channel", "slot", "total", *[_listed(c) for c in ("keywords", "hashtags", "domains", "authors")], heads.alias("posts"), "top_text_pct", "text_unique_ratio", F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def lifecycle_flags(spark, sf_dir):
+    """Snapshots of the plain trigger's surges, at their opening and their peak, and what they say of them."""
+    time = Window.partitionBy("channel").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    acts = D.trigger(_scored(spark, sf_dir)).where("event_type IS NOT NULL")
+    acts = acts.withColumn("event_start", F.last(F.when(F.col("event_type") == "start", F.col("tick")), ignorenulls=True).over(time)).withColumnsRenamed({"n": "count", "z": "z_score"})
+    ticks = L.snapshot_ticks(acts).withColumn("channel", F.when(F.col("channel") == "view", "science_space").otherwise(F.col("channel")))
+    window = S.window_items(_posts(spark, sf_dir), ticks, D.TTL)
+    shots = S.snapshots(window, ["channel", "event_start", "phase"])
+    return S.flagged(shots).select("channel", "event_start", *[F.coalesce(f"{p}_{c}", d).alias(f"{p}_{c}") for p in ("opening", "peak") for c, d in (("reason", F.lit("")), ("text_pct", F.lit(-1.0)))], "feed_burst", "coordinated")
 
 
 def per_minute_volume(spark, sf_dir):
@@ -127,7 +151,7 @@ def history_series(spark, sf_dir):
     return rows.select("channel", (F.col("now") - (F.col("size") - F.col("i")) * 3600).cast("long").alias("x"), F.col("n").alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (sliding_window_counts, baseline_history, sliding_zscore, schmitt_no_freeze, schmitt_freeze_lifecycle, detector_events, alert_gate_cooldown, burn_in_detection, robust_mad_zscore, tumbling_zscore, channel_last_stats, surge_records, recurring_time_of_day, surge_counters, window_sample_cap, window_snapshot, per_minute_volume, history_series)}
+QUERIES = {f.__name__: f for f in (sliding_window_counts, baseline_history, sliding_zscore, schmitt_no_freeze, schmitt_freeze_lifecycle, detector_events, alert_gate_cooldown, burn_in_detection, robust_mad_zscore, tumbling_zscore, tumbling_robust, channel_last_stats, surge_records, recurring_time_of_day, surge_counters, window_sample_cap, window_snapshot, lifecycle_flags, per_minute_volume, history_series)}
 
 ITEMS = "items AS (SELECT event_id AS id, event_type AS channel, CAST(floor(epoch(ts)) AS BIGINT) AS sec, user_id AS author, CAST(coalesce(json_extract_string(props, '$.k'), '0') AS BIGINT) AS story_id FROM events)"
 
@@ -162,6 +186,34 @@ SURGES = TRIGGERED + """,
     surges AS (SELECT channel || ':' || event_start AS event_id, channel, event_start, max(tick) AS last_seen, max(tick) FILTER (event_type = 'release') AS released_at, max(z) AS peak_z, max(n) AS peak_count, count(*) FILTER (event_type = 'update') AS updates,
                max(z) FILTER (event_type = 'start') AS opening_z, max(z) FILTER (event_type = 'release') AS closing_z FROM acts GROUP BY channel, event_start)"""
 
+_SEEN = "STRUCT(tick BIGINT, n BIGINT, up BOOLEAN, since BIGINT, ev STRUCT(tick BIGINT, kind VARCHAR, since BIGINT, n BIGINT, z DOUBLE, mean DOUBLE, std DOUBLE)[])"
+#: The detector with a frozen baseline: hour by hour, as history is the same within one; an hour's ticks fold over (up, since, events).
+FROZEN = BASE + f""",
+    hours AS (SELECT channel, CAST(ceil(tick / 3600.0) AS BIGINT) AS hour, list({{'tick': tick, 'n': n, 'up': FALSE, 'since': 0, 'ev': []}}::{_SEEN} ORDER BY tick) AS ticks, max(CASE WHEN tick % 3600 = 0 THEN n END) AS sample FROM counts GROUP BY ALL),
+    walk AS (SELECT channel, min(hour) - 1 AS hour, []::BIGINT[] AS hist, FALSE AS up, 0::BIGINT AS since, []::STRUCT(tick BIGINT, kind VARCHAR, since BIGINT, n BIGINT, z DOUBLE, mean DOUBLE, std DOUBLE)[] AS ev FROM hours GROUP BY channel
+        UNION ALL SELECT channel, hour, CASE WHEN sample IS NULL THEN hist ELSE list_slice(list_append(hist, CASE WHEN r.up AND len(hist) > 0 THEN hist[-1] ELSE sample END), -168, -1) END, r.up, r.since, r.ev FROM (
+            SELECT h.channel, h.hour, h.sample, w.hist, list_reduce(list_prepend({{'tick': 0, 'n': 0, 'up': w.up, 'since': w.since, 'ev': []}}::{_SEEN}, h.ticks), lambda a, x: CASE
+                WHEN NOT w.ready OR (x.n < 10 AND NOT a.up) THEN {{'tick': x.tick, 'n': x.n, 'up': a.up, 'since': a.since, 'ev': a.ev}}::{_SEEN}
+                WHEN NOT a.up AND (x.n - w.mean) / w.std >= 3.0 THEN {{'tick': x.tick, 'n': x.n, 'up': TRUE, 'since': x.tick, 'ev': list_append(a.ev, {{'tick': x.tick, 'kind': 'start', 'since': x.tick, 'n': x.n, 'z': (x.n - w.mean) / w.std, 'mean': w.mean, 'std': w.std}})}}::{_SEEN}
+                WHEN a.up THEN {{'tick': x.tick, 'n': x.n, 'up': (x.n - w.mean) / w.std > 2.0, 'since': a.since, 'ev': list_append(a.ev, {{'tick': x.tick, 'kind': CASE WHEN (x.n - w.mean) / w.std > 2.0 THEN 'update' ELSE 'release' END, 'since': a.since, 'n': x.n, 'z': (x.n - w.mean) / w.std, 'mean': w.mean, 'std': w.std}})}}::{_SEEN}
+                ELSE {{'tick': x.tick, 'n': x.n, 'up': a.up, 'since': a.since, 'ev': a.ev}}::{_SEEN} END) AS r
+            FROM hours h JOIN (SELECT *, len(hist) >= 24 AND s > 0 AS ready, t / len(hist) AS mean, s / len(hist) AS std FROM (SELECT *, list_sum(hist) AS t, sqrt(CAST(greatest(0, len(hist) * list_sum(list_transform(hist, lambda v: v * v)) - list_sum(hist) * list_sum(hist)) AS DOUBLE)) AS s FROM walk)) w ON w.channel = h.channel AND h.hour = w.hour + 1)),
+    fired AS (SELECT channel, e.tick AS tick, e.kind AS event_type, e.since AS event_start, e.n AS "count", round(e.z, 4) AS z_score, round(e.mean, 3) AS mean, round(e.std, 3) AS std FROM (SELECT channel, unnest(ev) AS e FROM walk))"""
+_top = lambda value, source, most: f"(SELECT channel, KEYS, string_agg(v || ':' || n, ',' ORDER BY place) AS list FROM (SELECT channel, KEYS, v, count(*) AS n, row_number() OVER (PARTITION BY channel, KEYS ORDER BY count(*) DESC, min(pos), v) AS place FROM (SELECT channel, KEYS, pos, {value} AS v FROM {source}) GROUP BY channel, KEYS, v) WHERE place <= {most} GROUP BY channel, KEYS)"
+POSTS = f"""posts AS (SELECT id, CASE WHEN channel = 'view' THEN 'science_space' ELSE channel END AS channel, sec, 'u' || (author % 4) AS author, 'text ' || (story_id % 5) AS text, CASE WHEN story_id % 3 > 0 THEN 'arxiv.org' ELSE 'h' || (story_id % 4) END AS domain, 'w' || (story_id % 9) AS k1, 'k' || (story_id % 13) AS k2, 't' || (story_id % 15) AS tag FROM items)"""
+
+
+def _shots(source: str, keys: str) -> str:
+    """shots of rows (channel, keys, pos, ...): the snapshot's lists and shares."""
+    own = f"channel, {keys}"
+    top = lambda value, most: _top(value, source, most).replace("KEYS", keys)
+    return f"""shots AS (SELECT {own}, total, coalesce(kw.list, '') AS keywords, coalesce(tg.list, '') AS hashtags, coalesce(dm.list, '') AS domains, coalesce(au.list, '') AS authors, posts, round(most / total, 3) AS top_text_pct, round(heads / total, 3) AS text_unique_ratio,
+        CASE WHEN total >= 100 AND channel = 'science_space' AND split_part(dm.list, ':', 1) = 'arxiv.org' AND CAST(split_part(split_part(dm.list, ',', 1), ':', 2) AS BIGINT) / total >= 0.6 THEN 'known_feed_domain:arxiv.org'
+             WHEN total >= 50 AND CAST(split_part(split_part(au.list, ',', 1), ':', 2) AS BIGINT) / total > 0.4 AND CAST(split_part(split_part(dm.list, ',', 1), ':', 2) AS BIGINT) / total > 0.35 THEN 'author_domain_concentration:' || split_part(au.list, ':', 1) || ':' || split_part(dm.list, ':', 1) ELSE '' END AS reason
+        FROM (SELECT {own}, count(*) AS total, string_agg(text, '|' ORDER BY pos) FILTER (pos <= 5) AS posts FROM {source} GROUP BY ALL) JOIN (SELECT {own}, max(n) AS most, count(*) AS heads FROM (SELECT {own}, text, count(*) AS n FROM {source} GROUP BY ALL) GROUP BY ALL) USING ({own})
+        LEFT JOIN {top('unnest([k1, k2])', 10)} kw USING ({own}) LEFT JOIN {top('tag', 10)} tg USING ({own}) LEFT JOIN {top('domain', 5)} dm USING ({own}) LEFT JOIN {top('author', 5)} au USING ({own}))"""
+
+
 ORACLE_SQL = {
     "sliding_window_counts": f"""WITH {ITEMS}, t AS (SELECT unnest(generate_series((SELECT CAST(ceil(min(sec) / 300.0) * 300 AS BIGINT) FROM items), (SELECT CAST(ceil(max(sec) / 300.0) * 300 AS BIGINT) FROM items), 300)) AS tick)
         SELECT channel, tick, count(*) AS n FROM items JOIN t ON sec <= tick AND sec > tick - 7200 GROUP BY ALL""",
@@ -188,11 +240,19 @@ ORACLE_SQL = {
     "recurring_time_of_day": f"""WITH {SURGES}, closed AS (SELECT *, row_number() OVER (ORDER BY released_at, event_id) AS no FROM surges WHERE released_at IS NOT NULL)
         SELECT a.event_id, a.channel, coalesce(arg_max(b.event_id, b.no), '') AS recurs FROM closed a LEFT JOIN closed b ON a.channel = b.channel AND b.no < a.no AND b.no >= a.no - 50 AND abs(a.event_start % 86400 - b.event_start % 86400) <= 2700 GROUP BY ALL""",
     "surge_counters": f"WITH {SURGES} SELECT channel, count(*) AS fires, round(max(peak_z), 6) AS max_z, CAST(sum(updates) AS BIGINT) AS updates, count(*) FILTER (released_at IS NULL) AS open FROM surges GROUP BY channel",
-    "window_snapshot": f"""WITH {ITEMS}, s AS (SELECT *, CAST(floor(sec / 21600.0) * 21600 AS BIGINT) AS slot FROM items),
-        t AS (SELECT channel, slot, count(*) AS total FROM s GROUP BY ALL),
-        a AS (SELECT channel, slot, author AS top_author, count(*) AS na FROM s GROUP BY channel, slot, author QUALIFY row_number() OVER (PARTITION BY channel, slot ORDER BY na DESC, top_author) = 1),
-        b AS (SELECT channel, slot, story_id AS top_story_id, count(*) AS nb FROM s GROUP BY channel, slot, story_id QUALIFY row_number() OVER (PARTITION BY channel, slot ORDER BY nb DESC, top_story_id) = 1)
-        SELECT channel, slot, total, top_author, top_story_id, round(na / total, 4) AS author_share, round(nb / total, 4) AS story_share, (total >= 100 AND nb / total >= 0.60) OR (total >= 50 AND na / total > 0.40 AND nb / total > 0.35) AS feed_burst FROM t JOIN a USING (channel, slot) JOIN b USING (channel, slot)""",
+    "window_snapshot": f"""WITH {ITEMS}, {POSTS}, slots AS (SELECT *, CAST(floor(sec / 172800.0) * 172800 AS BIGINT) AS slot, row_number() OVER (PARTITION BY channel, floor(sec / 172800.0) ORDER BY sec, id) AS pos FROM posts), {_shots("slots", "slot")} SELECT * FROM shots""",
+    "lifecycle_flags": f"""WITH {SURGES}, {POSTS}, told AS (SELECT channel, event_start, tick, event_type, z > max(z) OVER w OR n > max(n) OVER w AS rises FROM acts WHERE event_type IN ('start', 'update') WINDOW w AS (PARTITION BY channel, event_start ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        seen AS (SELECT CASE WHEN channel = 'view' THEN 'science_space' ELSE channel END AS channel, event_start, phase, tick FROM (SELECT channel, event_start, 'opening' AS phase, tick FROM told WHERE event_type = 'start' UNION ALL SELECT channel, event_start, 'peak', max(tick) FROM told WHERE event_type = 'update' AND rises GROUP BY ALL)),
+        win AS (SELECT t.event_start, t.phase, p.*, row_number() OVER (PARTITION BY t.channel, t.event_start, t.phase ORDER BY sec, id) AS pos FROM seen t JOIN posts p ON p.channel = t.channel AND p.sec <= t.tick AND p.sec > t.tick - 7200), {_shots("win", "event_start, phase")},
+        f AS (SELECT channel, event_start, coalesce(max(reason) FILTER (phase = 'opening'), '') AS opening_reason, coalesce(max(top_text_pct) FILTER (phase = 'opening'), -1.0) AS opening_text_pct, coalesce(max(reason) FILTER (phase = 'peak'), '') AS peak_reason, coalesce(max(top_text_pct) FILTER (phase = 'peak'), -1.0) AS peak_text_pct FROM shots GROUP BY ALL)
+        SELECT *, opening_reason <> '' AND peak_reason <> '' AS feed_burst, greatest(opening_text_pct, peak_text_pct) > 0.25 AND NOT (opening_reason <> '' AND peak_reason <> '') AS coordinated FROM f""",
+    "detector_events": f"WITH RECURSIVE {FROZEN} SELECT * FROM fired",
+    "schmitt_freeze_lifecycle": f"""WITH RECURSIVE {FROZEN} SELECT channel, event_start, max(tick) FILTER (event_type = 'start') AS first_seen, max(tick) AS last_seen, max(tick) FILTER (event_type = 'release') AS released_at, max(z_score) FILTER (event_type = 'start') AS opening_z, max(z_score) FILTER (event_type = 'release') AS closing_z,
+        max(z_score) AS peak_z, max("count") AS peak_count, count(*) FILTER (event_type = 'update') AS update_count, max(tick) FILTER (event_type = 'release') - event_start AS duration_s, arg_max(mean, tick) AS mean, arg_max(std, tick) AS std FROM fired GROUP BY channel, event_start""",
+    "tumbling_robust": f"""WITH {ITEMS}, own AS (SELECT channel, CAST(floor(sec / 3600.0) * 3600 AS BIGINT) AS window_start, count(*) AS n FROM items GROUP BY ALL),
+        h AS (SELECT *, list(CAST(n AS DOUBLE)) OVER (PARTITION BY channel ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS hist FROM own), m AS (SELECT *, list_median(hist) AS median FROM h WHERE len(hist) >= 2), d AS (SELECT *, list_median(list_transform(hist, lambda x: abs(x - median))) AS mad FROM m)
+        SELECT channel, window_start, n, median, mad, round((n - median) / (mad + 1e-6), 4) AS z, (n - median) / (mad + 1e-6) >= 3.0 AS fires FROM d""",
+    "window_sample_cap": f"WITH {ITEMS}, s AS (SELECT channel, sec // 86400 AS day, id, CAST(row_number() OVER (PARTITION BY channel, sec // 86400 ORDER BY md5('0:' || id), id) AS INT) AS place FROM items) SELECT * FROM s WHERE place <= 50",
     "per_minute_volume": f"""WITH {ITEMS} SELECT CAST(floor(sec / 60.0) * 60 AS BIGINT) AS minute, count(*) AS n, {', '.join(f"count(*) FILTER (channel = '{k}') AS {k}" for k in ("view", "click", "purchase", "signup", "error"))} FROM items GROUP BY 1""",
     "history_series": f"WITH {BASE}, r AS (SELECT channel, n, row_number() OVER (PARTITION BY channel ORDER BY base DESC) AS back, max(base) OVER (PARTITION BY channel) AS now FROM base) SELECT channel, CAST(now - back * 3600 AS BIGINT) AS x, n AS y FROM r WHERE back <= 168",
 }

@@ -10,6 +10,7 @@ from tidewatch.operators import candidates as A
 from tidewatch.operators import clustering as K
 from tidewatch.operators import consolidation as M
 from tidewatch.operators import crosschannel as X
+from tidewatch.operators import enrichment as E
 from tidewatch.operators import hashtags as H
 from tidewatch.plans.detection_queries import ITEMS, SURGES, surge_records
 from tidewatch.schema import event_items
@@ -87,8 +88,56 @@ def flash_components(spark, sf_dir):
 
 
 def hourly_representatives(spark, sf_dir):
+    """Half-hour windows, of which an hour keeps the one that passes its channel's mean most."""
+    items = _items(spark, sf_dir).withColumn("window_start", (F.floor(F.col("sec") / 1800) * 1800).cast("long"))
+    counts = items.groupBy("channel", "window_start").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    usual = counts.groupBy("channel").agg((F.sum("n") / F.count("*")).alias("mean"))
+    windows = counts.join(usual, "channel").select("id", "channel", "window_start", (F.col("window_start") + 1800).alias("window_end"), F.round(F.col("n") / F.col("mean"), 6).alias("z_score"))
+    return X.hourly_best(windows).select("id", "channel", "window_end", "z_score")
+
+
+#: Made-up words of stories, by number: whole sentences stand for texts.
+STORY_WORDS = ["running engines", "communication networks", "national questions", "hopping rabbits", "generously funded", "people running", "relational databases", "the audio message", "agreed questions"]
+#: Their stems less stopped ones, as text: what the words of a cluster become.
+STEMS = {"running": "run", "engines": "engin", "communication": "communic", "networks": "network", "national": "nation", "questions": "question", "hopping": "hop", "rabbits": "rabbit", "generously": "generous", "funded": "fund", "people": "peopl", "relational": "relat", "databases": "databas", "audio": "audio", "message": "messag", "agreed": "agre"}
+
+
+def _enriched(spark, sf_dir):
+    """Anomalous hours (as _anomalies has them) with clusters of their items: by author, every fifth one noise, texts by story."""
     anomalies, _ = _anomalies(spark, sf_dir)
-    return X.hourly_best(anomalies.withColumn("window_end", F.floor(F.col("window_end") / 86400) * 86400)).select("id", "channel", "z_score")
+    hours = _items(spark, sf_dir).withColumn("window_start", (F.floor(F.col("sec") / 3600) * 3600).cast("long")).withColumnRenamed("id", "item_id")
+    own = hours.join(anomalies.select("id", "channel", "window_start"), ["channel", "window_start"])
+    text = F.element_at(F.array(*map(F.lit, STORY_WORDS)), (F.col("story_id") % len(STORY_WORDS) + 1).cast("int"))
+    label = F.when(F.col("author") % 5 == 4, F.lit(-1)).otherwise(F.col("author") % 2).cast("long")
+    labelled = own.select("id", F.col("item_id").alias("pos"), label.alias("cluster_id"), text.alias("text"), F.col("story_id"), F.concat(F.lit("story "), F.col("story_id").cast("string")).alias("story_title"), F.concat(F.lit("h"), (F.col("story_id") % 3).cast("string")).alias("domain"))
+    rows = E.cluster_rows(labelled, ["id"])
+    counts = own.groupBy("id").agg(F.count("*").alias("count"))
+    return anomalies.join(counts, "id"), rows, labelled
+
+
+def cluster_table(spark, sf_dir):
+    """Clusters with keywords, noise and stories."""
+    _, rows, _ = _enriched(spark, sf_dir)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return rows.select("id", "cluster_id", "size", "noise_count", text("keywords"), "top_story_id", "top_story_title", "top_story_pct", "unique_story_count", text("story_ids"), text("top_domains"))
+
+
+def enriched_candidates(spark, sf_dir):
+    """Candidates of the anomalies with their clusters."""
+    anomalies, rows, _ = _enriched(spark, sf_dir)
+    return A.build_candidates(E.with_clusters(anomalies, rows, ["id"])).select("candidate_id", "kind", "event_score", "size", "unique_conversation_count", "top_conversation_pct", "top_story_id", F.array_join("keywords", ",").alias("keywords"), "window_count")
+
+
+def stemmed_cluster_words(spark, sf_dir):
+    """Stems of the clusters' keywords less stop words, as channels are compared by."""
+    _, rows, _ = _enriched(spark, sf_dir)
+    return X.cluster_words(rows.select("id", "cluster_id", F.array_join("keywords", ", ").alias("keywords")))
+
+
+def flash_on_stems(spark, sf_dir):
+    """Close pairs of anomalies of different channels, on the stems of their clusters' keywords."""
+    anomalies, rows, _ = _enriched(spark, sf_dir)
+    return X.flash_edges(anomalies, X.cluster_words(rows.select("id", "cluster_id", "keywords")), 3600, 0.9).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 def sustained_chains(spark, sf_dir):
@@ -123,7 +172,7 @@ def interval_join_collect(spark, sf_dir):
 
 def _posts(spark, sf_dir):
     tags = F.array(F.concat(F.lit("T"), (F.col("story_id") % 40).cast("string")), F.concat(F.lit("u"), (F.col("author") % 25).cast("string")))
-    return _items(spark, sf_dir).select("id", "sec", tags.alias("hashtags"), F.when(F.col("channel").isin("view", "error"), "general").otherwise(F.col("channel")).alias("channel"), "author", F.lit("").alias("domain"), F.concat(F.lit("post "), F.col("id").cast("string")).alias("body"))
+    return _items(spark, sf_dir).select("id", "sec", tags.alias("hashtags"), F.when(F.col("channel").isin("view", "error"), "general").otherwise(F.col("channel")).alias("channel"), "author", F.when(F.col("story_id") % 6 == 0, "").otherwise(F.concat(F.lit("d"), (F.col("story_id") % 6).cast("string"))).alias("domain"), F.concat(F.lit("post "), F.col("id").cast("string")).alias("body"))
 
 
 def tag_counts(spark, sf_dir):
@@ -144,6 +193,21 @@ def tag_suggestions(spark, sf_dir):
     return H.suggestions(H.snapshot(found)).select("tag", "total", "unmatched", "unmatched_rate", "unique_authors_capped", "action", "confidence")
 
 
+def tag_snapshot(spark, sf_dir):
+    """Every tag's totals and what stands beside it."""
+    snap = H.snapshot(H.occurrences(_posts(spark, sf_dir)))
+    listed = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"))), ","), F.lit("")).alias(c)
+    return snap.select("tag", "total", "matched", "unmatched", listed("channels"), listed("cohashtags"), listed("domains"), F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples"), "unique_authors_capped")
+
+
+def tag_unmatched_report(spark, sf_dir):
+    return H.unmatched_report(H.snapshot(H.occurrences(_posts(spark, sf_dir))), 20)
+
+
+def tag_routed_report(spark, sf_dir):
+    return H.routed_report(H.snapshot(H.occurrences(_posts(spark, sf_dir))), 20)
+
+
 def set_measures(spark, sf_dir):
     """Jaccard and overlap coefficients of consecutive candidates' words."""
     own = _candidates(spark, sf_dir)
@@ -152,7 +216,7 @@ def set_measures(spark, sf_dir):
     return both.select("candidate_id", F.round(T.jaccard(F.col("conversation_ids"), F.col("before")), 6).alias("jaccard"), F.round(T.simpson(F.col("conversation_ids"), F.col("before")), 6).alias("simpson"))
 
 
-QUERIES = {f.__name__: f for f in (candidate_classify_score, pairwise_merge_score, consolidate_events, duration_label_buckets, flash_edges, flash_components, hourly_representatives, sustained_chains, isolated_antijoin, shared_keywords, claim_union_sort, interval_join_collect, tag_counts, tag_promotion, tag_cooccurrence, tag_suggestions, set_measures)}
+QUERIES = {f.__name__: f for f in (candidate_classify_score, pairwise_merge_score, consolidate_events, duration_label_buckets, flash_edges, flash_components, cluster_table, enriched_candidates, stemmed_cluster_words, flash_on_stems, hourly_representatives, sustained_chains, isolated_antijoin, shared_keywords, claim_union_sort, interval_join_collect, tag_counts, tag_promotion, tag_cooccurrence, tag_suggestions, tag_snapshot, tag_unmatched_report, tag_routed_report, set_measures)}
 
 CANDIDATES = f"""{ITEMS}, st AS (SELECT channel, CAST(floor(sec / 43200.0) * 43200 AS BIGINT) AS window_start, author % 2 AS cluster_id, story_id, count(*) AS n FROM items GROUP BY ALL),
     cl AS (SELECT channel, window_start, cluster_id, CAST(sum(n) AS BIGINT) AS size, count(*) AS uniq, max(n) AS most, arg_max(story_id, n * 1000000 - story_id) AS top, list(story_id ORDER BY story_id) AS convs, list_sort(list_distinct(list('h' || (story_id % 3)))) AS doms, list_sort(list_distinct(list('w' || (story_id % 9)))) AS kws FROM st GROUP BY ALL),
@@ -167,11 +231,32 @@ def _edges(seconds: int, overlap: float) -> str:
         edges AS (SELECT a, b, max(common / least(s.size, t.size)) AS overlap FROM pr JOIN sz s ON s.id = a AND s.cluster_id = ca JOIN sz t ON t.id = b AND t.cluster_id = cb GROUP BY a, b HAVING max(common / least(s.size, t.size)) >= {overlap})"""
 
 
-POSTS = f"""{ITEMS}, oc AS (SELECT id, sec, 0 AS pos, 't' || (story_id % 40) AS tag, channel, author FROM items UNION ALL SELECT id, sec, 1, 'u' || (author % 25), channel, author FROM items),
+POSTS = f"""{ITEMS}, dom AS (SELECT *, CASE WHEN story_id % 6 = 0 THEN '' ELSE 'd' || (story_id % 6) END AS domain FROM items), oc AS (SELECT id, sec, 0 AS pos, 't' || (story_id % 40) AS tag, channel, author, domain FROM dom UNION ALL SELECT id, sec, 1, 'u' || (author % 25), channel, author, domain FROM dom),
     nth AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY sec, id, pos) AS k FROM oc)"""
 _CONV = "CASE WHEN len(list_distinct(list_concat(a.convs, b.convs))) > 0 THEN len(list_intersect(a.convs, b.convs)) / len(list_distinct(list_concat(a.convs, b.convs))) ELSE 0.0 END"
 _simp = lambda f: f"len(list_intersect(a.{f}, b.{f})) / least(len(a.{f}), len(b.{f}))"
 
+_rank = lambda rows, most: f"(SELECT tag, string_agg(v || ':' || n, ',' ORDER BY place) AS list, string_agg(v || ':' || n, '  ' ORDER BY place) FILTER (place <= 5) AS short, max(v) FILTER (place = 1) AS first FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, v) AS place FROM ({rows})) WHERE place <= {most} GROUP BY tag)"
+SNAPSHOT = f"""{POSTS}, own AS (SELECT * FROM nth WHERE k >= 5), tot AS (SELECT tag, count(*) AS total, count(*) FILTER (channel NOT IN ('view', 'error')) AS matched, count(*) FILTER (channel IN ('view', 'error')) AS unmatched FROM oc GROUP BY tag),
+    ca AS (SELECT a.tag, b.tag AS v, count(*) AS n, min((a.sec, a.id, a.pos, b.pos)) AS first FROM own a JOIN oc b ON a.id = b.id AND a.tag <> b.tag GROUP BY a.tag, b.tag), co AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY tag ORDER BY first) <= 50),
+    snap AS (SELECT tag, total, matched, unmatched, ch.list AS channels, ch.short AS ch5, ch.first AS ch1, pa.list AS cohashtags, pa.short AS pa5, dm.list AS domains, dm.short AS dm5, sa.texts AS samples, coalesce(au.n, 0) AS authors FROM tot
+        LEFT JOIN {_rank("SELECT tag, channel AS v, count(*) AS n FROM own WHERE channel NOT IN ('view', 'error') GROUP BY ALL", 10)} ch USING (tag) LEFT JOIN {_rank("SELECT tag, v, n FROM co", 20)} pa USING (tag) LEFT JOIN {_rank("SELECT tag, domain AS v, count(*) AS n FROM own WHERE domain <> '' GROUP BY ALL", 20)} dm USING (tag)
+        LEFT JOIN (SELECT tag, list('post ' || id ORDER BY sec, id, pos)[1:3] AS texts FROM own GROUP BY tag) sa USING (tag) LEFT JOIN (SELECT tag, least(count(DISTINCT author), 100) AS n FROM own GROUP BY tag) au USING (tag)),
+    rated AS (SELECT *, round(unmatched / total, 4) AS rate FROM snap)"""
+#: Clusters of anomalous hours: labels, texts, keywords by c-TF-IDF, stories.
+CLUSTERS = f"""{ANOMALIES}, lab AS (SELECT hot.id, it.id AS pos, CASE WHEN author % 5 = 4 THEN -1 ELSE author % 2 END AS cluster_id, {STORY_WORDS}[story_id % {len(STORY_WORDS)} + 1] AS text, story_id, 'h' || (story_id % 3) AS domain FROM it JOIN hot USING (channel, window_start)),
+    tok AS (SELECT id, cluster_id, pos, unnest(l) AS token, generate_subscripts(l, 1) AS nr FROM (SELECT *, list_filter(string_split(text, ' '), lambda w: w NOT IN ('the', 'people')) AS l FROM lab WHERE cluster_id >= 0)),
+    cn2 AS (SELECT id, cluster_id, token, count(*) AS n, min((pos, nr)) AS first FROM tok GROUP BY ALL), tt AS (SELECT id, cluster_id, sum(n) AS total FROM cn2 GROUP BY ALL), cs AS (SELECT id, count(*) AS clusters FROM tt GROUP BY id), fd AS (SELECT id, token, count(*) AS df FROM cn2 GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY id, cluster_id ORDER BY round(n / total * (ln((clusters + 1) / (df + 1)) + 1), 12) DESC, first, token) AS place FROM cn2 JOIN tt USING (id, cluster_id) JOIN cs USING (id) JOIN fd USING (id, token)),
+    kws AS (SELECT id, cluster_id, list(token ORDER BY place) AS keywords FROM rk WHERE place <= 8 GROUP BY ALL),
+    sto AS (SELECT id, cluster_id, story_id, count(*) AS n, min(pos) AS pos FROM lab WHERE cluster_id >= 0 AND story_id <> 0 GROUP BY ALL), known AS (SELECT id, cluster_id, sum(n) AS known, count(*) AS stories, list(story_id ORDER BY story_id) AS ids FROM sto GROUP BY ALL),
+    tops AS (SELECT id, cluster_id, story_id AS top, n AS most FROM sto QUALIFY row_number() OVER (PARTITION BY id, cluster_id ORDER BY n DESC, pos) = 1),
+    hst AS (SELECT id, cluster_id, list(domain ORDER BY n DESC, pos, domain) AS hosts FROM (SELECT id, cluster_id, domain, count(*) AS n, min(pos) AS pos FROM lab WHERE cluster_id >= 0 GROUP BY ALL) GROUP BY ALL),
+    clus AS (SELECT z.id, z.cluster_id, z.size, no.noise AS noise_count, coalesce(keywords, []) AS keywords, coalesce(top, 0) AS top_story_id, CASE WHEN top IS NULL THEN '' ELSE 'story ' || top END AS title, round(coalesce(most / known, 0.0), 3) AS pct, coalesce(stories, 0) AS uniq, coalesce(ids, []) AS ids, CASE WHEN known > 0 THEN hosts ELSE [] END AS hosts
+        FROM (SELECT id, cluster_id, count(*) AS size FROM lab WHERE cluster_id >= 0 GROUP BY ALL) z JOIN (SELECT id, count(*) FILTER (cluster_id < 0) AS noise FROM lab GROUP BY id) no USING (id) LEFT JOIN kws USING (id, cluster_id) LEFT JOIN known USING (id, cluster_id) LEFT JOIN tops USING (id, cluster_id) LEFT JOIN hst USING (id, cluster_id)),
+    stems(word, stem) AS (VALUES {', '.join(f"('{w}', '{x}')" for w, x in STEMS.items())}), cw AS (SELECT DISTINCT id, cluster_id, stem AS word FROM (SELECT id, cluster_id, unnest(keywords) AS word FROM clus) JOIN stems USING (word) WHERE stem NOT IN ('peopl', 'audio', 'messag', 'question'))"""
+
+
 ORACLE_SQL = {
     "candidate_classify_score": f"""WITH {CANDIDATES} SELECT candidate_id, CASE WHEN uniq = 0 THEN 'unknown' WHEN pct >= 0.8 OR uniq <= 1 THEN 'viral_post' WHEN len(kws) < 2 THEN 'topic_surge' WHEN uniq >= 3 AND len(doms) >= 2 AND size >= 10 THEN 'event_candidate' ELSE 'topic_surge' END AS kind,
         round(0.25 * least(uniq / 5, 1) + 0.2 * (1 - pct) + 0.2 * least(len(doms) / 3, 1) + 0.15 * least(size / 100, 1) + 0.1 * least(size / 4 / 10, 1) + 0.1 * least(len(kws) / 5, 1), 4) AS event_score, size, uniq AS unique_conversation_count, pct AS top_conversation_pct, top AS top_story_id FROM cand""",
@@ -182,13 +267,25 @@ ORACLE_SQL = {
         SELECT CASE WHEN c = 1 THEN 'isolated' WHEN m < 120 THEN 'flash' WHEN m < 240 THEN 'developing' ELSE 'sustained' END AS duration_kind, CASE WHEN m < 30 THEN '<30m' WHEN m < 120 THEN '30m-2h' WHEN m <= 360 THEN '2h-6h' ELSE '>6h' END AS bucket, count(*) AS n FROM m GROUP BY ALL""",
     "flash_edges": f"WITH {_edges(7200, 0.3)} SELECT a, b, round(overlap, 6) AS overlap FROM edges",
     "flash_components": f"WITH RECURSIVE {_edges(3600, 0.9)}, sym AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS id, a AS seen FROM sym UNION SELECT r.id, e.b FROM reach r JOIN sym e ON e.a = r.seen) SELECT id, min(seen) AS component FROM reach GROUP BY id",
-    "hourly_representatives": f"WITH {ANOMALIES} SELECT id, channel, z_score FROM hot QUALIFY row_number() OVER (PARTITION BY channel, window_end // 86400 ORDER BY z_score DESC, window_start, id) = 1",
+    "hourly_representatives": f"""WITH {ITEMS}, c AS (SELECT channel, CAST(floor(sec / 1800.0) * 1800 AS BIGINT) AS window_start, count(*) AS n, min(id) AS id FROM items GROUP BY ALL), u AS (SELECT channel, sum(n) / count(*) AS mean FROM c GROUP BY channel),
+        w AS (SELECT id, channel, window_start, window_start + 1800 AS window_end, round(n / mean, 6) AS z_score FROM c JOIN u USING (channel)) SELECT id, channel, window_end, z_score FROM w QUALIFY row_number() OVER (PARTITION BY channel, window_end // 3600 ORDER BY z_score DESC, window_start, id) = 1""",
+    "cluster_table": f"WITH {CLUSTERS} SELECT id, cluster_id, size, noise_count, array_to_string(keywords, ',') AS keywords, top_story_id, title AS top_story_title, pct AS top_story_pct, uniq AS unique_story_count, array_to_string(ids, ',') AS story_ids, array_to_string(hosts, ',') AS top_domains FROM clus",
+    "enriched_candidates": f"""WITH {CLUSTERS}, k AS (SELECT 'hacker_news:' || channel || ':' || window_end || ':' || cluster_id AS candidate_id, CASE WHEN uniq = 0 THEN 'unknown' WHEN pct >= 0.8 OR uniq <= 1 THEN 'viral_post' WHEN len(keywords) < 2 THEN 'topic_surge' WHEN uniq >= 3 AND len(hosts) >= 2 AND size >= 10 THEN 'event_candidate' ELSE 'topic_surge' END AS kind,
+        round(0.25 * least(uniq / 5, 1) + 0.2 * (1 - pct) + 0.2 * least(len(hosts) / 3, 1) + 0.15 * least(size / 100, 1) + 0.1 * least(z_score / 10, 1) + 0.1 * least(len(keywords) / 5, 1), 4) AS event_score, size, uniq AS unique_conversation_count, pct AS top_conversation_pct, top_story_id, array_to_string(keywords, ',') AS keywords, w.n AS window_count
+        FROM clus JOIN hot USING (id) JOIN (SELECT id, count(*) AS n FROM lab GROUP BY id) w USING (id)) SELECT * FROM k WHERE kind <> 'unknown'""",
+    "stemmed_cluster_words": f"WITH {CLUSTERS} SELECT * FROM cw",
+    "flash_on_stems": f"""WITH {CLUSTERS}, cz AS (SELECT id, cluster_id, count(*) AS size FROM cw GROUP BY ALL), pr AS (SELECT x.id AS a, y.id AS b, u.cluster_id AS ca, v.cluster_id AS cb, count(*) AS common FROM hot x JOIN hot y ON x.id < y.id AND x.channel <> y.channel AND abs(x.window_start - y.window_start) <= 3600 JOIN cw u ON u.id = x.id JOIN cw v ON v.id = y.id AND v.word = u.word GROUP BY ALL HAVING count(*) >= 2)
+        SELECT a, b, round(max(common / least(s.size, t.size)), 6) AS overlap FROM pr JOIN cz s ON s.id = a AND s.cluster_id = ca JOIN cz t ON t.id = b AND t.cluster_id = cb GROUP BY a, b HAVING max(common / least(s.size, t.size)) >= 0.9""",
+    "tag_snapshot": f"WITH {SNAPSHOT} SELECT tag, total, matched, unmatched, coalesce(channels, '') AS channels, coalesce(cohashtags, '') AS cohashtags, coalesce(domains, '') AS domains, coalesce(array_to_string(samples, '|'), '') AS samples, authors AS unique_authors_capped FROM snap",
+    "tag_unmatched_report": f"""WITH {SNAPSHOT} SELECT tag AS hashtag, unmatched AS unmatched_count, total AS total_count, rate AS unmatched_rate, authors AS unique_authors_capped, coalesce(pa5, '') AS top_cohashtags, coalesce(dm5, '') AS top_domains, coalesce(samples[1], '') AS sample_text_1, coalesce(samples[2], '') AS sample_text_2, coalesce(samples[3], '') AS sample_text_3, coalesce(ch1, 'unknown') AS suggested_channel,
+        CASE WHEN rate >= 0.8 AND total >= 50 THEN 'review_for_addition' WHEN rate >= 0.5 THEN 'monitor' ELSE 'ok' END AS suggested_action, CASE WHEN total >= 1000 AND authors >= 50 THEN 'high' WHEN total >= 100 THEN 'medium' ELSE 'low' END AS confidence FROM rated WHERE unmatched > 0 ORDER BY unmatched DESC, tag LIMIT 20""",
+    "tag_routed_report": f"WITH {SNAPSHOT} SELECT tag AS hashtag, total AS total_count, matched AS matched_count, round(matched / total, 4) AS matched_rate, coalesce(ch1, '') AS top_channel, coalesce(ch5, '') AS channel_distribution, authors AS unique_authors_capped, coalesce(dm5, '') AS top_domains FROM snap WHERE matched > 0 ORDER BY matched DESC, tag LIMIT 20",
     "isolated_antijoin": f"WITH {_edges(3600, 0.9)} SELECT id, channel, z_score FROM hot WHERE id NOT IN (SELECT a FROM edges UNION SELECT b FROM edges)",
     "shared_keywords": f"""WITH {ANOMALIES}, s AS (SELECT channel, window_start // 86400 AS day, word, count(DISTINCT id) AS members FROM words JOIN hot USING (id) GROUP BY ALL), f AS (SELECT *, max(members) OVER (PARTITION BY channel, day) AS most FROM s),
         r AS (SELECT *, row_number() OVER (PARTITION BY channel, day ORDER BY members DESC, word) AS place FROM f WHERE most = 1 OR members > 1 QUALIFY place <= 6) SELECT channel, day, string_agg(word, ', ' ORDER BY place) AS keywords FROM r GROUP BY channel, day""",
     "interval_join_collect": f"WITH {SURGES} SELECT event_id AS window_id, count(*) AS n, count(DISTINCT story_id) AS texts FROM surges s JOIN items i ON i.channel = s.channel AND i.sec BETWEEN s.event_start AND s.last_seen GROUP BY 1",
     "tag_counts": f"WITH {POSTS} SELECT tag, count(*) AS total, count(*) FILTER (channel NOT IN ('view', 'error')) AS matched, count(*) FILTER (channel IN ('view', 'error')) AS unmatched FROM oc GROUP BY tag",
-    "tag_promotion": f"WITH {POSTS} SELECT tag, id AS since_id, sec AS since_sec FROM nth WHERE k = 5 ORDER BY sec, id, pos, tag LIMIT 20",
+    "tag_promotion": f"WITH {POSTS} SELECT tag, id AS since_id, sec AS since_sec FROM nth WHERE k = 5 ORDER BY sec, id, pos, tag LIMIT 500",
     "tag_cooccurrence": f"""WITH {POSTS}, own AS (SELECT * FROM nth WHERE k >= 5), c AS (SELECT a.tag, b.tag AS partner, count(*) AS n, min((a.sec, a.id, a.pos, b.pos)) AS first FROM own a JOIN oc b ON a.id = b.id AND a.tag <> b.tag GROUP BY ALL)
         SELECT tag, partner, n FROM c QUALIFY row_number() OVER (PARTITION BY tag ORDER BY first) <= 20""",
     "tag_suggestions": f"""WITH {POSTS}, t AS (SELECT tag, count(*) AS total, count(*) FILTER (channel IN ('view', 'error')) AS unmatched, CAST(least(count(DISTINCT author) FILTER (k >= 5), 100) AS BIGINT) AS authors FROM nth GROUP BY tag), r AS (SELECT *, round(unmatched / total, 4) AS rate FROM t)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tidewatch.checkpoints import shared_folder
 from tidewatch.plans import reports as P
 from tidewatch.plans.detection_queries import ITEMS
-from tidewatch.plans.event_queries import _anomalies, _candidates, _tracked
+from tidewatch.operators import consolidation as M
+from tidewatch.operators import enrichment as E
+from tidewatch.plans.event_queries import _anomalies, _candidates, _enriched, _tracked
 from tidewatch.sources import readers, sinks
 from tidewatch.streaming import jobs
 
@@ -29,7 +31,7 @@ def _synthetic_events(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
     kind = F.element_at(F.array(*map(F.lit, P.DURATIONS)), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return o.select(
-        F.col("o_orderkey").alias("event_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("last_seen"), F.col("o_orderpriority").alias("primary_channel"), kind.alias("duration_kind"), (F.col("o_orderkey") % 3 + 1).alias("candidate_count"), (F.col("o_custkey") % 50).alias("total_item_count"),
+        F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("closed").alias("status"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("last_seen"), F.col("o_orderpriority").alias("primary_channel"), kind.alias("duration_kind"), (F.col("o_orderkey") % 3 + 1).alias("candidate_count"), (F.col("o_custkey") % 50).alias("total_item_count"),
         F.floor("o_totalprice").cast("double").alias("peak_score"), (F.col("o_custkey") % 11).cast("double").alias("peak_z_score"), (F.col("o_orderkey") % 600).cast("double").alias("duration_minutes"),
     )
 
@@ -51,6 +53,57 @@ def candidate_summary(spark, sf_dir):
     return P.candidate_summary(_candidates(spark, sf_dir)).select("kind", "n", "dominated", "few_words", "share")
 
 
+def candidate_flags(spark, sf_dir):
+    """Weak scores, general channel and hiring threads among the kinds."""
+    own = _candidates(spark, sf_dir).withColumn("top_story_title", F.when(F.col("size") % 7 == 0, F.lit("Ask: Who's hiring?")).otherwise(F.col("top_story_title")))
+    return P.candidate_summary(own.withColumn("channel", F.when(F.col("channel") == "view", "general").otherwise(F.col("channel")))).select("kind", "weak", "from_general", "hiring")
+
+
+def repeated_stories(spark, sf_dir):
+    return P.repeated_stories(_candidates(spark, sf_dir))
+
+
+def lowest_candidates(spark, sf_dir):
+    return P.lowest_candidates(_candidates(spark, sf_dir)).select("candidate_id", "event_score", "top_story_title")
+
+
+def event_shares(spark, sf_dir):
+    return P.event_shares(_synthetic_events(spark, sf_dir))
+
+
+def most_merged(spark, sf_dir):
+    """Customers as events: those of most orders."""
+    o = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("event_id")).agg(F.count("*").alias("candidate_count"), F.max("o_orderpriority").alias("primary_channel"), (F.max("o_orderkey") - F.min("o_orderkey")).alias("duration_minutes"))
+    return P.most_merged(o.withColumn("representative_title", F.concat(F.lit("customer "), F.col("event_id").cast("string"))))
+
+
+def baseline_results(spark, sf_dir):
+    """Golden pairs, scored: each channel's candidates of one cluster and the next window's, two in three expected to merge."""
+    own = _candidates(spark, sf_dir)
+    a = own.select(F.struct(*own.columns).alias("a"), "channel", "cluster_id", F.col("window_end").alias("meets"))
+    b = own.select(F.struct(*own.columns).alias("b"), "channel", "cluster_id", F.col("window_start").alias("meets"))
+    pairs = a.join(b, ["channel", "cluster_id", "meets"]).select("a", "b")
+    key = F.col("a.window_start") / 43200
+    case = F.struct(F.concat_ws("/", "a.channel", "a.cluster_id", key.cast("long").cast("string")).alias("case_id"), F.col("a.channel").alias("group"), F.when(key.cast("long") % 3 > 0, "should_merge").otherwise("should_not_merge").alias("expected"), F.col("a.candidate_id").alias("candidate_a"), F.col("b.candidate_id").alias("candidate_b"), F.lit(None).cast("string").alias("notes"))
+    path = _folder(spark)
+    pairs.select(case.alias("c")).groupBy("c.group").agg(F.collect_list("c").alias("pairwise")).withColumn("meta", F.struct(F.lit("all").alias("date_range"))).write.json(path)
+    scored = M.score_pairs(pairs, 9).withColumns({"candidate_a": F.col("a.candidate_id"), "candidate_b": F.col("b.candidate_id")})
+    out = P.baseline_results(spark.read.schema(P.BASELINE).json(path), scored)
+    return out.select("case_id", "expected", "candidate_a", "candidate_b", F.round("actual_score", 6).alias("actual_score"), "passed", "merge_reason", "notes")
+
+
+def anomaly_tables(spark, sf_dir):
+    """Anomalies, clusters and texts written as tables and joined again by id."""
+    anomalies, rows, labelled = _enriched(spark, sf_dir)
+    path = _folder(spark)
+    full = anomalies.withColumns({"mean": F.lit(1.0), "std": F.lit(0.5)})
+    sinks.write_tables(E.anomaly_tables(full, rows, labelled.select("id", "text")), path)
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+    clusters = read("clusters").groupBy("anomaly_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "keywords"))), lambda c: c["keywords"]), "|").alias("keywords"))
+    texts = read("anomaly_texts").groupBy("anomaly_id").agg(F.countDistinct("text").alias("texts"))
+    return read("anomalies").join(clusters, F.col("id") == clusters["anomaly_id"], "left").drop("anomaly_id").join(texts, F.col("id") == texts["anomaly_id"], "left").select("id", "channel", "window_date", "count", "texts_sampled", F.coalesce("keywords", F.lit("")).alias("keywords"), "texts")
+
+
 def candidate_left_join_unresolved(spark, sf_dir):
     """Order lines against the orders of one priority: unresolved lines stay."""
     orders = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
@@ -134,13 +187,14 @@ def manifest_antijoin(spark, sf_dir):
 
 
 def webhook_payloads(spark, sf_dir):
-    rows = _anomalies(spark, sf_dir)[0].withColumn("count", F.lit(5))
-    return rows.select("id", sinks.payload("discord").alias("body"))
+    """Alerts of all three styles."""
+    rows = _anomalies(spark, sf_dir)[0].withColumns({"count": F.lit(5), "keywords": F.when(F.col("id") % 2 == 0, F.array(F.lit("alpha"), F.lit("beta"))).otherwise(F.array().cast("array<string>"))})
+    return rows.select("id", *[sinks.payload(s).alias(s) for s in ("discord", "slack", "plain")])
 
 
 def stream_sliding_counts(spark, sf_dir):
     path = _folder(spark)
-    jobs.run_complete(jobs.sliding_counts(jobs.event_stream(spark, f"{sf_dir}/events.parquet")), f"{path}/out", f"{path}/state")
+    jobs.run_available(jobs.sliding_counts(jobs.event_stream(spark, f"{sf_dir}/events.parquet")), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").select("channel", "tick", "n")
 
 
@@ -158,19 +212,38 @@ def stream_dedup(spark, sf_dir):
 
 def stream_session_lifecycle(spark, sf_dir):
     path = _folder(spark)
-    jobs.run_complete(jobs.sessions(jobs.event_stream(spark, f"{sf_dir}/events.parquet")), f"{path}/out", f"{path}/state")
+    jobs.run_available(jobs.sessions(jobs.event_stream(spark, f"{sf_dir}/events.parquet")), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out")
 
 
-QUERIES = {f.__name__: f for f in (channel_daily_summary, evaluation_summary_pivot, event_summary_buckets, candidate_summary, candidate_left_join_unresolved, topk_by_score, correlated_groupconcat, full_outer_phase_compare, global_aggregates, range_filter_scan, top_keywords_report, bi_events_table, bi_event_keywords, bi_event_domains, bi_event_candidates, parquet_partition_prune, jsonl_roundtrip, csv_export_roundtrip, manifest_antijoin, webhook_payloads, stream_sliding_counts, stream_schmitt, stream_dedup, stream_session_lifecycle)}
+QUERIES = {f.__name__: f for f in (channel_daily_summary, evaluation_summary_pivot, event_summary_buckets, event_shares, most_merged, candidate_summary, candidate_flags, repeated_stories, lowest_candidates, baseline_results, anomaly_tables, candidate_left_join_unresolved, topk_by_score, correlated_groupconcat, full_outer_phase_compare, global_aggregates, range_filter_scan, top_keywords_report, bi_events_table, bi_event_keywords, bi_event_domains, bi_event_candidates, parquet_partition_prune, jsonl_roundtrip, csv_export_roundtrip, manifest_antijoin, webhook_payloads, stream_sliding_counts, stream_schmitt, stream_dedup, stream_session_lifecycle)}
 
-from tidewatch.plans.event_queries import ANOMALIES, CANDIDATES  # noqa: E402
+from tidewatch.plans.event_queries import _CONV, ANOMALIES, CANDIDATES, CLUSTERS, _simp  # noqa: E402
 
-_EVENTS = "ev AS (SELECT o_orderkey AS event_id, o_orderdate AS last, o_orderpriority AS primary_channel, ['isolated', 'flash', 'developing', 'sustained'][o_orderkey % 4 + 1] AS duration_kind, o_orderkey % 3 + 1 AS candidate_count, o_custkey % 50 AS items, floor(o_totalprice) AS peak, CAST(o_custkey % 11 AS DOUBLE) AS z, CAST(o_orderkey % 600 AS DOUBLE) AS minutes FROM orders)"
+_EVENTS = "ev AS (SELECT o_orderkey AS event_id, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'closed' END AS status, o_orderdate AS last, o_orderpriority AS primary_channel, ['isolated', 'flash', 'developing', 'sustained'][o_orderkey % 4 + 1] AS duration_kind, o_orderkey % 3 + 1 AS candidate_count, o_custkey % 50 AS items, floor(o_totalprice) AS peak, CAST(o_custkey % 11 AS DOUBLE) AS z, CAST(o_orderkey % 600 AS DOUBLE) AS minutes FROM orders)"
 _KINDS = ", ".join(f"count(*) FILTER (duration_kind = '{k}') AS {k}" for k in P.DURATIONS)
 _TOPK = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"
 
+_KIND = "CASE WHEN uniq = 0 THEN 'unknown' WHEN pct >= 0.8 OR uniq <= 1 THEN 'viral_post' WHEN len(kws) < 2 THEN 'topic_surge' WHEN uniq >= 3 AND len(doms) >= 2 AND size >= 10 THEN 'event_candidate' ELSE 'topic_surge' END"
+_EVENT_SCORE = "round(0.25 * least(uniq / 5, 1) + 0.2 * (1 - pct) + 0.2 * least(len(doms) / 3, 1) + 0.15 * least(size / 100, 1) + 0.1 * least(size / 4 / 10, 1) + 0.1 * least(len(kws) / 5, 1), 4)"
+_field = lambda k, v, inline, name, flag: f"""'{{"{name}":"{k}","value":"' || {v} || '","{flag}":{inline}}}'"""
+_WHEN, _Z, _KW = "strftime(make_timestamp(window_end * 1000000), '%b %d %H:%M UTC')", "printf('%.2f', z_score)", "CASE WHEN id % 2 = 0 THEN 'alpha, beta' ELSE '—' END"
+_fields = lambda name, flag: " || ',' || ".join(_field(k, v, i, name, flag) for k, v, i in (("Channel", "channel", "true"), ("Time", _WHEN, "true"), ("Count", "'5'", "true"), ("Z-Score", _Z, "true"), ("Keywords", _KW, "false")))
+
 ORACLE_SQL = {
+    "event_shares": f"WITH {_EVENTS}, r AS (SELECT 'status' AS section, status AS name FROM ev UNION ALL SELECT 'merge', CASE WHEN candidate_count > 1 THEN 'multi-candidate' ELSE 'single-candidate' END FROM ev UNION ALL SELECT 'channel', primary_channel FROM ev) SELECT section, name, count(*) AS n, round(count(*) / (SELECT count(*) FROM ev), 4) AS share FROM r GROUP BY ALL",
+    "most_merged": "SELECT o_custkey AS event_id, max(o_orderpriority) AS primary_channel, count(*) AS candidate_count, max(o_orderkey) - min(o_orderkey) AS duration_minutes, 'customer ' || o_custkey AS representative_title FROM orders GROUP BY o_custkey ORDER BY candidate_count DESC, event_id LIMIT 8",
+    "candidate_flags": f"WITH {CANDIDATES} SELECT {_KIND} AS kind, count(*) FILTER (size / 4 < 3.0) AS weak, count(*) FILTER (channel = 'view') AS from_general, count(*) FILTER (size % 7 = 0) AS hiring FROM cand GROUP BY 1",
+    "repeated_stories": f"WITH {CANDIDATES} SELECT 'story ' || top AS title, count(*) AS n FROM cand WHERE {_KIND} = 'event_candidate' GROUP BY 1 ORDER BY n DESC, title LIMIT 8",
+    "lowest_candidates": f"WITH {CANDIDATES} SELECT candidate_id, {_EVENT_SCORE} AS event_score, 'story ' || top AS top_story_title FROM cand WHERE {_KIND} = 'event_candidate' ORDER BY event_score, candidate_id LIMIT 5",
+    "baseline_results": f"""WITH {CANDIDATES}, p AS (SELECT a.channel || '/' || a.cluster_id || '/' || (a.window_start // 43200) AS case_id, CASE WHEN a.window_start // 43200 % 3 > 0 THEN 'should_merge' ELSE 'should_not_merge' END AS expected, a.candidate_id AS candidate_a, b.candidate_id AS candidate_b, {_CONV} AS c, {_simp('kws')} AS k, {_simp('doms')} AS d, a.top <> 0 AND a.top = b.top AS t, a.top <> 0 AND list_contains(b.convs, a.top) AS r
+            FROM cand a JOIN cand b ON a.channel = b.channel AND a.cluster_id = b.cluster_id AND b.window_start = a.window_start + 43200),
+        s AS (SELECT *, round(CASE WHEN k = 0 AND NOT t THEN 0.0 ELSE CASE WHEN t THEN 0.25 ELSE 0.0 END + (0.3::DOUBLE * c + 0.15::DOUBLE * k + 0.05::DOUBLE * d) + CASE WHEN r AND NOT t THEN 0.1 ELSE 0.0 END END, 9) AS score FROM p)
+        SELECT case_id, expected, candidate_a, candidate_b, round(score, 6) AS actual_score, (score >= 0.25) = (expected = 'should_merge') AS passed, CASE WHEN t THEN 'top_conv_match' WHEN r THEN 'reverse_anchor_match' WHEN c >= 0.3 THEN 'conv_overlap' WHEN k > 0 AND d > 0 THEN 'kw+domain' ELSE 'keyword' END AS merge_reason, '' AS notes FROM s""",
+    "anomaly_tables": f"""WITH {CLUSTERS} SELECT hot.id, channel, strftime(make_timestamp(window_start * 1000000), '%Y-%m-%d %H:%M UTC') AS window_date, n AS "count", n AS texts_sampled, coalesce(keywords, '') AS keywords, texts FROM hot JOIN (SELECT id, count(*) AS n, count(DISTINCT text) AS texts FROM lab GROUP BY id) USING (id) LEFT JOIN (SELECT id, string_agg(array_to_string(keywords, ', '), '|' ORDER BY cluster_id) AS keywords FROM clus GROUP BY id) USING (id)""",
+    "webhook_payloads": f"""WITH {ANOMALIES} SELECT id, '{{"embeds":[{{"title":"Surge Detected — ' || channel || '","color":15022389,"fields":[' || {_fields('name', 'inline')} || '],"footer":{{"text":"Surge Detection Engine"}}}}]}}' AS discord,
+        '{{"text":"*Surge Detected — ' || channel || '*","attachments":[{{"color":"#E53935","fields":[' || {_fields('title', 'short')} || '],"footer":"Surge Detection Engine"}}]}}' AS slack,
+        '{{"text":"SURGE | ' || channel || ' | ' || {_WHEN} || ' | count=5 z=' || {_Z} || ' | ' || {_KW} || '"}}' AS plain FROM hot""",
     "channel_daily_summary": f"WITH {_EVENTS} SELECT strftime(last, '%Y-%m-%d') AS date, primary_channel, count(*) AS events, count(*) FILTER (candidate_count > 1) AS merged_events, {_KINDS}, CAST(sum(candidate_count) AS BIGINT) AS candidates, CAST(sum(items) AS BIGINT) AS items, round(avg(peak), 4) AS avg_peak_score, round(max(peak), 4) AS max_peak_score, round(max(z), 4) AS max_z FROM ev GROUP BY ALL",
     "evaluation_summary_pivot": f"""WITH {_EVENTS}, a AS (SELECT count(*) AS events, count(*) FILTER (candidate_count > 1) AS multi, CAST(sum(candidate_count) AS BIGINT) AS merged_candidates, count(*) FILTER (primary_channel = '1-URGENT') AS events_urgent, count(*) FILTER (primary_channel = '2-HIGH') AS events_high, {_KINDS} FROM ev),
         b AS (SELECT count(*) AS candidates, count(*) FILTER (l_returnflag = 'R') AS event_candidates, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS recurring FROM lineitem) SELECT *, round(multi / greatest(events, 1), 4) AS multi_rate, round(event_candidates / greatest(candidates, 1), 4) AS event_rate FROM a, b""",
@@ -188,8 +261,8 @@ ORACLE_SQL = {
     "parquet_partition_prune": f"WITH {ANOMALIES} SELECT id, channel, z_score FROM hot WHERE window_end >= epoch(TIMESTAMP '2024-01-02') AND window_end < epoch(TIMESTAMP '2024-01-04')",
     "manifest_antijoin": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < '1998-01-01')",
     "stream_sliding_counts": f"""WITH {ITEMS}, t AS (SELECT unnest(generate_series((SELECT CAST(ceil(min(sec) / 300.0) * 300 AS BIGINT) FROM items), (SELECT CAST(floor(max(sec) / 300.0) * 300 + 7200 AS BIGINT) FROM items), 300)) AS tick)
-        SELECT channel, tick, count(*) AS n FROM items JOIN t ON sec <= tick AND sec > tick - 7200 GROUP BY ALL""",
+        SELECT channel, tick, count(*) AS n FROM items JOIN t ON sec <= tick AND sec > tick - 7200 WHERE tick + 1 <= (SELECT max(sec) - 600 FROM items) GROUP BY ALL""",
     "stream_dedup": "SELECT event_type AS channel, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
     "stream_session_lifecycle": f"""WITH {ITEMS}, t AS (SELECT event_type AS channel, epoch_us(ts) AS us FROM events), g AS (SELECT *, us - lag(us) OVER (PARTITION BY channel ORDER BY us) >= 600000000 AS brk FROM t),
-        s AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT channel, CAST(floor(min(us) / 1000000) AS BIGINT) AS start, CAST(floor((max(us) + 600000000) / 1000000) AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY channel, no""",
+        s AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT channel, CAST(floor(min(us) / 1000000) AS BIGINT) AS start, CAST(floor((max(us) + 600000000) / 1000000) AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY channel, no HAVING max(us) + 600000000 <= (SELECT max(us) FROM t) // 1000 * 1000 - 600000000""",
 }

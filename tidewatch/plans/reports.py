@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import duration_bucket, title_tokens, utc
 from tidewatch.functions.vocabulary import REPORT_NOISE
+from tidewatch.operators.consolidation import LEAST_SCORE
 
 KINDS = ["event_candidate", "topic_surge", "viral_post", "recurring_thread"]
 DURATIONS = ["isolated", "flash", "developing", "sustained"]
@@ -74,18 +75,88 @@ def evaluation_summary(events: DataFrame, candidates: DataFrame, channels: list[
     return both.withColumn("multi_rate", _rate(F.col("multi"), F.col("events"))).withColumn("event_rate", _rate(F.col("event_candidates"), F.col("candidates")))
 
 
+#: Titles of hiring threads, and a weak score.
+HIRING_TITLES = ["who is hiring", "who wants to be hired", "who's hiring"]
+WEAK_Z = 3.0
+
+
 def candidate_summary(candidates: DataFrame) -> DataFrame:
-    """Per kind: number, share, mean score, and red flags (one story dominates, few words)."""
-    counts = candidates.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("event_score"), 4).alias("avg_score"), F.count_if(F.col("top_conversation_pct") >= 0.8).alias("dominated"), F.count_if(F.size("keywords") < 2).alias("few_words"))
+    """Per kind: number, share, mean score, and red flags (one story dominates, few words, weak score, general channel, hiring threads)."""
+    title = F.lower(F.coalesce("top_story_title", F.lit("")))
+    hiring = F.lit(False)
+    for part in HIRING_TITLES:
+        hiring = hiring | title.contains(part)
+    counts = candidates.groupBy("kind").agg(
+        F.count("*").alias("n"), F.round(F.avg("event_score"), 4).alias("avg_score"), F.count_if(F.col("top_conversation_pct") >= 0.8).alias("dominated"), F.count_if(F.size("keywords") < 2).alias("few_words"),
+        F.count_if(F.coalesce("z_score", F.lit(0.0)) < WEAK_Z).alias("weak"), F.count_if(F.col("channel") == "general").alias("from_general"), F.count_if(hiring).alias("hiring"),
+    )
     total = candidates.agg(F.count("*").alias("total"))
     return counts.join(F.broadcast(total), F.lit(True)).withColumn("share", _rate(F.col("n"), F.col("total"))).drop("total")
 
 
+def repeated_stories(candidates: DataFrame, most: int = 8) -> DataFrame:
+    """Titles that several windows were attributed to, the most frequent first, a bounded report."""
+    title = F.trim(F.coalesce("top_story_title", F.lit("")))
+    return candidates.where("kind = 'event_candidate'").groupBy(title.alias("title")).agg(F.count("*").alias("n")).where("title <> ''").orderBy(F.desc("n"), "title").limit(most)
+
+
+def lowest_candidates(candidates: DataFrame, most: int = 5) -> DataFrame:
+    """The event candidates of least score, a bounded report."""
+    return candidates.where("kind = 'event_candidate'").select("candidate_id", "channel", "event_score", "z_score", "top_story_title").orderBy("event_score", "candidate_id").limit(most)
+
+
 def event_summary(events: DataFrame) -> DataFrame:
     """Per bucket of duration: events, those of several candidates, and the longest."""
     return events.groupBy(duration_bucket(F.col("duration_minutes")).alias("bucket")).agg(F.count("*").alias("events"), F.count_if(F.col("candidate_count") > 1).alias("multi"), F.round(F.max("duration_minutes"), 2).alias("longest"))
 
 
+def event_shares(events: DataFrame) -> DataFrame:
+    """section, name, n, share: events by status, by whether they merged, and by channel."""
+    section = lambda s, c: F.struct(F.lit(s).alias("section"), c.cast("string").alias("name"))
+    merged = F.when(F.col("candidate_count") > 1, "multi-candidate").otherwise("single-candidate")
+    rows = events.select(F.explode(F.array(section("status", F.col("status")), section("merge", merged), section("channel", F.col("primary_channel")))).alias("r"))
+    counts = rows.groupBy("r.section", "r.name").agg(F.count("*").alias("n"))
+    total = events.agg(F.count("*").alias("total"))
+    return counts.join(F.broadcast(total), F.lit(True)).withColumn("share", _rate(F.col("n"), F.col("total"))).drop("total")
+
+
+def most_merged(events: DataFrame, most: int = 8) -> DataFrame:
+    """The events of most candidates, a bounded report."""
+    return events.select("event_id", "primary_channel", "candidate_count", "duration_minutes", "representative_title").orderBy(F.desc("candidate_count"), "event_id").limit(most)
+
+
+def audit_timeline(events: DataFrame, candidates: DataFrame) -> DataFrame:
+    """event_candidates in the order of events and of their merges."""
+    return event_candidates(events, candidates).orderBy("event_id", "position")
+
+
+def recurring_between(candidates: DataFrame, first: int, last: int) -> DataFrame:
+    """One row: recurring threads whose window ends in a range of seconds, ends included."""
+    return candidates.where(F.col("window_end").between(first, last)).agg(F.count_if(F.col("kind") == "recurring_thread").alias("recurring_thread_count"))
+
+
+BASELINE = "meta struct<date_range:string>, pairwise array<struct<case_id:string,`group`:string,expected:string,candidate_a:string,candidate_b:string,notes:string>>"
+
+
+def baseline_results(document: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """One row per pairwise case of a golden file (one JSON document, BASELINE), with what scoring said of the pair.
+
+    scored: candidate_a, candidate_b, merge_score, merge_reason and overlaps, as
+    score_pairs gives them. A pair that should merge passes at the least merge
+    score, one that should not below it; pairs without a score stay blank.
+    """
+    cases = document.select(F.explode("pairwise").alias("c")).select("c.*")
+    names = ["merge_score", "merge_reason", "keyword_overlap", "conversation_overlap", "domain_overlap"]
+    if scored is None:
+        kinds = {"merge_reason": "string"}
+        met = cases.select("*", *[F.lit(None).cast(kinds.get(n, "double")).alias(n) for n in names])
+    else:
+        met = cases.join(scored.select("candidate_a", "candidate_b", *names), ["candidate_a", "candidate_b"], "left")
+    merges = F.col("merge_score") >= LEAST_SCORE
+    passed = F.when(F.col("merge_score").isNotNull(), merges == (F.col("expected") == "should_merge"))
+    return met.select("case_id", "group", "expected", "candidate_a", "candidate_b", F.coalesce("notes", F.lit("")).alias("notes"), F.col("merge_score").alias("actual_score"), passed.alias("passed"), *names[1:])
+
+
 def top_keywords(rows: DataFrame, most: int = 12) -> DataFrame:
     """The most frequent keywords, a bounded report."""
     return rows.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword").limit(most)
@@ -103,6 +174,17 @@ def select_events(events: DataFrame, channels: list[str] | None = None, sources:
     return events.where(F.col("status") == "active") if active else events
 
 
+def select_candidates(candidates: DataFrame, channels: list[str] | None = None, least_score: float | None = None, kind: str | None = None, recurring: bool = False) -> DataFrame:
+    """Candidates that meet every condition given; recurring threads are hidden unless asked for, by name or by kind."""
+    if channels:
+        candidates = candidates.where(F.col("channel").isin(*channels))
+    if least_score is not None:
+        candidates = candidates.where(F.col("event_score") >= least_score)
+    if kind:
+        return candidates.where(F.col("kind") == kind)
+    return candidates if recurring else candidates.where("kind <> 'recurring_thread'")
+
+
 def order_candidates(candidates: DataFrame) -> DataFrame:
     """By kind, then the highest score; recurring threads last."""
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))

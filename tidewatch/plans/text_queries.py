@@ -18,7 +18,18 @@ KEYWORDS = [
     ("spanish", "los", 2.0), ("spanish", "que", 1.0), ("licence", "license", 3.0), ("licence", "mit license", 3.0), ("licence", "apache", 2.0),
 ]
 BOOSTS = [("blog.tionsh.example.net", "english", 2.0), ("thther.example.org", "french", 3.0), ("m.ththth.example.net", "german", 3.0), ("ththhe.example.com", "licence", 1.0)]
-TABLE = R.Table(KEYWORDS, BOOSTS, ["licence", "french", "german", "spanish", "english", "general"], {"spanish": 2.0}, {"english": ("the, and", "license")})
+PRIORITY = ["licence", "french", "german", "spanish", "english", "general"]
+TABLE = R.Table(KEYWORDS, BOOSTS, PRIORITY, {"spanish": 2.0}, {"english": (["the", "and"], ["license"])})
+#: Made-up titles and pages for the story router; a document's own words follow its title.
+TITLES = [
+    "Making money with LLMs", "Foundation models are a commodity", "An LLM-based review tool", "Hackers breached the senate", "A zero-day in SQLite", "Series B at a startup", "Google and Gemini", "Bitcoin and the sec",
+    "Starship launch: new Glenn waits", "A quiet afternoon", "exploited chips, acquired", "Machine learning for laptops and a laptop",
+]
+PAGES = ["", "https://www.arxiv.org/abs/1", "https://github.com/a/b", "http://example.org/x", "https://nasa.gov"]
+#: The posts' table, hashtags that a post may have, and what they say.
+POST_TABLE = R.Table([*KEYWORDS, ("spanish", "music", 1.0), ("french", "game", 2.0)], BOOSTS, PRIORITY, {"spanish": 2.0}, {"english": (["the", "and"], ["license"])})
+HASHTAGS = [[], ["NowPlaying"], ["OfTheDay", "GameDev"], ["UndSo"]]
+HASHTAG_WORDS = ["", "music song album artist", "Of The Day game developer creator", "Und So"]
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +95,14 @@ def coordination_prefix(spark, sf_dir):
     return heads.join(distinct, "source").select("source", F.round(F.col("most") / F.col("n"), 3).alias("top_text_pct"), F.round(F.col("texts") / F.col("n"), 3).alias("text_unique_ratio"))
 
 
+def text_crc32(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.crc32(F.col("text")).alias("crc"))
+
+
 def text_scalars(spark, sf_dir):
-    """Hash, truncation, camel split and time functions side by side."""
+    """Truncation, camel split and time functions side by side."""
     docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", T.crc32(F.col("text")).alias("crc"), F.substring("text", 1, 120).alias("head"), T.camel_split(F.concat(F.lit("AINews"), F.initcap("source"))).alias("camel"), T.utc(F.col("doc_id") * 86399).alias("iso"), T.utc(F.col("doc_id") * 86399, "yyyy/MM/dd").alias("day"))
+    return docs.select("doc_id", F.substring("text", 1, 120).alias("head"), T.camel_split(F.concat(F.lit("AINews"), F.initcap("source"))).alias("camel"), T.utc(F.col("doc_id") * 86399).alias("iso"), T.utc(F.col("doc_id") * 86399, "yyyy/MM/dd").alias("day"))
 
 
 def _found(spark, sf_dir):
@@ -106,6 +121,15 @@ def route_winner_margin(spark, sf_dir):
     return won.select("doc_id", "channel", "top_score", "second_channel", "second_score", "score_margin", F.array_join("matched_keywords", ",").alias("keywords"), F.coalesce("drop_reason", F.lit("")).alias("drop_reason"))
 
 
+def member_codec(spark, sf_dir):
+    """Items written as members and read back; every tenth is no JSON."""
+    docs = _docs(spark, sf_dir)
+    written = T.encode_member(text=F.col("text"), story_id=F.col("doc_id"), domain=F.col("source"), hashtags=F.array("lang"))
+    member = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("plain "), F.col("source"))).otherwise(written)
+    got = docs.select("doc_id", T.decode_member(member).alias("m"))
+    return got.select("doc_id", "m.text", "m.story_id", "m.domain", F.array_join("m.hashtags", ",").alias("hashtags"), "m.route_score", "m.author")
+
+
 def context_gate(spark, sf_dir):
     docs, found = _found(spark, sf_dir)
     return R.gated(R.scores(found, "doc_id"), docs, "doc_id", F.col("text"), TABLE).select("doc_id", "channel", "score")
@@ -117,9 +141,43 @@ def domain_boost_route(spark, sf_dir):
 
 
 def route_stories(spark, sf_dir):
-    """Titles (a text's first 100 characters) through the default table; rows only: its keywords hardly occur here."""
-    docs = _docs(spark, sf_dir).withColumn("title", F.substring("text", 1, 100))
-    return R.route(docs, "doc_id", {"title": (F.col("title"), 1.0)}).select("doc_id", "channel", "top_score")
+    """The audit table of stories through the default table: made-up titles, each before a document's first words."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod("doc_id", F.lit(len(xs))) + 1).cast("int"))
+    title = F.concat_ws(" ", pick(TITLES), F.substring("text", 1, 40))
+    stories = _docs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("sec"), F.col("doc_id").alias("story_id"), title.alias("story_title"), T.domain(pick(PAGES)).alias("domain"))
+    routed = R.route(stories, "doc_id", {"title": (F.col("story_title"), 1.0)}, F.col("domain"))
+    return R.routing_audit(stories, "doc_id", routed).drop("sec", "story_title")
+
+
+def _routed_posts(spark, sf_dir):
+    tags = F.array(*[F.array(*map(F.lit, t)).cast("array<string>") for t in HASHTAGS])
+    host = F.element_at(F.array(*[F.lit(d) for d, _, _ in BOOSTS], F.lit("")), (F.pmod("doc_id", F.lit(len(BOOSTS) + 1)) + 1).cast("int"))
+    posts = _docs(spark, sf_dir).select("doc_id", "lang", F.col("text").alias("body"), F.col("source").alias("embed_text"), F.element_at(tags, (F.pmod("doc_id", F.lit(len(HASHTAGS))) + 1).cast("int")).alias("hashtags"), host.alias("domain"))
+    return posts, R.route_posts(posts, "doc_id", POST_TABLE)
+
+
+def route_posts(spark, sf_dir):
+    """Documents as posts: body, embed, hashtags and domain, gate and floor."""
+    _, routed = _routed_posts(spark, sf_dir)
+    named = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return routed.select("doc_id", "channel", F.round("top_score", 3).alias("top_score"), "second_channel", "score_margin", F.array_join("matched_keywords", ",").alias("keywords"), "domain_boost_used", "body_score", "embed_score", F.size("raw_channel_scores").alias("scored"), F.size("eligible_channel_scores").alias("eligible"), "min_score_applied", "drop_reason")
+
+
+def run_report(spark, sf_dir):
+    """The run's one-row summary over routed posts; lists as text."""
+    posts, routed = _routed_posts(spark, sf_dir)
+    routed = posts.join(routed.select("doc_id", "channel", "matched_keywords"), "doc_id").withColumn("langs", F.array("lang"))
+    reason = C.drop_reason(F.col("body"), F.col("langs"), F.col("hashtags"), F.col("channel"))
+    report = C.run_summary(routed.withColumn("drop_reason", reason))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"))), ",").alias(c)
+    return report.select("total_seen", "english_seen", "kept_count", "dropped_count", "kept_rate", "dropped_rate", *[listed(c) for c in ("dropped_by_reason", "kept_by_channel", "top_matched_keywords", "top_unmatched_hashtags", "top_unmatched_domains")])
+
+
+def kept_recent(spark, sf_dir):
+    """The newest hundred kept posts, and their channel's number of posts and rate."""
+    posts, routed = _routed_posts(spark, sf_dir)
+    kept = posts.join(routed.where("channel <> 'general'").select("doc_id", "channel"), "doc_id").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 60).alias("sec"), "body", "channel")
+    return C.kept_sample(kept).join(C.kept_health(kept), "channel").select("id", "channel", "body", "n", "kept_per_min")
 
 
 def thread_inheritance(spark, sf_dir):
@@ -178,7 +236,7 @@ def keyword_posexplode(spark, sf_dir):
     return docs.select("doc_id", F.posexplode("words").alias("i", "keyword")).select("doc_id", (F.col("i") + 1).alias("rank"), "keyword")
 
 
-QUERIES = {f.__name__: f for f in (bot_boilerplate_filter, drop_reasons, drop_reason_counts, dropped_samples_cap, run_summary, language_mismatch, html_to_text, url_domain_counts, body_url_extract, coordination_prefix, text_scalars, keyword_route_scores, route_winner_margin, context_gate, domain_boost_route, route_stories, thread_inheritance, token_counts_topk, ctfidf_keywords, ctfidf_baseline_penalty, dbscan_embeddings, story_attribution, stem_keywords, recurring_thread_flag, keyword_posexplode)}
+QUERIES = {f.__name__: f for f in (bot_boilerplate_filter, drop_reasons, drop_reason_counts, dropped_samples_cap, run_summary, run_report, kept_recent, language_mismatch, html_to_text, url_domain_counts, body_url_extract, coordination_prefix, text_crc32, text_scalars, member_codec, keyword_route_scores, route_winner_margin, context_gate, domain_boost_route, route_stories, route_posts, thread_inheritance, token_counts_topk, ctfidf_keywords, ctfidf_baseline_penalty, dbscan_embeddings, story_attribution, stem_keywords, recurring_thread_flag, keyword_posexplode)}
 
 _PROSE = r"regexp_replace(text, '(?i)https?://\S+|@\w+|#\w+', '', 'g')"
 MISMATCH = rf"(length(trim({_PROSE})) > 40 AND length(regexp_replace({_PROSE}, '[^\p{{L}}]', '', 'g')) > 0 AND 2 * length(regexp_replace({_PROSE}, '[^\p{{L}}]|[^\x{{0000}}-\x{{024F}}]', '', 'g')) < length(regexp_replace({_PROSE}, '[^\p{{L}}]', '', 'g')))"
@@ -190,22 +248,46 @@ REASONS = f"""reasons AS (SELECT doc_id, lang, CASE WHEN length(source) = 4 THEN
     WHEN list_has_any({_TAGS}, {_GAMES}) OR (regexp_matches(text, '[⬜🟨🟩⬛🟥🟦]{{4,}}') AND regexp_matches(lower(text), '(wordle|connections|quordle|worldle|daily puzzle|nyt games)')) THEN 'routine_template'
     WHEN length(source) <> 4 THEN 'unmatched_topic' END AS drop_reason FROM documents)"""
 _WORDS = r"list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{M}\p{N}_]+'))"
-FOUND = rf"""kw AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{k}', {w})" for c, k, w in KEYWORDS)}) t(channel, keyword, weight)),
-    layers AS (SELECT doc_id, text AS x, 1.0 AS m FROM documents UNION ALL SELECT doc_id, source, 1.5 FROM documents),
-    found AS (SELECT doc_id, channel, keyword, weight * m AS score FROM (SELECT doc_id, m, unnest({_WORDS}) AS keyword FROM layers) JOIN kw USING (keyword)
-              UNION ALL SELECT doc_id, channel, keyword, weight * m FROM layers JOIN kw ON keyword LIKE '% %' AND regexp_matches(lower(x), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' || keyword || '($|[^\p{{L}}\p{{M}}\p{{N}}_])')),
-    scores AS (SELECT doc_id, channel, CAST(sum(score) AS DOUBLE) AS score, string_agg(DISTINCT keyword, ',' ORDER BY keyword) AS keywords FROM found GROUP BY ALL)"""
+_APART = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def _found_sql(keywords: list, layers: str) -> str:
+    """kw, found (a row per layer, keyword and channel) and scores, of layers (doc_id, x, m, layer)."""
+    return rf"""kw AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}', '{k}', {w})" for i, (c, k, w) in enumerate(keywords))}) t(nr, channel, keyword, weight)), layers AS ({layers}),
+    found AS (SELECT doc_id, layer, nr, channel, keyword, weight * m AS score FROM (SELECT doc_id, layer, m, unnest({_WORDS}) AS keyword FROM layers) JOIN kw USING (keyword)
+              UNION ALL SELECT doc_id, layer, nr, channel, keyword, weight * m FROM layers JOIN kw ON keyword LIKE '% %' AND regexp_matches(lower(x), '(^|{_APART})' || keyword || '($|{_APART})')),
+    firsts AS (SELECT doc_id, channel, keyword, min(layer * 1000 + nr) AS nr FROM found GROUP BY ALL), words AS (SELECT doc_id, channel, string_agg(keyword, ',' ORDER BY nr) AS keywords FROM firsts GROUP BY ALL),
+    scores AS (SELECT doc_id, channel, CAST(sum(score) AS DOUBLE) AS score, any_value(keywords) AS keywords FROM found JOIN words USING (doc_id, channel) GROUP BY ALL)"""
+
+
+FOUND = _found_sql(KEYWORDS, "SELECT doc_id, text AS x, 1.0 AS m, 0 AS layer FROM documents UNION ALL SELECT doc_id, source, 1.5, 1 FROM documents")
+_TAG_TEXT = f"[{', '.join(repr(t) for t in HASHTAG_WORDS)}][doc_id % {len(HASHTAGS)} + 1]"
+_POST_HOST = f"[{', '.join(repr(d) for d, _, _ in BOOSTS)}, ''][doc_id % {len(BOOSTS) + 1} + 1]"
+#: Posts' scores: layers, then boosts, then the gate; routed has winner and runner-up.
+ROUTED = f"""{_found_sql(POST_TABLE.keywords, f"SELECT doc_id, text AS x, 1.0 AS m, 0 AS layer FROM documents UNION ALL SELECT doc_id, source, 1.0, 1 FROM documents UNION ALL SELECT doc_id, {_TAG_TEXT}, 1.5, 2 FROM documents")},
+    bo AS (SELECT * FROM (VALUES {', '.join(f"('{d}', '{c}', {w})" for d, c, w in BOOSTS)}) t(host, channel, boost)), hosts AS (SELECT doc_id, {_POST_HOST} AS host FROM documents), gain AS (SELECT doc_id, host, channel, boost FROM hosts JOIN bo USING (host)),
+    parts AS (SELECT doc_id, channel, score, CASE WHEN layer <> 1 THEN score ELSE 0 END AS b, CASE WHEN layer = 1 THEN score ELSE 0 END AS e FROM found UNION ALL SELECT doc_id, channel, boost, 0, 0 FROM gain),
+    sums AS (SELECT doc_id, channel, CAST(sum(score) AS DOUBLE) AS score, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(e) AS DOUBLE) AS e FROM parts GROUP BY ALL),
+    told AS (SELECT s.doc_id, s.channel, b, e, coalesce(keywords, '') AS keywords, score * CASE WHEN s.channel = 'english' AND keywords IS NOT NULL AND len(list_filter(string_split(keywords, ','), lambda k: k NOT IN ('the', 'and'))) = 0 AND NOT contains(lower(coalesce(d.text, '') || ' ' || coalesce(d.source, '')), 'license') THEN 0.25 ELSE 1.0 END AS score
+             FROM sums s JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN words w ON w.doc_id = s.doc_id AND w.channel = s.channel),
+    fit AS (SELECT *, NOT (channel = 'spanish' AND score < 2.0) AS fits FROM told), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, list_position({PRIORITY}, channel)) AS place FROM fit WHERE fits),
+    held AS (SELECT doc_id, count(*) AS scored, count(*) FILTER (fits) AS eligible FROM fit GROUP BY doc_id),
+    routed AS (SELECT d.doc_id, d.lang, d.text, coalesce(a.channel, 'general') AS channel, coalesce(a.score, 0.0) AS top, coalesce(z.channel, '') AS second, coalesce(z.score, 0.0) AS second_score, coalesce(a.keywords, '') AS keywords, coalesce(a.b, 0.0) AS b, coalesce(a.e, 0.0) AS e, coalesce(scored, 0) AS scored, coalesce(eligible, 0) AS eligible
+               FROM documents d LEFT JOIN ranked a ON a.doc_id = d.doc_id AND a.place = 1 LEFT JOIN ranked z ON z.doc_id = d.doc_id AND z.place = 2 LEFT JOIN held h ON h.doc_id = d.doc_id)"""
+_TAG_LIST = f"[{', '.join(str(t) for t in HASHTAGS)}][doc_id % {len(HASHTAGS)} + 1]"
+_KEPT = f"{ROUTED}, kept AS (SELECT doc_id AS id, doc_id * 60 AS sec, text AS body, channel FROM routed WHERE channel <> 'general')"
+_listed = lambda rows, most: f"(SELECT coalesce(string_agg(v || ':' || n, ',' ORDER BY n DESC, v), '') FROM (SELECT v, count(*) AS n FROM ({rows}) WHERE v <> '' GROUP BY v ORDER BY n DESC, v LIMIT {most}))"
 _RANK = "CASE channel WHEN 'licence' THEN 0 WHEN 'french' THEN 1 WHEN 'german' THEN 2 WHEN 'spanish' THEN 3 WHEN 'english' THEN 4 ELSE 5 END"
 _STOP = ", ".join(f"'{w}'" for w in sorted(T.STOPWORDS))
-TOKENS = rf"""toks AS (SELECT doc_id, lang, source, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT *, list_filter(regexp_extract_all(lower(text), '\b[a-z]{{3,}}\b'), lambda w: w NOT IN ({_STOP})) AS l FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))),
+TOKENS = rf"""toks AS (SELECT doc_id, lang, source, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT *, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({_STOP})) AS l FROM documents)),
     t AS (SELECT *, CAST(regexp_extract(source, '(\d+)', 1) AS BIGINT) AS src, CAST(regexp_extract(source, '(\d+)', 1) AS BIGINT) % 3 AS cluster_id, doc_id * 100000 + pos AS first FROM toks)"""
 _LONE = ", ".join(f"'{w}'" for w in sorted(K.LONE_CLUSTER_STOPWORDS))
 _TITLE = ", ".join(f"'{w}'" for w in T.TITLE_STOPWORDS)
 _HIDE = ", ".join(f"'{w}'" for w in T.HIDDEN_KEYWORDS)
 HTML = r"""trim(regexp_replace(ENT, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"""
 _ent = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', ' ', 'g'), '(?s)</?[A-Za-z][^>]*>', ' ', 'g')"
-for _name, _char in T.ENTITIES.items():
-    _ent = f"replace({_ent}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&mdash;", "\u2014"), ("&amp;", "&")):
+    _ent = f"replace({_ent}, '{_name}', '{_char}')"
 
 ORACLE_SQL = {
     "bot_boilerplate_filter": "SELECT source AS author, lang AS channel, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') AND source NOT IN ('AutoModerator', 'reddit', 'dang', 'pg') AND NOT regexp_matches(lower(text), 'i am a bot, and this action was performed automatically|your submission has been removed|please contact the moderators of this subreddit|this is a reminder to|this item has been flagged') GROUP BY ALL",
@@ -218,6 +300,25 @@ ORACLE_SQL = {
     "url_domain_counts": r"SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') AS domain, count(*) AS n FROM pages GROUP BY 1",
     "body_url_extract": r"""WITH u AS (SELECT page_id, nullif(regexp_extract(html, '(?i)https?://[^\s<>"'')]+'), '') AS first_url FROM pages) SELECT page_id, first_url, regexp_replace(lower(regexp_extract(coalesce(first_url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') AS domain FROM u""",
     "coordination_prefix": "WITH h AS (SELECT source, substring(text, 1, 80) AS head, count(*) AS n FROM documents GROUP BY ALL), d AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY source) SELECT source, round(max(h.n) / sum(h.n), 3) AS top_text_pct, round(any_value(texts) / sum(h.n), 3) AS text_unique_ratio FROM h JOIN d USING (source) GROUP BY source",
+    "run_report": f"""WITH {ROUTED}, why AS (SELECT *, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN lang <> 'en' THEN 'non_english' WHEN {MISMATCH} THEN 'language_mismatch' WHEN channel = 'general' THEN 'unmatched_topic' END AS reason, {_TAG_LIST} AS tags, {_POST_HOST} AS host FROM routed)
+        SELECT count(*) AS total_seen, count(*) FILTER (lang = 'en') AS english_seen, count(*) FILTER (reason IS NULL) AS kept_count, count(*) FILTER (reason IS NOT NULL) AS dropped_count, round(count(*) FILTER (reason IS NULL) / count(*), 4) AS kept_rate, round(count(*) FILTER (reason IS NOT NULL) / count(*), 4) AS dropped_rate,
+            {_listed("SELECT reason AS v FROM why WHERE reason IS NOT NULL", 99)} AS dropped_by_reason, {_listed("SELECT channel AS v FROM why WHERE reason IS NULL", 99)} AS kept_by_channel, {_listed("SELECT unnest(string_split(keywords, ',')) AS v FROM why WHERE reason IS NULL", 20)} AS top_matched_keywords,
+            {_listed("SELECT unnest(tags) AS v FROM why WHERE reason = 'unmatched_topic'", 30)} AS top_unmatched_hashtags, {_listed("SELECT host AS v FROM why WHERE reason = 'unmatched_topic'", 20)} AS top_unmatched_domains FROM why""",
+    "kept_recent": f"""WITH {_KEPT}, c AS (SELECT channel, count(*) AS n FROM kept GROUP BY channel), s AS (SELECT max(sec) - min(sec) AS span FROM kept)
+        SELECT id, channel, substring(body, 1, 200) AS body, n, round(n / (greatest(span, 1) / 60), 1) AS kept_per_min FROM (SELECT * FROM kept ORDER BY sec DESC, id DESC LIMIT 100) JOIN c USING (channel), s""",
+    "text_scalars": "SELECT doc_id, substring(text, 1, 120) AS head, 'AI News' || ' ' || upper(source[1]) || lower(source[2:]) AS camel, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y/%m/%d') AS day FROM documents",
+    "member_codec": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'plain ' || source ELSE substring(text, 1, 120) END AS text, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE doc_id END AS story_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE source END AS domain, CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS hashtags, 0.0::DOUBLE AS route_score, '' AS author FROM documents",
+    "route_stories": rf"""WITH t AS (SELECT doc_id, {[*TITLES]}[doc_id % {len(TITLES)} + 1] || ' ' || substring(text, 1, 40) AS title, ['', 'arxiv.org', 'github.com', 'example.org', 'nasa.gov'][doc_id % 5 + 1] AS domain FROM documents),
+        kw AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}', '{k}', {w})" for i, (c, k, w) in enumerate(R.STORY_KEYWORDS))}) t(nr, channel, keyword, weight)),
+        m AS (SELECT *, regexp_replace(lower(title), '([\p{{L}}\p{{M}}\p{{N}}_]+)', '<\1>', 'g') AS words FROM (SELECT doc_id, domain, translate(title, '<>', '()') AS title FROM t)), kp AS (SELECT *, regexp_replace(keyword, '([a-z0-9]+)', '<\1>', 'g') AS whole FROM kw), bo(domain, channel, boost) AS (VALUES ('arxiv.org', 'science', 3.0), ('github.com', 'tech', 2.0), ('nasa.gov', 'science', 3.0)),
+        f AS (SELECT doc_id, nr, channel, keyword, weight AS score FROM m JOIN kp ON contains(words, CASE WHEN keyword IN ('hack', 'breach', 'exploit', 'llm', 'foundation model') THEN whole[:-2] ELSE whole END) UNION ALL SELECT doc_id, NULL, channel, NULL, boost FROM t JOIN bo USING (domain)),
+        s AS (SELECT doc_id, channel, CAST(sum(score) AS DOUBLE) AS score, count(keyword) AS held, coalesce(string_agg(keyword, ', ' ORDER BY nr), '') AS kws FROM f GROUP BY ALL),
+        a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, list_position(['ai', 'security', 'crypto', 'startup', 'policy', 'science', 'tech'], channel)) AS place FROM s),
+        z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CASE WHEN held = 0 THEN 99 ELSE list_position(['ai', 'security', 'startup', 'crypto', 'science', 'tech', 'policy'], channel) END) AS next FROM a WHERE place > 1)
+        SELECT t.doc_id AS story_id, domain, coalesce(a.channel, 'general') AS assigned_channel, coalesce(a.score, 0.0) AS top_score, coalesce(z.channel, '') AS second_channel, coalesce(z.score, 0.0) AS second_score, round(coalesce(a.score, 0.0) - coalesce(z.score, 0.0), 3) AS score_margin, coalesce(a.kws, '') AS matched_keywords,
+            coalesce(domain || ' → ' || bo.channel || '+' || CAST(CAST(boost AS INT) AS VARCHAR), '') AS domain_boost_used FROM t LEFT JOIN a ON a.doc_id = t.doc_id AND a.place = 1 LEFT JOIN z ON z.doc_id = t.doc_id AND z.next = 1 LEFT JOIN bo USING (domain)""",
+    "route_posts": f"""WITH {ROUTED} SELECT r.doc_id, r.channel, round(top, 3) AS top_score, second AS second_channel, round(top - second_score, 3) AS score_margin, keywords, coalesce(g.host || ' → ' || g.channel || '+' || CAST(CAST(g.boost AS INT) AS VARCHAR), '') AS domain_boost_used, round(b, 3) AS body_score, round(e, 3) AS embed_score,
+        CAST(scored AS INT) AS scored, CAST(eligible AS INT) AS eligible, scored > eligible AS min_score_applied, CASE WHEN scored > 0 AND eligible = 0 THEN 'below_channel_floor' ELSE '' END AS drop_reason FROM routed r LEFT JOIN gain g ON g.doc_id = r.doc_id""",
     "keyword_route_scores": f"WITH {FOUND} SELECT doc_id, channel, score, keywords FROM scores",
     "route_winner_margin": f"""WITH {FOUND}, e AS (SELECT *, NOT (channel = 'spanish' AND score < 2.0) AS fits FROM scores WHERE score > 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, {_RANK}) AS place FROM e WHERE fits),
@@ -226,16 +327,17 @@ ORACLE_SQL = {
     "context_gate": f"WITH {FOUND} SELECT s.doc_id, channel, CASE WHEN channel = 'english' AND len(list_filter(string_split(keywords, ','), lambda k: k NOT IN ('the', 'and'))) = 0 AND NOT contains(lower(d.text), 'license') THEN score * 0.25 ELSE score END AS score FROM scores s JOIN documents d ON d.doc_id = s.doc_id",
     "domain_boost_route": rf"""WITH kw AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{k}', {w})" for c, k, w in KEYWORDS)}) t(channel, keyword, weight)), b AS (SELECT * FROM (VALUES {', '.join(f"('{d}', '{c}', {w})" for d, c, w in BOOSTS)}) t(host, channel, boost)),
         p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS path, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages),
-        f AS (SELECT page_id, channel, weight AS score, FALSE AS boosted FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(path), '[\p{{L}}\p{{M}}\p{{N}}_]+'))) AS keyword FROM p) JOIN kw USING (keyword) UNION ALL SELECT page_id, channel, boost, TRUE FROM p JOIN b USING (host)),
-        s AS (SELECT page_id, channel, CAST(sum(score) AS DOUBLE) AS score, bool_or(boosted) AS boosted FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, {_RANK}) AS place FROM s WHERE NOT (channel = 'spanish' AND score < 2.0))
-        SELECT p.page_id, coalesce(a.channel, 'general') AS channel, coalesce(a.score, 0.0) AS top_score, coalesce(z.channel, '') AS second_channel, round(coalesce(a.score, 0.0) - coalesce(z.score, 0.0), 2) AS score_margin, coalesce(a.boosted, FALSE) AS domain_boost_used FROM p LEFT JOIN r a ON a.page_id = p.page_id AND a.place = 1 LEFT JOIN r z ON z.page_id = p.page_id AND z.place = 2""",
+        f AS (SELECT page_id, channel, weight AS score FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(path), '[\p{{L}}\p{{M}}\p{{N}}_]+'))) AS keyword FROM p) JOIN kw USING (keyword) UNION ALL SELECT page_id, channel, boost FROM p JOIN b USING (host)),
+        s AS (SELECT page_id, channel, CAST(sum(score) AS DOUBLE) AS score FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, {_RANK}) AS place FROM s WHERE NOT (channel = 'spanish' AND score < 2.0))
+        SELECT p.page_id, coalesce(a.channel, 'general') AS channel, coalesce(a.score, 0.0) AS top_score, coalesce(z.channel, '') AS second_channel, round(coalesce(a.score, 0.0) - coalesce(z.score, 0.0), 2) AS score_margin, coalesce(b.host || ' → ' || b.channel || '+' || CAST(CAST(b.boost AS INT) AS VARCHAR), '') AS domain_boost_used FROM p LEFT JOIN b ON b.host = p.host LEFT JOIN r a ON a.page_id = p.page_id AND a.place = 1 LEFT JOIN r z ON z.page_id = p.page_id AND z.place = 2""",
     "thread_inheritance": """WITH RECURSIVE i AS (SELECT conv_id * 1000 + turn AS item_id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id, role FROM conversations),
         t AS (SELECT item_id, item_id AS root_id, role AS channel FROM i WHERE parent_id IS NULL UNION ALL SELECT i.item_id, t.root_id, t.channel FROM i JOIN t ON i.parent_id = t.item_id) SELECT item_id, root_id, channel FROM t""",
     "token_counts_topk": f"WITH {TOKENS} SELECT lang, token, count(*) AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) AS INT) AS place FROM t GROUP BY lang, token QUALIFY place <= 10",
     "ctfidf_keywords": f"""WITH {TOKENS}, c AS (SELECT lang, cluster_id, token, count(*) AS n, min(first) AS first FROM t GROUP BY ALL), z AS (SELECT lang, count(DISTINCT cluster_id) AS clusters FROM t GROUP BY lang),
-        d AS (SELECT lang, token, count(*) AS df FROM c GROUP BY ALL), m AS (SELECT lang, cluster_id, sum(n) AS total, count(*) FILTER (token NOT IN ({_LONE})) AS plain FROM c GROUP BY ALL),
-        s AS (SELECT lang, cluster_id, token, n, df, first, n / total * (ln((clusters + 1) / (df + 1)) + 1) AS score FROM c JOIN z USING (lang) JOIN d USING (lang, token) JOIN m USING (lang, cluster_id) WHERE clusters > 1 OR plain = 0 OR token NOT IN ({_LONE}))
-        SELECT lang, cluster_id, token, n, df, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY lang, cluster_id ORDER BY round(score, 12) DESC, first, token) AS INT) AS place FROM s QUALIFY place <= 8""",
+        d AS (SELECT lang, token, count(*) AS df FROM c GROUP BY ALL), m AS (SELECT lang, cluster_id, sum(n) AS total FROM c GROUP BY ALL),
+        s AS (SELECT lang, cluster_id, token, n, df, clusters, first, n / total * (ln((clusters + 1) / (df + 1)) + 1) AS score FROM c JOIN z USING (lang) JOIN d USING (lang, token) JOIN m USING (lang, cluster_id)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, cluster_id ORDER BY round(score, 12) DESC, first, token) AS INT) AS place FROM s QUALIFY place <= 8),
+        o AS (SELECT *, bool_or(token NOT IN ({_LONE})) OVER (PARTITION BY lang, cluster_id) AS plain FROM r) SELECT lang, cluster_id, token, n, df, round(score, 9) AS score, place FROM o WHERE clusters > 1 OR NOT plain OR token NOT IN ({_LONE})""",
     "ctfidf_baseline_penalty": f"""WITH {TOKENS}, c AS (SELECT src AS call_id, src * 3600 AS ws, token, count(*) AS n FROM t GROUP BY ALL), b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY token ORDER BY ws RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS BIGINT) AS base FROM c),
         k AS (SELECT ws, count(*) OVER (ORDER BY ws RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS buckets FROM (SELECT DISTINCT ws FROM c))
         SELECT call_id, token, n, base, buckets, round(CASE WHEN buckets < 4 OR n / greatest(0.1, base / buckets) >= 2.0 THEN n ELSE n / (1 + ln(base / buckets + 1)) END, 6) AS score FROM b JOIN k USING (ws)""",
@@ -245,12 +347,12 @@ ORACLE_SQL = {
         num AS (SELECT label, root, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS cluster_id FROM (SELECT DISTINCT label, root FROM comp JOIN embeddings ON vec_id = id)),
         near AS (SELECT e.a AS id, min(n.cluster_id) AS cluster_id FROM e JOIN comp c ON c.id = e.b JOIN num n ON n.root = c.root WHERE e.a NOT IN (FROM core) GROUP BY e.a)
         SELECT v.label, v.vec_id, CAST(coalesce(n.cluster_id, near.cluster_id, -1) AS BIGINT) AS cluster_id FROM embeddings v LEFT JOIN comp c ON c.id = v.vec_id LEFT JOIN num n ON n.root = c.root LEFT JOIN near ON near.id = v.vec_id""",
-    "story_attribution": """WITH m AS (SELECT role AS cluster, conv_id % 40 AS story_id, substring(text, 1, 30) AS title, 'h' || (conv_id % 7) AS domain, conv_id * 1000 + turn AS pos FROM conversations WHERE role <> 'system'),
+    "story_attribution": """WITH m AS (SELECT role AS cluster, conv_id % 40 AS story_id, substring(text, 1, 30) AS title, 'h' || (conv_id % 7) AS domain, conv_id * 1000 + turn AS pos FROM conversations),
         s AS (SELECT cluster, story_id, count(*) AS n, min(pos) AS pos, arg_min(title, pos) AS title FROM m WHERE story_id <> 0 GROUP BY ALL),
         top AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS known FROM s QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, pos) = 1), a AS (SELECT cluster, count(*) AS stories, string_agg(CAST(story_id AS VARCHAR), ',' ORDER BY story_id) AS ids FROM s GROUP BY cluster),
         h AS (SELECT cluster, domain, count(*) AS n, min(pos) AS pos FROM m GROUP BY ALL), hh AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, pos, domain) AS place FROM h QUALIFY place <= 5), hj AS (SELECT cluster, string_agg(domain, ',' ORDER BY place) AS hosts FROM hh GROUP BY cluster)
         SELECT z.cluster, z.size, top.story_id AS top_story_id, round(top.n / top.known, 3) AS top_story_pct, top.title AS top_story_title, a.stories AS unique_story_count, a.ids AS story_ids, hj.hosts AS top_domains FROM (SELECT cluster, count(*) AS size FROM m GROUP BY cluster) z JOIN top USING (cluster) JOIN a USING (cluster) JOIN hj USING (cluster)""",
-    "recurring_thread_flag": "SELECT doc_id, TRUE AS recurs, regexp_matches(lower(substring(text, 1, 20)), 'who is hiring|who wants to be hired|what are you working on') AS plain FROM documents",
+    "recurring_thread_flag": "SELECT doc_id, TRUE AS recurs, regexp_matches(lower(coalesce(text, '')), 'who is hiring|who wants to be hired|what are you working on') AS plain FROM documents",
     "keyword_posexplode": f"""WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(substring(text, 1, 100), '[a-zA-Z][a-zA-Z0-9]*'), lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN ({_TITLE})) AS l FROM documents),
         p AS (SELECT doc_id, unnest(l) AS keyword, generate_subscripts(l, 1) AS i FROM w), f AS (SELECT doc_id, keyword, min(i) AS i FROM p GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f QUALIFY r <= 10)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS rank, keyword FROM t WHERE keyword NOT IN ({_HIDE})""",
