@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed, column, default_partitions, masked, size_hint, texts
+from tidewatch.llm.common import broadcast_if_small, checkpointed, column, default_partitions, masked, size_hint, texts
 
 TABLE_BYTES = 64 << 20
 ENTRY_BYTES = 200
@@ -200,10 +200,14 @@ def drop_exact_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFr
 
     Rows alike in both doc_id and normalised text are one document: one of them stays.
     """
-    groups = exact_groups(docs, table_bytes)
-    stay = groups.where("kept").select(F.col("doc_id").alias("_stay_id"), F.unhex("text_sha256").alias("_stay_sha"))
+    copies = exact_groups(docs, table_bytes).where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_of"))
+    told = checkpointed(copies.agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"))
+    gone, again = told.where("NOT stays").select("_id", "_of"), told.where("stays").select("_id", "_of")
     own = F.unhex(F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8"), 256))
     rows, names = masked(docs)
-    joined = rows.withColumn("_sha", own)
-    met = joined.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")))
-    return met.dropDuplicates(["doc_id", "_sha"]).drop("_stay_id", "_stay_sha", "_sha").toDF(*names)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
+    left = rows.withColumn("_sha", own).join(broadcast_if_small(gone), same, "left_anti")
+    if not again.isEmpty():  # rows alike in doc_id and text
+        again = broadcast_if_small(again)
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_sha"]))
+    return left.drop("_sha").toDF(*names)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed, column, masked, size_hint, slices, texts
+from tidewatch.llm.common import broadcast_if_small, checkpointed, column, masked, size_hint, slices, texts
 from tidewatch.llm.components import connected
 from tidewatch.llm.shingles import WordHashes, shingle_set
 
@@ -436,9 +436,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     groups = checkpointed(near_groups(docs))
     # an empty set links with nothing, so its row stays
-    named = groups.where("digest IS NOT NULL").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"))
-    stay = named.select("row.doc_id", "row.th").unionByName(groups.where("digest IS NULL").select("doc_id", "th")).distinct()
-    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("th").alias("_stay_th"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    members = groups.where("digest IS NOT NULL").select("component_id", row.alias("own"))
+    first = checkpointed(members.groupBy(F.col("component_id").alias("_component")).agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first <> last"))
+    gone = members.join(broadcast_if_small(first), F.col("component_id").eqNullSafe(F.col("_component"))).where("own <> first")
+    gone = checkpointed(gone.select(F.col("own.doc_id").alias("_gone_id"), F.col("own.th").alias("_gone_th")).distinct())
     docs, names = masked(docs)
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_stay_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_stay_th")), "left_semi")
+    kept = docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_gone_th")), "left_anti")
     return kept.toDF(*names)
