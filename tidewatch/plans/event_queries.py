@@ -56,7 +56,7 @@ def _tracked(spark, sf_dir):
 
 
 def consolidate_events(spark, sf_dir):
-    return _tracked(spark, sf_dir).select("event_id", "primary_channel", "first_seen", "last_seen", "candidate_count", "total_item_count", "peak_score", "avg_score", "duration_kind", F.size("merge_trace").alias("merges"))
+    return _tracked(spark, sf_dir).select("event_id", "primary_channel", "first_seen", "last_seen", "candidate_count", "total_item_count", "peak_score", F.round("avg_score", 4).alias("avg_score"), "duration_kind", F.size("merge_trace").alias("merges"))
 
 
 def duration_label_buckets(spark, sf_dir):
@@ -257,12 +257,32 @@ CLUSTERS = f"""{ANOMALIES}, lab AS (SELECT hot.id, it.id AS pos, CASE WHEN autho
     stems(word, stem) AS (VALUES {', '.join(f"('{w}', '{x}')" for w, x in STEMS.items())}), cw AS (SELECT DISTINCT id, cluster_id, stem AS word FROM (SELECT id, cluster_id, unnest(keywords) AS word FROM clus) JOIN stems USING (word) WHERE stem NOT IN ('peopl', 'audio', 'messag', 'question'))"""
 
 
+_EVENT = "STRUCT(id VARCHAR, first BIGINT, last BIGINT, title VARCHAR, top BIGINT, convs BIGINT[], anchors BIGINT[], kws VARCHAR[], doms VARCHAR[], n BIGINT, items BIGINT, peak DOUBLE, avg DOUBLE, z DOUBLE, trace STRUCT(id VARCHAR, score DOUBLE, reason VARCHAR, seed BOOLEAN)[])"
+_share = lambda own, new: f"CASE WHEN len({own}) > 0 AND len({new}) > 0 THEN len(list_intersect({own}, {new})) / least(len({own}), len({new})) ELSE 0.0 END"
+_more = lambda own, new, most: f"list_concat({own}, list_slice(list_filter({new}, lambda x: NOT list_contains({own}, x)), 1, greatest(1, {most} - len({own}))))"
+#: Tracked events: candidates of a channel one by one, against the list of its open events.
+TRACKED = f"""{CANDIDATES}, seq AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY window_start, candidate_id) AS k, window_start + 43200 AS we, size / 4 AS z, 'story ' || top AS title,
+        round(0.25 * least(uniq / 5, 1) + 0.2 * (1 - pct) + 0.2 * least(len(doms) / 3, 1) + 0.15 * least(size / 100, 1) + 0.1 * least(size / 4 / 10, 1) + 0.1 * least(len(kws) / 5, 1), 4) AS score FROM cand WHERE size >= 10),
+    walk AS (SELECT DISTINCT channel, 0::BIGINT AS k, []::{_EVENT}[] AS live, []::{_EVENT}[] AS shut FROM seq
+        UNION ALL SELECT channel, k, CASE WHEN best >= 0.25 THEN list_transform(live, lambda e, i: CASE WHEN i = list_position(scores, best) THEN {{'id': e.id, 'first': e.first, 'last': greatest(e.last, we),
+                'title': CASE WHEN score >= e.peak THEN title ELSE e.title END, 'top': CASE WHEN score >= e.peak THEN top ELSE e.top END, 'convs': {_more("e.convs", "convs", 50)},
+                'anchors': CASE WHEN top <> 0 AND NOT list_contains(e.anchors, top) AND len(e.anchors) < 10 AND (round(ov[i].k, 4) >= 0.15 OR round(ov[i].d, 4) >= 0.3) THEN list_append(e.anchors, top) ELSE e.anchors END,
+                'kws': {_more("e.kws", "kws", 15)}, 'doms': {_more("e.doms", "doms", 10)}, 'n': e.n + 1, 'items': e.items + uniq, 'peak': greatest(e.peak, score), 'avg': round((e.n * e.avg + score) / (e.n + 1), 6), 'z': greatest(e.z, z),
+                'trace': list_append(e.trace, {{'id': candidate_id, 'score': best, 'reason': CASE WHEN ov[i].t THEN 'top_conv_match' WHEN ov[i].r THEN 'reverse_anchor_match' WHEN ov[i].c >= 0.3 THEN 'conv_overlap' WHEN ov[i].k > 0 AND ov[i].d > 0 THEN 'kw+domain' ELSE 'keyword' END, 'seed': FALSE}})}}::{_EVENT} ELSE e END)
+            ELSE list_append(live, {{'id': 'ev:' || candidate_id, 'first': window_start, 'last': we, 'title': title, 'top': top, 'convs': convs, 'anchors': CASE WHEN top <> 0 THEN [top] ELSE [] END, 'kws': kws, 'doms': doms, 'n': 1, 'items': uniq, 'peak': score, 'avg': score, 'z': z, 'trace': [{{'id': candidate_id, 'score': NULL, 'reason': NULL, 'seed': TRUE}}]}}::{_EVENT}) END, shut
+        FROM (SELECT *, coalesce(list_max(scores), 0.0) AS best FROM (SELECT *, list_transform(ov, lambda o: CASE WHEN NOT o.near OR (o.k = 0 AND NOT o.t) THEN 0.0::DOUBLE ELSE round(CASE WHEN o.t THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + (0.3::DOUBLE * o.c + 0.15::DOUBLE * o.k + 0.05::DOUBLE * o.d) + CASE WHEN o.r AND NOT o.t THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END, 4) END) AS scores
+            FROM (SELECT *, list_transform(live, lambda e: {{'near': window_start - e.last <= 5400, 't': top <> 0 AND list_contains(e.anchors, top), 'r': len(list_intersect(e.anchors, convs)) > 0, 'c': len(list_intersect(e.convs, convs)) / len(list_distinct(list_concat(e.convs, convs))), 'k': {_share("e.kws", "kws")}, 'd': {_share("e.doms", "doms")}}}) AS ov
+                FROM (SELECT s.*, list_filter(w.live, lambda e: s.window_start - e.last <= 21600) AS live, list_filter(w.live, lambda e: s.window_start - e.last > 21600) AS shut FROM walk w JOIN seq s ON s.channel = w.channel AND s.k = w.k + 1)))) ),
+    evs AS (SELECT channel, e.*, (e.last - e.first) / 60 AS minutes FROM (SELECT channel, unnest(shut) AS e FROM walk UNION ALL SELECT channel, unnest(live) FROM walk w WHERE k = (SELECT max(k) FROM seq s WHERE s.channel = w.channel))),
+    tracked AS (SELECT *, CASE WHEN n = 1 THEN 'isolated' WHEN minutes < 120 THEN 'flash' WHEN minutes < 240 THEN 'developing' ELSE 'sustained' END AS duration_kind FROM evs)"""
+
 ORACLE_SQL = {
     "candidate_classify_score": f"""WITH {CANDIDATES} SELECT candidate_id, CASE WHEN uniq = 0 THEN 'unknown' WHEN pct >= 0.8 OR uniq <= 1 THEN 'viral_post' WHEN len(kws) < 2 THEN 'topic_surge' WHEN uniq >= 3 AND len(doms) >= 2 AND size >= 10 THEN 'event_candidate' ELSE 'topic_surge' END AS kind,
         round(0.25 * least(uniq / 5, 1) + 0.2 * (1 - pct) + 0.2 * least(len(doms) / 3, 1) + 0.15 * least(size / 100, 1) + 0.1 * least(size / 4 / 10, 1) + 0.1 * least(len(kws) / 5, 1), 4) AS event_score, size, uniq AS unique_conversation_count, pct AS top_conversation_pct, top AS top_story_id FROM cand""",
     "pairwise_merge_score": f"""WITH {CANDIDATES}, p AS (SELECT a.candidate_id AS a_id, b.candidate_id AS b_id, {_CONV} AS c, {_simp('kws')} AS k, {_simp('doms')} AS d, a.top <> 0 AND a.top = b.top AS t, a.top <> 0 AND list_contains(b.convs, a.top) AS r FROM cand a JOIN cand b ON a.channel = b.channel AND b.window_start = a.window_start + 43200)
         SELECT a_id, b_id, round(c, 6) AS conversation_overlap, round(k, 6) AS keyword_overlap, round(d, 6) AS domain_overlap, round(CASE WHEN k = 0 AND NOT t THEN 0.0 ELSE CASE WHEN t THEN 0.25 ELSE 0.0 END + (0.3::DOUBLE * c + 0.15::DOUBLE * k + 0.05::DOUBLE * d) + CASE WHEN r AND NOT t THEN 0.1 ELSE 0.0 END END, 9) AS merge_score,
                CASE WHEN t THEN 'top_conv_match' WHEN r THEN 'reverse_anchor_match' WHEN c >= 0.3 THEN 'conv_overlap' WHEN k > 0 AND d > 0 THEN 'kw+domain' ELSE 'keyword' END AS merge_reason FROM p""",
+    "consolidate_events": f"WITH RECURSIVE {TRACKED} SELECT id AS event_id, channel AS primary_channel, first AS first_seen, last AS last_seen, CAST(n AS INT) AS candidate_count, items AS total_item_count, peak AS peak_score, round(avg, 4) AS avg_score, duration_kind, CAST(len(trace) AS INT) AS merges FROM tracked",
     "duration_label_buckets": f"""WITH {SURGES}, m AS (SELECT updates + 1 AS c, (released_at - event_start) / 60 AS m FROM surges WHERE released_at IS NOT NULL)
         SELECT CASE WHEN c = 1 THEN 'isolated' WHEN m < 120 THEN 'flash' WHEN m < 240 THEN 'developing' ELSE 'sustained' END AS duration_kind, CASE WHEN m < 30 THEN '<30m' WHEN m < 120 THEN '30m-2h' WHEN m <= 360 THEN '2h-6h' ELSE '>6h' END AS bucket, count(*) AS n FROM m GROUP BY ALL""",
     "flash_edges": f"WITH {_edges(7200, 0.3)} SELECT a, b, round(overlap, 6) AS overlap FROM edges",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.checkpoints import shared_folder
 from tidewatch.plans import reports as P
-from tidewatch.plans.detection_queries import ITEMS
+from tidewatch.plans.detection_queries import FROZEN, ITEMS
 from tidewatch.operators import consolidation as M
 from tidewatch.operators import enrichment as E
 from tidewatch.plans.event_queries import _anomalies, _candidates, _enriched, _tracked
@@ -218,7 +218,7 @@ def stream_session_lifecycle(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (channel_daily_summary, evaluation_summary_pivot, event_summary_buckets, event_shares, most_merged, candidate_summary, candidate_flags, repeated_stories, lowest_candidates, baseline_results, anomaly_tables, candidate_left_join_unresolved, topk_by_score, correlated_groupconcat, full_outer_phase_compare, global_aggregates, range_filter_scan, top_keywords_report, bi_events_table, bi_event_keywords, bi_event_domains, bi_event_candidates, parquet_partition_prune, jsonl_roundtrip, csv_export_roundtrip, manifest_antijoin, webhook_payloads, stream_sliding_counts, stream_schmitt, stream_dedup, stream_session_lifecycle)}
 
-from tidewatch.plans.event_queries import _CONV, ANOMALIES, CANDIDATES, CLUSTERS, _simp  # noqa: E402
+from tidewatch.plans.event_queries import _CONV, ANOMALIES, CANDIDATES, CLUSTERS, TRACKED, _simp  # noqa: E402
 
 _EVENTS = "ev AS (SELECT o_orderkey AS event_id, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'closed' END AS status, o_orderdate AS last, o_orderpriority AS primary_channel, ['isolated', 'flash', 'developing', 'sustained'][o_orderkey % 4 + 1] AS duration_kind, o_orderkey % 3 + 1 AS candidate_count, o_custkey % 50 AS items, floor(o_totalprice) AS peak, CAST(o_custkey % 11 AS DOUBLE) AS z, CAST(o_orderkey % 600 AS DOUBLE) AS minutes FROM orders)"
 _KINDS = ", ".join(f"count(*) FILTER (duration_kind = '{k}') AS {k}" for k in P.DURATIONS)
@@ -230,7 +230,15 @@ _field = lambda k, v, inline, name, flag: f"""'{{"{name}":"{k}","value":"' || {v
 _WHEN, _Z, _KW = "strftime(make_timestamp(window_end * 1000000), '%b %d %H:%M UTC')", "printf('%.2f', z_score)", "CASE WHEN id % 2 = 0 THEN 'alpha, beta' ELSE '—' END"
 _fields = lambda name, flag: " || ',' || ".join(_field(k, v, i, name, flag) for k, v, i in (("Channel", "channel", "true"), ("Time", _WHEN, "true"), ("Count", "'5'", "true"), ("Z-Score", _Z, "true"), ("Keywords", _KW, "false")))
 
+_ISO = "%Y-%m-%dT%H:%M:%SZ"
+
 ORACLE_SQL = {
+    "bi_events_table": f"""WITH RECURSIVE {TRACKED} SELECT id AS event_id, 'closed' AS status, channel AS primary_channel, channel AS channels, 'hn' AS sources, strftime(make_timestamp(first * 1000000), '{_ISO}') AS first_seen, strftime(make_timestamp(last * 1000000), '{_ISO}') AS last_seen, strftime(make_timestamp(last * 1000000), '%Y-%m-%d') AS date, round(minutes, 2) AS duration_minutes, duration_kind,
+        CAST(n AS INT) AS candidate_count, items AS total_item_count, round(peak, 4) AS peak_score, round(avg, 4) AS avg_score, round(z, 4) AS peak_z_score, title AS representative_title, top AS top_conversation_id, CAST(len(convs) AS INT) AS conversation_count, array_to_string(kws, ', ') AS display_keywords_text, array_to_string(doms, ', ') AS domains_text, CAST(len(trace) AS INT) AS merge_count FROM tracked""",
+    "bi_event_keywords": f"WITH RECURSIVE {TRACKED} SELECT id AS event_id, unnest(kws) AS keyword, CAST(generate_subscripts(kws, 1) AS INT) AS rank FROM tracked",
+    "bi_event_domains": f"WITH RECURSIVE {TRACKED} SELECT id AS event_id, unnest(doms) AS domain, CAST(generate_subscripts(doms, 1) AS INT) AS rank FROM tracked",
+    "bi_event_candidates": f"WITH RECURSIVE {TRACKED}, tr AS (SELECT id AS event_id, unnest(trace) AS t, CAST(generate_subscripts(trace, 1) AS INT) AS position FROM tracked) SELECT event_id, position, t.id AS candidate_id, t.score AS merge_score, t.reason AS merge_reason, t.seed AS was_seed_candidate, {_KIND} AS kind, TRUE AS resolved FROM tr JOIN cand ON candidate_id = t.id",
+    "jsonl_roundtrip": f"WITH RECURSIVE {TRACKED} SELECT id AS event_id, first AS first_seen, last AS last_seen, CAST(n AS INT) AS candidate_count FROM tracked WHERE last >= 1704500000",
     "event_shares": f"WITH {_EVENTS}, r AS (SELECT 'status' AS section, status AS name FROM ev UNION ALL SELECT 'merge', CASE WHEN candidate_count > 1 THEN 'multi-candidate' ELSE 'single-candidate' END FROM ev UNION ALL SELECT 'channel', primary_channel FROM ev) SELECT section, name, count(*) AS n, round(count(*) / (SELECT count(*) FROM ev), 4) AS share FROM r GROUP BY ALL",
     "most_merged": "SELECT o_custkey AS event_id, max(o_orderpriority) AS primary_channel, count(*) AS candidate_count, max(o_orderkey) - min(o_orderkey) AS duration_minutes, 'customer ' || o_custkey AS representative_title FROM orders GROUP BY o_custkey ORDER BY candidate_count DESC, event_id LIMIT 8",
     "candidate_flags": f"WITH {CANDIDATES} SELECT {_KIND} AS kind, count(*) FILTER (size / 4 < 3.0) AS weak, count(*) FILTER (channel = 'view') AS from_general, count(*) FILTER (size % 7 = 0) AS hiring FROM cand GROUP BY 1",
@@ -262,6 +270,7 @@ ORACLE_SQL = {
     "manifest_antijoin": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < '1998-01-01')",
     "stream_sliding_counts": f"""WITH {ITEMS}, t AS (SELECT unnest(generate_series((SELECT CAST(ceil(min(sec) / 300.0) * 300 AS BIGINT) FROM items), (SELECT CAST(floor(max(sec) / 300.0) * 300 + 7200 AS BIGINT) FROM items), 300)) AS tick)
         SELECT channel, tick, count(*) AS n FROM items JOIN t ON sec <= tick AND sec > tick - 7200 WHERE tick + 1 <= (SELECT max(sec) - 600 FROM items) GROUP BY ALL""",
+    "stream_schmitt": f"WITH RECURSIVE {FROZEN} SELECT f.* FROM fired f JOIN (SELECT channel, max(sec) AS newest FROM items GROUP BY channel) USING (channel) WHERE tick < greatest(newest, (SELECT max(sec) - 600 FROM items))",
     "stream_dedup": "SELECT event_type AS channel, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
     "stream_session_lifecycle": f"""WITH {ITEMS}, t AS (SELECT event_type AS channel, epoch_us(ts) AS us FROM events), g AS (SELECT *, us - lag(us) OVER (PARTITION BY channel ORDER BY us) >= 600000000 AS brk FROM t),
         s AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT channel, CAST(floor(min(us) / 1000000) AS BIGINT) AS start, CAST(floor((max(us) + 600000000) / 1000000) AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY channel, no HAVING max(us) + 600000000 <= (SELECT max(us) FROM t) // 1000 * 1000 - 600000000""",
