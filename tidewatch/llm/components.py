@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import checkpointed
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+#: Parts that a node's edges are dealt in.
+SALTS = 32
 
 
-#: Parts that a node's edges are dealt in.
-SALTS = 64
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one lower neighbour at most, and none if it is one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    seen = ends.groupBy("node").agg(F.sum("as_u").alias("ups"), F.max("as_v").alias("centre"))
+    return not seen.where("ups > 1 OR (ups = 1 AND centre = 1)").agg(F.count("*")).first()[0]
 
 
 def with_least(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m, the least v of each u.
 
-    A node's edges lie in SALTS parts by their other end; each part sends its own
-    least and gets the least of all back, so no task reads all edges of a hub.
+    A node's edges lie in SALTS parts by their other end. Its least neighbour is
+    found by partial aggregation and told to each of its parts, so no task reads
+    all edges of a hub.
     """
     dealt = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("u", "_s").agg(F.min("v").alias("_p"))
-    least = parts.groupBy("u").agg(F.min("_p").alias("m"))
-    return dealt.join(parts.select("u", "_s").join(least, "u"), ["u", "_s"]).select("u", "v", "m")
+    least = dealt.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("_s").alias("_parts"))
+    return dealt.join(least.select("u", "m", F.explode("_parts").alias("_s")), ["u", "_s"]).select("u", "v", "m")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -35,18 +38,13 @@ def connected(edges: DataFrame) -> DataFrame:
     smaller ones; edges never grow in number and end as a star per component.
     Null ends and loops are no edges. Every round is cut off by a checkpoint.
     """
-    held = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    held = checkpointed(held)
-    state = _state(held)
-    while state[0]:
+    held = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _are_stars(held):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = F.least("u", "m")
         large = with_least(both).where("v > u").where(F.col("v") != least).select(F.col("v").alias("u"), least.alias("v")).distinct()
         # a node keeps its least neighbour, which its other smaller ones then take
         small = with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         held = checkpointed(small.distinct())
-        before, state = state, _state(held)
-        if before == state:
-            break
     roots = held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
