@@ -536,3 +536,28 @@ def test_cluster_folder_must_be_named(spark):
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=empty, master="spark://x:7077"), conf=SimpleNamespace(get=lambda *_: ""))
     with pytest.raises(ValueError):
         checkpoints.shared_folder(cluster)
+
+
+def test_layout_evolves_by_default_fill(spark):
+    from tidewatch.schema import CANDIDATE, conform
+
+    old = spark.createDataFrame([("c1", "ai", None, 7)], "candidate_id string, channel string, keywords array<string>, legacy int")
+    (row,) = conform(old, CANDIDATE).collect()
+    assert (row["candidate_id"], row["keywords"], row["window_end"], row["event_score"], row["source"]) == ("c1", [], 0, 0.0, "") and "legacy" not in row.asDict()
+
+
+def test_report_orders_and_marks(spark):
+    rows = [("a", "viral_post", 0.9), ("b", "recurring_thread", 0.0), ("c", "event_candidate", 0.1), ("d", "event_candidate", 0.7), ("e", "topic_surge", 0.2)]
+    df = spark.createDataFrame(rows, "candidate_id string, kind string, event_score double")
+    assert [r["candidate_id"] for r in reports.order_candidates(df).collect()] == ["d", "c", "e", "a", "b"]
+    events = spark.createDataFrame([("ai", 3700)], "primary_channel string, first_seen long")
+    history = spark.createDataFrame([("ai", 3600, 5), ("ai", 7200, 6), ("x", 3600, 1)], "channel string, x long, y long")
+    got = {(r["channel"], r["x"]): r["mark"] for r in reports.dashboard_series(events, history).collect()}
+    assert got == {("ai", 3600): True, ("ai", 7200): False, ("x", 3600): False}
+
+
+def test_texts_that_count_and_stand_in_vectors(spark):
+    df = spark.createDataFrame([("fine",), ("",), (" [deleted]",), ("[removed]",), (None,)], "b string")
+    assert [r[0] for r in df.select(cleaning.countable_text(F.col("b"))).collect()] == [True, False, False, False, False]
+    (v, w, none) = [r[0] for r in spark.createDataFrame([("alpha beta alpha",), ("beta alpha alpha",), ("",)], "t string").select(clustering.hashed_embedding(F.col("t"), 16)).collect()]
+    assert v == w and abs(sum(x * x for x in v) - 1) < 1e-9 and none == [0.0] * 16

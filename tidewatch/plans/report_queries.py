@@ -167,6 +167,44 @@ def parquet_partition_prune(spark, sf_dir):
     return back.select("id", "channel", "z_score")
 
 
+def candidates_between_days(spark, sf_dir):
+    """Candidates archived by day and channel, three days read back in their layout."""
+    path = _folder(spark)
+    sinks.write_archive(_candidates(spark, sf_dir), path)
+    back = readers.candidates_between(spark, path, date(2024, 1, 5), date(2024, 1, 7))
+    return back.select("candidate_id", "kind", "event_score", "size", F.array_join("keywords", ",").alias("keywords"), "dbscan_eps")
+
+
+def stories_csv_roundtrip(spark, sf_dir):
+    """Documents as a story dump in CSV, with all their quotes and line ends, read back as items."""
+    path = _folder(spark)
+    kind = F.when(F.col("doc_id") % 3 == 0, "story").otherwise("comment")
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kind.alias("type"), F.col("source").alias("author"), (F.col("doc_id") * 60).alias("timestamp"), F.col("text").alias("body"), F.lit("").alias("title"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") / 3).cast("long") * 3).alias("parent"))
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.stories_csv(spark, path).select("item_id", "item_type", "author", "sec", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), F.coalesce("parent", F.lit(-1)).alias("parent"), "url", "deleted")
+
+
+def firehose_posts(spark, sf_dir):
+    """Documents as firehose messages, with tags, links, replies and embeds by number, read as posts."""
+    d = _table(spark, sf_dir, "documents")
+    by = lambda n, k: F.col("doc_id") % n == k
+    no = F.col("doc_id").cast("string")
+    feature = lambda kind, **f: F.struct(F.lit(f"app.bsky.richtext.facet#{kind}").alias("$type"), *[v.alias(k) for k, v in f.items()])
+    tag, link = feature("tag", tag=F.concat(F.lit("Tag"), no), uri=F.lit(None).cast("string")), feature("link", tag=F.lit(None).cast("string"), uri=F.concat(F.lit("https://l.example/"), no))
+    facets = F.array(F.struct(F.when(by(3, 0), F.array(tag)).when(by(3, 1), F.array(tag, link)).otherwise(F.array(link)).alias("features")))
+    outer = F.struct(F.concat(F.lit("https://e.example/"), no).alias("uri"), F.concat(F.lit("Title "), no).alias("title"), F.when(by(2, 0), " ").otherwise("words").alias("description"))
+    images = F.when(by(5, 1), F.array(F.struct(F.lit("alt a").alias("alt")), F.struct(F.lit("alt b").alias("alt"))))
+    kind = F.when(by(5, 0), "app.bsky.embed.external").when(by(5, 1), "app.bsky.embed.images").when(by(5, 2), "app.bsky.embed.video").when(by(5, 3), "app.bsky.embed.record")
+    embed = F.when(kind.isNotNull(), F.struct(kind.alias("$type"), images.alias("images"), F.when(by(5, 0), outer).alias("external")))
+    reply = F.when(by(4, 0), F.struct(F.struct(F.concat(F.lit("at://root/"), no).alias("uri")).alias("root"), F.struct(F.concat(F.lit("at://parent/"), no).alias("uri")).alias("parent")))
+    record = F.struct(F.col("text"), F.array("lang").alias("langs"), reply.alias("reply"), facets.alias("facets"), embed.alias("embed"))
+    commit = F.struct(F.lit("app.bsky.feed.post").alias("collection"), F.when(by(7, 0), "delete").otherwise("create").alias("operation"), no.alias("rkey"), record.alias("record"))
+    message = F.to_json(F.struct(F.when(by(11, 0), "identity").otherwise("commit").alias("kind"), F.col("source").alias("did"), (F.col("doc_id") * 1_000_000 + 999_999).alias("time_us"), commit.alias("commit")))
+    posts = readers.posts_from_messages(d.select(message.alias("value")))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return posts.select("platform_uri", "root_uri", F.coalesce("parent_uri", F.lit("")).alias("parent_uri"), "is_reply", "sec", "author", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), "story_title", joined("langs"), joined("hashtags"), joined("links"), "embed_type", "has_image", "image_count", "has_video", "has_external_link", F.coalesce("external_uri", F.lit("")).alias("external_uri"), "has_quote_post", joined("alt_texts"), "embed_text")
+
+
 def jsonl_roundtrip(spark, sf_dir):
     """Tracked events written as JSON lines and read back with a cut-off."""
     path = _folder(spark)
@@ -216,7 +254,7 @@ def stream_session_lifecycle(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
-QUERIES = {f.__name__: f for f in (channel_daily_summary, evaluation_summary_pivot, event_summary_buckets, event_shares, most_merged, candidate_summary, candidate_flags, repeated_stories, lowest_candidates, baseline_results, anomaly_tables, candidate_left_join_unresolved, topk_by_score, correlated_groupconcat, full_outer_phase_compare, global_aggregates, range_filter_scan, top_keywords_report, bi_events_table, bi_event_keywords, bi_event_domains, bi_event_candidates, parquet_partition_prune, jsonl_roundtrip, csv_export_roundtrip, manifest_antijoin, webhook_payloads, stream_sliding_counts, stream_schmitt, stream_dedup, stream_session_lifecycle)}
+QUERIES = {f.__name__: f for f in (channel_daily_summary, evaluation_summary_pivot, event_summary_buckets, event_shares, most_merged, candidate_summary, candidate_flags, repeated_stories, lowest_candidates, baseline_results, anomaly_tables, candidate_left_join_unresolved, topk_by_score, correlated_groupconcat, full_outer_phase_compare, global_aggregates, range_filter_scan, top_keywords_report, bi_events_table, bi_event_keywords, bi_event_domains, bi_event_candidates, parquet_partition_prune, candidates_between_days, stories_csv_roundtrip, firehose_posts, jsonl_roundtrip, csv_export_roundtrip, manifest_antijoin, webhook_payloads, stream_sliding_counts, stream_schmitt, stream_dedup, stream_session_lifecycle)}
 
 from tidewatch.plans.event_queries import _CONV, ANOMALIES, CANDIDATES, CLUSTERS, TRACKED, _simp  # noqa: E402
 
@@ -267,6 +305,11 @@ ORACLE_SQL = {
     "range_filter_scan": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_discount = 0.05",
     "top_keywords_report": f"WITH {CANDIDATES} SELECT keyword, count(*) AS n FROM (SELECT unnest(kws) AS keyword FROM cand) GROUP BY 1 ORDER BY n DESC, keyword LIMIT 12",
     "parquet_partition_prune": f"WITH {ANOMALIES} SELECT id, channel, z_score FROM hot WHERE window_end >= epoch(TIMESTAMP '2024-01-02') AND window_end < epoch(TIMESTAMP '2024-01-04')",
+    "candidates_between_days": f"WITH {CANDIDATES} SELECT candidate_id, {_KIND} AS kind, {_EVENT_SCORE} AS event_score, size, array_to_string(kws, ',') AS keywords, 0.0::DOUBLE AS dbscan_eps FROM cand WHERE window_start + 43200 >= epoch(TIMESTAMP '2024-01-05') AND window_start + 43200 < epoch(TIMESTAMP '2024-01-08')",
+    "stories_csv_roundtrip": "SELECT doc_id AS item_id, CASE WHEN doc_id % 3 = 0 THEN 'story' ELSE 'comment' END AS item_type, source AS author, doc_id * 60 AS sec, md5(text) AS body_md5, CASE WHEN doc_id % 3 > 0 THEN doc_id // 3 * 3 ELSE -1 END AS parent, '' AS url, FALSE AS deleted FROM documents",
+    "firehose_posts": """SELECT 'at://' || source || '/app.bsky.feed.post/' || doc_id AS platform_uri, CASE WHEN doc_id % 4 = 0 THEN 'at://root/' || doc_id ELSE 'at://' || source || '/app.bsky.feed.post/' || doc_id END AS root_uri, CASE WHEN doc_id % 4 = 0 THEN 'at://parent/' || doc_id ELSE '' END AS parent_uri, doc_id % 4 = 0 AS is_reply, doc_id AS sec, source AS author, md5(text) AS body_md5, substring(text, 1, 100) AS story_title, lang AS langs,
+        CASE WHEN doc_id % 3 < 2 THEN 'Tag' || doc_id ELSE '' END AS hashtags, CASE WHEN doc_id % 3 > 0 THEN 'https://l.example/' || doc_id ELSE '' END AS links, ['app.bsky.embed.external', 'app.bsky.embed.images', 'app.bsky.embed.video', 'app.bsky.embed.record', ''][doc_id % 5 + 1] AS embed_type, doc_id % 5 = 1 AS has_image, CASE WHEN doc_id % 5 = 1 THEN 2 ELSE 0 END AS image_count, doc_id % 5 = 2 AS has_video, doc_id % 5 = 0 AS has_external_link,
+        CASE WHEN doc_id % 5 = 0 THEN 'https://e.example/' || doc_id ELSE '' END AS external_uri, doc_id % 5 = 3 AS has_quote_post, CASE WHEN doc_id % 5 = 1 THEN 'alt a,alt b' ELSE '' END AS alt_texts, CASE WHEN doc_id % 5 = 0 THEN 'Title ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' words' END ELSE '' END AS embed_text FROM documents WHERE doc_id % 7 > 0 AND doc_id % 11 > 0""",
     "manifest_antijoin": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < '1998-01-01')",
     "stream_sliding_counts": f"""WITH {ITEMS}, t AS (SELECT unnest(generate_series((SELECT CAST(ceil(min(sec) / 300.0) * 300 AS BIGINT) FROM items), (SELECT CAST(floor(max(sec) / 300.0) * 300 + 7200 AS BIGINT) FROM items), 300)) AS tick)
         SELECT channel, tick, count(*) AS n FROM items JOIN t ON sec <= tick AND sec > tick - 7200 WHERE tick + 1 <= (SELECT max(sec) - 600 FROM items) GROUP BY ALL""",

@@ -12,9 +12,13 @@ from tidewatch.functions.text import utc
 
 
 def write_archive(rows: DataFrame, path: str) -> None:
-    """Anomalies or candidates as Parquet by day and channel; a day that is written again replaces itself."""
+    """Anomalies or candidates as Parquet by day and channel; a day that is written again replaces itself.
+
+    Rows are dealt by folder, so that a folder has few files; adaptive execution
+    splits a folder that is too large for a task.
+    """
     dated = rows.withColumn("date", utc(F.col("window_end"), "yyyy-MM-dd"))
-    dated.repartition("date", "channel").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "channel").parquet(path)
+    dated.hint("rebalance", "date", "channel").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "channel").parquet(path)
 
 
 def write_events(events: DataFrame, path: str) -> None:
