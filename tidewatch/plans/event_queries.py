@@ -276,6 +276,24 @@ TRACKED = f"""{CANDIDATES}, seq AS (SELECT *, row_number() OVER (PARTITION BY ch
     evs AS (SELECT channel, e.*, (e.last - e.first) / 60 AS minutes FROM (SELECT channel, unnest(shut) AS e FROM walk UNION ALL SELECT channel, unnest(live) FROM walk w WHERE k = (SELECT max(k) FROM seq s WHERE s.channel = w.channel))),
     tracked AS (SELECT *, CASE WHEN n = 1 THEN 'isolated' WHEN minutes < 120 THEN 'flash' WHEN minutes < 240 THEN 'developing' ELSE 'sustained' END AS duration_kind FROM evs)"""
 
+def _long(source: str) -> str:
+    """sustained: SUSTAINED events of the anomalies in a table. Every row extends its own topics as far as they are carried on; a greedy walk then takes runs of four."""
+    return f"""best AS (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY channel, window_end // 3600 ORDER BY z_score DESC, window_start, id) = 1),
+        sets AS (SELECT id, list(l ORDER BY cluster_id) AS clusters FROM (SELECT id, cluster_id, list(word ORDER BY word) AS l FROM words GROUP BY ALL) GROUP BY id),
+        r AS MATERIALIZED (SELECT b.channel, b.window_start, b.window_end, coalesce(clusters, []) AS clusters, row_number() OVER (PARTITION BY channel ORDER BY window_start, id) AS k FROM best b LEFT JOIN sets USING (id)),
+        ext AS (SELECT channel, k AS head, k, window_start AS ws, clusters AS topics FROM r UNION ALL SELECT channel, head, k, ws, [found.un] FROM (SELECT e.channel, e.head, r.k, r.window_start AS ws, list_reverse_sort(flatten(list_transform(e.topics, lambda t, x: list_transform(list_filter(r.clusters, lambda c: len(list_intersect(t, c)) >= 2), lambda c: {{'share': len(list_intersect(t, c)) / least(len(t), len(c)), 'x': -x, 'y': -list_position(r.clusters, c), 'un': list_distinct(list_concat(t, c))}}))))[1] AS found
+            FROM ext e JOIN r ON r.channel = e.channel AND r.k = e.k + 1 WHERE r.window_start - e.ws <= 7200) WHERE found.share >= 0.5),
+        runs AS MATERIALIZED (SELECT channel, head, max(k) AS last, arg_max(topics, k) AS topics FROM ext GROUP BY ALL),
+        walk AS (SELECT channel, 1::BIGINT AS at FROM (SELECT DISTINCT channel FROM r) UNION ALL SELECT w.channel, CASE WHEN last - head >= 3 THEN last + 1 ELSE head + 1 END FROM walk w JOIN runs ON runs.channel = w.channel AND head = w.at),
+        ev AS (SELECT a.channel, a.window_start AS event_start, b.window_end AS event_end, array_to_string(list_sort(list_distinct(flatten(topics)))[1:8], ', ') AS keywords FROM walk w JOIN runs ON runs.channel = w.channel AND head = w.at AND last - head >= 3 JOIN r a ON a.channel = w.channel AND a.k = head JOIN r b ON b.channel = w.channel AND b.k = last),
+        sustained AS (SELECT 'SUSTAINED' AS event_type, event_start, event_end, ev.channel AS channels, keywords, max(z_score) AS peak_z, count(*) AS anomaly_count FROM ev JOIN {source} h ON h.channel = ev.channel AND h.window_start >= event_start AND h.window_end <= event_end GROUP BY ALL)"""
+
+
+def _shared(name: str, by: str, source: str) -> str:
+    """name: by and the six words that most members share, or of any if none is shared."""
+    return f"""{name} AS (SELECT {by}, string_agg(word, ', ' ORDER BY place) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY members DESC, word) AS place FROM (SELECT *, max(members) OVER (PARTITION BY {by}) AS most FROM (SELECT {by}, word, count(DISTINCT id) AS members FROM {source} JOIN words USING (id) GROUP BY ALL)) WHERE most = 1 OR members > 1) WHERE place <= 6 GROUP BY ALL)"""
+
+
 ORACLE_SQL = {
     "candidate_classify_score": f"""WITH {CANDIDATES} SELECT candidate_id, CASE WHEN uniq = 0 THEN 'unknown' WHEN pct >= 0.8 OR uniq <= 1 THEN 'viral_post' WHEN len(kws) < 2 THEN 'topic_surge' WHEN uniq >= 3 AND len(doms) >= 2 AND size >= 10 THEN 'event_candidate' ELSE 'topic_surge' END AS kind,
         round(0.25 * least(uniq / 5, 1) + 0.2 * (1 - pct) + 0.2 * least(len(doms) / 3, 1) + 0.15 * least(size / 100, 1) + 0.1 * least(size / 4 / 10, 1) + 0.1 * least(len(kws) / 5, 1), 4) AS event_score, size, uniq AS unique_conversation_count, pct AS top_conversation_pct, top AS top_story_id FROM cand""",
@@ -283,6 +301,14 @@ ORACLE_SQL = {
         SELECT a_id, b_id, round(c, 6) AS conversation_overlap, round(k, 6) AS keyword_overlap, round(d, 6) AS domain_overlap, round(CASE WHEN k = 0 AND NOT t THEN 0.0 ELSE CASE WHEN t THEN 0.25 ELSE 0.0 END + (0.3::DOUBLE * c + 0.15::DOUBLE * k + 0.05::DOUBLE * d) + CASE WHEN r AND NOT t THEN 0.1 ELSE 0.0 END END, 9) AS merge_score,
                CASE WHEN t THEN 'top_conv_match' WHEN r THEN 'reverse_anchor_match' WHEN c >= 0.3 THEN 'conv_overlap' WHEN k > 0 AND d > 0 THEN 'kw+domain' ELSE 'keyword' END AS merge_reason FROM p""",
     "consolidate_events": f"WITH RECURSIVE {TRACKED} SELECT id AS event_id, channel AS primary_channel, first AS first_seen, last AS last_seen, CAST(n AS INT) AS candidate_count, items AS total_item_count, peak AS peak_score, round(avg, 4) AS avg_score, duration_kind, CAST(len(trace) AS INT) AS merges FROM tracked",
+    "sustained_chains": f"WITH RECURSIVE {ANOMALIES}, {_long('hot')} SELECT * FROM sustained",
+    "claim_union_sort": f"""WITH RECURSIVE {_edges(7200, 0.3)}, sym AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS id, a AS seen FROM sym UNION SELECT r.id, e.b FROM reach r JOIN sym e ON e.a = r.seen), comp AS MATERIALIZED (SELECT id, min(seen) AS component FROM reach GROUP BY id),
+        o AS MATERIALIZED (SELECT component, hot.*, row_number() OVER (PARTITION BY component ORDER BY window_start, hot.id) AS k FROM comp JOIN hot USING (id)),
+        span AS (SELECT component, k, id, window_start AS head, 0 AS part FROM o WHERE k = 1 UNION ALL SELECT o.component, o.k, o.id, CASE WHEN o.window_start - s.head > 14400 THEN o.window_start ELSE s.head END, CASE WHEN o.window_start - s.head > 14400 THEN s.part + 1 ELSE s.part END FROM span s JOIN o ON o.component = s.component AND o.k = s.k + 1),
+        pt AS MATERIALIZED (SELECT component, part, o.* EXCLUDE (component, k) FROM span JOIN o USING (component, k, id)), fe AS (SELECT component, part, min(window_start) AS event_start, max(window_end) AS event_end, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, max(z_score) AS peak_z, count(*) AS anomaly_count FROM pt GROUP BY ALL HAVING count(DISTINCT channel) > 1),
+        {_shared('fk', 'component, part', 'pt')}, rest AS (SELECT * FROM hot WHERE id NOT IN (SELECT id FROM pt JOIN fe USING (component, part))), {_long('rest')},
+        lone AS (SELECT * FROM rest WHERE NOT EXISTS (SELECT 1 FROM sustained s WHERE s.channels = rest.channel AND rest.window_start >= s.event_start AND rest.window_end <= s.event_end)), {_shared('ik', 'id', 'lone')}
+        SELECT 'FLASH' AS event_type, event_start, event_end, channels, coalesce(keywords, '') AS keywords, peak_z, anomaly_count FROM fe LEFT JOIN fk USING (component, part) UNION ALL SELECT * FROM sustained UNION ALL SELECT 'ISOLATED', window_start, window_end, channel, coalesce(keywords, ''), z_score, 1 FROM lone LEFT JOIN ik USING (id)""",
     "duration_label_buckets": f"""WITH {SURGES}, m AS (SELECT updates + 1 AS c, (released_at - event_start) / 60 AS m FROM surges WHERE released_at IS NOT NULL)
         SELECT CASE WHEN c = 1 THEN 'isolated' WHEN m < 120 THEN 'flash' WHEN m < 240 THEN 'developing' ELSE 'sustained' END AS duration_kind, CASE WHEN m < 30 THEN '<30m' WHEN m < 120 THEN '30m-2h' WHEN m <= 360 THEN '2h-6h' ELSE '>6h' END AS bucket, count(*) AS n FROM m GROUP BY ALL""",
     "flash_edges": f"WITH {_edges(7200, 0.3)} SELECT a, b, round(overlap, 6) AS overlap FROM edges",

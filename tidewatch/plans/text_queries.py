@@ -306,6 +306,8 @@ ORACLE_SQL = {
             {_listed("SELECT unnest(tags) AS v FROM why WHERE reason = 'unmatched_topic'", 30)} AS top_unmatched_hashtags, {_listed("SELECT host AS v FROM why WHERE reason = 'unmatched_topic'", 20)} AS top_unmatched_domains FROM why""",
     "kept_recent": f"""WITH {_KEPT}, c AS (SELECT channel, count(*) AS n FROM kept GROUP BY channel), s AS (SELECT max(sec) - min(sec) AS span FROM kept)
         SELECT id, channel, substring(body, 1, 200) AS body, n, round(n / (greatest(span, 1) / 60), 1) AS kept_per_min FROM (SELECT * FROM kept ORDER BY sec DESC, id DESC LIMIT 100) JOIN c USING (channel), s""",
+    "text_crc32": """WITH RECURSIVE steps AS (SELECT n AS byte, n::BIGINT AS c, 0 AS k FROM range(256) t(n) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8), tab AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+        b AS (SELECT doc_id, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)) AS l FROM documents) SELECT doc_id, xor(list_reduce(l, lambda c, x: xor(c // 256, tab.t[xor(c % 256, x) + 1])), 4294967295) AS crc FROM b, tab""",
     "text_scalars": "SELECT doc_id, substring(text, 1, 120) AS head, 'AI News' || ' ' || upper(source[1]) || lower(source[2:]) AS camel, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y/%m/%d') AS day FROM documents",
     "member_codec": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'plain ' || source ELSE substring(text, 1, 120) END AS text, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE doc_id END AS story_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE source END AS domain, CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS hashtags, 0.0::DOUBLE AS route_score, '' AS author FROM documents",
     "route_stories": rf"""WITH t AS (SELECT doc_id, {[*TITLES]}[doc_id % {len(TITLES)} + 1] || ' ' || substring(text, 1, 40) AS title, ['', 'arxiv.org', 'github.com', 'example.org', 'nasa.gov'][doc_id % 5 + 1] AS domain FROM documents),
