@@ -410,8 +410,9 @@ def test_clusters_over_blocks_match_one_block(spark, monkeypatch):
         wanted |= {(g, k): int(x) for (k, _), x in zip(own, labels, strict=True)}
     for most in (4000, 20):
         monkeypatch.setattr(clustering, "BLOCK_POINTS", most)
-        got = {(r["g"], r["k"]): r["cluster_id"] for r in clustering.cluster(df, "g", "k", "v", 0.4, 4).collect()}
-        assert got == wanted and set(wanted.values()) > {-1, 0, 1}
+        for made in (clustering.cluster, clustering.block_clusters):
+            got = {(r["g"], r["k"]): r["cluster_id"] for r in made(df, "g", "k", "v", 0.4, 4).collect()}
+            assert got == wanted and set(wanted.values()) > {-1, 0, 1}
 
 
 def test_reduced_axes(spark):

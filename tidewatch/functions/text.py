@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.entities import html5
 
@@ -54,6 +55,10 @@ def title_tokens(title: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*TITLE_STOPWORDS))), 1, most)
 
 
+#: Names that are looked for first.
+COMMON_NAMES = ["lt;", "gt;", "amp;", "quot;", "nbsp;", "apos;", "copy;", "reg;", "middot;", "bull;", "hellip;", "mdash;", "ndash;", "laquo;", "raquo;", "lsquo;", "rsquo;", "ldquo;", "rdquo;", "times;", "euro;", "pound;", "trade;", "deg;"]
+
+
 def _numbered() -> dict[int, str]:
     """What references to numbers stand for where that is not the code point: HTML reads 128 to 159 as Windows letters, and some as none."""
     out = {0: "\ufffd", 13: "\r"}
@@ -70,34 +75,39 @@ def _no_characters(code: Column) -> Column:
     return control | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """Character references of markup as characters: numbers, and all names HTML has, those that may lack the semicolon too."""
     bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
     start = rf"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(bare)})"
-    names = F.create_map(*[F.lit(x) for pair in sorted(html5.items()) for x in pair])
+    lookup = lambda of: F.from_json(F.lit(json.dumps({n: html5[n] for n in of})), "map<string,string>")  # noqa: E731 (one literal, read when the query is planned)
+    usual, all_names = lookup(COMMON_NAMES), lookup(sorted(html5))
+    named_as = lambda name: F.coalesce(F.element_at(usual, name), F.element_at(all_names, name))  # noqa: E731 (a map is searched from its start)
     numbers = F.create_map(*[F.lit(x) for pair in _numbered().items() for x in pair])
 
-    def piece(p: Column, i: Column) -> Column:
-        found = F.regexp_extract(p, start, 1)
-        short = F.regexp_extract(p, rf"^({'|'.join(bare)})", 1)  # a name with a semicolon that HTML lacks may begin with one that it has
+    def numbered(found: Column) -> Column:
         digits = F.regexp_extract(found, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
-        hexed = found.rlike("^#[xX]")
-        short_of = F.substring(F.when(digits == "", "0").otherwise(digits), 1, 8)
-        code = F.when(F.length(digits) > 8, 0x110000).otherwise(F.when(hexed, F.conv(short_of, 16, 10)).otherwise(F.conv(short_of, 10, 10)).cast("long"))
+        base = lambda d, n: F.conv(F.when(d == "", "0").otherwise(d), n, 10).cast("long")
+        code = lambda d: F.when(F.length(d) > 8, 0x110000).when(found.rlike("^#[xX]"), base(d, 16)).otherwise(base(d, 10))
+        return _let(digits, lambda d: _let(code(d), character))
+
+    def character(code: Column) -> Column:
         made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         odd = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(_no_characters(code), "").otherwise(made)
-        number = F.coalesce(F.element_at(numbers, code.cast("int")), odd)
-        named = F.element_at(names, found)
+        return F.coalesce(F.element_at(numbers, code.cast("int")), odd)
+
+    def read(p: Column, found: Column) -> Column:
         rest = lambda used: F.substr(p, F.length(used) + 1)
-        read = (
-            F.when(found.startswith("#"), F.concat(number, rest(found)))
-            .when(named.isNotNull() & (found != ""), F.concat(named, rest(found)))
-            .when(short != "", F.concat(F.element_at(names, short), rest(short)))
-            .otherwise(F.concat(F.lit("&"), p))
-        )
-        return F.when(i == 0, p).otherwise(read)
-
-    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
+        short = F.regexp_extract(p, rf"^({'|'.join(bare)})", 1)  # a name with a semicolon that HTML lacks may begin with one that it has
+        by_name = _let(named_as(found), lambda named: F.when(named.isNotNull(), F.concat(named, rest(found))).otherwise(_let(short, lambda s: F.when(s == "", F.concat(F.lit("&"), p)).otherwise(F.concat(named_as(s), rest(s))))))
+        return F.when(found == "", F.concat(F.lit("&"), p)).when(found.startswith("#"), F.concat(numbered(found), rest(found))).otherwise(by_name)
+
+    piece = lambda p, i: F.when(i == 0, p).otherwise(_let(F.regexp_extract(p, start, 1), lambda found: read(p, found)))
+    return _let(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t))
 
 
 def html_text(html: Column) -> Column:

@@ -51,11 +51,30 @@ def density_labels(points: np.ndarray, eps: float = EPS, min_samples: int = MIN_
 def cluster(points: DataFrame, by: str, key: str, vector: str, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """by, key, cluster_id of points by density_labels' rules, however large a group is; key is unique in its group.
 
-    Points lie in blocks of BLOCK_POINTS at most, ordered within their group by
-    key; a task holds two blocks. A first round over pairs of blocks counts
-    neighbours, which makes core points; a second finds, per pair, a spanning
-    forest of its core points and each other point's nearest core clusters.
-    Components of the forests are the clusters.
+    Groups of BLOCK_POINTS at most are a task's each; larger ones go by blocks.
+    """
+    kinds = dict(points.dtypes)
+    counts = points.groupBy(by).agg(F.count("*").alias("_n"))
+    large = counts.where(F.col("_n") > BLOCK_POINTS)
+    any_large = not large.isEmpty()
+    small = points.join(large.select(by), by, "left_anti") if any_large else points
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        labels = density_labels(np.stack(pdf[vector].to_numpy()).astype(np.float64), eps, min_samples)
+        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster_id": labels})
+
+    out = small.select(by, key, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, cluster_id long")
+    return out.unionByName(block_clusters(points.join(large.select(by), by, "left_semi"), by, key, vector, eps, min_samples)) if any_large else out
+
+
+def block_clusters(points: DataFrame, by: str, key: str, vector: str, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """cluster() for groups of any size.
+
+    Points lie in blocks of about BLOCK_POINTS; a task holds two blocks. A first
+    round over pairs of blocks counts neighbours, which makes core points; a
+    second finds, per pair, a spanning forest of its core points and each other
+    point's nearest core clusters. Components of the forests are the clusters.
     """
     kinds = dict(points.dtypes)
     own = points.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
