@@ -18,7 +18,7 @@ def test_hub_components(spark, monkeypatch):
     assert got == {n: 3000 if n >= 3000 else 0 for p in pairs for n in p if None not in p}
 
 
-@pytest.mark.parametrize("cluster_texts", [4000, 60, 10, 2])
+@pytest.mark.parametrize("cluster_texts", [60, 6])
 def test_near_groups_of_large_clusters(spark, cluster_texts):
     rng = random.Random(9)
     family = [f"w{rng.randrange(3000)}" for _ in range(160)]
