@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 from test_corpus import brute_near, rows_of
 from tidewatch.llm import components, line_dedup, near_dedup
+from tidewatch.llm.common import told_back
 
 
-def test_hub_components(spark, monkeypatch):
-    monkeypatch.setattr(components, "SALTS", 3)
+def test_hub_components(spark):
     pairs = [(500, i) for i in range(300)] + [(1000 + i, 2000) for i in range(200)] + [(299, 1000)] + [(3000, 3001), (None, 1), (5, None)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: 3000 if n >= 3000 else 0 for p in pairs for n in p if None not in p}
 
 
+def test_totals_are_told_to_every_part(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1), (9, 1), (9, None)], "k long, v long"))
+    got = told_back(df, "k", ["v"], [F.count("*").alias("n"), F.min("v").alias("least")], "n > 1", 4).collect()
+    assert len(got) == 1002 and {(r["k"], r["n"], r["least"]) for r in got} == {(0, 334, 0), (1, 333, 1), (2, 333, 2), (9, 2, 1)}
+
+
 @pytest.mark.parametrize("cluster_texts", [60, 6])
 def test_near_groups_of_large_clusters(spark, cluster_texts):
     rng = random.Random(9)

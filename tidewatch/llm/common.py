@@ -41,6 +41,22 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Parts that a key's rows are dealt in.
+SALTS = 32
+
+
+def told_back(rows: DataFrame, key: str, by: list[str], totals: list, where: str = "true", salts: int = SALTS) -> DataFrame:
+    """rows with totals of their key, those of the keys that meet a condition.
+
+    A key's rows lie in parts by a hash of `by`. Totals come from partial
+    aggregation and are told to each part, so no task reads all rows of a key.
+    """
+    dealt = rows.withColumn("_s", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    found = dealt.groupBy(key).agg(*totals, F.collect_set("_s").alias("_parts")).where(where)
+    told = found.select(*[c for c in found.columns if c != "_parts"], F.explode("_parts").alias("_s"))
+    return dealt.join(told, [key, "_s"]).drop("_s")
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed
-
-
-#: Parts that a node's edges are dealt in.
-SALTS = 32
+from tidewatch.llm.common import checkpointed, told_back
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -20,15 +16,8 @@ def _are_stars(edges: DataFrame) -> bool:
 
 
 def with_least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with m, the least v of each u.
-
-    A node's edges lie in SALTS parts by their other end. Its least neighbour is
-    found by partial aggregation and told to each of its parts, so no task reads
-    all edges of a hub.
-    """
-    dealt = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    least = dealt.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("_s").alias("_parts"))
-    return dealt.join(least.select("u", "m", F.explode("_parts").alias("_s")), ["u", "_s"]).select("u", "v", "m")
+    """edges (u, v) with m, the least v of each u; a hub's edges are no single task's."""
+    return told_back(edges, "u", ["v"], [F.min("v").alias("m")])
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import checkpointed, column, texts, without
+from tidewatch.llm.common import checkpointed, column, texts, told_back, without
 
 LEAST_WORDS = 50
 
@@ -89,12 +89,12 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
     lines = checkpointed(rows.mapInArrow(_lines, "doc_id long, th long, lines binary, words binary"))
     positions = lines.mapInArrow(_winnow(least_words), _POSITION)
-    often = positions.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    windows = positions.join(often, "fingerprint").select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*")
-    windows = checkpointed(windows)
-    places = windows.groupBy("content").agg(F.min(F.struct("doc_id", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    often = told_back(positions, "fingerprint", ["doc_id", "th"], [F.count("*").alias("n")], "n > 1")
+    windows = checkpointed(often.select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*"))
+    place = F.struct("doc_id", "th", "start")
+    met = told_back(windows, "content", ["doc_id", "th", "start"], [F.min(place).alias("first"), F.count("*").alias("n")], "n > 1")
     # the same text's rows are one document: they do not match each other, only its own earlier lines
-    later = windows.join(places, "content").where(~(F.struct("doc_id", "th", "start").eqNullSafe(F.col("first"))))
+    later = met.where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
