@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
+from tidewatch.llm import click_windows, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
 from tidewatch.llm.common import read
 
 
@@ -53,13 +53,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op13_expiring_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return click_windows.expiring_windows(click_windows.replayed_copies(read(spark, sf_dir, "clicks")), click_windows.BATCHES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_ngram_jaccard_join, op6_source_mixing, op7_sharding, op8_toxicity, op9_line_dedup, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_ngram_jaccard_join, op6_source_mixing, op7_sharding, op8_toxicity, op9_line_dedup, op10_token_counts, op13_expiring_clicks, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
