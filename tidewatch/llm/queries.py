@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import click_windows, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
+from tidewatch.llm import click_windows, divergence, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
 from tidewatch.llm.common import read
 
 
@@ -53,6 +53,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
 def op13_expiring_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return click_windows.expiring_windows(click_windows.replayed_copies(read(spark, sf_dir, "clicks")), click_windows.BATCHES)
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_ngram_jaccard_join, op6_source_mixing, op7_sharding, op8_toxicity, op9_line_dedup, op10_token_counts, op13_expiring_clicks, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_ngram_jaccard_join, op6_source_mixing, op7_sharding, op8_toxicity, op9_line_dedup, op10_token_counts, op12_source_divergence, op13_expiring_clicks, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,6 +122,21 @@ ORACLE_SQL = {
         s AS (SELECT depth, left(bits, depth) AS shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_rows FROM r, l GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT_BYTES} OR min(bits) = max(bits))
         SELECT doc_id, shard, depth::INTEGER AS shard_depth, shard_bytes, shard_rows, n_bytes FROM r, l JOIN s USING (depth) WHERE s.shard = left(bits, depth)
         QUALIFY row_number() OVER (PARTITION BY r ORDER BY depth) = 1""",
+    # every pair of groups times every kept term, in 128-bit numbers
+    "op12_source_divergence": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        x AS MATERIALIZED (SELECT lang, source, r, t, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS t FROM d) GROUP BY ALL),
+        k AS MATERIALIZED (SELECT lang, t, sum(n)::HUGEINT AS n FROM x GROUP BY ALL HAVING count(*) >= 3),
+        l AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS terms FROM k GROUP BY ALL),
+        c AS MATERIALIZED (SELECT x.lang, source, t, sum(x.n)::HUGEINT AS n FROM x JOIN k USING (lang, t) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)),
+        p AS MATERIALIZED (SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + l.terms) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.terms) AS q
+              FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(pair.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source)
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term' AS part, t AS item, (((p - q) * (p - q)) // q)::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY ((p - q) * (p - q)) // q DESC, t)::INTEGER AS rank FROM p WHERE n > 0 AND p > q QUALIFY rank <= 200""",
     "op1_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
