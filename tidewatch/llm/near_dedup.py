@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import broadcast_if_small, checkpointed, column, masked, size_hint, slices, texts
+from tidewatch.llm.common import broadcast_if_small, checkpointed, column, masked, size_hint, slices, texts, told_back
 from tidewatch.llm.components import connected
-from tidewatch.llm.shingles import WordHashes, shingle_set
+from tidewatch.llm.shingles import SHINGLE_WORDS, WordHashes, shingle_set
 
 #: Similarity of 80 / 100, in whole numbers.
 PART, WHOLE = 80, 100
@@ -68,7 +68,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u8")
 
 
-def _digest(tokens: np.ndarray) -> bytes | None:
+def digest_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(_pack(tokens), digest_size=16).digest() if len(tokens) else None
 
 
@@ -85,7 +85,7 @@ def _first_round(bits: int):
             idx, counts, digests, prefixes = [], [], [], []
             for text in texts(batch):
                 own = shingle_set(text, hashes)
-                n, digest = len(own), _digest(own)
+                n, digest = len(own), digest_of(own)
                 if digest not in seen:
                     seen[digest] = len(prefixes)
                     prefixes.append(own[: n - least_overlap(n) + first_match(n)] if n else own)
@@ -144,22 +144,26 @@ def _count(table: pa.Table) -> pa.Table:
     return rows.select(["doc_id", "th", "n", "digest"]).append_column("alive", pa.array(alive))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole shingle sets."""
-    hashes = WordHashes()
-    chunk = TaskContext.get().partitionId() << 32
-    for batch in slices(batches, CHUNK_ROWS):
-        chunks, digests, tokens, held = [], [], [], 0
-        for text in texts(batch):
-            own = shingle_set(text, hashes)
-            digests.append(_digest(own))
-            tokens.append(_pack(own))
-            held += len(own)
-            if held > CHUNK_TOKENS:
-                chunk, held = chunk + 1, len(own)
-            chunks.append(chunk)
-        chunk += 1
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "digest", "tokens"])
+def whole_sets(k: int = SHINGLE_WORDS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work: whole shingle sets of its texts, in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, CHUNK_ROWS):
+            chunks, digests, tokens, held = [], [], [], 0
+            for text in texts(batch):
+                own = shingle_set(text, hashes, k)
+                digests.append(digest_of(own))
+                tokens.append(_pack(own))
+                held += len(own)
+                if held > CHUNK_TOKENS:
+                    chunk, held = chunk + 1, len(own)
+                chunks.append(chunk)
+            chunk += 1
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], names=["chunk", "digest", "tokens"])
+
+    return run
 
 
 def _send(bits: int):
@@ -261,7 +265,7 @@ def _prefix(tokens: np.ndarray, df: np.ndarray, row: dict) -> dict | None:
     return {"digest": row["digest"], "match": match, "prefix": _pack(prefix)} if match else None
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spread_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each prefix shingle."""
     for batch in slices(batches, 200):
         blobs = column(batch, "prefix").to_pylist()
@@ -269,8 +273,11 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_unpack(b"".join(blobs)).view(np.int64)), column(batch, "digest").take(pa.array(owner))], names=["token", "digest"])
 
 
-def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], match: np.ndarray, group: list[bytes], block: np.ndarray, across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets of different groups; with across, of links between blocks alone (but for what is skipped as linked already)."""
+def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], match: np.ndarray, group: list[bytes], block: np.ndarray, across: bool, sketches: np.ndarray | None = None, agree: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of different groups; with across, of links between blocks alone (but for what is skipped as linked already).
+
+    With sketches (sets by places), a pair that agrees in fewer places is no candidate.
+    """
     m = len(sets)
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), [len(p) for p in prefixes])
@@ -290,6 +297,9 @@ def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], match: np.ndarray
         if across:
             fits &= block[:i] != block[i]
         todo = np.flatnonzero(fits)
+        if sketches is not None and len(todo):
+            todo = todo[root[todo] != root[i]]
+            todo = todo[(sketches[todo] == sketches[i]).sum(1) >= agree]
         todo = todo[np.argsort(-shared[todo], kind="stable")]
         at = 0
         while at < len(todo):
@@ -313,9 +323,9 @@ def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], match: np.ndarray
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    """The links within each cluster of a group, or between two of its blocks."""
-    out = []
+def _verify(table: pa.Table, agree: int) -> pa.Table:
+    """The links within each cluster of a group, or between two of its blocks; rows may have signatures."""
+    out, signed = [], "sketch" in table.column_names
     rows = sorted(table.to_pylist(), key=lambda r: (r["cluster"], len(r["tokens"]), r["digest"]))
     at = 0
     while at < len(rows):
@@ -324,7 +334,8 @@ def _verify(table: pa.Table) -> pa.Table:
             end += 1
         own, at = rows[at:end], end
         if len(own) > 1:
-            found = linked([_unpack(r["tokens"]) for r in own], [_unpack(r["prefix"]) for r in own], np.array([r["match"] for r in own]), [r["group"] for r in own], np.array([r["block"] for r in own]), own[0]["low"] != own[0]["high"])
+            sketches = np.frombuffer(b"".join(r["sketch"] for r in own), np.uint8).reshape(len(own), -1) if signed else None
+            found = linked([_unpack(r["tokens"]) for r in own], [_unpack(r["prefix"]) for r in own], np.array([r["match"] for r in own]), [r["group"] for r in own], np.array([r["block"] for r in own]), own[0]["low"] != own[0]["high"], sketches, agree)
             out += [{"a": own[i]["digest"], "b": own[j]["digest"]} for i, j in found]
     return pa.Table.from_pylist(out, schema=_LINKS)
 
@@ -339,10 +350,11 @@ def _blocked(member: DataFrame, most: int) -> DataFrame:
     return member.join(alike, ["cluster", "_least"]).join(texts, "cluster").withColumn("block", F.when(F.col("_alike") > most, own).otherwise(shared)).drop("_least", "_alike", "_texts")
 
 
-def _verified(paired: DataFrame, groups: int) -> DataFrame:
+def _verified(paired: DataFrame, groups: int, agree: int = 0) -> DataFrame:
     """Links among rows of (cluster, digest, block, group, match, prefix, tokens, low, high) that meet: one task for all with the same many, low, high."""
     many = F.when(F.col("texts") > GROUP_TEXTS, F.hex("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(groups)).cast("string"))
-    return paired.select(many.alias("many"), "low", "high", "cluster", "digest", "group", "block", "match", "prefix", "tokens").groupBy("many", "low", "high").applyInArrow(_verify, "a binary, b binary")
+    kept = ["low", "high", "cluster", "digest", "group", "block", "match", "prefix", "tokens", *(c for c in paired.columns if c == "sketch")]
+    return paired.select(many.alias("many"), *kept).groupBy("many", "low", "high").applyInArrow(lambda t: _verify(t, agree), "a binary, b binary")
 
 
 def _grouped(member: DataFrame, links: DataFrame) -> DataFrame:
@@ -351,28 +363,48 @@ def _grouped(member: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(member.drop("group").join(root, "digest", "left").withColumn("group", F.coalesce("_root", "digest")).drop("_root"))
 
 
-def _large_links(member: DataFrame, cluster_texts: int) -> DataFrame:
+def _large_links(member: DataFrame, cluster_texts: int, agree: int = 0) -> DataFrame:
     """Links of clusters too large for a task.
 
     First inside blocks, then among one text of each group so found, blocked anew:
     that joins most near copies. What is left are texts that share enough prefix
     shingles with a text of another block and another group: a text travels to
-    those blocks alone.
+    those blocks alone. A shingle whose holders are one group by now leads
+    nowhere; of any other, the texts of its commonest group look only at blocks
+    that hold it in another group.
     """
     most = max(1, cluster_texts // 2)
     member = checkpointed(_blocked(member.withColumn("group", F.col("digest")), most))
-    inside = lambda rows: checkpointed(_verified(rows.withColumns({"low": F.col("block"), "high": F.col("block"), "texts": F.lit(GROUP_TEXTS + 1)}), 1))
+    inside = lambda rows: checkpointed(_verified(rows.withColumns({"low": F.col("block"), "high": F.col("block"), "texts": F.lit(GROUP_TEXTS + 1)}), 1, agree))
     links = inside(member)
     heads = _grouped(member, links).where(F.col("digest") == F.col("group"))
     links = checkpointed(links.unionByName(inside(_blocked(heads.drop("block"), most))))
     member = _grouped(member, links)
-    placed = member.select("digest", "prefix").mapInArrow(_spread, "token long, digest binary").join(member.select("digest", "block", "match", "group"), "digest")
-    there = placed.groupBy("token", F.col("block").alias("other")).agg(F.min("match").alias("asked"), F.min("group").alias("one"), F.max("group").alias("another"))
-    met = placed.join(there, "token").where("block <> other").groupBy("digest", "other")
-    met = met.agg(F.count("*").alias("held"), F.min(F.least("match", "asked")).alias("asked"), F.bool_or((F.col("one") != F.col("group")) | (F.col("another") != F.col("group"))).alias("apart"))
-    met = met.where("held >= asked AND apart").select("digest", "other")
+    placed = member.select("digest", "prefix").mapInArrow(spread_tokens, "token long, digest binary").join(member.select("digest", "block", "match", "group"), "digest")
+    there = placed.groupBy("token", "block", "group").agg(F.count("*").alias("own"), F.min("match").alias("asked"))
+    there = checkpointed(there)
+    common = there.groupBy("token", "group").agg(F.sum("own").alias("own")).groupBy("token").agg(F.max_by("group", "own").alias("common"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    placed = told_back(placed, "token", ["digest"], [F.min("group").alias("least"), F.max("group").alias("most")], "least <> most").drop("least", "most").join(common, "token")
+    there = there.join(common, "token").groupBy("token", F.col("block").alias("other"), "common").agg(F.min("asked").alias("asked"), F.min("group").alias("one"), F.max("group").alias("another"))
+    pure = (F.col("one") == F.col("common")) & (F.col("another") == F.col("common"))
+    usual, rest = placed.where("group = common").drop("common"), placed.where("group <> common").drop("common")
+    met = usual.join(there.where(~pure).drop("common"), "token").unionByName(rest.join(there.drop("common"), "token"))
+    met = met.where((F.col("block") != F.col("other")) & ((F.col("one") != F.col("group")) | (F.col("another") != F.col("group"))))
+    met = met.groupBy("digest", "other").agg(F.count("*").alias("held"), F.min(F.least("match", "asked")).alias("asked")).where("held >= asked").select("digest", "other")
     apart = member.join(met, "digest").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "texts": F.lit(GROUP_TEXTS + 1)})
-    return links.unionByName(_verified(apart, 1))
+    return links.unionByName(_verified(apart, 1, agree))
+
+
+def cluster_links(cluster: DataFrame, held: DataFrame, content: DataFrame, cluster_texts: int = CLUSTER_TEXTS, agree: int = 0) -> DataFrame:
+    """Links of the sets in each cluster: cluster (digest, cluster), held (digest, match, prefix and perhaps sketch), content (digest, tokens)."""
+    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("texts"))
+    total = cluster.count()
+    member = cluster.join(sizes, "cluster").join(held, "digest").join(content, "digest")
+    small = member.where(F.col("texts") <= cluster_texts).withColumns({"group": F.col("digest"), "block": F.lit(""), "low": F.lit(""), "high": F.lit("")})
+    links = _verified(small, max(1, total // GROUP_TEXTS), agree)
+    if not sizes.where(F.col("texts") > cluster_texts).isEmpty():
+        links = links.unionByName(_large_links(member.where(F.col("texts") > cluster_texts).drop("texts"), cluster_texts, agree))
+    return links
 
 
 def near_links(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> tuple[DataFrame, DataFrame]:
@@ -388,23 +420,15 @@ def near_links(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> tuple[Dat
     chosen = holder.select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th"))
     left = rows.join(chosen.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("_id")) & rows["th"].eqNullSafe(F.col("_th")))
     left = left.select("doc_id", "text", "th").dropDuplicates(["doc_id", "th"])
-    full = checkpointed(left.mapInArrow(_whole, _FULL))
+    full = checkpointed(left.mapInArrow(whole_sets(), _FULL))
     prefixes = checkpointed(with_frequencies(full, _prefix, "digest binary, match int, prefix binary"))
 
     # clusters: all texts that any prefix shingle brings together
-    spread = prefixes.mapInArrow(_spread, "token long, digest binary")
-    leaders = spread.groupBy("token").agg(F.min("digest").alias("leader"), F.count("*").alias("texts")).where("texts > 1")
-    stars = spread.join(leaders, "token").where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b"))
-    cluster = connected(stars).withColumnsRenamed({"node": "digest", "root": "cluster"})
-    cluster = checkpointed(cluster)
-    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("texts"))
-    total = cluster.count()
-    content = full.select("digest", "tokens").dropDuplicates(["digest"])
-    member = cluster.join(sizes, "cluster").join(prefixes, "digest").join(content, "digest")
-    small = member.where(F.col("texts") <= cluster_texts).withColumns({"group": F.col("digest"), "block": F.lit(""), "low": F.lit(""), "high": F.lit("")})
-    links = _verified(small, max(1, total // GROUP_TEXTS))
-    if not sizes.where(F.col("texts") > cluster_texts).isEmpty():
-        links = links.unionByName(_large_links(member.where(F.col("texts") > cluster_texts).drop("texts"), cluster_texts))
+    spread = prefixes.mapInArrow(spread_tokens, "token long, digest binary")
+    shared = told_back(spread, "token", ["digest"], [F.min("digest").alias("leader"), F.count("*").alias("texts")], "texts > 1")
+    stars = shared.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b"))
+    cluster = checkpointed(connected(stars).withColumnsRenamed({"node": "digest", "root": "cluster"}))
+    links = cluster_links(cluster, prefixes, full.select("digest", "tokens").dropDuplicates(["digest"]), cluster_texts)
     return sets.drop("alive"), links
 
 
@@ -419,7 +443,11 @@ def near_groups(docs: DataFrame, cluster_texts: int = CLUSTER_TEXTS) -> DataFram
     like others. An empty table gives no rows. Columns other than doc_id and text
     are not read. digest names the shingle set, th hashes the text.
     """
-    sets, links = near_links(docs, cluster_texts)
+    return component_ids(*near_links(docs, cluster_texts))
+
+
+def component_ids(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """sets (doc_id, th, n, digest) with the smallest doc_id that links between digests reach."""
     component = connected(checkpointed(links))
     least = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     least = least.join(component, least["digest"] == component["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))

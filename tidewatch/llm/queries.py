@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import click_windows, divergence, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
+from tidewatch.llm import click_windows, divergence, exact_dedup, licenses, line_dedup, minhash, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
 from tidewatch.llm.common import read
 
 
@@ -53,6 +53,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_ngram_jaccard_join, op6_source_mixing, op7_sharding, op8_toxicity, op9_line_dedup, op10_token_counts, op12_source_divergence, op13_expiring_clicks, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_best_fit_packing, op5_ngram_jaccard_join, op6_source_mixing, op7_sharding, op8_toxicity, op9_line_dedup, op10_token_counts, op11_minhash_near_dedup, op12_source_divergence, op13_expiring_clicks, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,6 +118,18 @@ ORACLE_SQL = {
         ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a)
         SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) AS component_id FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    # the same over two-word shingles
+    "op11_minhash_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        o AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+        x AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, p, n, concat_ws(' ', w, lead(w, 1) OVER t) AS g FROM o WINDOW t AS (PARTITION BY doc_id ORDER BY p)) WHERE p = 1 OR p <= n - 1),
+        n AS MATERIALIZED (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id),
+        often AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1), y AS MATERIALIZED (SELECT x.* FROM x JOIN often USING (g)),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM y a JOIN y b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a)
+        SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) AS component_id, n.doc_id <= coalesce(min(reach.b), n.doc_id) AS kept FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n""",
     # every prefix's size; a row's shard is its shortest prefix that fits
     "op7_sharding": rf"""
         WITH r AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
