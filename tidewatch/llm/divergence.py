@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import broadcast_if_small, checkpointed, column, texts
+from tidewatch.llm.common import broadcast_if_small, checkpointed, column, stored, texts
 
 #: Documents of its language that a kept term is in, at least; ranks of terms that are returned.
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
@@ -138,7 +138,7 @@ def _tile(table: pa.Table) -> pa.Table:
     first = table.slice(0, 1).to_pylist()[0]
     named, parts = [], []
     for s in (0, 1):
-        own = side == s
+        own = (side == s) | (side == 2)
         names, inverse = np.unique(source[own].astype(object), return_inverse=True)
         zero = np.zeros(len(names), np.int64)
         zero[inverse] = p0[own]
@@ -172,17 +172,18 @@ def source_divergence(docs: DataFrame, top_terms: int = TOP_TERMS, heavy_share:
     others. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    counts = checkpointed(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"), F.count("*").alias("groups")).where(F.col("docs") >= LEAST_DOCUMENTS).drop("docs")
-    postings = checkpointed(counts.drop("docs").join(kept, ["lang", "term"]))
-
-    by_lang = postings.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("postings"))
-    words = kept.groupBy("lang").agg(F.count("*").alias("terms"))
+    # one shuffle: a term's groups lie together, so counting, what the language has of it, and the choice need no other
+    counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    counts = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    held = counts.withColumns({"docs": F.sum("docs").over(term), "n_lang": F.sum("n").over(term), "groups": F.count("*").over(term), "head": F.col("source") == F.min("source").over(term)})
+    postings = stored(held.where(F.col("docs") >= LEAST_DOCUMENTS).drop("docs"))
+
+    by_lang = postings.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("postings"), F.count_if("head").alias("terms"))
     names = rows.select("lang", "source").distinct()
     own = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = names.groupBy("lang").agg(F.count("*").alias("sources"))
-    langs = sizes.join(by_lang, "lang", "left").join(words, "lang", "left").na.fill(0, ["total", "postings", "terms"])
+    langs = sizes.join(by_lang, "lang", "left").na.fill(0, ["total", "postings", "terms"])
     langs = checkpointed(langs.withColumns({"tiles": F.ceil(F.col("postings") / tile_postings), "blocks": F.ceil(F.col("sources") / block_groups)}))
     # a language without kept terms has no shares, only pairs of value 0
     whole = names.join(own, ["lang", "source"], "left").na.fill(0, ["total"]).join(broadcast_if_small(langs.drop("total", "postings")), "lang")
@@ -198,15 +199,15 @@ def source_divergence(docs: DataFrame, top_terms: int = TOP_TERMS, heavy_share:
     top = top.withColumn("_s", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "_s").orderBy(*order))).where(F.col("rank") <= top_terms)
     top = top.drop("_s").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).where(F.col("rank") <= top_terms)
 
-    # every posting, on either side, to the pairs of blocks that its group is in; each group to all of them
+    # every posting to the pairs of blocks that its group is in, as left (0), right (1) or both (2); each group to all of them
     heavy = (F.col("groups") >= F.greatest(F.lit(2), F.ceil(F.col("sources") * F.lit(heavy_share)))).alias("heavy")
     tile = F.pmod(F.xxhash64("term"), "tiles").cast("int").alias("tile")
     cells = known.select("lang", tile, "source", "term", "p", "p0", heavy, "terms", "block", "blocks")
     absent = groups.where("blocks > 0").withColumn("tile", F.explode(F.expr("sequence(-1, CAST(tiles AS INT) - 1)")))
     cells = cells.unionByName(absent.select("lang", "tile", "source", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), "p0", F.lit(False).alias("heavy"), "terms", "block", "blocks"))
-    dealt = cells.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.withColumns({"i": F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), "j": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))})
-    parts = dealt.drop("other", "block", "blocks").groupBy("lang", "tile", "i", "j").applyInArrow(_tile, "lang string, source string, item string, value long")
+    to = F.transform(F.expr("sequence(0L, blocks - 1)"), lambda x: F.when(x == F.col("block"), F.array(F.struct(F.lit(2).alias("side"), x.alias("i"), x.alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("i"), x.alias("j")), F.struct(F.lit(1).alias("side"), x.alias("i"), F.col("block").alias("j")))))
+    dealt = cells.withColumn("_to", F.explode(F.flatten(to))).select("*", "_to.*").drop("_to")
+    parts = dealt.drop("block", "blocks").groupBy("lang", "tile", "i", "j").applyInArrow(_tile, "lang string, source string, item string, value long")
     pairs = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
     made = [x.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank")) for x, part in ((pairs, "pair"), (top, "term"))]
