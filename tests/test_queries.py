@@ -7,11 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewatch.plans import detection_queries, event_queries, report_queries, text_queries
+from tidewatch.plans import detection_queries, event_queries, report_queries, text_queries, tracking_queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (detection_queries, text_queries, event_queries, report_queries)
+PLANS = (detection_queries, text_queries, event_queries, report_queries, tracking_queries)
 CASES = [(n, f, p.ORACLE_SQL.get(n)) for p in PLANS for n, f in p.QUERIES.items()]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")

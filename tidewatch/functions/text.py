@@ -24,11 +24,6 @@ def body_url(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, f"({BODY_URL})", 1), F.lit(""))
 
 
-def one_word(keyword: str) -> bool:
-    """Whether a keyword is a word by itself, so that it can be met as one."""
-    return keyword.isalnum() and keyword.isascii()
-
-
 def keyword_pattern(keyword: str, prefixes: set[str] | frozenset = frozenset()) -> str:
     """A keyword as a whole word in any case; of prefix roots, the start of a word."""
     quoted = re.sub(r"([^\w\s])", r"\\\1", keyword)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vocabulary import ADULT_HASHTAGS, BOILERPLATE, BOT_AUTHORS, NOT_PROSE, ROUTINE_GRID, ROUTINE_HASHTAGS, ROUTINE_WORDS
@@ -80,27 +80,55 @@ def run_summary(posts: DataFrame, keywords: int = 20, hashtags: int = 30, domain
 
     Counts are arrays of (value, n), the most frequent first, ties by spelling;
     keywords are of kept posts, hashtags and domains of posts no channel claims.
+    One pass: a post is read once and gives a (kind, value) for all that counts it.
     """
     kept, lost = F.col("drop_reason").isNull(), F.col("drop_reason") == "unmatched_topic"
+    mark = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    one = lambda kind, those, value=F.lit(""): mark(kind, F.when(those, value))
+    many = lambda kind, those, values: F.transform(F.when(those, F.col(values)), lambda v: mark(kind, v))
+    named = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    single = F.array(
+        one("total_seen", F.lit(True)), one("english_seen", F.array_contains("langs", "en")), one("kept_count", kept), one("dropped_count", ~kept),
+        one("dropped_by_reason", ~kept, named(F.col("drop_reason"))), one("kept_by_channel", kept, named(F.col("channel"))), one("top_unmatched_domains", lost, named(F.col("domain"))),
+    )
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    listed = [F.filter(F.coalesce(many(kind, those, values), none), lambda x: x["value"] != "") for kind, those, values in (("top_matched_keywords", kept, "matched_keywords"), ("top_unmatched_hashtags", lost, "hashtags"))]
+    marks = posts.select(F.explode(F.concat(F.filter(single, lambda x: x["value"].isNotNull()), *listed)).alias("m"))
+    counts = marks.groupBy("m.kind", "m.value").agg(F.count("*").alias("n"))
+    most = {"top_matched_keywords": keywords, "top_unmatched_hashtags": hashtags, "top_unmatched_domains": domains}
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value"))
+    top = counts.withColumn("_place", place).where(F.col("_place") <= 1000)
+    # reasons and channels are few; of the rest no more than asked for
+    bounded = F.lit(True)
+    for kind, k in most.items():
+        bounded = bounded & ((F.col("kind") != kind) | (F.col("_place") <= k))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
+
+    def table(kind: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_place", "value", "n"))))
+        return F.transform(rows, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(kind)
+
+    names = ["dropped_by_reason", "kept_by_channel", "top_matched_keywords", "top_unmatched_hashtags", "top_unmatched_domains"]
+    out = top.where(bounded).agg(*[total(k) for k in ("total_seen", "english_seen", "kept_count", "dropped_count")], *[table(k) for k in names])
+    rate = lambda c: F.round(F.col(c) / F.greatest(F.col("total_seen"), F.lit(1)), 4)
+    return out.withColumns({"kept_rate": rate("kept_count"), "dropped_rate": rate("dropped_count")})
 
-    def counted(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
-        counts = rows.where(F.coalesce("value", F.lit("")) != "").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
-        counts = counts if most is None else counts.limit(most)
-        listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value", "n")))
-        return counts.agg(F.transform(listed, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(name))
 
-    n = F.count("*")
-    out = posts.agg(n.alias("total_seen"), F.count_if(F.array_contains("langs", "en")).alias("english_seen"), F.count_if(kept).alias("kept_count"), F.count_if(~kept).alias("dropped_count"))
-    rate = lambda c: F.round(F.col(c) / F.greatest(F.col("total_seen"), F.lit(1)), 4)
-    out = out.withColumns({"kept_rate": rate("kept_count"), "dropped_rate": rate("dropped_count")})
-    parts = [
-        counted(posts.where(~kept).select(F.col("drop_reason").alias("value")), "dropped_by_reason"), counted(posts.where(kept).select(F.col("channel").alias("value")), "kept_by_channel"),
-        counted(posts.where(kept).select(F.explode("matched_keywords").alias("value")), "top_matched_keywords", keywords),
-        counted(posts.where(lost).select(F.explode("hashtags").alias("value")), "top_unmatched_hashtags", hashtags), counted(posts.where(lost).select(F.col("domain").alias("value")), "top_unmatched_domains", domains),
-    ]
-    for part in parts:
-        out = out.crossJoin(F.broadcast(part))  # one row each
-    return out
+#: What drop_reason says.
+REASONS = ("empty", "non_english", "language_mismatch", "adult_spam", "routine_template", "unmatched_topic")
+
+
+def observed(posts: DataFrame, name: str | Observation) -> DataFrame:
+    """posts (drop_reason, langs), whose counts Spark gathers while something else reads them.
+
+    Batch: pass an Observation, and read its .get after the action. Streams: pass a
+    name; every progress report has the micro-batch's counts under it (see
+    streaming.health). Counts: total_seen, english_seen, kept_count, dropped_count
+    and one for each reason.
+    """
+    kept = F.col("drop_reason").isNull()
+    counts = [F.count(F.lit(1)).alias("total_seen"), F.count_if(F.array_contains("langs", "en")).alias("english_seen"), F.count_if(kept).alias("kept_count"), F.count_if(~kept).alias("dropped_count")]
+    return posts.observe(name, *counts, *[F.count_if(F.col("drop_reason") == r).alias(r) for r in REASONS])
 
 
 def kept_sample(posts: DataFrame, most: int = 100, width: int = 200) -> DataFrame:

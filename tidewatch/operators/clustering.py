@@ -15,6 +15,8 @@ from tidewatch.operators.crosschannel import components
 #: Clustering and keyword defaults.
 EPS, MIN_SAMPLES, TOP_KEYWORDS = 0.5, 5, 8
 BLOCK_POINTS = 4000
+#: Pivots that split a large cell, about; rows that meet them in a task; splits of splits at most.
+PIVOTS, PART_ROWS, LEVELS = 48, 20_000, 6
 SPIKE, LEAST_BUCKETS, BASELINE_SECONDS = 2.0, 24, 7 * 86400
 
 
@@ -68,74 +70,157 @@ def cluster(points: DataFrame, by: str, key: str, vector: str, eps: float = EPS,
     return out.unionByName(block_clusters(points.join(large.select(by), by, "left_semi"), by, key, vector, eps, min_samples)) if any_large else out
 
 
-def block_clusters(points: DataFrame, by: str, key: str, vector: str, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def cell_halo(points: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest pivot of each point, points by pivots: whether the point may lie within eps of a point of the pivot's cell).
+
+    A cell is what its pivot is nearest to. A point of cell p that is within eps of
+    one of cell q is within eps of the plane half way between p and q.
+    """
+    squares = np.maximum((points * points).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * points @ pivots.T, 0)
+    nearest = squares.argmin(axis=1)
+    apart = np.sqrt(np.maximum((pivots * pivots).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * pivots @ pivots.T, 0))[nearest]
+    past = squares - squares[np.arange(len(points)), nearest][:, None]
+    inside = past <= 2 * apart * (eps + 1e-9) + 1e-9
+    inside[np.arange(len(points)), nearest] = True
+    return nearest, inside
+
+
+def metric_cells(rows: DataFrame, eps: float, cell_points: int = BLOCK_POINTS, pivots: int = PIVOTS) -> DataFrame:
+    """rows (g, k, v) dealt into cells: (cell, g, k, v, own), each row once as own, and a copy (not own) in every other cell that may hold a point within eps of it.
+
+    A group is a cell to begin with. Cells of more than cell_points own points are
+    split by pivots, a seeded sample of their points, and what of it is too
+    large is split again. A cell whose points lie too close together to be split
+    stays as it is. Points and their cell's pivots meet in parts of a bounded
+    number of rows.
+    """
+    names = ["cell", "g", "k", "v", "own"]
+    kinds = dict(rows.dtypes)
+    schema = f"cell string, g {kinds['g']}, k {kinds['k']}, v array<double>, own boolean"
+    todo = rows.select(F.concat(F.lit("c"), F.hex(F.xxhash64("g"))).alias("cell"), "g", "k", "v", F.lit(True).alias("own"))
+    done = None
+    for level in range(LEVELS):
+        todo = checkpointed(todo)
+        sizes = checkpointed(todo.groupBy("cell").agg(F.count_if("own").alias("_own"), F.count("*").alias("_all")))
+        if level:  # a split that leaves most of a cell in one piece leads nowhere
+            above = was.select(F.col("cell").alias("_up"), F.col("_own").alias("_was"))
+            sizes = checkpointed(sizes.withColumn("_up", F.substring_index("cell", "/", level)).join(above, "_up").drop("_up"))
+        else:
+            sizes = sizes.withColumn("_was", F.lit(None).cast("long"))
+        large = (F.col("_own") > cell_points) & F.coalesce(F.col("_own") < 0.9 * F.col("_was"), F.lit(True))
+        split = sizes.where(large).select("cell", "_own", "_all")
+        ready = todo.join(sizes.where(~large).select("cell"), "cell", "left_semi")
+        done = ready if done is None else done.unionByName(ready)
+        if split.isEmpty():
+            return done.select(names)
+        was = checkpointed(split)
+        held = todo.join(was, "cell")
+        lots = F.xxhash64(F.lit(level), "k")
+        # about pivots of each cell, by lot: no order over a cell's points
+        chosen = held.where("own").where(F.pmod(lots, F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), pivots * 1.0 / F.col("_own")))
+        parts = F.ceil(F.col("_all") / PART_ROWS)
+        dealt = held.withColumn("_part", F.pmod(F.xxhash64("k"), parts)).drop("_own", "_all")
+        sent = chosen.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(F.col("cell").alias("_of"), F.col("_part").alias("_to"), F.col("k").alias("pk"), F.col("v").alias("pv"))
+
+        def assign(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+            if own.empty:
+                return own[names]
+            if given.empty:  # no lot fell on the cell: it comes again, under other lots
+                return own.assign(cell=own["cell"] + "/0")[names]
+            given = given.sort_values("pk")
+            nearest, inside = cell_halo(np.stack(own["v"].to_numpy()), np.stack(given["pv"].to_numpy()), eps)
+            i, q = np.nonzero(inside)
+            out = own.iloc[i].copy()
+            out["own"] = out["own"].to_numpy(bool) & (nearest[i] == q)
+            out["cell"] = out["cell"].to_numpy(object) + np.array([f"/{x}" for x in range(inside.shape[1])], object)[q]
+            return out[names]
+
+        todo = dealt.groupBy("cell", "_part").cogroup(sent.groupBy("_of", "_to")).applyInPandas(assign, schema)
+    return done.unionByName(todo).select(names)
+
+
+def block_clusters(points: DataFrame, by: str, key: str, vector: str, eps: float = EPS, min_samples: int = MIN_SAMPLES, cell_points: int | None = None) -> DataFrame:
     """cluster() for groups of any size.
 
-    Points lie in blocks of about BLOCK_POINTS; a task holds two blocks. A first
-    round over pairs of blocks counts neighbours, which makes core points; a
-    second finds, per pair, a spanning forest of its core points and each other
-    point's nearest core clusters. Components of the forests are the clusters.
+    Equal points are one with a weight. Points lie in metric cells, with copies of
+    near ones from other cells, so that a point meets all its neighbours in its own
+    cell; a cell that could not be split small is met in pairs of blocks. A first
+    round counts neighbours, which makes core points; a second finds per task a
+    spanning forest of core points and each other point's core neighbours.
+    Components of the forests are the clusters.
     """
-    kinds = dict(points.dtypes)
-    own = points.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = own.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("blocks"))
-    placed = own.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    kinds, cell_points = dict(points.dtypes), cell_points or BLOCK_POINTS
+    key_kind, group_kind = kinds[key], kinds[by]
+    given = points.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    single = checkpointed(given.groupBy("g", "v").agg(F.min("k").alias("k"), F.count("*").alias("w")))
+    cells = checkpointed(metric_cells(single.drop("w"), eps, cell_points))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / (3 * cell_points)).alias("blocks"))
+    placed = cells.join(sizes, "cell").join(single.select("g", "k", "w"), ["g", "k"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
 
     def paired(rows: DataFrame) -> DataFrame:
         other = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        return other.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-
-    def sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-        low = pdf.low.iloc[0]
-        a, b = pdf[pdf.block == low].sort_values("k"), pdf[pdf.block == pdf.high.iloc[0]].sort_values("k")
-        return a, b, close_to(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), eps) if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+        return other.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+
+    def sides(pdf: pd.DataFrame) -> list[tuple[pd.DataFrame, pd.DataFrame]]:
+        """Own points, and those that they meet."""
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        pdf = pdf.sort_values("k")
+        a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
+        pairs = [(a[a["own"]], b)] + ([(b[b["own"]], a)] if low != high else [])
+        return [(x, y) for x, y in pairs if len(x) and len(y)]
+
+    def near_rows(a: pd.DataFrame, b: pd.DataFrame):
+        """For each point of a, the places of its neighbours in b."""
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        for at in range(0, len(x), 512):
+            yield from (np.flatnonzero(row) for row in close_to(x[at : at + 512], y, eps))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, near = sides(pdf)
-        out = pd.DataFrame({"g": a.g, "k": a.k, "n": near.sum(axis=1)})
-        if pdf.low.iloc[0] != pdf.high.iloc[0]:
-            out = pd.concat([out, pd.DataFrame({"g": b.g, "k": b.k, "n": near.sum(axis=0)})])
-        return out
+        out = [pd.DataFrame({"g": a["g"], "k": a["k"], "n": [int(b["w"].to_numpy()[near].sum()) for near in near_rows(a, b)]}) for a, b in sides(pdf)]
+        return pd.concat(out) if out else pd.DataFrame({"g": pdf["g"].iloc[:0], "k": pdf["k"].iloc[:0], "n": np.zeros(0, np.int64)})
 
-    key_kind, group_kind = kinds[key], kinds[by]
-    counts = paired(placed).groupBy("g", "low", "high").applyInPandas(count, f"g {group_kind}, k {key_kind}, n long")
+    counts = paired(placed).groupBy("g", "cell", "low", "high").applyInPandas(count, f"g {group_kind}, k {key_kind}, n long")
     core = counts.groupBy("g", "k").agg((F.sum("n") >= min_samples).alias("core"))
     known = checkpointed(placed.join(core, ["g", "k"]))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, near = sides(pdf)
-        ca, cb = a.core.to_numpy(bool), b.core.to_numpy(bool)
-        ka, kb = a.k.to_numpy(), b.k.to_numpy()
-        root: dict = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        out = []
-        for i, j in zip(*np.nonzero(near & ca[:, None] & cb[None, :]), strict=True):
-            x, y = find(ka[i]), find(kb[j])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((ka[i], kb[j], True))
-        for keys, others, matrix, is_core, other_core in ((ka, kb, near, ca, cb), (kb, ka, near.T, cb, ca)):
-            for i in np.flatnonzero(~is_core):
-                out += [(keys[i], r, False) for r in {find(others[j]) for j in np.flatnonzero(matrix[i] & other_core)}]
+        pdf = pdf.sort_values("k", kind="stable")
+        keys = pdf["k"].to_numpy()
+        names, place = np.unique(keys, return_inverse=True)
+        root, out = np.arange(len(names)), []
+        here = pd.Series(place, index=pdf.index)
+        later = []
+        for a, b in sides(pdf):
+            mine, theirs, theirs_core = here[a.index].to_numpy(), here[b.index].to_numpy(), b["core"].to_numpy(bool)
+            for i, is_core, near in zip(mine, a["core"].to_numpy(bool), near_rows(a, b), strict=True):
+                others = theirs[near[theirs_core[near]]]
+                if not is_core:
+                    later.append((i, others))
+                    continue
+                first = others[np.unique(root[others], return_index=True)[1]] if len(others) else others
+                for j in first:
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        out.append((names[i], names[j], True))
+        for i, others in later:
+            out += [(names[i], names[j], False) for j in others[np.unique(root[others], return_index=True)[1]]]
         found = pd.DataFrame(out, columns=["k", "core_k", "both"])
-        found.insert(0, "g", pdf.g.iloc[0])
+        found.insert(0, "g", pdf["g"].iloc[0])
         return found
 
-    links = checkpointed(paired(known).groupBy("g", "low", "high").applyInPandas(join, f"g {group_kind}, k {key_kind}, core_k {key_kind}, both boolean"))
+    links = checkpointed(paired(known).groupBy("g", "cell", "low", "high").applyInPandas(join, f"g {group_kind}, k {key_kind}, core_k {key_kind}, both boolean"))
     node = lambda k: F.struct("g", F.col(k).alias("k"))
     labels = components(links.where("both").select(node("k").alias("a"), node("core_k").alias("b")))
-    core_points = known.where("core").select(node("k").alias("id"))
+    core_points = known.where("core AND own").select(node("k").alias("id"))
     roots = core_points.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
+    # clusters by the first core point of each
     numbers = roots.select("root").distinct().select("root", (F.row_number().over(Window.partitionBy("root.g").orderBy("root.k")) - 1).cast("long").alias("cluster_id"))
     inner = roots.join(numbers, "root").select("id", "cluster_id")
     border = links.where("NOT both").select(node("k").alias("point"), node("core_k").alias("id")).join(inner, "id").groupBy(F.col("point").alias("id")).agg(F.min("cluster_id").alias("cluster_id"))
-    found = inner.unionByName(border)
-    return placed.select(node("k").alias("id")).join(found, "id", "left").select(F.col("id.g").alias(by), F.col("id.k").alias(key), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
+    found = inner.unionByName(border).select("id.g", "id.k", "cluster_id")
+    labelled = single.join(found, ["g", "k"], "left").select(F.col("g").alias("_g"), F.col("v").alias("_v"), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
+    same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("v") == F.col("_v"))
+    return given.join(labelled, same).select(F.col("g").alias(by), F.col("k").alias(key), "cluster_id")
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:

@@ -1,8 +1,7 @@
 """Topic routing: weighted keywords, layers, domain boosts, gates and a winner.
 
-Matching keeps an item in its row: its distinct words meet the table's plain
-keywords as sets, a phrase is tried only where all its words occur, and prefix
-roots are literal patterns. What matched is looked up in the keyword table, and
+An item's text is walked once by an automaton of all keywords, however many
+phrases and prefix roots the table has. What matched is looked up in the keyword table, and
 (item, channel, score) rows sum to scores. Tables are broadcast up to a checked
 size.
 """
@@ -15,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.checkpoints import checkpointed
-from tidewatch.functions.text import camel_split, keyword_pattern, one_word
+from tidewatch.functions.automaton import keywords_in
+from tidewatch.functions.text import camel_split
 from tidewatch.functions.vocabulary import CONTEXT_GATES, GATED_WEIGHT, HASHTAG_ALIASES, HASHTAG_WEIGHT, LEAST_SCORES, POST_BOOSTS, POST_PRIORITY, POST_ROOTS, STORY_BOOSTS, STORY_KEYWORDS, STORY_PRIORITY, STORY_ROOTS
 
 BROADCAST_ROWS = 100_000
@@ -64,29 +64,6 @@ def _known(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
-def _hits(text: Column, table: Table) -> Column:
-    """The table's keywords that a text holds, each once."""
-    names = list(dict.fromkeys(k for _, k, _ in table.keywords))
-    plain = [k for k in names if one_word(k) and k not in table.prefixes]
-    phrases = [k for k in names if not one_word(k) and k not in table.prefixes]
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
-    literal = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    found = [F.array_intersect(literal(plain), words)]
-    for k in phrases:
-        # all its words first, as sets; the pattern, which knows what stands between them, only then
-        parts = [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in k).split()]
-        maybe = F.size(F.array_intersect(literal(parts), F.col("_phrase_words"))) == len(set(parts))
-        found.append(F.when(maybe & text.rlike(keyword_pattern(k, table.prefixes)), F.array(F.lit(k))).otherwise(literal([])))
-    found += [F.when(text.rlike(keyword_pattern(k, table.prefixes)), F.array(F.lit(k))).otherwise(literal([])) for k in names if k in table.prefixes]
-    return F.concat(*found)
-
-
-def _phrase_words(text: Column, table: Table) -> Column:
-    parts = {w for _, k, _ in table.keywords if not one_word(k) and k not in table.prefixes for w in "".join(c if c.isalnum() or c == "_" else " " for c in k).split()}
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    return F.array_intersect(F.array(*map(F.lit, sorted(parts))), words) if parts else F.array().cast("array<string>")
-
-
 def matches(items: DataFrame, key: str, layers: dict[str, tuple[Column, float]], table: Table) -> DataFrame:
     """key, layer, channel, keyword, at, score: one row for every keyword that a layer's text holds.
 
@@ -94,8 +71,7 @@ def matches(items: DataFrame, key: str, layers: dict[str, tuple[Column, float]],
     and then by the table.
     """
     rows = items.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(n).alias("layer"), F.coalesce(t, F.lit("")).alias("text"), F.lit(m).alias("times")) for i, (n, (t, m)) in enumerate(layers.items())])).alias("l")).select(key, "l.*").where("text <> ''")
-    rows = rows.withColumn("_phrase_words", _phrase_words(F.col("text"), table))
-    hits = rows.select(key, "no", "layer", "times", F.explode(_hits(F.col("text"), table)).alias("keyword"))
+    hits = rows.select(key, "no", "layer", "times", F.explode(keywords_in(F.col("text"), [k for _, k, _ in table.keywords], table.prefixes)).alias("keyword"))
     placed = [(*row, at) for at, row in enumerate(table.keywords)]
     known = _known(items.sparkSession, placed, f"{KEYWORDS}, place long")
     return hits.join(known, "keyword").select(key, "layer", "channel", "keyword", (F.col("no") * len(placed) + F.col("place")).alias("at"), (F.col("weight") * F.col("times")).alias("score"))

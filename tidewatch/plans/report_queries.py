@@ -184,8 +184,8 @@ def stories_csv_roundtrip(spark, sf_dir):
     return readers.stories_csv(spark, path).select("item_id", "item_type", "author", "sec", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), F.coalesce("parent", F.lit(-1)).alias("parent"), "url", "deleted")
 
 
-def firehose_posts(spark, sf_dir):
-    """Documents as firehose messages, with tags, links, replies and embeds by number, read as posts."""
+def _messages(spark, sf_dir):
+    """Documents as firehose messages (JSON), with tags, links, replies and embeds by number."""
     d = _table(spark, sf_dir, "documents")
     by = lambda n, k: F.col("doc_id") % n == k
     no = F.col("doc_id").cast("string")
@@ -200,11 +200,19 @@ def firehose_posts(spark, sf_dir):
     record = F.struct(F.col("text"), F.array("lang").alias("langs"), reply.alias("reply"), facets.alias("facets"), embed.alias("embed"))
     commit = F.struct(F.lit("app.bsky.feed.post").alias("collection"), F.when(by(7, 0), "delete").otherwise("create").alias("operation"), no.alias("rkey"), record.alias("record"))
     message = F.to_json(F.struct(F.when(by(11, 0), "identity").otherwise("commit").alias("kind"), F.col("source").alias("did"), (F.col("doc_id") * 1_000_000 + 999_999).alias("time_us"), commit.alias("commit")))
-    posts = readers.posts_from_messages(d.select(message.alias("value")))
+    return d.select(message.alias("value"))
+
+
+def _post_columns(posts):
     joined = lambda c: F.array_join(c, ",").alias(c)
     return posts.select("platform_uri", "root_uri", F.coalesce("parent_uri", F.lit("")).alias("parent_uri"), "is_reply", "sec", "author", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), "story_title", joined("langs"), joined("hashtags"), joined("links"), "embed_type", "has_image", "image_count", "has_video", "has_external_link", F.coalesce("external_uri", F.lit("")).alias("external_uri"), "has_quote_post", joined("alt_texts"), "embed_text")
 
 
+def firehose_posts(spark, sf_dir):
+    """Firehose messages read as posts."""
+    return _post_columns(readers.posts_from_messages(_messages(spark, sf_dir)))
+
+
 def jsonl_roundtrip(spark, sf_dir):
     """Tracked events written as JSON lines and read back with a cut-off."""
     path = _folder(spark)

@@ -23,6 +23,7 @@ class HealthListener(StreamingQueryListener):
         self.write, self.component, self.keep = write, component, keep
         self.last: dict | None = None
         self.reports: list[tuple] = []
+        self.observed: list[tuple] = []
 
     def _tell(self, status: str, now: str, error: Exception | None = None) -> None:
         self.last = health(status, now, self.component, self.last, error)
@@ -35,6 +36,8 @@ class HealthListener(StreamingQueryListener):
         p = event.progress
         took = dict(p.durationMs)
         self.reports = [*self.reports, (str(p.id), p.batchId, p.timestamp, p.numInputRows, float(p.processedRowsPerSecond or 0.0), took.get("triggerExecution", 0), took.get("addBatch", 0), sum(s.numRowsTotal for s in p.stateOperators))][-self.keep :]
+        for name, row in (p.observedMetrics or {}).items():
+            self.observed = [*self.observed, *((str(p.id), p.batchId, p.timestamp, name, k, int(v or 0)) for k, v in row.asDict().items())][-16 * self.keep :]
         self._tell("ok", p.timestamp)
 
     def onQueryIdle(self, event) -> None:
@@ -52,6 +55,12 @@ def run_metrics(spark: SparkSession, listener: HealthListener) -> DataFrame:
     return df.groupBy("query", F.substring("at", 1, 13).alias("hour")).agg(F.sum("rows").alias("items"), per_row.alias("avg_ingest_us"), F.round(F.avg("batch_ms"), 1).alias("avg_batch_ms"), F.max("state_rows").alias("state_rows"))
 
 
+def observed_counts(spark: SparkSession, listener: HealthListener) -> DataFrame:
+    """Per query and observation (cleaning.observed): each metric summed over the micro-batches reported so far, a batch that was reported twice once."""
+    df = spark.createDataFrame(listener.observed, "query string, batch long, at string, name string, metric string, n long")
+    return df.groupBy("query", "name", "batch", "metric").agg(F.max_by("n", "at").alias("n")).groupBy("query", "name", "metric").agg(F.sum("n").alias("n"))
+
+
 def banner(last: dict, now: float, stale: float = 900.0) -> str:
     """ok, warning, or stale where the last heartbeat (ISO, UTC) is older than `stale` seconds."""
     from datetime import datetime

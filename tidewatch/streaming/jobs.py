@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.checkpoints import checkpointed
 from tidewatch.operators.lifecycle import EVENTS, Settings, State, evaluate, roll_up, sample
 
 STATE = "bins map<bigint,bigint>, history array<bigint>, elevated boolean, since bigint, next_tick bigint"
@@ -27,10 +28,15 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
 
 
 def sliding_counts(items: DataFrame, ttl: str = "2 hours", step: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """channel, tick, n over windows that end at a tick, the tick's second included (whole seconds, so a start offset of one)."""
+    """channel, tick, n over windows that end at a tick, the tick's second included (whole seconds, so a start offset of one).
+
+    Items are counted once per step; those counts, not the items, enter every
+    window that holds their step.
+    """
     whole = items.withColumn("ts", F.date_trunc("second", "ts")).withWatermark("ts", late)
-    w = F.window("ts", ttl, step, "1 second")
-    return whole.groupBy("channel", w.alias("w")).agg(F.count("*").alias("n")).select("channel", (F.unix_timestamp("w.end") - 1).alias("tick"), "n")
+    steps = whole.groupBy("channel", F.window("ts", step, step, "1 second").alias("s")).agg(F.count("*").alias("own"))
+    w = F.window(F.window_time("s"), ttl, step, "1 second")
+    return steps.groupBy("channel", w.alias("w")).agg(F.sum("own").alias("n")).select("channel", (F.unix_timestamp("w.end") - 1).alias("tick"), "n")
 
 
 def distinct_items(items: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -100,24 +106,69 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there; every trigger replaces the table at path with the whole aggregate."""
+#: How a surge's record merges with what a later batch says of it.
+_FIRST, _MOST, _LATEST = ("first_seen", "opening_z"), ("last_seen", "released_at", "closing_z", "peak_z", "peak_count"), ("mean", "std")
 
-    def replace(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(path)
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def merge_surges(parts: DataFrame) -> DataFrame:
+    """One lifecycle record (as roll_up gives) per surge of records that cover different batches of its events."""
+    merged = [F.min(c).alias(c) for c in _FIRST] + [F.max(c).alias(c) for c in _MOST] + [F.sum("update_count").alias("update_count")] + [F.max_by(c, "last_seen").alias(c) for c in _LATEST]
+    out = parts.groupBy("channel", "event_start").agg(*merged)
+    return out.withColumn("duration_s", F.col("released_at") - F.col("event_start")).select(parts.columns)
 
 
-def lifecycle_summary(events: DataFrame, folder: str) -> None:
-    """foreachBatch body: fold a batch of detector events into the rolled-up surges under folder, and rewrite the latest summary beside them.
+class LifecycleSink:
+    """foreachBatch body that keeps lifecycle records and a summary of detector events, whatever is replayed.
 
-    Surges (one row per channel and start) are kept as Parquet, by batch; the
-    summary is one row per channel.
+    Everything is written under the batch's number, from the state before that
+    batch and its own events alone, so a batch that comes again after a failure
+    replaces what it had written. Work follows the batch and the open surges:
+    released ones leave the state for `lifecycles`, and the summary's totals carry
+    over. keep: so many batches of state stay for replays.
     """
-    spark = events.sparkSession
-    events.write.mode("append").parquet(f"{folder}/events")
-    rolled = roll_up(spark.read.parquet(f"{folder}/events"))
-    fires = rolled.groupBy("channel").agg(F.count("*").alias("fires"), F.max("peak_z").alias("max_z"), F.max("last_seen").alias("last_seen"), F.count_if(F.col("released_at").isNull()).alias("active"), F.sum("update_count").alias("updates"))
-    fires.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+
+    def __init__(self, folder: str, keep: int = 4) -> None:
+        self.folder, self.keep = folder, keep
+
+    def _before(self, spark: SparkSession, table: str, batch: int, schema) -> DataFrame:
+        at = f"{self.folder}/{table}/batch={batch - 1}"
+        return spark.read.schema(schema).parquet(at) if batch > 0 and _exists(spark, at) else spark.createDataFrame([], schema)
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        own = roll_up(events)
+        merged = checkpointed(merge_surges(self._before(spark, "open", batch, own.schema).unionByName(own)))
+        over, still = merged.where("released_at IS NOT NULL"), merged.where("released_at IS NULL")
+        over.write.mode("overwrite").parquet(f"{self.folder}/lifecycles/batch={batch}")
+        still.write.mode("overwrite").parquet(f"{self.folder}/open/batch={batch}")
+        counts = lambda rows: rows.groupBy("channel").agg(F.count("*").alias("fires"), F.max("peak_z").alias("max_z"), F.max("last_seen").alias("last_seen"), F.count_if(F.col("released_at").isNull()).alias("active"), F.sum("update_count").alias("updates"))
+        told = counts(over)
+        add = lambda rows: rows.groupBy("channel").agg(F.sum("fires").alias("fires"), F.max("max_z").alias("max_z"), F.max("last_seen").alias("last_seen"), F.sum("active").alias("active"), F.sum("updates").alias("updates"))
+        totals = checkpointed(add(self._before(spark, "totals", batch, told.schema).unionByName(told)))
+        totals.write.mode("overwrite").parquet(f"{self.folder}/totals/batch={batch}")
+        add(totals.unionByName(counts(still))).coalesce(1).write.mode("overwrite").json(f"{self.folder}/summary")
+        for table in ("open", "totals"):
+            _gone(spark, f"{self.folder}/{table}/batch={batch - self.keep}")
+
+    def lifecycles(self, spark: SparkSession) -> DataFrame:
+        """Records of all surges: released ones, and those open after the last batch."""
+        over = spark.read.parquet(f"{self.folder}/lifecycles")
+        files, at = _folder(spark, f"{self.folder}/open")
+        last = max(int(x.getPath().getName().split("=")[1]) for x in files.listStatus(at))
+        still = spark.read.schema(over.drop("batch").schema).parquet(f"{self.folder}/open/batch={last}")
+        return over.drop("batch").unionByName(still)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, at = _folder(spark, path)
+    return bool(files.exists(at))
+
+
+def _gone(spark: SparkSession, path: str) -> None:
+    files, at = _folder(spark, path)
+    files.delete(at, True)
