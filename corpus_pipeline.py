@@ -42,7 +42,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Learned cutoffs, seeded draws and a tokenizer are beyond SQL; tests hold run() against a brute-force version.
+#: Learned cutoffs, seeded draws and a tokenizer are beyond SQL; tests hold what each stage must leave, and the operators have brute-force versions of their own.
 ORACLE_SQL = None
 
 

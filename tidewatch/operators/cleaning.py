@@ -93,7 +93,7 @@ def run_summary(posts: DataFrame, keywords: int = 20, hashtags: int = 30, domain
     )
     none = F.array().cast("array<struct<kind:string,value:string>>")
     listed = [F.filter(F.coalesce(many(kind, those, values), none), lambda x: x["value"] != "") for kind, those, values in (("top_matched_keywords", kept, "matched_keywords"), ("top_unmatched_hashtags", lost, "hashtags"))]
-    marks = posts.select(F.explode(F.concat(F.filter(single, lambda x: x["value"].isNotNull()), *listed)).alias("m"))
+    marks = posts.select(F.concat(F.filter(single, lambda x: x["value"].isNotNull()), *listed).alias("_marks")).select(F.explode("_marks").alias("m"))
     counts = marks.groupBy("m.kind", "m.value").agg(F.count("*").alias("n"))
     most = {"top_matched_keywords": keywords, "top_unmatched_hashtags": hashtags, "top_unmatched_domains": domains}
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.checkpoints import checkpointed
 from tidewatch.functions.text import confidence, suggested_action
 
 #: Promotion and bounds of a tag's details.
@@ -31,6 +36,34 @@ def bounded(found: DataFrame, most: int = MOST_TAGS) -> tuple[DataFrame, DataFra
     return found.join(kept, "tag", "left_semi"), found.join(kept, "tag", "left_anti").agg(F.count("*").alias("overflow_count"))
 
 
+def heavy_tags(found: DataFrame, capacity: int = MOST_TAGS) -> DataFrame:
+    """tag, at_least, at_most: the tags that may be frequent, from counters of bounded size; what `bounded` refuses is not lost here.
+
+    Each task keeps at most twice `capacity` counters and, when they are full, takes
+    the (capacity + 1)-th largest count from all. Counts of different tasks add up,
+    and so do their shortfalls: a tag's true number lies between the two bounds,
+    which differ by no more than total / (capacity + 1), and every tag more
+    frequent than that is there.
+    """
+
+    def count(batches):
+        held: Counter = Counter()
+        short = 0
+        for pdf in batches:
+            held.update(pdf["tag"].tolist())
+            if len(held) > 2 * capacity:
+                cut = heapq.nlargest(capacity + 1, held.values())[-1]
+                short += cut
+                held = Counter({t: n - cut for t, n in held.items() if n > cut})
+        if held or short:
+            yield pd.DataFrame({"tag": [*held, None], "n": [*held.values(), short]})
+
+    parts = found.select("tag").where("tag IS NOT NULL").mapInPandas(count, "tag string, n long")
+    sums = checkpointed(parts.groupBy("tag").agg(F.sum("n").alias("n")))
+    short = sums.where("tag IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("short"))
+    return sums.where("tag IS NOT NULL").crossJoin(F.broadcast(short)).select("tag", F.col("n").alias("at_least"), (F.col("n") + F.col("short")).alias("at_most"))  # one row
+
+
 def promoted(found: DataFrame, at: int = PROMOTE_AT, most: int = MOST_PROMOTED) -> DataFrame:
     """tag, since (its at-th occurrence) of the first `most` tags to get there."""
     order = Window.partitionBy("tag").orderBy("sec", "id", "pos")

@@ -89,7 +89,7 @@ def body_url_extract(spark, sf_dir):
 
 def coordination_prefix(spark, sf_dir):
     """Per source the largest share of texts that begin alike, and the share of distinct texts."""
-    docs = _docs(spark, sf_dir).select("source", F.substring("text", 1, 80).alias("head"), F.crc32(F.encode("text", "UTF-8")).alias("text_id"))
+    docs = _docs(spark, sf_dir).select("source", F.substring("text", 1, 80).alias("head"), F.md5(F.encode("text", "UTF-8")).alias("text_id"))
     heads = docs.groupBy("source", "head").agg(F.count("*").alias("n")).groupBy("source").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
     distinct = docs.groupBy("source").agg(F.countDistinct("text_id").alias("texts"))
     return heads.join(distinct, "source").select("source", F.round(F.col("most") / F.col("n"), 3).alias("top_text_pct"), F.round(F.col("texts") / F.col("n"), 3).alias("text_unique_ratio"))
@@ -141,9 +141,9 @@ def domain_boost_route(spark, sf_dir):
 
 
 def route_stories(spark, sf_dir):
-    """The audit table of stories through the default table: made-up titles, each before a document's first words."""
+    """The audit table of stories through the default table: made-up titles, each before a document."""
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod("doc_id", F.lit(len(xs))) + 1).cast("int"))
-    title = F.concat_ws(" ", pick(TITLES), F.substring("text", 1, 40))
+    title = F.concat_ws(" ", pick(TITLES), "text")
     stories = _docs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("sec"), F.col("doc_id").alias("story_id"), title.alias("story_title"), T.domain(pick(PAGES)).alias("domain"))
     routed = R.route(stories, "doc_id", {"title": (F.col("story_title"), 1.0)}, F.col("domain"))
     return R.routing_audit(stories, "doc_id", routed).drop("sec", "story_title")
@@ -216,7 +216,7 @@ def dbscan_embeddings(spark, sf_dir):
 
 def story_attribution(spark, sf_dir):
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    members = talk.select(F.col("role").alias("cluster"), (F.col("conv_id") % 40).alias("story_id"), F.substring("text", 1, 30).alias("story_title"), F.concat(F.lit("h"), (F.col("conv_id") % 7).cast("string")).alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    members = talk.select(F.col("role").alias("cluster"), (F.col("conv_id") % 40).alias("story_id"), F.col("text").alias("story_title"), F.concat(F.lit("h"), (F.col("conv_id") % 7).cast("string")).alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
     found = K.attribute(members, ["cluster"])
     return found.select("cluster", "size", "top_story_id", "top_story_pct", "top_story_title", "unique_story_count", F.array_join(F.transform("story_ids", lambda x: x.cast("string")), ",").alias("story_ids"), F.array_join("top_domains", ",").alias("top_domains"))
 
@@ -310,7 +310,7 @@ ORACLE_SQL = {
         b AS (SELECT doc_id, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)) AS l FROM documents) SELECT doc_id, xor(list_reduce(l, lambda c, x: xor(c // 256, tab.t[xor(c % 256, x) + 1])), 4294967295) AS crc FROM b, tab""",
     "text_scalars": "SELECT doc_id, substring(text, 1, 120) AS head, 'AI News' || ' ' || upper(source[1]) || lower(source[2:]) AS camel, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y/%m/%d') AS day FROM documents",
     "member_codec": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'plain ' || source ELSE substring(text, 1, 120) END AS text, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE doc_id END AS story_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE source END AS domain, CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS hashtags, 0.0::DOUBLE AS route_score, '' AS author FROM documents",
-    "route_stories": rf"""WITH t AS (SELECT doc_id, {[*TITLES]}[doc_id % {len(TITLES)} + 1] || ' ' || substring(text, 1, 40) AS title, ['', 'arxiv.org', 'github.com', 'example.org', 'nasa.gov'][doc_id % 5 + 1] AS domain FROM documents),
+    "route_stories": rf"""WITH t AS (SELECT doc_id, {[*TITLES]}[doc_id % {len(TITLES)} + 1] || ' ' || text AS title, ['', 'arxiv.org', 'github.com', 'example.org', 'nasa.gov'][doc_id % 5 + 1] AS domain FROM documents),
         kw AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}', '{k}', {w})" for i, (c, k, w) in enumerate(R.STORY_KEYWORDS))}) t(nr, channel, keyword, weight)),
         m AS (SELECT *, regexp_replace(lower(title), '([\p{{L}}\p{{M}}\p{{N}}_]+)', '<\1>', 'g') AS words FROM (SELECT doc_id, domain, translate(title, '<>', '()') AS title FROM t)), kp AS (SELECT *, regexp_replace(keyword, '([a-z0-9]+)', '<\1>', 'g') AS whole FROM kw), bo(domain, channel, boost) AS (VALUES ('arxiv.org', 'science', 3.0), ('github.com', 'tech', 2.0), ('nasa.gov', 'science', 3.0)),
         f AS (SELECT doc_id, nr, channel, keyword, weight AS score FROM m JOIN kp ON contains(words, CASE WHEN keyword IN ('hack', 'breach', 'exploit', 'llm', 'foundation model') THEN whole[:-2] ELSE whole END) UNION ALL SELECT doc_id, NULL, channel, NULL, boost FROM t JOIN bo USING (domain)),
@@ -349,7 +349,7 @@ ORACLE_SQL = {
         num AS (SELECT label, root, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS cluster_id FROM (SELECT DISTINCT label, root FROM comp JOIN embeddings ON vec_id = id)),
         near AS (SELECT e.a AS id, min(n.cluster_id) AS cluster_id FROM e JOIN comp c ON c.id = e.b JOIN num n ON n.root = c.root WHERE e.a NOT IN (FROM core) GROUP BY e.a)
         SELECT v.label, v.vec_id, CAST(coalesce(n.cluster_id, near.cluster_id, -1) AS BIGINT) AS cluster_id FROM embeddings v LEFT JOIN comp c ON c.id = v.vec_id LEFT JOIN num n ON n.root = c.root LEFT JOIN near ON near.id = v.vec_id""",
-    "story_attribution": """WITH m AS (SELECT role AS cluster, conv_id % 40 AS story_id, substring(text, 1, 30) AS title, 'h' || (conv_id % 7) AS domain, conv_id * 1000 + turn AS pos FROM conversations),
+    "story_attribution": """WITH m AS (SELECT role AS cluster, conv_id % 40 AS story_id, text AS title, 'h' || (conv_id % 7) AS domain, conv_id * 1000 + turn AS pos FROM conversations),
         s AS (SELECT cluster, story_id, count(*) AS n, min(pos) AS pos, arg_min(title, pos) AS title FROM m WHERE story_id <> 0 GROUP BY ALL),
         top AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS known FROM s QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, pos) = 1), a AS (SELECT cluster, count(*) AS stories, string_agg(CAST(story_id AS VARCHAR), ',' ORDER BY story_id) AS ids FROM s GROUP BY cluster),
         h AS (SELECT cluster, domain, count(*) AS n, min(pos) AS pos FROM m GROUP BY ALL), hh AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, pos, domain) AS place FROM h QUALIFY place <= 5), hj AS (SELECT cluster, string_agg(domain, ',' ORDER BY place) AS hosts FROM hh GROUP BY cluster)

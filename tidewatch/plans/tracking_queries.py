@@ -19,7 +19,7 @@ from tidewatch.plans import reports as P
 from tidewatch.plans.detection_queries import _items, _scored
 from tidewatch.plans.event_queries import _anomalies, _candidates, _posts, _tracked
 from tidewatch.plans.report_queries import _folder, _messages, _post_columns, _table
-from tidewatch.sources import manifest, readers
+from tidewatch.sources import manifest, readers, tables
 from tidewatch.streaming import jobs, tracking
 
 
@@ -88,8 +88,8 @@ def quarantine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in files by status, one of them with a broken file beside: two scans of the folder, and what each read."""
     path = _folder(spark)
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    orders.repartition(1).write.partitionBy("o_orderstatus").parquet(f"{path}/in")
-    orders.select(F.lit("no Parquet").alias("value")).limit(1).write.text(f"{path}/in/o_orderstatus=X")
+    orders.withColumn("of", F.col("o_orderstatus")).repartition(1).write.partitionBy("of").parquet(f"{path}/in")
+    orders.select(F.lit("no Parquet").alias("value")).limit(1).write.text(f"{path}/in/of=X")
     runs = []
     for run in ("first", "second"):
         read = []
@@ -145,6 +145,23 @@ def recurring_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.recurring_between(found, 1704300000, 1704700000)
 
 
+def heavy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags by counters that hold them all, so that both bounds are the count."""
+    return H.heavy_tags(H.occurrences(_posts(spark, sf_dir)), 1000)
+
+
+def table_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table that is updated, gets changed and new rows, a new column, and loses some."""
+    path = _folder(spark)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    tables.create(orders, path)
+    tables.change(spark, path, lambda rows: tables.updated(rows, F.col("o_orderkey") % 5 == 0, o_orderstatus=F.lit("U"), o_totalprice=F.lit(0.0)))
+    more = orders.where(F.col("o_orderkey") % 7 == 0)
+    news = more.withColumn("o_orderstatus", F.lit("N")).unionByName(more.select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("A").alias("o_orderstatus"), "o_totalprice")).where("o_orderkey <> 0")
+    tables.change(spark, path, lambda rows: tables.upserted(rows, news.withColumn("note", F.lit("new")), "o_orderkey"))
+    return tables.change(spark, path, lambda rows: tables.deleted(rows, F.col("o_orderkey") % 3 == 0)).withColumn("note", F.coalesce("note", F.lit("")))
+
+
 def tumbling_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling scores of items that arrive up to two hours late and out of order: each counts in the window open at its arrival."""
     arrived = _items(spark, sf_dir).withColumn("arrived", F.col("sec") + F.col("id") * 7919 % 7200)
@@ -166,7 +183,7 @@ def learned_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.cluster(placed, "lang", "doc_id", "embedding", 0.35, 5)
 
 
-QUERIES = {f.__name__: f for f in (stream_lifecycle, stream_consolidate, stream_gate, stream_posts, quarantine_scan, sustained_hourly, selected_events, audit_timeline, bounded_tags, clusterable_windows, recurring_range, tumbling_late, projected_clusters, learned_clusters)}
+QUERIES = {f.__name__: f for f in (stream_lifecycle, stream_consolidate, stream_gate, stream_posts, quarantine_scan, sustained_hourly, selected_events, audit_timeline, bounded_tags, clusterable_windows, recurring_range, heavy_tags, table_changes, tumbling_late, projected_clusters, learned_clusters)}
 
 _OLD = detection_queries.ORACLE_SQL | event_queries.ORACLE_SQL | report_queries.ORACLE_SQL
 _TRACKED, _ITEMS, _CANDIDATES = event_queries.TRACKED, detection_queries.ITEMS, event_queries.CANDIDATES
@@ -189,6 +206,10 @@ ORACLE_SQL = {
     "bounded_tags": f"WITH {event_queries.POSTS}, f AS (SELECT tag, min((sec, id, pos)) AS first, count(*) AS n FROM oc GROUP BY tag), r AS (SELECT *, row_number() OVER (ORDER BY first, tag) AS k FROM f) SELECT tag, n FROM r WHERE k <= 30 UNION ALL SELECT '(overflow)', CAST(coalesce(sum(n), 0) AS BIGINT) FROM r WHERE k > 30",
     "clusterable_windows": f"WITH {_ITEMS} SELECT channel, CAST(floor(sec / 43200.0) * 43200 AS BIGINT) AS window_start, count(*) AS n FROM items GROUP BY ALL HAVING count(*) >= 12",
     "recurring_range": f"WITH {_CANDIDATES} SELECT count(*) AS recurring_thread_count FROM cand WHERE size % 3 = 0 AND window_start + 43200 BETWEEN 1704300000 AND 1704700000",
+    "heavy_tags": f"WITH {event_queries.POSTS} SELECT tag, count(*) AS at_least, count(*) AS at_most FROM oc GROUP BY tag",
+    "table_changes": """WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE o_totalprice END::DOUBLE AS o_totalprice FROM orders),
+        b AS (SELECT *, '' AS note FROM a WHERE o_orderkey % 7 <> 0 OR o_orderkey = 0 UNION ALL SELECT o_orderkey, 'N', o_totalprice::DOUBLE, 'new' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey <> 0 UNION ALL SELECT -o_orderkey, 'A', o_totalprice::DOUBLE, 'new' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey <> 0)
+        SELECT * FROM b WHERE o_orderkey % 3 <> 0""",
     "tumbling_late": f"""WITH {_ITEMS}, a AS (SELECT channel, max(sec) OVER (ORDER BY sec + id * 7919 % 7200, id ROWS UNBOUNDED PRECEDING) AS clock FROM items),
         own AS (SELECT channel, CAST(floor(clock / 3600.0) * 3600 AS BIGINT) AS window_start, count(*) AS n FROM a GROUP BY ALL),
         h AS (SELECT *, count(*) OVER w AS h, sum(n) OVER w AS total, sum(n * n) OVER w AS squares FROM own WINDOW w AS (PARTITION BY channel ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
