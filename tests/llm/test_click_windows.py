@@ -98,3 +98,12 @@ def test_empty_and_clashing_columns(spark):
 def test_windows_step_by_step():
     segment, hour = np.array([0, 0, 0, 0, 1, 1]), np.array([0, 72, 73, 146, -5, 80])
     assert cw.window_starts(segment, hour, np.array([0, 10]), 72).tolist() == [True, False, True, True, True, False]
+
+
+def test_batches_without_rows(spark):
+    digest = lambda c: hashlib.sha256(c.encode()).digest()
+    rows = [(0, 1, 1000, digest("a"), 2), (0, 2, 1500, digest("b"), 1), (3, 2, 1560, digest("c"), 3), (3, 2, 1451, digest("d"), 1), (3, 3, 1700, digest("e"), 1), (3, 4, 1452, digest("f"), 1)]
+    got = sorted(tuple(r) for r in cw.expiring_windows(spark.createDataFrame(rows, "batch int, click_id long, hour long, hash binary, n long"), 6, 2).select(ORDER).collect())
+    crc = 3 * zlib.crc32(digest("c").hex().encode())
+    # click 2's row at 1451 is late; its window is out of reach after batch 3, as is click 4's
+    assert got == [(1, 1000, 0, 1, 0, 0, digest("a").hex()), (2, 1500, 3, 3, 3, crc, digest("b").hex()), (3, 1700, 5, 0, 0, 0, digest("e").hex()), (4, 1452, 3, 0, 0, 0, digest("f").hex())]

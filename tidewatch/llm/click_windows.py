@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.llm.common import default_partitions, shared_folder
+from tidewatch.llm.common import shared_folder
 
 #: Hours after its start at which a window still takes repeats, and hours that a row may lag behind the largest.
 REACH, LATENESS = 72, 48
 BATCHES = 12
-#: Rows of a bucket in one batch, about.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket, and of a partition of the state, in one batch, about.
+BUCKET_ROWS, PARTITION_ROWS = 15_000, 60_000
 
 _HOUR = 3_600_000
 #: Timers and watermark stand between whole hours, so that neither depends on how Spark treats equal times.
@@ -104,10 +104,10 @@ def fold(held: dict[str, np.ndarray], rows: dict[str, np.ndarray], reach: int) -
 
 
 class ExpiringWindows(StatefulProcessor):
-    """The open windows of a bucket; batch is what windows that close now are told."""
+    """The open windows of a bucket. What the last batch left out of reach closes first, under that batch's number, then the rows of this one are folded."""
 
-    def __init__(self, batch: int, reach: int, lateness: int) -> None:
-        self.batch, self.reach, self.lateness = batch, reach, lateness
+    def __init__(self, batch: int, reach: int) -> None:
+        self.batch, self.reach = batch, reach
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -124,26 +124,35 @@ class ExpiringWindows(StatefulProcessor):
         self.windows.update(tuple(held[k].tobytes() for k in (*_COUNTS, "hash")))
         self.handle.registerTimer((int(held["start_hour"].min()) + self.reach) * _HOUR + _TIMER_SHIFT)
 
-    def _rows(self, closed: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    def _rows(self, closed: dict[str, np.ndarray], batch: int) -> Iterator[pd.DataFrame]:
         n = len(closed["click_id"])
         if n:
-            yield pd.DataFrame({"click_id": closed["click_id"], "start_hour": closed["start_hour"], "closed_batch": np.full(n, self.batch), **{k: closed[k] for k in _COUNTS[2:]}, "hash": [h.ljust(32, b"\0").hex() for h in closed["hash"].tolist()]})
+            yield pd.DataFrame({"click_id": closed["click_id"], "start_hour": closed["start_hour"], "closed_batch": np.full(n, batch), **{k: closed[k] for k in _COUNTS[2:]}, "hash": [h.ljust(32, b"\0").hex() for h in closed["hash"].tolist()]})
+
+    def _parted(self, held: dict[str, np.ndarray], watermark: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """(windows still open, windows that no row can reach)."""
+        over = (held["start_hour"] + self.reach) * _HOUR + _TIMER_SHIFT < watermark
+        return {k: v[~over] for k, v in held.items()}, {k: v[over] for k, v in held.items()}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs()
         frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame[frame["hash"].notna()]  # the sentinel only moves the watermark
-        if len(frame):
-            given = {k: frame[k].to_numpy(np.int64) for k in ("click_id", "hour", "crc", "n")} | {"hash": np.array(frame["hash"].tolist(), "S32")}
-            held, closed = fold(self._held(), given, self.reach)
-            self._keep(held)
-            yield from self._rows(closed)
+        # the sentinel only moves the watermark; rows behind it are late
+        frame = frame[frame["hash"].notna() & (frame["hour"] * _HOUR >= watermark)]
+        if not len(frame):
+            return
+        held, over = self._parted(self._held(), watermark)
+        yield from self._rows(over, self.batch - 1)
+        given = {k: frame[k].to_numpy(np.int64) for k in ("click_id", "hour", "crc", "n")} | {"hash": np.array(frame["hash"].tolist(), "S32")}
+        held, closed = fold(held, given, self.reach)
+        self._keep(held)
+        yield from self._rows(closed, self.batch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self._held()
-        over = (held["start_hour"] + self.reach) * _HOUR + _TIMER_SHIFT < timerValues.getCurrentWatermarkInMs()
-        if over.any():
-            self._keep({k: v[~over] for k, v in held.items()})
-            yield from self._rows({k: v[over] for k, v in held.items()})
+        held, over = self._parted(self._held(), timerValues.getCurrentWatermarkInMs())
+        if len(over["click_id"]):
+            self._keep(held)
+            yield from self._rows(over, self.batch - 1)
 
 
 def _since_1970(stamp: str) -> Column:
@@ -194,11 +203,13 @@ def expiring_windows(rows: DataFrame, batches: int, buckets: int | None = 0, rea
 
     Returned: click_id, start_hour, closed_batch, n_repeats, n_conflicts, conflict_crc, hash (hex).
     The stream is started anew for each batch on one checkpoint, in a new folder
-    under spark.checkpoint.dir. Rows more than `lateness` hours behind the largest
-    hour of earlier batches are dropped by the watermark. After a batch, windows
-    that rows cannot reach close; a sentinel row beyond all hours closes what the
-    last batch leaves open. Within a batch rows go by hour, then hash. An empty
-    table gives no rows. buckets: how many buckets of click_ids, 0 for a number
+    under spark.checkpoint.dir, and each start is one micro-batch, the last one two. Rows more than
+    `lateness` hours behind the largest hour of earlier batches, which is what the
+    watermark has seen, are dropped. What a batch leaves out of reach is closed
+    when the next one comes, by a timer if the bucket has no rows then, and told
+    the number of the batch that left it; after the last one a sentinel row beyond
+    all hours comes. Within a batch rows go by hour, then hash. An empty
+    table gives no rows. Hours are counted from 1970 and positive. buckets: how many buckets of click_ids, 0 for a number
     that follows the rows, None for a state per click_id. Other columns are not read.
     """
     spark = rows.sparkSession
@@ -210,25 +221,28 @@ def expiring_windows(rows: DataFrame, batches: int, buckets: int | None = 0, rea
     total, highest = known.agg(F.count("*"), F.max("hour")).first()
     if not total:
         return spark.createDataFrame([], _OUT)
+    parts = max(2, total // (batches * PARTITION_ROWS))
     if buckets == 0:
-        buckets = max(4 * default_partitions(spark), total // (batches * BUCKET_ROWS))
+        buckets = max(4 * parts, total // (batches * BUCKET_ROWS))
     bucket = F.col("click_id") if buckets is None else F.pmod(F.xxhash64("click_id"), F.lit(buckets))
 
-    settings = {"spark.sql.streaming.stateStore.providerClass": _PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.minBatchesToRetain": "2"}
+    # state partitions last as long as the query, so they follow the rows; each start's stores are closed when their task ends, since the next start opens its own; the checkpoint lives for this call, so its files need no checksums beside them
+    settings = {"spark.sql.streaming.stateStore.providerClass": _PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true", "spark.sql.streaming.minBatchesToRetain": "2", "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         spark.createDataFrame([], "click_id long, hour long, hash binary, n long").write.parquet(f"{source}/none")
         for batch in range(batches + 1):
-            if batch < batches:
-                if not _renamed(spark, f"{staged}/batch={batch}", f"{source}/b{batch}"):
-                    continue
-            else:
-                spark.createDataFrame([(-1, highest + 2 * reach + 2 * lateness, None, 0)], "click_id long, hour long, hash binary, n long").write.parquet(f"{source}/end")
+            if batch == batches or not _renamed(spark, f"{staged}/batch={batch}", f"{source}/b{batch}"):
+                # a batch without rows still closes what the one before it left out of reach; the last row moves the watermark beyond all
+                hour = highest + 2 * reach + 2 * lateness if batch == batches else 0
+                spark.createDataFrame([(-1, hour, None, 0)], "click_id long, hour long, hash binary, n long").coalesce(1).write.parquet(f"{source}/b{batch}")
+            # only the last start goes on without data, to where its row has moved the watermark
+            spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(batch == batches).lower())
             given = spark.readStream.schema("click_id long, hour long, hash binary, n long").parquet(f"{source}/*")
             given = given.select(bucket.alias("bucket"), *kept, F.crc32(F.lower(F.hex("hash")).cast("binary")).alias("crc"), F.timestamp_seconds(F.col("hour") * 3600).alias("event"))
-            folded = given.withWatermark("event", f"{lateness} hours {_WATERMARK_SHIFT}").groupBy("bucket").transformWithStateInPandas(ExpiringWindows(min(batch, batches - 1), reach, lateness), _OUT, "Append", "EventTime")
+            folded = given.withWatermark("event", f"{lateness} hours {_WATERMARK_SHIFT}").groupBy("bucket").transformWithStateInPandas(ExpiringWindows(batch, reach), _OUT, "Append", "EventTime")
             query = folded.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
     finally:
