@@ -451,8 +451,7 @@ def component_ids(sets: DataFrame, links: DataFrame) -> DataFrame:
     component = connected(checkpointed(links))
     least = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     least = least.join(component, least["digest"] == component["node"], "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
-    ids = least.groupBy("root").agg(F.min("least").alias("component"))
-    by_set = least.join(ids, "root").select(F.col("digest").alias("_digest"), "component")
+    by_set = told_back(least, "root", ["digest"], [F.min("least").alias("component")]).select(F.col("digest").alias("_digest"), "component")
     return sets.join(by_set, F.col("digest") == F.col("_digest"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "digest", "th")
 
 
