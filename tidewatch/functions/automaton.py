@@ -6,7 +6,6 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,7 +16,6 @@ from tidewatch.functions.text import keyword_pattern
 _END, _OPEN = "\0end", "\0open"  # keys of a node that no token equals
 
 
-@cache
 def _word_class() -> str:
     """What a word consists of, as a class of a pattern: letters, numbers, underscore and combining marks."""
     marks = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
