@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from tidewatch.checkpoints import shared_folder
 from tidewatch.plans import reports as P
@@ -162,8 +163,11 @@ def bi_event_candidates(spark, sf_dir):
 def parquet_partition_prune(spark, sf_dir):
     """Anomalies written by day and channel, two days read back: only their folders are opened."""
     path = _folder(spark)
-    sinks.write_archive(_anomalies(spark, sf_dir)[0], path)
-    back = spark.read.parquet(path).where(F.col("date").between(date(2024, 1, 2), date(2024, 1, 3)))
+    hot = _anomalies(spark, sf_dir)[0]
+    sinks.write_archive(hot, path)
+    # without an anomaly there is no file to take columns from
+    layout = StructType([*hot.drop("channel").schema, StructField("date", DateType()), StructField("channel", StringType())])
+    back = spark.read.schema(layout).parquet(path).where(F.col("date").between(date(2024, 1, 2), date(2024, 1, 3)))
     return back.select("id", "channel", "z_score")
 
 

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -221,10 +222,15 @@ def posts_from_messages(messages: DataFrame, column: str = "value") -> DataFrame
 
 
 def candidates_between(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
-    """Stored candidates of a range of days: only those folders are read."""
+    """Stored candidates of a range of days: only those folders are read. An archive without files has none."""
     days = [(first + timedelta(n)).isoformat() for n in range((last - first).days + 1)]
-    raw = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path).where(F.col("date").cast("string").isin(*days))
-    return conform(raw, CANDIDATE)
+    try:
+        raw = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], CANDIDATE)
+    return conform(raw.where(F.col("date").cast("string").isin(*days)), CANDIDATE)
 
 
 def unseen(files: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
