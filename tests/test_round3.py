@@ -36,3 +36,10 @@ def test_an_archive_without_anomalies(spark, tmp_path):
     empty = spark.createDataFrame([], "candidate_id string, channel string, window_end long")
     sinks.write_archive(empty, f"{folder}/archive")
     assert readers.candidates_between(spark, f"{folder}/archive", date(2024, 1, 1), date(2024, 1, 2)).count() == 0
+
+
+def test_flags_of_a_window_with_many_items(spark, tmp_path):
+    folder, con = stored(spark, tmp_path, events=(hourly([2 + h % 3 for h in range(60)] + [1500, 2, 2, 2]), EVENTS))
+    found = detection_queries.lifecycle_flags(spark, folder).toPandas()
+    wanted = con.sql(detection_queries.ORACLE_SQL["lifecycle_flags"]).df()
+    assert len(wanted) and rows(found) == rows(wanted)

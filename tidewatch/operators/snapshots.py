@@ -12,9 +12,11 @@ TOP_WORDS, TOP_NAMES, POSTS, HEAD, POST_WIDTH, MOST_ITEMS = 10, 5, 5, 80, 200, 5
 FEED_ITEMS, FEED_SHARE, SOURCE_ITEMS, AUTHOR_SHARE, DOMAIN_SHARE, ALIKE_SHARE = 100, 0.60, 50, 0.40, 0.35, 0.25
 
 
-def window_items(items: DataFrame, ticks: DataFrame, ttl: int, most: int = MOST_ITEMS) -> DataFrame:
+def window_items(items: DataFrame, ticks: DataFrame, ttl: int, most: int | None = MOST_ITEMS) -> DataFrame:
     """Items of each tick's window (tick - ttl < sec <= tick, the channel's own) with the columns of ticks, at most `most`, a reproducible sample; pos counts them by time.
 
+    With most None all items stay, and pos is (sec, id), so that no task orders a window.
+
     items: id, channel, sec, ...; ticks: channel, tick, .... A window meets the
     items of the two buckets of ttl seconds that it touches, so ticks and items
     join on (channel, bucket).
@@ -23,6 +25,8 @@ def window_items(items: DataFrame, ticks: DataFrame, ttl: int, most: int = MOST_
     reach = F.explode(F.array(F.floor((F.col("tick") - ttl + 1) / ttl), F.floor(F.col("tick") / ttl))).alias("_bucket")
     wide = ticks.select("*", reach).distinct()
     met = items.withColumn("_bucket", F.floor(F.col("sec") / ttl)).join(wide, ["channel", "_bucket"]).where((F.col("sec") <= F.col("tick")) & (F.col("sec") > F.col("tick") - ttl))
+    if most is None:
+        return met.withColumn("pos", F.struct("sec", "id")).drop("_bucket")
     drawn = F.row_number().over(Window.partitionBy("channel", *own).orderBy(F.xxhash64("id"), "id"))
     met = met.withColumn("_drawn", drawn).where(F.col("_drawn") <= most)
     return met.withColumn("pos", F.row_number().over(Window.partitionBy("channel", *own).orderBy("sec", "id"))).drop("_bucket", "_drawn")
