@@ -43,3 +43,10 @@ def test_flags_of_a_window_with_many_items(spark, tmp_path):
     found = detection_queries.lifecycle_flags(spark, folder).toPandas()
     wanted = con.sql(detection_queries.ORACLE_SQL["lifecycle_flags"]).df()
     assert len(wanted) and rows(found) == rows(wanted)
+
+
+def test_markup_with_cut_and_quoted_references(spark, tmp_path):
+    pages = ["a &amp b", "<p>x&amp;y &amp", "&lt;i&gt; &lt", "&amp;lt;", "&copy 2024 &copy;", "&#39 &#39; &#x27;&#x27", "q?a=1&copy=2", "&nbsp;c&nbsp", "<!-- c -->&middot;<br>&mdash;", "", "&&amp;&", "AT&amp;amp;T"]
+    folder, con = stored(spark, tmp_path, pages=([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string"))
+    found = text_queries.html_to_text(spark, folder).toPandas()
+    assert rows(found) == rows(con.sql(text_queries.ORACLE_SQL["html_to_text"]).df())

@@ -75,10 +75,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def unescape(text: Column) -> Column:
-    """Character references of markup as characters: numbers, and all names HTML has, those that may lack the semicolon too."""
+def unescape(text: Column, closed: bool = False) -> Column:
+    """Character references of markup as characters: numbers, and all names HTML has, those that may lack the semicolon too.
+
+    With closed, only what ends in a semicolon is a reference.
+    """
     bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-    start = rf"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(bare)})"
+    start = "^(#[xX][0-9a-fA-F]+;|#[0-9]+;|[A-Za-z][A-Za-z0-9]*;)" if closed else rf"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(bare)})"
     lookup = lambda of: F.from_json(F.lit(json.dumps({n: html5[n] for n in of})), "map<string,string>")  # noqa: E731 (one literal, read when the query is planned)
     usual, all_names = lookup(COMMON_NAMES), lookup(sorted(html5))
     named_as = lambda name: F.coalesce(F.element_at(usual, name), F.element_at(all_names, name))  # noqa: E731 (a map is searched from its start)
@@ -97,7 +100,7 @@ def unescape(text: Column) -> Column:
 
     def read(p: Column, found: Column) -> Column:
         rest = lambda used: F.substr(p, F.length(used) + 1)
-        short = F.regexp_extract(p, rf"^({'|'.join(bare)})", 1)  # a name with a semicolon that HTML lacks may begin with one that it has
+        short = F.lit("") if closed else F.regexp_extract(p, rf"^({'|'.join(bare)})", 1)  # a name with a semicolon that HTML lacks may begin with one that it has
         by_name = _let(named_as(found), lambda named: F.when(named.isNotNull(), F.concat(named, rest(found))).otherwise(_let(short, lambda s: F.when(s == "", F.concat(F.lit("&"), p)).otherwise(F.concat(named_as(s), rest(s))))))
         return F.when(found == "", F.concat(F.lit("&"), p)).when(found.startswith("#"), F.concat(numbered(found), rest(found))).otherwise(by_name)
 
@@ -105,10 +108,14 @@ def unescape(text: Column) -> Column:
     return _let(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t))
 
 
-def html_text(html: Column) -> Column:
-    """Text of markup: tags and comments become gaps, references characters, white space one blank; what then still reads as a reference becomes one too."""
+def html_text(html: Column, closed: bool = False) -> Column:
+    """Text of markup: tags and comments become gaps, references characters, white space one blank; what then still reads as a reference becomes one too.
+
+    With closed, a reference has its semicolon and is read once: a cut or a quoted one stays as it is.
+    """
     bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->|<![^>]*>", " "), r"(?s)</?[A-Za-z][^>]*>", " ")
-    return unescape(F.trim(F.regexp_replace(unescape(bare), r"(?U)\s+", " ")))
+    text = F.trim(F.regexp_replace(unescape(bare, closed), r"(?U)\s+", " "))
+    return text if closed else unescape(text)
 
 
 def jaccard(a: Column, b: Column) -> Column:
