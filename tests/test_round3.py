@@ -3,8 +3,10 @@
 from datetime import date, datetime, timedelta, timezone
 
 import duckdb
+import numpy as np
 from test_queries import rows
 
+from tidewatch.operators import clustering
 from tidewatch.plans import detection_queries, report_queries, text_queries
 from tidewatch.sources import readers, sinks
 
@@ -50,3 +52,14 @@ def test_markup_with_cut_and_quoted_references(spark, tmp_path):
     folder, con = stored(spark, tmp_path, pages=([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string"))
     found = text_queries.html_to_text(spark, folder).toPandas()
     assert rows(found) == rows(con.sql(text_queries.ORACLE_SQL["html_to_text"]).df())
+
+
+def test_wide_eps_in_many_dimensions_makes_few_copies(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(600, 32))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    given = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(points)], "g int, k long, v array<double>")
+    assert clustering.metric_cells(given, 1.2, 50).count() <= 600 * clustering.MOST_COPIES
+    wanted = clustering.density_labels(points, 1.2, 4)
+    got = {r["k"]: r["cluster_id"] for r in clustering.block_clusters(given, "g", "k", "v", 1.2, 4, 50).collect()}
+    assert [got[i] for i in range(600)] == wanted.tolist()
