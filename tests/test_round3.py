@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from test_queries import rows
 
-from tidewatch.operators import clustering
+from tidewatch.operators import clustering, projection
 from tidewatch.plans import detection_queries, report_queries, text_queries
 from tidewatch.sources import readers, sinks
 
@@ -63,3 +63,12 @@ def test_wide_eps_in_many_dimensions_makes_few_copies(spark):
     wanted = clustering.density_labels(points, 1.2, 4)
     got = {r["k"]: r["cluster_id"] for r in clustering.block_clusters(given, "g", "k", "v", 1.2, 4, 50).collect()}
     assert [got[i] for i in range(600)] == wanted.tolist()
+
+
+def test_layout_of_a_large_group(spark):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(c, 0.05, size=(200, 8)) for c in (0.0, 1.0, 2.0)])
+    given = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(points)], "g int, k long, v array<double>")
+    laid = {r["k"]: r["projected"] for r in projection.projected(given, ["g"], "k", "v", most=200).collect()}
+    assert len(laid) == 600
+    assert projection.trustworthiness(points, np.array([laid[i] for i in range(600)])) > 0.9
