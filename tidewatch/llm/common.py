@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.checkpoints import checkpointed, shared_folder  # noqa: F401
+from tidewatch.checkpoints import BROADCAST_ROWS, broadcast_if_small, checkpointed, shared_folder  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,15 +32,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a narrow table that may be broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most so many (narrow) rows; df should be checkpointed, as it is counted."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 #: Parts that a key's rows are dealt in.
 SALTS = 32
 
