@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,38 +29,55 @@ def _noted(rows: DataFrame, where: str, run: str, step: str) -> None:
     rows.select("path", "status", "error", F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{where}/{run}/{step}")
 
 
-def probe(whole: bool = True) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A task's work: try to read Parquet files (path, content), every page or the footer alone; gives path, status, error."""
+#: What Spark says of a file that cannot be read as Parquet, and of failures in its reader that are no file's fault.
+_BROKEN = ("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA", "is not a Parquet file", "org.apache.parquet", "datasources.parquet")
+_ELSE = ("FILE_NOT_EXIST", "FileNotFoundException", "OutOfMemoryError", "AccessControlException", "SocketException", "SocketTimeoutException", "ConnectException", "ExecutorLostFailure", "FetchFailed")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-        import pyarrow.parquet as pq
 
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    file = pq.ParquetFile(pa.BufferReader(content))
-                    for group in range(file.num_row_groups if whole else 0):
-                        for _ in file.iter_batches(row_groups=[group]):
-                            pass
-                    out.append((path, READ, None))
-                except (pa.ArrowException, OSError) as e:
-                    out.append((path, CORRUPT, str(e)[:300]))
-            yield pd.DataFrame(out, columns=["path", "status", "error"])
-
-    return run
+def _fault(spark: SparkSession, paths: list[str], whole: bool) -> str | None:
+    """What Spark says if one of the files is broken, None if all are sound; nothing but footers is read unless whole."""
+    try:
+        rows = spark.read.option("mergeSchema", "true").parquet(*paths)
+        if whole:
+            # a hash of all columns, so that every page is read; maps and variants have none of their own
+            read = [F.col(f"`{c.replace('`', '``')}`") for c in rows.columns]
+            read = [c.cast("string") if "map<" in t or "variant" in t else c for c, (_, t) in zip(read, rows.dtypes, strict=True)]
+            rows.agg(F.bit_xor(F.xxhash64(*read))).collect()
+        else:
+            rows.count()
+    except Exception as e:
+        said = str(e)
+        if len(paths) == 1 and (not any(x in said for x in _BROKEN) or any(x in said for x in _ELSE)):
+            raise
+        return said
+    return None
+
+
+def probed(spark: SparkSession, paths: list[str], whole: bool = True) -> list[tuple[str, str, str | None]]:
+    """path, status, error of each Parquet file. Spark reads them in splits, all at once, and halves of them where one is broken, so no task holds a file."""
+    out, todo = [], [sorted(paths)]
+    while todo:
+        some = todo.pop()
+        error = _fault(spark, some, whole)
+        if error is None:
+            out += [(p, READ, None) for p in some]
+        elif len(some) == 1:
+            out.append((some[0], CORRUPT, error[:300]))
+        else:
+            todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+    return out
 
 
 def scan_new(spark: SparkSession, folder: str, where: str, use: Callable[[DataFrame, str], None], whole: bool = True, run: str | None = None) -> DataFrame:
     """Give the rows of a folder's Parquet files that no earlier scan has finished to use(rows, run); returns path, status, error of those files.
 
-    Files are noted as pending, probed in tasks, and read by Spark if they are
+    Files are noted as pending, probed by Spark's own reader, and read by Spark if they are
     sound; a broken one is noted as corrupt and not looked at again, and the others
     are read all the same. The outcome is noted after use has returned: if it
     fails, its files stay pending and come again with the next scan, so use
-    should write under the run's name. A probed file is held by its task, so
-    files over 2 GB are corrupt to it. Without new files use is not called.
+    should write under the run's name. Files of any size are read in splits, and
+    none is held; a failure that is no file's fault is raised. Without new files
+    use is not called.
     """
     run = run or uuid.uuid4().hex
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -71,13 +87,8 @@ def scan_new(spark: SparkSession, folder: str, where: str, use: Callable[[DataFr
     if new.isEmpty():
         return spark.createDataFrame([], "path string, status string, error string")
     _noted(new.withColumns({"status": F.lit(PENDING), "error": F.lit(None).cast("string")}), where, run, "begun")
-    # a file a batch: contents do not add up in a task
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        found = checkpointed(files.join(new, "path", "left_semi").select("path", "content").mapInPandas(probe(whole), "path string, status string, error string"))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    names = [r["path"] for r in new.toLocalIterator()]
+    found = checkpointed(spark.createDataFrame(probed(spark, names, whole), "path string, status string, error string"))
     sound = [r["path"] for r in found.where(F.col("status") == READ).select("path").toLocalIterator()]
     if sound:
         use(spark.read.option("mergeSchema", "true").parquet(*sound), run)
