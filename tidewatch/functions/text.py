@@ -70,7 +70,7 @@ def _no_characters(code: Column) -> Column:
     return control | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body of a value that is worked out once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -91,7 +91,7 @@ def unescape(text: Column, closed: bool = False) -> Column:
         digits = F.regexp_extract(found, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
         base = lambda d, n: F.conv(F.when(d == "", "0").otherwise(d), n, 10).cast("long")
         code = lambda d: F.when(F.length(d) > 8, 0x110000).when(found.rlike("^#[xX]"), base(d, 16)).otherwise(base(d, 10))
-        return _let(digits, lambda d: _let(code(d), character))
+        return let(digits, lambda d: let(code(d), character))
 
     def character(code: Column) -> Column:
         made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
@@ -101,11 +101,11 @@ def unescape(text: Column, closed: bool = False) -> Column:
     def read(p: Column, found: Column) -> Column:
         rest = lambda used: F.substr(p, F.length(used) + 1)
         short = F.lit("") if closed else F.regexp_extract(p, rf"^({'|'.join(bare)})", 1)  # a name with a semicolon that HTML lacks may begin with one that it has
-        by_name = _let(named_as(found), lambda named: F.when(named.isNotNull(), F.concat(named, rest(found))).otherwise(_let(short, lambda s: F.when(s == "", F.concat(F.lit("&"), p)).otherwise(F.concat(named_as(s), rest(s))))))
+        by_name = let(named_as(found), lambda named: F.when(named.isNotNull(), F.concat(named, rest(found))).otherwise(let(short, lambda s: F.when(s == "", F.concat(F.lit("&"), p)).otherwise(F.concat(named_as(s), rest(s))))))
         return F.when(found == "", F.concat(F.lit("&"), p)).when(found.startswith("#"), F.concat(numbered(found), rest(found))).otherwise(by_name)
 
-    piece = lambda p, i: F.when(i == 0, p).otherwise(_let(F.regexp_extract(p, start, 1), lambda found: read(p, found)))
-    return _let(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t))
+    piece = lambda p, i: F.when(i == 0, p).otherwise(let(F.regexp_extract(p, start, 1), lambda found: read(p, found)))
+    return let(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t))
 
 
 def html_text(html: Column, closed: bool = False) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import let
 from tidewatch.functions.vocabulary import ADULT_HASHTAGS, BOILERPLATE, BOT_AUTHORS, NOT_PROSE, ROUTINE_GRID, ROUTINE_HASHTAGS, ROUTINE_WORDS
 
 
@@ -44,10 +45,11 @@ def countable_text(body: Column) -> Column:
 
 def language_mismatch(body: Column) -> Column:
     """True for prose of over 40 characters whose letters are mostly beyond the Latin blocks."""
-    prose = F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), NOT_PROSE, ""))
-    letters = F.length(F.regexp_replace(prose, r"[^\p{L}]", ""))
-    latin = F.length(F.regexp_replace(prose, r"[^\p{L}]|[^\x{0000}-\x{024F}]", ""))
-    return (F.length(prose) > 40) & (letters > 0) & (2 * latin < letters)
+    text, beyond = F.coalesce(body, F.lit("")), r"[^\x{0000}-\x{024F}]"
+    mostly = lambda letters: 2 * F.length(F.regexp_replace(letters, f"{beyond}+", "")) < F.length(letters)
+    foreign = lambda prose: (F.length(prose) > 40) & let(F.regexp_replace(prose, r"[^\p{L}]+", ""), mostly)
+    # a text without any such character is none
+    return F.when(text.rlike(beyond), let(F.trim(F.regexp_replace(text, NOT_PROSE, "")), foreign)).otherwise(False)
 
 
 def routine(body: Column, hashtags: Column) -> Column:
@@ -57,8 +59,8 @@ def routine(body: Column, hashtags: Column) -> Column:
     return F.arrays_overlap(tags, F.array(*map(F.lit, ROUTINE_HASHTAGS))) | (text.rlike(ROUTINE_GRID) & text.rlike(ROUTINE_WORDS))
 
 
-def drop_reason(body: Column, langs: Column, hashtags: Column, channel: Column) -> Column:
-    """Why a post goes, the first that holds; null for posts that stay."""
+def text_reason(body: Column, langs: Column, hashtags: Column) -> Column:
+    """Why a post goes whatever its channel, the first that holds; null where nothing does."""
     tags = F.transform(hashtags, F.lower)
     return (
         F.when(F.trim(F.coalesce(body, F.lit(""))) == "", "empty")
@@ -66,10 +68,19 @@ def drop_reason(body: Column, langs: Column, hashtags: Column, channel: Column)
         .when(language_mismatch(body), "language_mismatch")
         .when(F.arrays_overlap(tags, F.array(*map(F.lit, ADULT_HASHTAGS))), "adult_spam")
         .when(routine(body, hashtags), "routine_template")
-        .when(F.coalesce(channel, F.lit("general")) == "general", "unmatched_topic")
     )
 
 
+def channel_reason(channel: Column) -> Column:
+    """Why a post goes that text_reason leaves."""
+    return F.when(F.coalesce(channel, F.lit("general")) == "general", "unmatched_topic")
+
+
+def drop_reason(body: Column, langs: Column, hashtags: Column, channel: Column) -> Column:
+    """Why a post goes, the first that holds; null for posts that stay."""
+    return F.coalesce(text_reason(body, langs, hashtags), channel_reason(channel))
+
+
 def capped(rows: DataFrame, by: list[str], order: list[str], most: int = 200) -> DataFrame:
     """The first `most` rows of every group: a report's bounded samples."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= most).drop("_rank")
